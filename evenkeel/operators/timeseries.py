@@ -8,7 +8,7 @@ slice of a series, so that a series holding much of the data stays spread out.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -24,8 +24,13 @@ def _micros(seconds: float) -> int:
     return int(round(seconds * MICROS))
 
 
+def instant_literal(at: datetime) -> Column:
+    """A time literal; a time without a zone is UTC."""
+    return F.lit(at if at.tzinfo else at.replace(tzinfo=timezone.utc))
+
+
 def _us(at: datetime) -> Column:
-    return F.unix_micros(F.lit(at).cast("timestamp"))
+    return F.unix_micros(instant_literal(at))
 
 
 def _grid_at_or_after(us: Column, step: int) -> Column:
@@ -67,7 +72,7 @@ def instant_vector(
     _check_grid(start, end, step_seconds)
     step, lookback = _micros(step_seconds), _micros(lookback_seconds)
     reach = start - timedelta(seconds=lookback_seconds)
-    rows = samples.where((F.col(ts) > F.lit(reach)) & (F.col(ts) <= F.lit(end))).select(
+    rows = samples.where((F.col(ts) > instant_literal(reach)) & (F.col(ts) <= instant_literal(end))).select(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
     first = _grid_at_or_after(F.col("us"), step)
@@ -92,7 +97,7 @@ def instant(
     """The instant vector at one time."""
     since = at - timedelta(seconds=lookback_seconds)
     return (
-        samples.where((F.col(ts) > F.lit(since)) & (F.col(ts) <= F.lit(at)))
+        samples.where((F.col(ts) > instant_literal(since)) & (F.col(ts) <= instant_literal(at)))
         .groupBy(*keys)
         .agg(F.max_by(value, ts).alias("value"))
     )
@@ -128,7 +133,7 @@ def increase(
     _check_grid(start, end, step_seconds)
     step, span = _micros(step_seconds), _micros(range_seconds)
     reach = start - timedelta(seconds=range_seconds)
-    rows = samples.where((F.col(ts) > F.lit(reach)) & (F.col(ts) <= F.lit(end))).select(
+    rows = samples.where((F.col(ts) > instant_literal(reach)) & (F.col(ts) <= instant_literal(end))).select(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
     chunk = max(span, step) * 60

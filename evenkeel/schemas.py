@@ -74,11 +74,12 @@ VIOLATIONS = T.StructType(
 def quantise(value: Column, scale: int = SCALE, rounding: str = "nearest") -> Column:
     """Double to fixed decimal; NaN, infinities and overflow become NULL.
 
-    ``nearest`` keeps results stable under a different summation order.  ``up``
+    ``nearest`` keeps results stable under a different summation order: three digits
+    more are taken first, so that noise in the last bits cannot decide a tie.  ``up``
     rounds away from zero, as a decimal quantity type with nano precision does.
     """
     if rounding == "nearest":
-        return value.cast("double").try_cast(decimal_type(scale))
+        return value.cast("double").try_cast(decimal_type(scale + 3)).try_cast(decimal_type(scale))
     if rounding != "up":
         raise ValueError(f"unknown rounding: {rounding}")
     text = value.cast("double").cast("string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -11,10 +11,18 @@ from ..functions.labels import match_labels
 from ..schemas import SAMPLES
 
 
+def _utc_day(ts: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+
+def _utc(at: datetime) -> datetime:
+    return at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc)
+
+
 def write_samples(samples: DataFrame, path: str, mode: str = "append") -> None:
     """Store samples by metric and day, so that a scan reads only what it needs."""
     (
-        samples.withColumn("day", F.to_date("ts"))
+        samples.withColumn("day", _utc_day(F.col("ts")))
         .write.mode(mode)
         .partitionBy("metric", "day")
         .parquet(path)
@@ -32,8 +40,10 @@ def scan_samples(
 ) -> DataFrame:
     """Samples of one metric with start < ts <= end and matching labels.
 
-    Metric and day prune folders; ts reaches the parquet reader.
+    Metric and day prune folders; ts reaches the parquet reader.  A time without a
+    zone is UTC.
     """
+    start, end = _utc(start), _utc(end)
     table = spark.read.parquet(path)
     return table.where(
         (F.col("metric") == metric)
