@@ -1,7 +1,7 @@
 """Election of a stable plan: the most wanted one, in two phases, with hysteresis.
 
 Only plan hashes and sizes go through the fold; ``elected_assignments`` joins the
-elected hash back to the plan's rows.  Time is the observation's ``at`` column, so
+time at which the elected plan was observed back to the plan's rows.  Time is the observation's ``at`` column, so
 a replay gives the same result as the stream did.  An observation older than the
 latest one of its ref is marked ``Late`` and changes nothing.
 
@@ -53,13 +53,18 @@ class Periods:
 
 @dataclass
 class State:
-    """``history`` maps a plan hash to [last seen, times seen]; times are micros."""
+    """``history`` maps a plan hash to [last seen, times seen]; times are micros.
+
+    ``projection_at`` and ``elected_at`` are the observations whose rows hold the plan.
+    """
 
     history: dict[str, list[int]] = field(default_factory=dict)
     projection: str = EMPTY_HASH
     projection_size: int = 0
+    projection_at: int | None = None
     elected: str = EMPTY_HASH
     elected_size: int = 0
+    elected_at: int | None = None
     evaluated: int | None = None
     latest: int | None = None
 
@@ -83,13 +88,14 @@ def step(state: State, at: int, plan: str, size: int, periods: Periods) -> tuple
     # most often seen, then seen last, then the smaller hash
     winner = min(state.history, key=lambda h: (-state.history[h][1], -state.history[h][0], h), default=None)
     if winner == plan:
-        state.projection, state.projection_size = plan, size
+        state.projection, state.projection_size, state.projection_at = plan, size, at
     if winner != state.projection:
         return winner, False, AWAITING
     wait = periods.down if state.projection_size < state.elected_size else periods.up
     promoted = state.evaluated is None or at - state.evaluated >= wait
     if promoted:
         state.elected, state.elected_size = state.projection, state.projection_size
+        state.elected_at = state.projection_at
         state.evaluated = at
         state.history = {state.elected: [at, 1]}
     return winner, promoted, READY
@@ -98,9 +104,12 @@ def step(state: State, at: int, plan: str, size: int, periods: Periods) -> tuple
 OUTPUT = (
     "ref string, at timestamp, plan_hash string, winner string, projection string, "
     "projection_size int, elected string, elected_size int, promoted boolean, ready boolean, "
-    "reason string, last_evaluation timestamp, history_size int, votes bigint"
+    "reason string, last_evaluation timestamp, projection_at timestamp, elected_at timestamp, "
+    "history_size int, votes bigint"
 )
-_ROW = OUTPUT.replace("at timestamp", "at_us bigint").replace("last_evaluation timestamp", "evaluated_us bigint")
+_TIMES = ("at", "last_evaluation", "projection_at", "elected_at")
+# inside the fold the times are micros
+_ROW = OUTPUT.replace("timestamp", "bigint")
 _NAMES = [part.split()[0] for part in _ROW.split(", ")]
 
 
@@ -121,6 +130,8 @@ def fold(state: State, ref: str, rows: Iterable[tuple[int, str, int]], periods:
             reason == READY,
             reason,
             state.evaluated,
+            state.projection_at,
+            state.elected_at,
             len(state.history),
             sum(r[1] for r in state.history.values()),
         )
@@ -128,8 +139,7 @@ def fold(state: State, ref: str, rows: Iterable[tuple[int, str, int]], periods:
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_NAMES)
-    out["evaluated_us"] = out["evaluated_us"].astype("Int64")
-    return out
+    return out.astype({name: "Int64" for name in _TIMES})
 
 
 def in_time_order(group: pd.DataFrame) -> Iterator[tuple[int, str, int]]:
@@ -139,9 +149,7 @@ def in_time_order(group: pd.DataFrame) -> Iterator[tuple[int, str, int]]:
 
 
 def as_output(folded: DataFrame) -> DataFrame:
-    return folded.withColumns(
-        {"at": F.timestamp_micros("at_us"), "last_evaluation": F.timestamp_micros("evaluated_us")}
-    ).select(*[part.split()[0] for part in OUTPUT.split(", ")])
+    return folded.withColumns({name: F.timestamp_micros(name) for name in _TIMES})
 
 
 def as_observations(observations: DataFrame) -> DataFrame:
@@ -217,7 +225,8 @@ def replay(
 
 def latest_election(evaluated: DataFrame) -> DataFrame:
     """The last row of each ref that was not late: the current status."""
-    status = ["plan_hash", "winner", "projection", "projection_size", "elected", "elected_size", "ready", "reason", "last_evaluation"]
+    status = ["plan_hash", "winner", "projection", "projection_size", "elected", "elected_size"]
+    status += ["ready", "reason", "last_evaluation", "projection_at", "elected_at"]
     newest = F.max_by(F.struct(*status), F.struct("at", "plan_hash")).alias("s")
     return (
         evaluated.where(F.col("reason") != LATE)
@@ -228,9 +237,12 @@ def latest_election(evaluated: DataFrame) -> DataFrame:
 
 
 def elected_assignments(elections: DataFrame, plans: DataFrame, which: str = "elected") -> DataFrame:
-    """Rows of the elected (or projected) plan: ``plans`` are assignments with ``plan_hash``."""
-    wanted = elections.select("ref", F.col(which).alias("plan_hash"))
-    return plans.join(wanted, ["ref", "plan_hash"], "left_semi")
+    """Rows of the elected (or projected) plan, loads as observed when it was noted.
+
+    ``plans`` are the assignments of all observations, with their ``at``.
+    """
+    wanted = elections.select("ref", F.col(f"{which}_at").alias("at"))
+    return plans.join(wanted, ["ref", "at"], "left_semi").drop("at")
 
 
 def vote_counts(observations: DataFrame, seconds: float, step_seconds: float) -> DataFrame:

@@ -177,13 +177,11 @@ PERIODS = evaluate.Periods(86_400, scale_up=86_400, scale_down=2 * 86_400)
 
 
 def _elections(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The last election, and every plan ever seen as assignments with its hash."""
+    """The last election, and the assignments of every observation."""
     plans = six_hour_plans(spark, sf)
-    identity = publish(plan.plan_identity(plans).select("ref", "plan_hash"), "hashes")
     elected = evaluate.latest_election(evaluate.replay(observations(plans), PERIODS))
-    newest = identity.groupBy("plan_hash").agg(F.max("ref").alias("ref"))
-    named = plans.join(newest, "ref").withColumn("ref", F.lit("fleet"))
-    return elected, named
+    observed = plans.withColumn("at", F.timestamp_seconds(F.col("ref").cast("bigint")))
+    return elected, observed.withColumn("ref", F.lit("fleet"))
 
 
 # ---- scans and ingest ---------------------------------------------------------
