@@ -41,29 +41,35 @@ def parse_quantity(text: Column) -> Column:
 
 
 def plain_text(value: Column) -> Column:
-    """Shortest text of a double without an exponent, e.g. 1e-7 -> 0.0000001."""
-    text = value.cast("double").cast("string")
-    sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    whole = F.regexp_extract(text, r"^-?([0-9]+)\.", 1)
-    rest = F.regexp_extract(text, r"\.([0-9]+)", 1)
-    exponent = F.coalesce(F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.concat(whole, rest)
-    point = F.length(whole) + exponent
-    shifted = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(
-            point >= F.length(digits),
-            F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))),
-        )
+    """Shortest text of a double without an exponent, e.g. 1.0E-7 -> 0.0000001.
+
+    Most values have no exponent to begin with and take the first, cheap branch.
+    """
+    signed = value.cast("double").cast("string")
+    size = F.abs(value.cast("double"))
+    text = size.cast("string")
+    # the JVM now and then prints a 17th digit that the number does not need
+    sixteen = F.format_string("%.15E", size)
+    text = F.when((F.length(text) >= 18) & (sixteen.try_cast("double") == size), sixteen).otherwise(text)
+    sign = F.when(signed.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    # d.dddE<n>: one digit before the point
+    exponent = F.substring_index(text, "E", -1).try_cast("int")
+    digits = F.rtrim(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), F.lit("0"))
+    zeros = F.lit("0")
+    moved = (
+        F.when(exponent < 0, F.concat(F.lit("0."), F.repeat(zeros, -exponent - 1), digits))
+        .when(F.length(digits) <= exponent + 1, F.rpad(digits, exponent + 1, zeros))
         .otherwise(
             F.concat(
-                F.substring(digits, F.lit(1), point),
+                F.substring(digits, F.lit(1), exponent + 1),
                 F.lit("."),
-                F.substring(digits, point + F.lit(1), F.length(digits)),
+                F.substring(digits, exponent + 2, F.length(digits)),
             )
         )
     )
-    trimmed = F.regexp_replace(shifted, r"(\.[0-9]*?)0+$", "$1")
-    trimmed = F.regexp_replace(trimmed, r"\.$", "")
-    trimmed = F.regexp_replace(trimmed, r"^0+(?=[0-9])", "")
-    return F.when(text.rlike(r"^-?[0-9]"), F.concat(sign, trimmed)).otherwise(text)
+    plain = (
+        F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2))
+        .when(~text.contains("E"), text)
+        .otherwise(moved)
+    )
+    return F.when(text.isin("NaN", "Infinity"), signed).otherwise(F.concat(sign, plain))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.quantity import plain_text
 from ..schemas import SCALE, quantise
-from ..stages import publish
+from ..stages import publish, stored_rows
 
 KEYS = ("ref", "metric_id")
 
@@ -67,21 +67,27 @@ def _brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int
     )
 
 
-def quartile_stats(
-    df: DataFrame,
-    keys: tuple[str, ...] = KEYS,
-    value: str = "value",
-    whole_rows: int = WHOLE_GROUP_ROWS,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """Per group: n, least, most, q1, median, q3, iqr (0 for a single value).
+def _count_whole(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values with their counts: for a table that is small as a whole."""
+    group = Window.partitionBy(*keys)
+    return (
+        values.groupBy(*keys, "x")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .select(
+            *keys,
+            F.sum("c").over(group).alias("n"),
+            F.min("x").over(group).alias("least"),
+            F.max("x").over(group).alias("most"),
+            F.lit(True).alias("kept"),
+            "x",
+            "c",
+        )
+    )
 
-    Reads ``df`` twice: hand over a table, not a long lazy plan.
-    """
-    keys = list(keys)
-    values = df.select(*keys, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    brackets = publish(_brackets(values, keys, whole_rows, accuracy), "brackets")
 
+def _count_in_brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int) -> DataFrame:
+    """Distinct values inside the brackets with their counts, and one count per gap."""
+    brackets = publish(_brackets(values, keys, whole_rows, accuracy), "brackets")
     x = F.col("x")
     inside = F.lit(False)
     for i in range(3):
@@ -89,12 +95,33 @@ def quartile_stats(
     # a value outside stands for its gap: the bracket end before it, or nothing
     gap = F.when(x > F.col("hi2"), F.col("hi2"))
     gap = gap.when(x > F.col("hi1"), F.col("hi1")).when(x > F.col("hi0"), F.col("hi0"))
-    counted = (
+    return (
         values.join(brackets, keys)
         .select(*keys, "n", "least", "most", inside.alias("kept"), F.when(inside, x).otherwise(gap).alias("x"))
         .groupBy(*keys, "n", "least", "most", "kept", "x")
         .agg(F.count(F.lit(1)).alias("c"))
     )
+
+
+def quartile_stats(
+    df: DataFrame,
+    keys: tuple[str, ...] = KEYS,
+    value: str = "value",
+    whole_rows: int = WHOLE_GROUP_ROWS,
+    accuracy: int = ACCURACY,
+) -> DataFrame:
+    """Per group: n, least, most, q1, median, q3, iqr (0 for a single value).
+
+    Reads ``df`` twice: hand over a stage table, not a long lazy plan.  A stage table
+    of at most ``whole_rows`` rows is read once.
+    """
+    keys = list(keys)
+    values = df.select(*keys, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
+    rows = stored_rows(df)
+    if rows is not None and rows <= whole_rows:
+        counted = _count_whole(values, keys)
+    else:
+        counted = _count_in_brackets(values, keys, whole_rows, accuracy)
     upto = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first(), F.col("kept").desc())
     ranked = counted.withColumn("upto", F.sum("c").over(upto))
     picks = []
@@ -145,10 +172,11 @@ def scaling_table(stats: DataFrame, epsilon: float | None, scale: int = SCALE) -
         quantise(_scaled(F.col("least")), scale).cast("double").alias("low"),
         quantise(_scaled(F.col("most")), scale).cast("double").alias("high"),
     )
-    # few rows per ref: one per metric
-    offsets = ends.groupBy("ref").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    offset = -F.col("low") + F.lit(float(epsilon)) * (F.col("high") - F.col("low"))
-    return ends.select(*KEYS, "median", "iqr").join(offsets.select("ref", offset.alias("offset")), "ref")
+    # one row per metric, so a ref's rows are few
+    ref = Window.partitionBy("ref")
+    low, high = F.min("low").over(ref), F.max("high").over(ref)
+    offset = -low + F.lit(float(epsilon)) * (high - low)
+    return ends.select(*KEYS, "median", "iqr", offset.alias("offset"))
 
 
 def robust_scale(
@@ -164,7 +192,8 @@ def robust_scale(
     value positive.  ``display_value`` is the text before the offset.
     """
     table = publish(values, "metric-values")
-    stats = publish(quartile_stats(table, whole_rows=whole_rows), "quartiles")
+    stats = quartile_stats(table, whole_rows=whole_rows)
+    # one row per metric, stored: its true size decides whether the join broadcasts it
     ways = publish(scaling_table(stats, epsilon, scale), "scaling")
     scaled = table.join(ways, list(KEYS)).withColumn("scaled", _scaled(F.col("value").cast("double")))
     fixed = quantise(F.col("scaled"), scale, rounding)

@@ -164,7 +164,7 @@ def lpt_pack(
         "value",
         "display_value",
     )
-    small, large = split_by_size(items, "ref", max_group_rows, "load-indexes")
+    small, large = split_by_size(items, "ref", max_group_rows, "packing-items")
     schema = T.StructType(items.schema.fields + [T.StructField("replica_id", T.IntegerType())])
     packed = small.groupBy("ref").applyInArrow(_pack_whole(cap), schema)
     if large is not None:

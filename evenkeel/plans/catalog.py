@@ -8,7 +8,8 @@ seconds, so that a second engine can reproduce them digit by digit.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -36,6 +37,12 @@ def _out(column: Column | str, name: str) -> Column:
     return quantise(column, SCALE).cast("decimal(18,6)").alias(name)
 
 
+def _money_sum(column: str) -> Column:
+    """Exact sum of a double that holds two decimals: hundredths add up as integers."""
+    hundredths = F.sum(F.rint(F.col(column) * 100).cast("bigint"))
+    return (hundredths.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,6)")
+
+
 def _exact(column: str, name: str) -> Column:
     return F.col(column).cast("decimal(18,6)").alias(name)
 
@@ -69,8 +76,8 @@ def supplier_values(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_suppkey").cast("string").alias("uid"))
         .agg(
             F.count(F.lit(1)).cast("decimal(38,6)").alias("rows"),
-            F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(38,6)").alias("quantity"),
-            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(38,6)").alias("price"),
+            _money_sum("l_quantity").alias("quantity"),
+            _money_sum("l_extendedprice").alias("price"),
         )
     )
     shards = supplier_shards(spark, sf).select("ref", "uid", shard_struct())
@@ -96,7 +103,7 @@ def part_loads(spark: SparkSession, sf: str) -> DataFrame:
     loads = (
         _read(spark, sf, "lineitem")
         .groupBy(F.col("l_partkey").cast("string").alias("uid"))
-        .agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(38,6)").alias("value"))
+        .agg(_money_sum("l_quantity").alias("value"))
     )
     none = F.lit(None).cast("string")
     shard = F.struct(*[F.col("uid") if f == "uid" else none.alias(f) for f in SHARD_FIELDS])
@@ -158,7 +165,7 @@ def six_hour_plans(spark: SparkSession, sf: str) -> DataFrame:
         event_samples(spark, sf)
         .where(F.col("event_type").isin("click", "view", "error"))
         .groupBy(end.cast("string").alias("ref"), "event_type")
-        .agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("decimal(38,6)").alias("value"))
+        .agg(_money_sum("value").alias("value"))
         .select("ref", shard.alias("shard"), "value", plain_text(F.col("value")).alias("display_value"))
     )
     return publish(packing.lpt_pack(loads), "six-hour-plans")
@@ -474,7 +481,7 @@ def lpt_pinned(spark, sf):
 def lpt_by_nation(spark, sf):
     """Customers as shards, loaded by their orders, one plan per nation, two per replica at most."""
     orders = _read(spark, sf, "orders").groupBy("o_custkey").agg(
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("decimal(38,6)").alias("value")
+        _money_sum("o_totalprice").alias("value")
     )
     customers = _read(spark, sf, "customer")
     nation = _read(spark, sf, "nation")

@@ -265,7 +265,7 @@ where event_type = 'purchase' and pod <> 'pod-1' and json_extract_string(props,
     "bind_labels": """select page_id, host, case when host = 'www.example.com' then '100.64.0.1:443' else host end bound
 from (select page_id, regexp_extract(url, '^[a-z]+://(?:[^@/?#]*@)?([^/?#]*)', 1) host from pages)""",
     "ingest_quantities": """select l_orderkey, l_linenumber, n || s "text",
-  cast(n as decimal(38,9)) * f quantity, regexp_replace(cast(l_extendedprice * 1000 as varchar), '\\.0$', '') display
+  cast(cast(n as decimal(18,9)) * f as decimal(38,9)) quantity, regexp_replace(cast(l_extendedprice * 1000 as varchar), '\\.0$', '') display
 from (select *, cast(cast(l_quantity as integer) as varchar) n from lineitem)
 join (values (1, 'n', 0.000000001), (2, 'u', 0.000001), (3, 'm', 0.001), (4, '', 1), (5, 'k', 1000), (6, 'Ki', 1024), (7, 'e2', 100))
   t(l_linenumber, s, f) using (l_linenumber)""",

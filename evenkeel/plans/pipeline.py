@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import evaluate, load_index as li, normalize, packing, plan, poll as polling, validate
-from ..schemas import SCALE
+from ..operators.timeseries import instant_literal
 from ..sources.strategy import Strategy
-from ..stages import publish
+from ..stages import publish, stored_rows
 
 
 class Poller(Protocol):
@@ -84,38 +85,40 @@ class Pipeline:
         ``status``; with ``check=validate.raise_on_violation`` it fails the run instead.
         """
         refs = shards.select("ref").distinct()
-        statuses = []
+        statuses: list[DataFrame] = []
 
-        def settle(stage: str, values: DataFrame, violations: DataFrame, upstream: DataFrame | None) -> DataFrame:
+        def settle(stage: str, values: DataFrame, violations: DataFrame) -> DataFrame:
+            """Note each ref's status; return the values of the refs that broke no rule."""
             violations = publish(violations, f"{stage}-violations")
-            ready = refs if upstream is None else refs.join(upstream.where("ready"), "ref", "left_semi")
-            status = validate.stage_status(ready, violations, stage)
+            upstream = statuses[-1] if statuses else None
+            due = refs if upstream is None else refs.join(upstream.where("ready"), "ref", "left_semi")
+            status = validate.stage_status(due, violations, stage)
             if upstream is not None:
                 status = status.unionByName(validate.not_ready(refs, upstream, stage))
             statuses.append(publish(status, f"{stage}-status"))
-            return self.check(values, violations)
+            if stored_rows(violations) == 0:
+                return values
+            return publish(self.check(values, violations), f"{stage}-settled")
 
         polled = publish(self.poller(shards, samples, self.strategy, as_of), "polled")
-        values = settle("poll", polled.drop("samples"), validate.poll_violations(polled), None)
-        values = publish(values, "metric-values")
+        values = settle("poll", polled, validate.poll_violations(polled))
 
         scaled = publish(self.normalizer(values, self.strategy), "normalized")
         broken = validate.not_finite(scaled, "normalize", validate.NORMALIZATION_ERROR)
-        scaled = publish(settle("normalize", scaled, broken, statuses[-1]), "normalized")
+        scaled = settle("normalize", scaled, broken)
 
-        broken = validate.metric_exactly_once(scaled, self.strategy.weights)
         indexes = publish(self.indexer(scaled, self.strategy), "load-indexes")
-        broken = broken.unionByName(validate.not_finite(indexes, "load_index", validate.LOAD_INDEX_ERROR))
-        indexes = publish(settle("load_index", indexes, broken, statuses[-1]), "load-indexes")
+        broken = validate.metric_exactly_once(scaled, self.strategy.weights).unionByName(
+            validate.not_finite(indexes, "load_index", validate.LOAD_INDEX_ERROR)
+        )
+        indexes = settle("load_index", indexes, broken)
 
         assignments = publish(self.partitioner(indexes, self.strategy), "assignments")
-        none = broken.where(F.lit(False))
-        assignments = settle("partition", assignments, none, statuses[-1])
+        assignments = settle("partition", assignments, broken.where(F.lit(False)))
         identity = publish(plan.plan_identity(assignments), "plan-identity")
-        status = statuses[0]
-        for more in statuses[1:]:
-            status = status.unionByName(more)
-        return Run(values, scaled, indexes, assignments, identity, status)
+        return Run(
+            values.drop("samples"), scaled, indexes, assignments, identity, reduce(DataFrame.unionByName, statuses)
+        )
 
     def periods(self) -> evaluate.Periods:
         s = self.strategy
@@ -124,9 +127,7 @@ class Pipeline:
 
 def observation(run: Run, as_of: datetime) -> DataFrame:
     """The run's plans as observations for the evaluation."""
-    from ..operators.timeseries import instant_literal
-
     return run.identity.select("ref", instant_literal(as_of).alias("at"), "plan_hash", "replicas")
 
 
-__all__ = ["LoadIndexer", "Normalizer", "Partitioner", "Pipeline", "Poller", "Run", "SCALE", "keep_raw", "observation"]
+__all__ = ["LoadIndexer", "Normalizer", "Partitioner", "Pipeline", "Poller", "Run", "keep_raw", "observation"]

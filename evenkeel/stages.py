@@ -49,6 +49,11 @@ def open_stage(spark: SparkSession, path: str, schema) -> DataFrame:
     return table
 
 
+def stored_rows(df: DataFrame) -> int | None:
+    """Rows of a stage table, from the file footers; None for any other frame."""
+    return df.count() if getattr(df, _MARK, False) else None
+
+
 def large_groups(df: DataFrame, key: str, limit: int) -> list:
     """Keys holding more than ``limit`` rows.
 
@@ -59,8 +64,14 @@ def large_groups(df: DataFrame, key: str, limit: int) -> list:
 
 
 def split_by_size(df: DataFrame, key: str, limit: int, name: str) -> tuple[DataFrame, DataFrame | None]:
-    """Split into groups that fit one task and groups that do not (None if there are none)."""
+    """Split into groups that fit one task and groups that do not (None if there are none).
+
+    The frame becomes a stage table first.  A table that has no more rows than the
+    limit cannot hold a larger group and is not counted by key.
+    """
     table = publish(df, name)
+    if stored_rows(table) <= limit:
+        return table, None
     large = large_groups(table, key, limit)
     if not large:
         return table, None
