@@ -115,6 +115,8 @@ def quartile_stats(
     Reads ``df`` twice: hand over a stage table, not a long lazy plan.  A stage table
     of at most ``whole_rows`` rows is read once.
     """
+    if whole_rows < accuracy:
+        raise ValueError("brackets need more values than the sketch's accuracy: raise whole_rows")
     keys = list(keys)
     values = df.select(*keys, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
     rows = stored_rows(df)
