@@ -19,7 +19,7 @@ from dataclasses import asdict, dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from ..stages import open_stage, ordered_slices, publish, split_by_size, stage_path
+from ..stages import Slices, open_stage, split_by_size, stage_path
 from .plan import EMPTY_HASH
 
 MICROS = 1_000_000
@@ -163,9 +163,7 @@ def as_observations(observations: DataFrame) -> DataFrame:
 
 def _fold_large(rows: DataFrame, periods: Periods, slice_rows: int, states: DataFrame | None) -> DataFrame:
     spark = rows.sparkSession
-    sliced, sizes = ordered_slices(
-        rows, "ref", [F.col("at_us"), F.col("plan_hash")], slice_rows, "observations"
-    )
+    slices = Slices(rows, "ref", [F.col("at_us"), F.col("plan_hash")], slice_rows, "observation-slices")
     schema = _ROW + ", state string"
     path = stage_path(spark, "evaluated")
 
@@ -180,9 +178,8 @@ def _fold_large(rows: DataFrame, periods: Periods, slice_rows: int, states: Data
 
     state = states if states is not None else spark.createDataFrame([], "ref string, state string")
     paths = []
-    for number in range(len(sizes)):
-        items = sliced.where(F.col("slice") == number).drop("slice")
-        folded = items.groupBy("ref").cogroup(state.groupBy("ref")).applyInPandas(fold_slice, schema)
+    for number in range(len(slices)):
+        folded = slices.read(number).groupBy("ref").cogroup(state.groupBy("ref")).applyInPandas(fold_slice, schema)
         paths.append(f"{path}/slice={number}")
         folded.write.parquet(paths[-1])
         done = open_stage(spark, paths[-1], folded.schema)

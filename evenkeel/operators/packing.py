@@ -9,21 +9,22 @@ total grows, so only the least loaded open one need be asked: a heap does it.
 Packing is sequential within a ref and independent between refs.  Refs of ordinary
 size are packed whole, each in one task, many at a time.  A ref beyond
 ``max_group_rows`` is cut into ordered slices; each step packs one slice of every
-such ref, given only the least loaded replicas, at most as many as the slice has
-shards, since a slice cannot reach more.  Both ways give the same plan.
+such ref, given only the least loaded replicas, as many as the slice has shards,
+since a slice cannot reach more.  Both ways give the same plan.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schemas import SCALE, quantise
 from ..functions.quantity import plain_text
-from ..stages import open_stage, ordered_slices, publish, split_by_size, stage_path
+from ..stages import Slices, open_stage, ordered_parts, publish, read_parts, split_by_size, stage_path
 
 # Fixed value: the shard that always gets replica 0.
 PINNED_NAME = "in-cluster"
@@ -31,6 +32,9 @@ PINNED_NAME = "in-cluster"
 # A packed group is held by one task: a million rows are some hundred megabytes.
 MAX_GROUP_ROWS = 1_000_000
 
+# Shards listed in one row of a nested plan: some tens of megabytes.
+MAX_LIST = 100_000
+
 
 def lpt_fold(
     loads: list[int],
@@ -101,44 +105,61 @@ def _pack_slice(cap: int | None):
     return pack
 
 
+def _least_loaded(sizes: list[tuple], needed: dict) -> list[tuple]:
+    """The first (ref, part) pairs, by rising load, that together hold the needed rows."""
+    wanted, held = [], {}
+    for ref, part, rows in sizes:
+        if held.get(ref, 0) < needed.get(ref, 0):
+            wanted.append((ref, part))
+            held[ref] = held.get(ref, 0) + rows
+    return wanted
+
+
 def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame:
-    """Refs too big for one task, slice after slice.  Every step is a stage table."""
+    """Refs too big for one task, slice after slice.  Every step is a stage table.
+
+    The replicas are kept sorted by load over many files, so that a step reads the
+    least loaded ones and no others.
+    """
     spark = items.sparkSession
     order = [F.col("pinned").desc(), F.col("load").desc(), F.col("uid")]
-    sliced, sizes = ordered_slices(items, "ref", order, slice_rows, "packing")
+    slices = Slices(items, "ref", order, slice_rows, "packing-slices")
     # one row per large ref, of which there are at most rows / max_group_rows
-    buckets = publish(sliced.groupBy("ref").agg(F.max("load").alias("bucket")), "buckets")
+    refs = publish(items.groupBy("ref").agg(F.max("load").alias("bucket")), "buckets")
     out_schema = T.StructType(items.schema.fields + [T.StructField("replica_id", T.IntegerType())])
     out_path = stage_path(spark, "packed")
-    state = spark.createDataFrame([], "ref string, replica_id int, total decimal(38,0), shards bigint")
-    by_total = Window.partitionBy("ref").orderBy("total", "replica_id")
-    for number, rows in enumerate(sizes):
+    nothing = spark.createDataFrame([], "ref string, replica_id int, total decimal(38,0), shards bigint")
+    state, room, open_replicas, done_rows = nothing, nothing, [], 0
+    for number in range(len(slices)):
+        sizes = slices.sizes(number)
         opened = state.groupBy("ref").agg((F.max("replica_id") + 1).alias("opened"))
         step = (
-            sliced.where(F.col("slice") == number)
-            .drop("slice")
-            .join(buckets, "ref")
+            slices.read(number)
+            .join(refs, "ref")
             .join(opened, "ref", "left")
             .withColumn("opened", F.coalesce("opened", F.lit(0)))
         )
-        room = state if not cap else state.where(F.col("shards") < cap)
-        least = room.withColumn("rank", F.row_number().over(by_total)).where(F.col("rank") <= rows)
-        packed = (
-            step.groupBy("ref")
-            .cogroup(least.drop("rank").groupBy("ref"))
-            .applyInArrow(_pack_slice(cap), out_schema)
-        )
+        wanted = _least_loaded(open_replicas, sizes)
+        least = read_parts(room, "ref", wanted) if wanted else nothing
+        packed = step.groupBy("ref").cogroup(least.groupBy("ref")).applyInArrow(_pack_slice(cap), out_schema)
         packed.write.parquet(f"{out_path}/slice={number}")
+        if number + 1 == len(slices):
+            break
         done = open_stage(spark, f"{out_path}/slice={number}", out_schema)
-        added = done.select("ref", "replica_id", F.col("load").alias("total"), F.lit(1).cast("bigint").alias("shards"))
+        one = F.lit(1).cast("bigint").alias("shards")
+        added = done.select("ref", "replica_id", F.col("load").alias("total"), one)
         merged = state.unionByName(added).groupBy("ref", "replica_id")
         state = publish(
-            merged.agg(
-                F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("shards").alias("shards")
-            ),
+            merged.agg(F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("shards").alias("shards")),
             "replicas",
         )
-    return spark.read.schema(out_schema).parquet(*[f"{out_path}/slice={n}" for n in range(len(sizes))])
+        # there are no more replicas than shards so far
+        done_rows += sum(sizes.values())
+        by_load = [F.col("total"), F.col("replica_id")]
+        with_room = state if not cap else state.where(F.col("shards") < cap)
+        parts = math.ceil(done_rows / slice_rows)
+        room, open_replicas = ordered_parts(with_room, "ref", by_load, parts, "replicas-by-load")
+    return spark.read.schema(out_schema).parquet(*[f"{out_path}/slice={n}" for n in range(len(slices))])
 
 
 def lpt_pack(
@@ -182,26 +203,35 @@ def replica_totals(assignments: DataFrame) -> DataFrame:
     return totals.withColumn("total_load_display", plain_text(F.col("total_load")))
 
 
-def replicas(assignments: DataFrame) -> DataFrame:
+def replicas(assignments: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     """Nested plan: one row per replica with its load indexes, largest first.
 
-    A replica's list is one row, so it is meant for plans whose replicas are of
-    ordinary size; ``replica_totals`` has no such limit.
+    A replica of more than ``max_list`` shards is given in several rows, numbered by
+    ``part``; its shards are spread over them by a hash of their uid.
     """
+    table = publish(assignments, "assignments")
+    counts = table.groupBy("ref", "replica_id").agg(F.count(F.lit(1)).alias("shards"), F.sum("value").alias("total"))
+    counts = publish(counts, "replica-sizes")
+    largest = counts.agg(F.max("shards")).first()[0] or 0
+    if largest <= max_list:
+        parted = table.withColumn("part", F.lit(0))
+    else:
+        lists = F.ceil(F.col("shards") / F.lit(max_list))
+        parted = (
+            table.join(counts.select("ref", "replica_id", "shards"), ["ref", "replica_id"])
+            .withColumn("part", F.pmod(F.xxhash64("shard.uid"), lists).cast("int"))
+            .drop("shards")
+        )
     entry = F.struct(
         (-F.col("value")).alias("order"), F.col("shard.uid").alias("uid"), "shard", "value", "display_value"
     )
-    nested = assignments.groupBy("ref", "replica_id").agg(
-        F.array_sort(F.collect_list(entry)).alias("entries"),
-        F.sum("value").cast(assignments.schema["value"].dataType).alias("total_load"),
-    )
-    return nested.select(
+    nested = parted.groupBy("ref", "replica_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    total = F.col("total").cast(assignments.schema["value"].dataType)
+    return nested.join(counts.select("ref", "replica_id", total.alias("total_load")), ["ref", "replica_id"]).select(
         "ref",
         "replica_id",
-        F.transform(
-            "entries",
-            lambda e: F.struct(e["shard"].alias("shard"), e["value"].alias("value"), e["display_value"].alias("display_value")),
-        ).alias("load_indexes"),
+        "part",
+        F.transform("entries", lambda e: e.dropFields("order", "uid")).alias("load_indexes"),
         "total_load",
         plain_text(F.col("total_load")).alias("total_load_display"),
     )

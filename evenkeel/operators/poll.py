@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import render_query
 from ..functions.quantity import parse_quantity, plain_text
 from ..schemas import SCALE, SHARD_FIELDS, quantise, shard_struct
+from ..sources.samples import utc
 from ..sources.strategy import MAX_METRICS, MetricDef, Strategy
 from . import timeseries as ts
 
@@ -49,6 +50,10 @@ def metric_vectors(
     counters another.
     """
     start = as_of - timedelta(seconds=strategy.window_seconds)
+    if "day" in samples.columns:
+        # a table stored by day: skip the folders the window cannot reach
+        reach = start - timedelta(seconds=max(strategy.lookback_seconds, strategy.range_seconds))
+        samples = samples.where(F.col("day").between(F.lit(utc(reach).date()), F.lit(utc(as_of).date())))
     keys = ["metric_id", "namespace", "bound"]
     parts = []
     for kind in ("gauge", "counter"):

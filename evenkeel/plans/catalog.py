@@ -444,17 +444,31 @@ def lpt_replicas(spark, sf):
 
 
 def flagship(spark, sf):
-    """Line items to replicas: measure, scale, index, pack, one row per replica."""
-    nested = packing.replicas(packing.lpt_pack(supplier_loads(spark, sf)))
-    return nested.select(
+    """Line items to replicas: measure, scale, index, pack; one row per supplier."""
+    return packing.lpt_pack(supplier_loads(spark, sf)).select(
+        "ref",
+        "replica_id",
+        *[F.col(f"shard.{f}").alias(f) for f in SHARD_FIELDS],
+        _exact("value", "value"),
+    )
+
+
+def _nested(plans: DataFrame) -> DataFrame:
+    return plans.select(
         "ref",
         "replica_id",
         F.size("load_indexes").alias("shards"),
         F.array_join(F.transform("load_indexes", lambda e: e["shard"]["uid"]), ",").alias("shard_uids"),
         _exact("total_load", "total_load"),
+        "total_load_display",
     )
 
 
+def nested_replicas(spark, sf):
+    """Each replica with its parts listed, largest first."""
+    return _nested(packing.replicas(packing.lpt_pack(part_loads(spark, sf))))
+
+
 def lpt_capped(spark, sf):
     return _placed(packing.lpt_pack(part_loads(spark, sf), max_shards_per_replica=1))
 
@@ -754,6 +768,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "metric_exactly_once": metric_exactly_once,
     "lpt_assignments": lpt_assignments,
     "lpt_replicas": lpt_replicas,
+    "nested_replicas": nested_replicas,
     "lpt_capped": lpt_capped,
     "lpt_pinned": lpt_pinned,
     "lpt_parts": lpt_parts,

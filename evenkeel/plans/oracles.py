@@ -254,9 +254,13 @@ CHANGES = """changes as (
     from ev) where from_replicas <> to_replicas)"""
 
 ORACLES: dict[str, str] = {
-    "flagship": _with(*SUPPLIER, _loads(1), _pack())
+    "flagship": _with(SHARDS, *SUPPLIER, _loads(1), _pack())
+    + f"""select ref, cast(replica_id as integer) replica_id, uid, id, namespace, name, server, {_d('load')} "value"
+from placed {ATTRS}""",
+    "nested_replicas": _with(PARTS, _pack())
     + f"""select ref, cast(replica_id as integer) replica_id, cast(count(*) as integer) shards,
-       string_agg(uid, ',' order by load desc, uid) shard_uids, {_d('sum(load)')} total_load
+       string_agg(uid, ',' order by load desc, uid) shard_uids, {_d('sum(load)')} total_load,
+       cast(cast(sum(load) as bigint) as varchar) total_load_display
 from placed group by ref, replica_id""",
     "discover_shards": _with(SHARDS) + "select ref, uid, id, namespace, name, server from shards where s_acctbal >= 0",
     "scan_samples": _with(EVENTS)

@@ -15,7 +15,7 @@ def _utc_day(ts: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
 
 
-def _utc(at: datetime) -> datetime:
+def utc(at: datetime) -> datetime:
     return at.astimezone(timezone.utc) if at.tzinfo else at.replace(tzinfo=timezone.utc)
 
 
@@ -43,7 +43,7 @@ def scan_samples(
     Metric and day prune folders; ts reaches the parquet reader.  A time without a
     zone is UTC.
     """
-    start, end = _utc(start), _utc(end)
+    start, end = utc(start), utc(end)
     table = spark.read.parquet(path)
     return table.where(
         (F.col("metric") == metric)

@@ -79,32 +79,51 @@ def split_by_size(df: DataFrame, key: str, limit: int, name: str) -> tuple[DataF
     return table.join(marks, key, "left_anti"), table.join(marks, key, "left_semi")
 
 
-def ordered_slices(
-    df: DataFrame, key: str, order: list[Column], rows_per_slice: int, name: str
-) -> tuple[DataFrame, list[int]]:
-    """Cut each group into consecutive runs of about ``rows_per_slice`` rows.
-
-    A range shuffle on (key, order) spreads a huge group over many tasks.  The
-    result carries ``slice``, numbered from 0 within each group, and is stored by
-    slice, so that reading one slice reads nothing else.  Also returns the largest
-    number of rows any group has in each slice.
+def ordered_parts(
+    df: DataFrame, key: str, order: list[Column], parts: int, name: str
+) -> tuple[DataFrame, list[tuple]]:
+    """Store a frame sorted over ``parts`` files: each group runs through consecutive parts.
+
+    A range shuffle on (key, order) spreads a huge group over many tasks.  The table is
+    stored by ``part``, so that reading some parts reads nothing else.  Also returns the
+    (key, part, rows) triples by part: at most one per part plus one per key.
     """
     spark = df.sparkSession
-    rows = df.count()
-    parts = max(1, math.ceil(rows / rows_per_slice))
-    ranged = df.repartitionByRange(parts, F.col(key), *order).withColumn("part", F.spark_partition_id())
-    ranged = publish(ranged, name + "-ranged")
-    # (key, part) pairs: at most one per part plus one per key, never one per row.
-    pairs = ranged.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n")).collect()
-    numbered, sizes, seen = [], {}, {}
-    for row in sorted(pairs, key=lambda r: r["part"]):
-        number = seen.get(row[key], 0)
-        seen[row[key]] = number + 1
-        numbered.append((row[key], row["part"], number))
-        sizes[number] = max(sizes.get(number, 0), row["n"])
-    schema = ranged.select(key, "part").schema.add("slice", T.IntegerType())
-    marks = spark.createDataFrame(numbered, schema)
-    path = stage_path(spark, name + "-slices")
-    sliced = ranged.join(marks, [key, "part"]).drop("part")
-    sliced.write.partitionBy("slice").parquet(path)
-    return open_stage(spark, path, sliced.schema), [sizes[i] for i in sorted(sizes)]
+    ranged = df.repartitionByRange(max(1, parts), F.col(key), *order).withColumn("part", F.spark_partition_id())
+    path = stage_path(spark, name)
+    ranged.write.partitionBy("part").parquet(path)
+    table = open_stage(spark, path, ranged.schema)
+    sizes = table.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n")).collect()
+    return table, sorted(((r[key], r["part"], r["n"]) for r in sizes), key=lambda t: t[1])
+
+
+def read_parts(table: DataFrame, key: str, wanted: list[tuple]) -> DataFrame:
+    """Rows of the given (key, part) pairs; other parts are not read."""
+    schema = table.select(key, "part").schema
+    marks = table.sparkSession.createDataFrame(wanted, schema)
+    numbers = sorted({part for _, part in wanted})
+    return table.where(F.col("part").isin(numbers)).join(marks, [key, "part"], "left_semi").drop("part")
+
+
+class Slices:
+    """Groups cut into consecutive runs of about ``rows_per_slice`` rows, in order."""
+
+    def __init__(self, df: DataFrame, key: str, order: list[Column], rows_per_slice: int, name: str):
+        parts = math.ceil(df.count() / rows_per_slice)
+        self.key = key
+        self.table, sizes = ordered_parts(df, key, order, parts, name)
+        runs: dict = {}
+        for group, part, rows in sizes:
+            runs.setdefault(group, []).append((part, rows))
+        self.runs = runs
+
+    def __len__(self) -> int:
+        return max((len(run) for run in self.runs.values()), default=0)
+
+    def sizes(self, number: int) -> dict:
+        """Rows of each group that has a slice of this number."""
+        return {group: run[number][1] for group, run in self.runs.items() if number < len(run)}
+
+    def read(self, number: int) -> DataFrame:
+        wanted = [(group, run[number][0]) for group, run in self.runs.items() if number < len(run)]
+        return read_parts(self.table, self.key, wanted)

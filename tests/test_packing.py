@@ -132,6 +132,18 @@ def test_totals_and_quality(spark):
     assert packing.replica_count(out).first().replicas == len(totals)
 
 
+def test_long_lists_come_in_parts(spark):
+    rows = [("r", f"u{i:02}", None, float(v)) for i, v in enumerate([50] + [1] * 40)]
+    out = packing.lpt_pack(loads(spark, rows))
+    whole = {r.replica_id: r for r in packing.replicas(out).collect()}
+    parts = packing.replicas(out, max_list=10).collect()
+    assert {r.part for r in whole.values()} == {0} and max(r.part for r in parts) > 0
+    for replica, row in whole.items():
+        mine = [r for r in parts if r.replica_id == replica]
+        assert sorted(e.shard.uid for r in mine for e in r.load_indexes) == [e.shard.uid for e in row.load_indexes]
+        assert {r.total_load for r in mine} == {row.total_load}
+
+
 def test_loads_beyond_64_bits_stay_exact(spark):
     rows = [("r", str(i), None, v) for i, v in enumerate([3e12, 2e12, 1e12, 5e11])]
     out = packing.lpt_pack(loads(spark, rows))
