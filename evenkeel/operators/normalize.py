@@ -68,20 +68,16 @@ def _brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int
 
 
 def _count_whole(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct values with their counts: for a table that is small as a whole."""
+    """Every value with a count of one: for a table that is small as a whole."""
     group = Window.partitionBy(*keys)
-    return (
-        values.groupBy(*keys, "x")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .select(
-            *keys,
-            F.sum("c").over(group).alias("n"),
-            F.min("x").over(group).alias("least"),
-            F.max("x").over(group).alias("most"),
-            F.lit(True).alias("kept"),
-            "x",
-            "c",
-        )
+    return values.select(
+        *keys,
+        F.count("x").over(group).alias("n"),
+        F.min("x").over(group).alias("least"),
+        F.max("x").over(group).alias("most"),
+        F.lit(True).alias("kept"),
+        "x",
+        F.lit(1).cast("bigint").alias("c"),
     )
 
 
@@ -124,7 +120,8 @@ def quartile_stats(
         counted = _count_whole(values, keys)
     else:
         counted = _count_in_brackets(values, keys, whole_rows, accuracy)
-    upto = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first(), F.col("kept").desc())
+    by_value = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first(), F.col("kept").desc())
+    upto = by_value.rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("upto", F.sum("c").over(upto))
     picks = []
     for name, rank in _quartile_ranks(F.col("n")).items():

@@ -225,7 +225,7 @@ def replicas(assignments: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     entry = F.struct(
         (-F.col("value")).alias("order"), F.col("shard.uid").alias("uid"), "shard", "value", "display_value"
     )
-    nested = parted.groupBy("ref", "replica_id", "part").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    nested = parted.groupBy("ref", "replica_id", "part").agg(F.sort_array(F.collect_list(entry)).alias("entries"))
     total = F.col("total").cast(assignments.schema["value"].dataType)
     return nested.join(counts.select("ref", "replica_id", total.alias("total_load")), ["ref", "replica_id"]).select(
         "ref",

@@ -91,7 +91,7 @@ def plan_identity(assignments: DataFrame, max_pairs: int = MAX_KEY_PAIRS) -> Dat
     small, large = split_by_size(pairs, "ref", max_pairs, "plan-pairs")
     pair = F.struct("uid", F.concat("uid", F.lit("="), F.col("replica_id").cast("string")).alias("text"))
     keys = small.groupBy("ref").agg(
-        F.array_sort(F.collect_list(pair)).alias("sorted"),
+        F.sort_array(F.collect_list(pair)).alias("sorted"),
         (F.max("replica_id") + 1).alias("replicas"),
         F.count(F.lit(1)).alias("shards"),
     )

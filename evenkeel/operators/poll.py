@@ -30,7 +30,7 @@ def _bound_samples(samples: DataFrame, metrics: Sequence[MetricDef], namespace:
         F.explode(F.filter(F.array(*wanted), lambda w: w.isNotNull())).alias("w"),
         labels[namespace].alias("namespace"),
         labels[pod].alias("pod"),
-        F.to_json(F.array_sort(F.map_entries(labels))).alias("series"),
+        F.to_json(F.sort_array(F.map_entries(labels))).alias("series"),
         "ts",
         "value",
     ).select("w.metric_id", "namespace", "w.bound", "pod", "series", "ts", "value")

@@ -130,7 +130,7 @@ def increase(
     A drop between neighbours is a counter reset: the new reading counts as growth
     from zero.  At least two samples must lie in the range.  ``extrapolate`` widens
     the growth to the edges of the range in the way Prometheus documents.  A series is
-    sorted in chunks of ``chunk_seconds`` (the range or step, whichever is longer).
+    sorted in chunks of ``chunk_seconds`` (ten times the range or step, the longer one).
     """
     _check_grid(start, end, step_seconds)
     step, span = _micros(step_seconds), _micros(range_seconds)
@@ -138,7 +138,7 @@ def increase(
     rows = samples.where((F.col(ts) > instant_literal(reach)) & (F.col(ts) <= instant_literal(end))).select(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
-    chunk = max(span, step) if chunk_seconds is None else _micros(chunk_seconds)
+    chunk = 10 * max(span, step) if chunk_seconds is None else _micros(chunk_seconds)
     pairs = with_previous(rows, keys, "us", ["value"], chunk).where(
         F.col("prev_us") > F.col("us") - F.lit(span)
     )

@@ -66,5 +66,5 @@ def series_columns(samples: DataFrame, labels: Iterable[str]) -> DataFrame:
     without first sorting its entries, which is done once here.
     """
     lifted: list[Column] = [F.col("labels")[name].alias(name) for name in labels]
-    identity = F.to_json(F.array_sort(F.map_entries("labels"))).alias("series")
+    identity = F.to_json(F.sort_array(F.map_entries("labels"))).alias("series")
     return samples.select("metric", identity, *lifted, "ts", "value")
