@@ -17,7 +17,8 @@ from ..functions import bind_override, match_labels, parse_quantity, plain_text,
 from ..operators import control, evaluate, load_index as li, normalize, observe, packing, plan, poll, timeseries as ts, validate
 from ..schemas import SHARD_FIELDS, quantise, shard_struct
 from ..sources import MetricDef, Strategy, discover_shards as discover
-from ..stages import publish
+from ..stages import publish, stage_path
+from ..streaming import elect_stream
 from .pipeline import Pipeline
 
 SCALE = 6
@@ -374,6 +375,13 @@ def stale_refs(spark, sf):
     ).select("ref", "stale", "reason", _out("remaining_s", "remaining_s"))
 
 
+def set_equality(spark, sf):
+    """Per user: whether the same event types occur before and after the middle of the time."""
+    events = event_samples(spark, sf).select("ts", F.col("user_id").alias("ref"), "event_type")
+    edge = ts.instant_literal(AS_OF)
+    return poll.same_sets(events.where(F.col("ts") < edge), events.where(F.col("ts") >= edge), "event_type")
+
+
 # ---- normalise, index -----------------------------------------------------------
 
 
@@ -416,6 +424,13 @@ def _load_index(p: int):
     return query
 
 
+def not_finite(spark, sf):
+    """Without the offset a cubic norm may have no real root: those shards fail their ref."""
+    scaled = normalize.robust_scale(supplier_values(spark, sf), None, SCALE)
+    broken = validate.not_finite(li.load_index(scaled, WEIGHTS, 3, SCALE), "load_index", validate.LOAD_INDEX_ERROR)
+    return broken.groupBy("stage", "ref", "reason", "message").agg(F.count(F.lit(1)).alias("shards"))
+
+
 def metric_exactly_once(spark, sf):
     """Weighted metrics missing from, or repeated in, a user's day of events."""
     values = event_samples(spark, sf).select(
@@ -570,7 +585,10 @@ def plan_equal(spark, sf):
 
 
 def evaluation_replay(spark, sf):
-    out = evaluate.replay(observations(six_hour_plans(spark, sf)), PERIODS)
+    return _elections_shown(evaluate.replay(observations(six_hour_plans(spark, sf)), PERIODS))
+
+
+def _elections_shown(out: DataFrame) -> DataFrame:
     return out.select(
         "ref",
         F.unix_seconds("at").alias("at"),
@@ -587,6 +605,25 @@ def evaluation_replay(spark, sf):
     )
 
 
+def evaluation_stream(spark, sf):
+    """The same election as a stream over stored observations, run until it is through."""
+    stored = stage_path(spark, "observation-stream")
+    watched = observations(six_hour_plans(spark, sf))
+    watched.write.parquet(stored)
+    stream = spark.readStream.schema(watched.schema).parquet(stored)
+    out = stage_path(spark, "elections")
+    query = (
+        elect_stream(stream, PERIODS)
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", stage_path(spark, "election-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return _elections_shown(spark.read.schema(evaluate.OUTPUT).parquet(out))
+
+
 def vote_counts(spark, sf):
     votes = evaluate.vote_counts(observations(six_hour_plans(spark, sf)), 2 * 86_400, 6 * 3600)
     return votes.select("ref", "plan_hash", F.unix_seconds("at").alias("at"), "votes")
@@ -758,6 +795,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "poll_cross_fill": poll_cross_fill,
     "require_single_sample": require_single_sample,
     "stale_refs": stale_refs,
+    "set_equality": set_equality,
     "quartiles": quartiles,
     "quartiles_bracketed": quartiles_bracketed,
     "robust_scale": robust_scale,
@@ -765,6 +803,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "load_index_p1": _load_index(1),
     "load_index_p2": _load_index(2),
     "load_index_p3": _load_index(3),
+    "not_finite": not_finite,
     "metric_exactly_once": metric_exactly_once,
     "lpt_assignments": lpt_assignments,
     "lpt_replicas": lpt_replicas,
@@ -782,6 +821,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "plan_delta": plan_delta,
     "plan_equal": plan_equal,
     "evaluation_replay": evaluation_replay,
+    "evaluation_stream": evaluation_stream,
     "vote_counts": vote_counts,
     "relation_discovered_shards": relation_discovered_shards,
     "relation_poll_values": relation_poll_values,

@@ -443,6 +443,28 @@ from part group by p_brand, p_size having count(*) > 1""",
     "change_log": _with(EVENTS, CHANGES) + "select target, at_us, from_replicas, to_replicas from changes",
 }
 
+ORACLES["evaluation_stream"] = ORACLES["evaluation_replay"]
+
+ORACLES["set_equality"] = (
+    _with(EVENTS)
+    + f"""select user_id ref,
+  coalesce(list_sort(list(distinct event_type) filter (where us < {AS_OF}000000)), [])
+    = coalesce(list_sort(list(distinct event_type) filter (where us >= {AS_OF}000000)), []) same
+from ev group by user_id"""
+)
+
+ORACLES["not_finite"] = (
+    _with(
+        *SUPPLIER,
+        """sums as (
+  select ref, uid, sum(w * pow(cast(s as double), 3)) total
+  from scaled join (values ('rows', 0.2::double), ('quantity', 0.3::double), ('price', 0.5::double)) t(metric_id, w)
+    using (metric_id) group by ref, uid)""",
+    )
+    + """select 'load_index' stage, ref, 'LoadIndexCalculationError' reason, 'not a finite value: NaN' message,
+  count(*) shards from sums where total < 0 group by ref"""
+)
+
 for _p in (1, 2, 3):
     ORACLES[f"load_index_p{_p}"] = (
         _with(SHARDS, *SUPPLIER, _loads(_p)) + f'select ref, uid, name, {_d("load")} "value" from loads {ATTRS}'

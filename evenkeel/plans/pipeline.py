@@ -12,10 +12,11 @@ from datetime import datetime
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators import evaluate, load_index as li, normalize, packing, plan, poll as polling, validate
 from ..operators.timeseries import instant_literal
+from ..schemas import ASSIGNMENTS, LOAD_INDEXES, METRIC_VALUES, SAMPLES, SHARDS, require_contract
 from ..sources.strategy import Strategy
 from ..stages import publish, stored_rows
 
@@ -84,7 +85,8 @@ class Pipeline:
         A ref that breaks a rule drops out of the following stages with its reason in
         ``status``; with ``check=validate.raise_on_violation`` it fails the run instead.
         """
-        refs = shards.select("ref").distinct()
+        refs = require_contract(shards, SHARDS, "shards").select("ref").distinct()
+        require_contract(samples, SAMPLES, "samples")
         statuses: list[DataFrame] = []
 
         def settle(stage: str, values: DataFrame, violations: DataFrame) -> DataFrame:
@@ -100,20 +102,23 @@ class Pipeline:
                 return values
             return publish(self.check(values, violations), f"{stage}-settled")
 
-        polled = publish(self.poller(shards, samples, self.strategy, as_of), "polled")
+        def stage(df: DataFrame, contract: T.StructType, name: str) -> DataFrame:
+            return publish(require_contract(df, contract, name), name)
+
+        polled = stage(self.poller(shards, samples, self.strategy, as_of), METRIC_VALUES, "polled")
         values = settle("poll", polled, validate.poll_violations(polled))
 
-        scaled = publish(self.normalizer(values, self.strategy), "normalized")
+        scaled = stage(self.normalizer(values, self.strategy), METRIC_VALUES, "normalized")
         broken = validate.not_finite(scaled, "normalize", validate.NORMALIZATION_ERROR)
         scaled = settle("normalize", scaled, broken)
 
-        indexes = publish(self.indexer(scaled, self.strategy), "load-indexes")
+        indexes = stage(self.indexer(scaled, self.strategy), LOAD_INDEXES, "load-indexes")
         broken = validate.metric_exactly_once(scaled, self.strategy.weights).unionByName(
             validate.not_finite(indexes, "load_index", validate.LOAD_INDEX_ERROR)
         )
         indexes = settle("load_index", indexes, broken)
 
-        assignments = publish(self.partitioner(indexes, self.strategy), "assignments")
+        assignments = stage(self.partitioner(indexes, self.strategy), ASSIGNMENTS, "assignments")
         assignments = settle("partition", assignments, broken.where(F.lit(False)))
         identity = publish(plan.plan_identity(assignments), "plan-identity")
         return Run(

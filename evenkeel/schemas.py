@@ -9,7 +9,7 @@ in which Spark added partial sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 SCALE = 9
 
@@ -61,6 +61,10 @@ LOAD_INDEXES = T.StructType(
     ]
 )
 
+ASSIGNMENTS = T.StructType(
+    [LOAD_INDEXES.fields[0], T.StructField("replica_id", T.IntegerType()), *LOAD_INDEXES.fields[1:]]
+)
+
 VIOLATIONS = T.StructType(
     [
         T.StructField("stage", T.StringType()),
@@ -88,6 +92,23 @@ def quantise(value: Column, scale: int = SCALE, rounding: str = "nearest") -> Co
     return F.when(exact < 0, -up).otherwise(up).try_cast(decimal_type(scale))
 
 
+def require_contract(df: DataFrame, contract: T.StructType, stage: str) -> DataFrame:
+    """The frame itself, or an error naming the columns that break the stage's contract.
+
+    Further columns are allowed, and decimals of any scale.
+    """
+    wrong = []
+    for wanted in contract.fields:
+        have = next((f for f in df.schema.fields if f.name == wanted.name), None)
+        if have is None:
+            wrong.append(f"{wanted.name} is missing")
+        elif type(have.dataType) is not type(wanted.dataType):
+            wrong.append(f"{wanted.name} is {have.dataType.simpleString()}")
+    if wrong:
+        raise ValueError(f"{stage}: " + ", ".join(wrong))
+    return df
+
+
 def shard_struct(prefix: str = "") -> Column:
     """Pack the five shard attributes into the struct every stage carries."""
     return F.struct(*[F.col(prefix + f).cast("string").alias(f) for f in SHARD_FIELDS]).alias("shard")

@@ -54,7 +54,3 @@ def metric_values(spark, rows) -> DataFrame:
         quantise(F.col("v")).alias("value"),
         F.lit("").alias("display_value"),
     )
-
-
-def plain(df: DataFrame) -> list[tuple]:
-    return [tuple(r) for r in df.collect()]

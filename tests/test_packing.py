@@ -2,7 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
-from conftest import loads, plain
+from conftest import loads
 from hypothesis import given, settings, strategies as st
 
 from evenkeel.operators import packing

@@ -83,6 +83,15 @@ def test_stages_can_be_exchanged(spark):
     assert [r.replicas for r in reversed_ids.run(shards, samples, AS_OF).identity.collect()] == [1]
 
 
+def test_contracts_are_checked(spark):
+    strategy = Strategy((MetricDef("up"),), {"up": "1"})
+    shards = spark.createDataFrame([("r", "u", "u", "ns", "u", "https://k")], SHARDS)
+    samples = cluster_samples(spark, {"https://k": 1.0}, [("up", "gauge", "server")])
+    with pytest.raises(ValueError, match="normalized: metric_id is missing, value is double"):
+        broken = Pipeline(strategy, normalizer=lambda v, s: v.drop("metric_id").withColumn("value", F.lit(1.0)))
+        broken.run(shards, samples, AS_OF)
+
+
 def test_one_shard_one_metric(spark):
     """One shard with one metric: scaled to 0, load 0, replica 0."""
     strategy = Strategy((MetricDef("up"),), {"up": "1"})
