@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.labels import render_query
 from ..functions.quantity import parse_quantity, plain_text
 from ..schemas import SCALE, SHARD_FIELDS, quantise, shard_struct
-from ..sources.samples import utc
+from ..sources.samples import series_identity, utc
 from ..sources.strategy import MAX_METRICS, MetricDef, Strategy
 from . import timeseries as ts
 
@@ -18,22 +18,32 @@ from . import timeseries as ts
 def _bound_samples(samples: DataFrame, metrics: Sequence[MetricDef], namespace: str, pod: str) -> DataFrame:
     """Samples of the wanted metrics, keyed by metric id, namespace, bound label, pod, series."""
     labels = F.col("labels")
-    wanted = [
-        F.when(
-            F.col("metric") == (m.sample or m.id),
-            F.struct(F.lit(m.id).alias("metric_id"), labels[m.label].alias("bound")),
-        )
-        for m in metrics
-    ]
-    picked = samples.where(F.col("metric").isin([m.sample or m.id for m in metrics]))
-    return picked.select(
-        F.explode(F.filter(F.array(*wanted), lambda w: w.isNotNull())).alias("w"),
+    names = [m.sample or m.id for m in metrics]
+    wanted = samples.where(F.col("metric").isin(names)).select(
+        "metric",
+        "labels",
         labels[namespace].alias("namespace"),
         labels[pod].alias("pod"),
-        F.to_json(F.sort_array(F.map_entries(labels))).alias("series"),
+        series_identity().alias("series"),
         "ts",
         "value",
-    ).select("w.metric_id", "namespace", "w.bound", "pod", "series", "ts", "value")
+    )
+    if len(set(names)) == len(names):
+        metric_id, bound = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for m, name in zip(metrics, names):
+            metric_id = F.when(F.col("metric") == name, F.lit(m.id)).otherwise(metric_id)
+            bound = F.when(F.col("metric") == name, labels[m.label]).otherwise(bound)
+        keyed = wanted.withColumns({"metric_id": metric_id, "bound": bound})
+    else:
+        # several metrics read the same samples, each by its own label
+        uses = F.array(
+            *[
+                F.when(F.col("metric") == name, F.struct(F.lit(m.id).alias("metric_id"), labels[m.label].alias("bound")))
+                for m, name in zip(metrics, names)
+            ]
+        )
+        keyed = wanted.withColumn("use", F.explode(uses)).where("use IS NOT NULL").select("*", "use.*")
+    return keyed.select("metric_id", "namespace", "bound", "pod", "series", "ts", "value")
 
 
 def metric_vectors(

@@ -102,10 +102,16 @@ def raise_on_violation(values: DataFrame, violations: DataFrame) -> DataFrame:
     return joined.withColumn("ref", checked.cast("string")).select(*values.columns)
 
 
-def stage_status(refs: DataFrame, violations: DataFrame, stage: str) -> DataFrame:
-    """Ready flag, reason and message for every ref of a stage."""
-    failed = first_violation(violations.where(F.col("stage") == stage)).drop("stage")
-    return refs.select("ref").distinct().join(failed, "ref", "left").select(
+def stage_status(refs: DataFrame, violations: DataFrame | None, stage: str) -> DataFrame:
+    """Ready flag, reason and message for every ref of a stage; None for no violations."""
+    refs = refs.select("ref").distinct()
+    if violations is None:
+        none = F.lit(None).cast("string")
+        joined = refs.select("ref", none.alias("reason"), none.alias("message"))
+    else:
+        failed = first_violation(violations.where(F.col("stage") == stage)).drop("stage")
+        joined = refs.join(failed, "ref", "left")
+    return joined.select(
         F.lit(stage).alias("stage"),
         "ref",
         F.col("reason").isNull().alias("ready"),

@@ -85,41 +85,42 @@ class Pipeline:
         A ref that breaks a rule drops out of the following stages with its reason in
         ``status``; with ``check=validate.raise_on_violation`` it fails the run instead.
         """
-        refs = require_contract(shards, SHARDS, "shards").select("ref").distinct()
+        require_contract(shards, SHARDS, "shards")
         require_contract(samples, SAMPLES, "samples")
-        statuses: list[DataFrame] = []
+        refs = publish(shards.select("ref").distinct(), "refs")
+        due, statuses = refs, []
 
-        def settle(stage: str, values: DataFrame, violations: DataFrame) -> DataFrame:
+        def settle(stage: str, values: DataFrame, violations: DataFrame | None) -> DataFrame:
             """Note each ref's status; return the values of the refs that broke no rule."""
-            violations = publish(violations, f"{stage}-violations")
-            upstream = statuses[-1] if statuses else None
-            due = refs if upstream is None else refs.join(upstream.where("ready"), "ref", "left_semi")
+            nonlocal due
+            broken = stored_rows(violations) if violations is not None else 0
             status = validate.stage_status(due, violations, stage)
-            if upstream is not None:
-                status = status.unionByName(validate.not_ready(refs, upstream, stage))
-            statuses.append(publish(status, f"{stage}-status"))
-            if stored_rows(violations) == 0:
+            if due is not refs:
+                status = status.unionByName(validate.not_ready(refs, due.withColumn("ready", F.lit(True)), stage))
+            statuses.append(status)
+            if not broken:
                 return values
+            due = publish(validate.drop_failed(due, violations), "refs-due")
             return publish(self.check(values, violations), f"{stage}-settled")
 
         def stage(df: DataFrame, contract: T.StructType, name: str) -> DataFrame:
             return publish(require_contract(df, contract, name), name)
 
         polled = stage(self.poller(shards, samples, self.strategy, as_of), METRIC_VALUES, "polled")
-        values = settle("poll", polled, validate.poll_violations(polled))
+        values = settle("poll", polled, publish(validate.poll_violations(polled), "poll-violations"))
 
         scaled = stage(self.normalizer(values, self.strategy), METRIC_VALUES, "normalized")
         broken = validate.not_finite(scaled, "normalize", validate.NORMALIZATION_ERROR)
-        scaled = settle("normalize", scaled, broken)
+        scaled = settle("normalize", scaled, publish(broken, "normalize-violations"))
 
         indexes = stage(self.indexer(scaled, self.strategy), LOAD_INDEXES, "load-indexes")
         broken = validate.metric_exactly_once(scaled, self.strategy.weights).unionByName(
             validate.not_finite(indexes, "load_index", validate.LOAD_INDEX_ERROR)
         )
-        indexes = settle("load_index", indexes, broken)
+        indexes = settle("load_index", indexes, publish(broken, "load-index-violations"))
 
         assignments = stage(self.partitioner(indexes, self.strategy), ASSIGNMENTS, "assignments")
-        assignments = settle("partition", assignments, broken.where(F.lit(False)))
+        assignments = settle("partition", assignments, None)
         identity = publish(plan.plan_identity(assignments), "plan-identity")
         return Run(
             values.drop("samples"), scaled, indexes, assignments, identity, reduce(DataFrame.unionByName, statuses)

@@ -59,12 +59,15 @@ def read_sample_stream(spark: SparkSession, path: str, max_files: int = 100) ->
     return spark.readStream.schema(SAMPLES).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+def series_identity() -> Column:
+    """All labels in a fixed order: a map itself cannot be a grouping key that hashes."""
+    return F.sort_array(F.map_entries("labels"))
+
+
 def series_columns(samples: DataFrame, labels: Iterable[str]) -> DataFrame:
     """Lift the named labels into columns and add ``series``, the full identity.
 
-    Plain columns keep grouping inside generated code; a map cannot be hashed
-    without first sorting its entries, which is done once here.
+    Plain columns keep grouping and joining inside generated code.
     """
     lifted: list[Column] = [F.col("labels")[name].alias(name) for name in labels]
-    identity = F.to_json(F.sort_array(F.map_entries("labels"))).alias("series")
-    return samples.select("metric", identity, *lifted, "ts", "value")
+    return samples.select("metric", series_identity().alias("series"), *lifted, "ts", "value")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.operators import evaluate, validate
+from evenkeel.operators.poll import metric_vectors
 from evenkeel.plans.pipeline import Pipeline, keep_raw, observation
 from evenkeel.schemas import SAMPLES
 from evenkeel.sources import MetricDef, Strategy, default_strategy
@@ -83,6 +84,15 @@ def test_stages_can_be_exchanged(spark):
     assert [r.replicas for r in reversed_ids.run(shards, samples, AS_OF).identity.collect()] == [1]
 
 
+def test_metrics_may_share_their_samples(spark):
+    strategy = Strategy((MetricDef("up"), MetricDef("by_pod", sample="up", label="pod", bind=lambda: F.lit("p2"))), {"up": "1"})
+    samples = cluster_samples(spark, {"https://a": 4.0}, [("up", "gauge", "server")])
+    out = metric_vectors(samples, strategy, AS_OF)
+    assert {(r.metric_id, r.namespace, r.bound, r.value) for r in out.collect()} == {
+        ("up", "ns", "https://a", 4.0), ("by_pod", "ns", "p1", 4.0), ("by_pod", "ns", "p2", 2.0),
+    }
+
+
 def test_contracts_are_checked(spark):
     strategy = Strategy((MetricDef("up"),), {"up": "1"})
     shards = spark.createDataFrame([("r", "u", "u", "ns", "u", "https://k")], SHARDS)
