@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..schemas import SCALE, quantise
 from ..functions.quantity import plain_text
-from ..stages import Slices, open_stage, ordered_parts, publish, read_parts, split_by_size, stage_path
+from ..stages import Slices, open_stage, ordered_parts, project, publish, read_parts, split_by_size, stage_path
 
 # Fixed value: the shard that always gets replica 0.
 PINNED_NAME = "in-cluster"
@@ -176,7 +176,8 @@ def lpt_pack(
     cap = max_shards_per_replica if max_shards_per_replica and max_shards_per_replica > 0 else None
     scale = load_indexes.schema["value"].dataType.scale
     units = (F.col("value").cast(T.DecimalType(38, scale)) * F.lit(10**scale)).cast("decimal(38,0)")
-    items = load_indexes.select(
+    items = project(
+        publish(load_indexes, "load-indexes"),
         "ref",
         F.col("shard.uid").alias("uid"),
         F.col("shard.name").eqNullSafe(F.lit(PINNED_NAME)).alias("pinned"),

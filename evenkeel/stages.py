@@ -49,6 +49,13 @@ def open_stage(spark: SparkSession, path: str, schema) -> DataFrame:
     return table
 
 
+def project(table: DataFrame, *columns: Column | str) -> DataFrame:
+    """Columns of a stage table; as good as the table itself, so not written again."""
+    view = table.select(*columns)
+    setattr(view, _MARK, getattr(table, _MARK, False))
+    return view
+
+
 def stored_rows(df: DataFrame) -> int | None:
     """Rows of a stage table, from the file footers; None for any other frame."""
     return df.count() if getattr(df, _MARK, False) else None
