@@ -22,8 +22,11 @@ KEYS = ("ref", "metric_id")
 
 # Up to this many values a group is ranked whole, beyond it inside brackets.
 WHOLE_GROUP_ROWS = 100_000
-# Relative rank error of the approximate quantiles is 1 / ACCURACY.
+# Relative rank error of the approximate quantiles is 1 / accuracy; about 30 / accuracy
+# of a group lie inside its brackets, so very large tables get the finer sketch.
 ACCURACY = 10_000
+FINE_ACCURACY = 100_000
+FINE_FROM_ROWS = 1_000_000_000
 
 
 def _quartile_ranks(n: Column) -> dict[str, Column]:
@@ -104,18 +107,21 @@ def quartile_stats(
     keys: tuple[str, ...] = KEYS,
     value: str = "value",
     whole_rows: int = WHOLE_GROUP_ROWS,
-    accuracy: int = ACCURACY,
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Per group: n, least, most, q1, median, q3, iqr (0 for a single value).
 
     Reads ``df`` twice: hand over a stage table, not a long lazy plan.  A stage table
     of at most ``whole_rows`` rows is read once.
     """
+    rows = stored_rows(df)
+    if accuracy is None:
+        fine = rows is not None and rows >= FINE_FROM_ROWS
+        accuracy = min(whole_rows, FINE_ACCURACY if fine else ACCURACY)
     if whole_rows < accuracy:
         raise ValueError("brackets need more values than the sketch's accuracy: raise whole_rows")
     keys = list(keys)
     values = df.select(*keys, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
-    rows = stored_rows(df)
     if rows is not None and rows <= whole_rows:
         counted = _count_whole(values, keys)
     else:
