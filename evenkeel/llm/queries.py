@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import mixing, quality, simhash, substrings, toxicity
+from evenkeel.llm import mixing, quality, secrets, simhash, substrings, toxicity
 from evenkeel.llm.common import table
 
 
@@ -20,6 +20,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *[f"n_{k}" for k in secrets.KINDS],
+        F.sha2(secrets.as_text("base"), 256).alias("base_sha256"),
+        secrets.as_text("spans").alias("spans"),
+    )
+
+
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.ToxicityModel.train(docs, table(spark, sf_dir, "labels"))
@@ -43,6 +53,7 @@ QUERIES = {
     for f in (
         op1_quality_rules,
         op2_substring_dedup,
+        op3_secret_scan,
         op4_toxicity_cnn,
         op8_source_mixing,
         op10_simhash_near_dedup,
