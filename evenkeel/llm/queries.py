@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import mixing, quality, secrets, simhash, substrings, toxicity
+from evenkeel.llm import fingerprints, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity
 from evenkeel.llm.common import table
 
 
@@ -36,6 +36,17 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model)
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the digest of what they decode to."""
+    found = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = found.select(F.struct("_row.doc_id", "n_words", "ids").alias("_row"), "ids")
+    return sentencepiece.decode(found).select("_row.*", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op7_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mixed_rows(docs).select(
@@ -55,6 +66,8 @@ QUERIES = {
         op2_substring_dedup,
         op3_secret_scan,
         op4_toxicity_cnn,
+        op6_sentencepiece,
+        op7_prefix_fingerprints,
         op8_source_mixing,
         op10_simhash_near_dedup,
     )
