@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import mixing
+from evenkeel.llm import maxscore, mixing
 
-ORACLES: dict[str, str] = {"op8_source_mixing": mixing.oracle()}
+ORACLES: dict[str, str] = {
+    "op8_source_mixing": mixing.oracle(),
+    "op9_maxscore_top_k": maxscore.ORACLE,
+}

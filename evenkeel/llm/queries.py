@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import fingerprints, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity
+from evenkeel.llm import fingerprints, maxscore, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity, warc
 from evenkeel.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model)
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses_of(table(spark, sf_dir, "pages")))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
     found = sentencepiece.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -54,6 +58,10 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_maxscore_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -66,9 +74,11 @@ QUERIES = {
         op2_substring_dedup,
         op3_secret_scan,
         op4_toxicity_cnn,
+        op5_warc_derivatives,
         op6_sentencepiece,
         op7_prefix_fingerprints,
         op8_source_mixing,
+        op9_maxscore_top_k,
         op10_simhash_near_dedup,
     )
 }
