@@ -144,8 +144,8 @@ def search(rows: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, x -> floor(256 * x::double))) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, min([floor(256 * x::double) for x in embedding]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
   GROUP BY vec_id),
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score
           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),

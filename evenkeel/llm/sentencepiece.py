@@ -14,7 +14,7 @@ becomes its UTF-8 bytes; a literal mark (U+2581) is such a character, so decodin
 back every text exactly.
 
 Null texts have null ids and decode to null; an empty text has none; repeated rows encode alike; an
-empty input gives an empty result.  A task holds one batch and ``WORDS`` words.
+empty input gives an empty result.  A task holds one run of texts and twice ``WORDS`` words.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ MARK = "▁"
 TOKENIZERS = os.environ.get("EVENKEEL_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
 #: Bytes of texts searched together (a longer text alone), and words that a task remembers at most.
-TEXT_BYTES = 6 << 20
-WORDS = 200_000
+TEXT_BYTES = 2 << 20
+WORDS = 100_000
 
 _MARKED = re.compile(r" *[^ \n]+| +|\n+")
 
@@ -146,15 +146,18 @@ def _encoder(path: str):
                 known.update((w, recent[w]) for w in words & recent.keys())
                 old = list(words & known.keys())
                 new = sorted(words - known.keys())
-                recent = dict(zip(new, vocabulary.search(new)))
-                of_word = [*map(known.__getitem__, old), *recent.values()]
+                if len(recent) > WORDS:
+                    recent.clear()
+                found = list(vocabulary.search(new))
+                recent.update(zip(new, found))
+                of_word = [*map(known.__getitem__, old), *found]
                 # ids of the distinct words in a row, then those of all words by their places in it
                 place = dict(zip(chain(old, new), range(len(words))))
                 sizes = np.fromiter(map(len, of_word), np.int64, len(of_word))
                 row = np.fromiter(chain.from_iterable(of_word), np.int32)
                 begin = np.cumsum(sizes) - sizes
                 at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-                del split, words, of_word, place
+                del split, words, of_word, found, place
                 lengths = sizes[at]
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 values = row[np.repeat(begin[at] - ends[:-1], lengths) + np.arange(ends[-1])]
