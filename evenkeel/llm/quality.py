@@ -19,6 +19,9 @@ from evenkeel.llm.common import SPACES, held_out, labelled_sample, once
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
 
+#: The statistics that rules read, in order.
+FEATURES = ["words", "word_length", "distinct_words", "line_words", "distinct_lines", "signs", "digits", "stops"]
+
 #: Counted signs.
 SIGNS = r"[|#$%&*<>{}=_~^@\\]"
 
@@ -60,8 +63,6 @@ def statistics(c: str) -> dict[str, Column]:
     }
 
 
-FEATURES = list(statistics("c"))
-
 
 def with_statistics(docs: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """``keep`` and a struct column ``_stats``."""
