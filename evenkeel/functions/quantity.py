@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 # Decimal suffixes with their powers of ten.
@@ -14,6 +17,30 @@ BINARY_SUFFIXES = {"Ki": 10, "Mi": 20, "Gi": 30, "Ti": 40, "Pi": 50, "Ei": 60}
 QUANTITY_PATTERN = r"^([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+))(?:([KMGTPE]i|[numkMGTPE])|[eE]([+-]?[0-9]+))?$"
 
 
+# Units of duration texts in seconds.
+DURATION_UNITS = {"ns": "1e-9", "us": "1e-6", "ms": "1e-3", "s": "1", "m": "60", "h": "3600"}
+
+
+def duration_seconds(text: str) -> float | int:
+    """Seconds of a duration text, e.g. 90 for ``1m30s``."""
+    parts = re.findall(r"([0-9]*\.?[0-9]+)(ns|us|ms|s|m|h)", text)
+    if not parts or "".join(n + u for n, u in parts) != text:
+        raise ValueError(f"not a duration: {text!r}")
+    total = sum(Decimal(n) * Decimal(DURATION_UNITS[u]) for n, u in parts)
+    return int(total) if total == int(total) else float(total)
+
+
+def quantity_number(text: str) -> Decimal:
+    """The number of one quantity text, for configuration."""
+    found = re.match(QUANTITY_PATTERN, text)
+    if not found:
+        raise ValueError(f"not a quantity: {text!r}")
+    number, suffix, exponent = found.groups()
+    if suffix in BINARY_SUFFIXES:
+        return Decimal(number) * 2 ** BINARY_SUFFIXES[suffix]
+    return Decimal(number).scaleb(int(exponent) if exponent else DECIMAL_SUFFIXES.get(suffix, 0))
+
+
 def parse_quantity(text: Column) -> Column:
     """Quantity text to decimal(38,9); NULL where the text is not a quantity.
 

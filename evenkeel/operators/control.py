@@ -22,7 +22,8 @@ def rollout_state(snapshot: DataFrame) -> DataFrame:
     keys or hashes ``plan_key`` (wanted), ``manager_spec_key``, ``manager_status_key``
     and ``scaler_status_key``, and the counts ``desired_replicas``,
     ``spec_replicas`` (may be NULL) and ``actual_replicas``.  It is a classification:
-    nothing is acted upon.  ``hand_over`` marks rows whose plan must still be handed
+    nothing is acted upon.  Readiness that is unknown (NULL) is not ready, nor is a
+    provider whose plan has no key; a mode that is NULL is not set.  ``hand_over`` marks rows whose plan must still be handed
     to the shard manager; ``scale_now`` those where a scaling step would be taken.
     """
     c = F.col
@@ -31,13 +32,17 @@ def rollout_state(snapshot: DataFrame) -> DataFrame:
     def differs(left: str, right: str):
         return ~c(left).eqNullSafe(c(right))
 
-    pending = c("mode_x0y") & differs("plan_key", "scaler_status_key")
+    def holds(name: str):
+        return F.coalesce(c(name), F.lit(False))
+
+    pending = holds("mode_x0y") & differs("plan_key", "scaler_status_key")
     is_zero = F.coalesce(spec == 0, F.lit(False)) | (actual == 0)
+    # The names of the states.
     state = (
-        F.when(c("mode_default") & c("mode_x0y"), "ErrorResourceMalformedDuplicateModes")
-        .when(F.coalesce("paused", F.lit(False)), "Paused")
-        .when(~c("provider_ready"), "PartitionProviderNotReady")
-        .when(~c("manager_ready"), "ShardManagerNotReady")
+        F.when(holds("mode_default") & holds("mode_x0y"), "ErrorResourceMalformedDuplicateModes")
+        .when(holds("paused"), "Paused")
+        .when(~holds("provider_ready") | c("plan_key").isNull(), "PartitionProviderNotReady")
+        .when(~holds("manager_ready"), "ShardManagerNotReady")
         .when(pending & (actual > 0) & F.coalesce(spec > 0, F.lit(True)), "BeginningScalingToZero")
         .when(pending & (actual > 0), "WaitingForRSControllerToScaleToZero")
         .when(~pending & (desired > 0) & is_zero, "EnforcingDesiredState")
@@ -50,7 +55,7 @@ def rollout_state(snapshot: DataFrame) -> DataFrame:
     early = ["ErrorResourceMalformedDuplicateModes", "Paused", "PartitionProviderNotReady", "ShardManagerNotReady"]
     to_zero = ["BeginningScalingToZero", "WaitingForRSControllerToScaleToZero"]
     enforced = ~pending & (desired > 0) & is_zero
-    restart = c("mode_default") & F.coalesce("rollout_restart", F.lit(False)) & ~c("mode_x0y")
+    restart = holds("mode_default") & holds("rollout_restart") & ~holds("mode_x0y")
     scaling = (c("state") == "BeginningRSControllerScaling") & (restart | (actual != desired))
     return snapshot.withColumn("state", state).withColumns(
         {

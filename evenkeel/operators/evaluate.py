@@ -236,10 +236,13 @@ def latest_election(evaluated: DataFrame) -> DataFrame:
 def elected_assignments(elections: DataFrame, plans: DataFrame, which: str = "elected") -> DataFrame:
     """Rows of the elected (or projected) plan, loads as observed when it was noted.
 
-    ``plans`` are the assignments of all observations, with their ``at``.
+    ``plans`` are the assignments of all observations, with their ``at`` and, where two
+    plans can be observed at one time, their ``plan_hash``.
     """
-    wanted = elections.select("ref", F.col(f"{which}_at").alias("at"))
-    return plans.join(wanted, ["ref", "at"], "left_semi").drop("at")
+    keys = ["ref", "at"] + (["plan_hash"] if "plan_hash" in plans.columns else [])
+    plan_hash = F.col("projection" if which == "projection" else "elected").alias("plan_hash")
+    wanted = elections.select("ref", F.col(f"{which}_at").alias("at"), plan_hash).select(*keys)
+    return plans.join(wanted, keys, "left_semi").drop("at", "plan_hash")
 
 
 def vote_counts(observations: DataFrame, seconds: float, step_seconds: float) -> DataFrame:

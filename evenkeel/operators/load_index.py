@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.quantity import plain_text
+from ..functions.quantity import QUANTITY_PATTERN, parse_quantity, plain_text
 from ..schemas import SCALE, quantise
 
 
@@ -14,11 +15,18 @@ def weight_table(spark: SparkSession, weights: Mapping[str, str | float] | DataF
     """Weights as a frame: (metric_id, weight), or with a ``ref`` column per strategy.
 
     A mapping becomes a local relation, whose size Catalyst knows and broadcasts.
+    Weights are numbers or quantity texts such as ``500m``.
     """
     if isinstance(weights, DataFrame):
         return weights
-    rows = [(k, float(v)) for k, v in weights.items()]
-    return spark.createDataFrame(rows, "metric_id string, weight double")
+    texts = {k: v for k, v in weights.items() if isinstance(v, str)}
+    wrong = [k for k, v in texts.items() if not re.match(QUANTITY_PATTERN, v)]
+    if wrong:
+        raise ValueError(f"weights that are no quantities: {sorted(wrong)}")
+    rows = [(k, texts.get(k), None if k in texts else float(v)) for k, v in weights.items()]
+    table = spark.createDataFrame(rows, "metric_id string, text string, number double")
+    weight = F.coalesce("number", parse_quantity(F.col("text")).cast("double"))
+    return table.select("metric_id", weight.alias("weight"))
 
 
 def _on(weights: DataFrame) -> list[str]:

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.labels import render_query
+from ..functions.labels import match_labels, render_query
 from ..functions.quantity import parse_quantity, plain_text
 from ..schemas import SCALE, SHARD_FIELDS, quantise, shard_struct
 from ..sources.samples import series_identity, utc
-from ..sources.strategy import MAX_METRICS, MetricDef, Strategy
+from ..sources.strategy import MetricDef, Strategy
 from . import timeseries as ts
 
 
 def _bound_samples(samples: DataFrame, metrics: Sequence[MetricDef], namespace: str, pod: str) -> DataFrame:
-    """Samples of the wanted metrics, keyed by metric id, namespace, bound label, pod, series."""
+    """Samples that the metrics' matchers let pass, keyed by metric id, namespace, bound label, pod, series."""
     labels = F.col("labels")
     names = [m.sample or m.id for m in metrics]
-    wanted = samples.where(F.col("metric").isin(names)).select(
+    uses = [
+        (F.col("metric") == name) & match_labels(labels, m.equals, m.not_equals, m.within)
+        for m, name in zip(metrics, names)
+    ]
+    wanted = samples.where(F.col("metric").isin(names)).where(reduce(or_, uses)).select(
         "metric",
         "labels",
         labels[namespace].alias("namespace"),
@@ -30,19 +36,19 @@ def _bound_samples(samples: DataFrame, metrics: Sequence[MetricDef], namespace:
     )
     if len(set(names)) == len(names):
         metric_id, bound = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for m, name in zip(metrics, names):
-            metric_id = F.when(F.col("metric") == name, F.lit(m.id)).otherwise(metric_id)
-            bound = F.when(F.col("metric") == name, labels[m.label]).otherwise(bound)
+        for m, use in zip(metrics, uses):
+            metric_id = F.when(use, F.lit(m.id)).otherwise(metric_id)
+            bound = F.when(use, labels[m.label]).otherwise(bound)
         keyed = wanted.withColumns({"metric_id": metric_id, "bound": bound})
     else:
         # several metrics read the same samples, each by its own label
-        uses = F.array(
+        found = F.array(
             *[
-                F.when(F.col("metric") == name, F.struct(F.lit(m.id).alias("metric_id"), labels[m.label].alias("bound")))
-                for m, name in zip(metrics, names)
+                F.when(use, F.struct(F.lit(m.id).alias("metric_id"), labels[m.label].alias("bound")))
+                for m, use in zip(metrics, uses)
             ]
         )
-        keyed = wanted.withColumn("use", F.explode(uses)).where("use IS NOT NULL").select("*", "use.*")
+        keyed = wanted.withColumn("use", F.explode(found)).where("use IS NOT NULL").select("*", "use.*")
     return keyed.select("metric_id", "namespace", "bound", "pod", "series", "ts", "value")
 
 
@@ -78,7 +84,7 @@ def metric_vectors(
             )
         else:
             vector = ts.increase(
-                series, names, start, as_of, strategy.step_seconds, strategy.range_seconds
+                series, names, start, as_of, strategy.step_seconds, strategy.range_seconds, strategy.extrapolate
             )
         peak = ts.max_over_series(ts.sum_by(vector, [*keys, "pod"]), keys)
         parts.append(ts.quantile_over_time(peak, keys, strategy.quantile))
@@ -98,8 +104,6 @@ def poll(
     that break a rule keep a NULL value or ``samples`` above one; see
     ``validate.poll_violations``.
     """
-    if len(metrics) > MAX_METRICS:
-        raise ValueError(f"a poll holds at most {MAX_METRICS} metrics")
     specs = F.array(
         *[
             F.struct(

@@ -8,6 +8,7 @@ slice of a series, so that a series holding much of the data stays spread out.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,9 +17,6 @@ from .adjacent import with_previous
 
 MICROS = 1_000_000
 
-# Exact quantiles hold one group's grid points in memory, so their number is checked.
-MAX_GRID_POINTS = 1_000_000
-
 
 def _micros(seconds: float) -> int:
     return int(round(seconds * MICROS))
@@ -45,11 +43,6 @@ def _on_grid(first: Column, until: Column, start: datetime, end: datetime, step:
     return F.when(low <= high, F.sequence(low, high, F.lit(step)))
 
 
-def _check_grid(start: datetime, end: datetime, step_seconds: float) -> None:
-    if (end - start) / timedelta(seconds=step_seconds) > MAX_GRID_POINTS:
-        raise ValueError(f"more than {MAX_GRID_POINTS} grid points: shorten the range or widen the step")
-
-
 def _grid_time(df: DataFrame) -> DataFrame:
     return df.withColumn("grid_ts", F.timestamp_micros("g")).drop("g")
 
@@ -69,7 +62,6 @@ def instant_vector(
     Samples are first reduced to one per series and step, then each survivor is
     offered to the few grid points it can serve.
     """
-    _check_grid(start, end, step_seconds)
     step, lookback = _micros(step_seconds), _micros(lookback_seconds)
     reach = start - timedelta(seconds=lookback_seconds)
     rows = samples.where((F.col(ts) > instant_literal(reach)) & (F.col(ts) <= instant_literal(end))).select(
@@ -132,7 +124,6 @@ def increase(
     the growth to the edges of the range in the way Prometheus documents.  A series is
     sorted in chunks of ``chunk_seconds`` (ten times the range or step, the longer one).
     """
-    _check_grid(start, end, step_seconds)
     step, span = _micros(step_seconds), _micros(range_seconds)
     reach = start - timedelta(seconds=range_seconds)
     rows = samples.where((F.col(ts) > instant_literal(reach)) & (F.col(ts) <= instant_literal(end))).select(
@@ -214,8 +205,12 @@ def histogram_quantile(buckets: DataFrame, by: list[str], q: float, le: str = "l
 
     ``le`` is a double, with infinity for the last bucket.  The window holds one row
     per bucket bound.  NaN where there is no infinite bucket or no observation; the
-    last finite bound where the quantile falls into the infinite bucket.
+    last finite bound where the quantile falls into the infinite bucket.  For q above 1
+    the result is infinity, below 0 minus infinity, for NaN it is NaN.
     """
+    if not 0 <= q <= 1:
+        edge = q if math.isnan(q) else math.copysign(math.inf, q)
+        return buckets.select(*by).distinct().withColumn("value", F.lit(edge))
     inf, nan = F.lit(float("inf")), F.lit(float("nan"))
     summed = buckets.groupBy(*by, F.col(le).cast("double").alias("le")).agg(F.sum("value").alias("value"))
     ordered = Window.partitionBy(*by).orderBy("le")

@@ -164,7 +164,6 @@ def six_hour_plans(spark: SparkSession, sf: str) -> DataFrame:
     shard = F.struct(*[F.col("event_type").alias("uid") if f == "uid" else none.alias(f) for f in SHARD_FIELDS])
     loads = (
         event_samples(spark, sf)
-        .where(F.col("event_type").isin("click", "view", "error"))
         .groupBy(end.cast("string").alias("ref"), "event_type")
         .agg(_money_sum("value").alias("value"))
         .select("ref", shard.alias("shard"), "value", plain_text(F.col("value")).alias("display_value"))

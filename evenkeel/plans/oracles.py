@@ -161,7 +161,7 @@ ends as (
 WINDOWED = """six as (
   select cast((us // 21600000000 + 1) * 21600 as varchar) ref, event_type uid,
          cast(sum(cast(value as decimal(18,2))) as decimal(38,6)) load
-  from ev where event_type in ('click', 'view', 'error') group by 1, 2)"""
+  from ev group by 1, 2)"""
 
 OBSERVED = """hashed as (
   select ref, sha256(string_agg(uid || '=' || replica_id, ',' order by uid)) h, max(replica_id) + 1 size
@@ -244,7 +244,7 @@ def _polled(keys: str, days: int, ref: str) -> list[str]:
 
 POD_POLL = _polled("event_type, user_id, pod", 4, "'user-' || uid")
 POLL_FAILED = """failed as (
-  select ref, 'expected exactly 1 sample, got: ' || samples || ', query:' || chr(10) || query message
+  select ref, 'more than one sample: ' || samples || ', query:' || chr(10) || query message
   from polled where samples > 1)"""
 
 CHANGES = """changes as (
@@ -337,7 +337,7 @@ join (values (1, 'n', 0.000000001), (2, 'u', 0.000001), (3, 'm', 0.001), (4, '',
   from ev group by all)""",
     )
     + """select 'load_index' stage, ref, 'LoadIndexCalculationError' reason,
-  'metric ID ''' || metric_id || ''' should exist exactly one time in shard ' || uid message
+  'metric ' || metric_id || ' must occur once in shard ' || uid message
 from (select distinct ref, uid from n) cross join (values ('click'), ('view')) w(metric_id)
 left join n using (ref, uid, metric_id) where coalesce(n, 0) <> 1""",
     "lpt_assignments": _with(*SUPPLIER, _loads(1), _pack()) + PLACED,

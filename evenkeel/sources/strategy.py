@@ -9,9 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, functions as F
 
 from ..functions.labels import bind_override, url_host
-
-# The metric list is expanded next to every shard, so its length is checked.
-MAX_METRICS = 1000
+from ..functions.quantity import duration_seconds, quantity_number
 
 
 @dataclass(frozen=True)
@@ -20,6 +18,7 @@ class MetricDef:
 
     ``kind`` is ``gauge`` or ``counter``; a counter is read as its increase.
     ``sample`` is the stored metric name, ``label`` the label compared with ``bind``.
+    ``equals``, ``not_equals`` and ``within`` are matchers on the samples' labels.
     """
 
     id: str
@@ -29,6 +28,9 @@ class MetricDef:
     sample: str | None = None
     label: str = "server"
     bind: Callable[[], Column] = field(default=lambda: F.col("server"))
+    equals: Mapping[str, str] = field(default_factory=dict)
+    not_equals: Mapping[str, str] = field(default_factory=dict)
+    within: Mapping[str, list[str]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -47,10 +49,13 @@ class Strategy:
     stabilization_seconds: int = 86400
     scale_up_seconds: int | None = None
     scale_down_seconds: int | None = None
+    extrapolate: bool = False
 
     def __post_init__(self):
-        if len(self.metrics) > MAX_METRICS:
-            raise ValueError(f"a strategy holds at most {MAX_METRICS} metrics")
+        ids = [m.id for m in self.metrics]
+        twice = sorted({i for i in ids if ids.count(i) > 1}) if len(set(ids)) < len(ids) else []
+        if twice:
+            raise ValueError(f"metrics given more than once: {twice}")
 
 
 # The bindings a configuration file can name.
@@ -73,8 +78,12 @@ BINDINGS: dict[str, Callable[[], Column]] = {
 }
 
 
-def default_strategy(prefix: str = "") -> Strategy:
-    """The default strategy; ``prefix`` is put before the exporter's own metric names."""
+def default_strategy(prefix: str = "", job: str | None = None) -> Strategy:
+    """The default strategy; ``prefix`` is put before the exporter's own metric names.
+
+    With ``job``, only samples of that job are read.
+    """
+    matchers = {} if job is None else {"job": job}
     # Metric, kind, label, binding, fallback, weight.
     table = [
         ("app_info", "gauge", "dest_server", "server", None, "0.05"),
@@ -89,15 +98,32 @@ def default_strategy(prefix: str = "") -> Strategy:
     for name, kind, label, binding, no_data, weight in table:
         full = name if name.startswith("rest_") else prefix + name
         metrics.append(
-            MetricDef(full, "", no_data, kind, sample=full, label=label, bind=BINDINGS[binding])
+            MetricDef(full, "", no_data, kind, sample=full, label=label, bind=BINDINGS[binding], equals=matchers)
         )
         weights[full] = weight
     return Strategy(tuple(metrics), weights)
 
 
+def _unique(pairs: list[tuple]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        names = [k for k, _ in pairs]
+        raise ValueError(f"given more than once: {sorted({k for k in names if names.count(k) > 1})}")
+    return out
+
+
 def load_strategy(text: str) -> Strategy:
-    """Strategy from JSON: the dataclass fields, with ``bind`` one of BINDINGS."""
-    raw = json.loads(text)
+    """Strategy from JSON: the dataclass fields, with ``bind`` one of BINDINGS.
+
+    Times may be numbers of seconds or texts such as ``24h``, epsilon a quantity text.
+    A key that is given twice, such as a weight, is an error.
+    """
+    raw = json.loads(text, object_pairs_hook=_unique)
+    for name, value in raw.items():
+        if name.endswith("_seconds") and isinstance(value, str):
+            raw[name] = duration_seconds(value)
+    if isinstance(raw.get("epsilon"), str):
+        raw["epsilon"] = float(quantity_number(raw["epsilon"]))
     metrics = tuple(
         MetricDef(**{**m, "bind": BINDINGS[m.get("bind", "server")]}) for m in raw.pop("metrics")
     )

@@ -88,3 +88,13 @@ def test_plan_relations(spark, shards, loads, kind):
 
 def test_relation_names_and_rollups_agree():
     assert set(observe.RELATION_TYPES) == set(observe.ROLLUP_LABELS) and len(observe.RELATION_TYPES) == 11
+
+
+def test_unknown_readiness_is_not_ready(spark):
+    fields = "mode_default boolean, mode_x0y boolean, rollout_restart boolean, paused boolean, provider_ready boolean, manager_ready boolean"
+    fields += ", plan_key string, manager_spec_key string, manager_status_key string, scaler_status_key string"
+    fields += ", desired_replicas int, spec_replicas int, actual_replicas int"
+    ready = (True, False, False, False, True, True, "k", "k", "k", "k", 1, 1, 1)
+    rows = [ready, (*ready[:4], None, *ready[5:]), (*ready[:5], None, *ready[6:]), (*ready[:6], *[None] * 4, *ready[10:]), (None, None, *ready[2:])]
+    states = [r.state for r in control.rollout_state(spark.createDataFrame(rows, fields)).collect()]
+    assert states == ["Ready", "PartitionProviderNotReady", "ShardManagerNotReady", "PartitionProviderNotReady", "Ready"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import poll, validate
 from evenkeel.sources import MetricDef
+from evenkeel.sources.strategy import Strategy
 
 SHARDS = "ref string, uid string, id string, namespace string, name string, server string"
 
@@ -41,7 +42,7 @@ def test_rules_of_a_poll(spark):
     polled = poll.poll(shards(spark), METRICS, found)
     messages = sorted(r.message for r in validate.poll_violations(polled).collect())
     assert messages == [
-        'expected exactly 1 sample, got: 2, query:\ncpu{server="https://a.example.com"}',
+        'more than one sample: 2, query:\ncpu{server="https://a.example.com"}',
         'no data, query:\ncpu{server="https://b.example.com"}',
         'not a finite value, query:\nmem{name="a"}',
     ]
@@ -86,14 +87,14 @@ def test_weighted_metric_must_occur_once(spark):
     rows = [("r", "a", "s1", 1.0), ("r", "b", "s1", 1.0), ("r", "a", "s2", 1.0), ("r", "a", "s2", 1.0), ("r", "c", "s3", 1.0), ("q", "a", "s1", 1.0), ("q", "b", "s1", 1.0), ("q", "c", "s1", 1.0), ("q", "c", "s1", 1.0)]
     values = metric_values(spark, rows)
     want = {
-        ("r", f"metric ID '{m}' should exist exactly one time in shard {s}")
+        ("r", f"metric {m} must occur once in shard {s}")
         for m, s in (("a", "s2"), ("b", "s2"), ("a", "s3"), ("b", "s3"))
     }
     out = validate.metric_exactly_once(values, {"a": "1", "b": "1"})
     assert {(r.ref, r.message) for r in out.collect()} == want
     table = spark.createDataFrame([("q", "c", 1.0)], "ref string, metric_id string, weight double")
     out = validate.metric_exactly_once(values, table).collect()
-    assert [(r.ref, r.message) for r in out] == [("q", "metric ID 'c' should exist exactly one time in shard s1")]
+    assert [(r.ref, r.message) for r in out] == [("q", "metric c must occur once in shard s1")]
 
 
 def test_failed_refs_fail_alone(spark):
@@ -109,3 +110,15 @@ def test_failed_refs_fail_alone(spark):
     assert validate.raise_on_violation(values.where("ref = 'good'"), broken).count() == 1
     with pytest.raises(Exception, match="not a finite value"):
         validate.raise_on_violation(values, broken).collect()
+
+
+def test_matchers_choose_the_samples(spark):
+    at = datetime(2024, 1, 1, 1, tzinfo=timezone.utc)
+    schema = "metric string, labels map<string,string>, ts timestamp, value double"
+    rows = [("up", {"namespace": "ns", "pod": "p", "server": "s", "job": job}, at, value) for job, value in (("own", 1.0), ("other", 100.0))]
+    samples = spark.createDataFrame(rows, schema)
+    for matchers, wanted in (({}, 101.0), ({"equals": {"job": "own"}}, 1.0), ({"not_equals": {"job": "own"}}, 100.0), ({"within": {"job": ["own", "x"]}}, 1.0)):
+        strategy = Strategy((MetricDef("up", **matchers),), {"up": "1"}, window_seconds=60)
+        assert [r.value for r in poll.metric_vectors(samples, strategy, at).collect()] == [wanted]
+    both = Strategy((MetricDef("a", sample="up", equals={"job": "own"}), MetricDef("b", sample="up")), {}, window_seconds=60)
+    assert {r.metric_id: r.value for r in poll.metric_vectors(samples, both, at).collect()} == {"a": 1.0, "b": 101.0}

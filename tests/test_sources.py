@@ -10,7 +10,8 @@ from evenkeel.sources import (
     default_strategy, discover_shards, load_strategy, read_sample_stream, relation_writer, scan_samples, series_columns,
     write_relation, write_samples,
 )
-from evenkeel.sources.strategy import MAX_METRICS, MetricDef, Strategy
+from evenkeel.operators.load_index import weight_table
+from evenkeel.sources.strategy import MetricDef, Strategy
 from evenkeel.streaming import peak_stream, quantile_stream
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -51,7 +52,7 @@ def test_discover_shards(spark):
     assert [r.uid for r in discover_shards(registry, {"kind": "cluster"}, absent=["env"]).collect()] == ["3"]
 
 
-def test_strategies():
+def test_strategies(spark):
     s = default_strategy("x_")
     assert [str(w) for w in s.weights.values()] == ["0.05", "0.1", "0.1", "0.15", "0.2", "0.2", "0.2"]
     assert sum(Decimal(w) for w in s.weights.values()) == 1
@@ -60,8 +61,17 @@ def test_strategies():
     text = json.dumps({"metrics": [{"id": "m", "query": "q", "no_data": "1k", "bind": "server_host"}], "weights": {"m": "1"}, "p": 2, "epsilon": None})
     loaded = load_strategy(text)
     assert (loaded.p, loaded.epsilon, loaded.metrics[0].no_data) == (2, None, "1k")
+    assert len(Strategy(tuple(MetricDef(str(i)) for i in range(2000)), {}).metrics) == 2000
     with pytest.raises(ValueError):
-        Strategy(tuple(MetricDef(str(i)) for i in range(MAX_METRICS + 1)), {})
+        Strategy((MetricDef("m"), MetricDef("m")), {})
+    with pytest.raises(ValueError):
+        load_strategy('{"metrics": [{"id": "m"}], "weights": {"m": "1", "m": "2"}}')
+    timed = load_strategy('{"metrics": [], "weights": {"m": "500m"}, "stabilization_seconds": "24h", "step_seconds": "1m30s", "epsilon": "10m"}')
+    assert (timed.stabilization_seconds, timed.step_seconds, timed.epsilon) == (86400, 90, 0.01)
+    weights = {r.metric_id: r.weight for r in weight_table(spark, {"a": "500m", "b": 1 / 3, "c": "2"}).collect()}
+    assert weights == {"a": 0.5, "b": 1 / 3, "c": 2.0}
+    with pytest.raises(ValueError):
+        weight_table(spark, {"a": "many"})
 
 
 def test_relation_sink_replaces_whole_refs(spark, tmp_path):
@@ -72,6 +82,21 @@ def test_relation_sink_replaces_whole_refs(spark, tmp_path):
     assert {(r.ref, r.shard) for r in spark.read.parquet(path).collect()} == {("a", "3"), ("b", "1")}
 
 
+def test_relation_writer_keeps_rows_of_earlier_batches(spark, tmp_path):
+    path = str(tmp_path / "relation")
+    schema = "ref string, shard string, value double"
+    write = relation_writer(lambda rows: rows.where("value >= 0"), path)
+    write(spark.createDataFrame([("a", "1", 1.0), ("b", "1", 3.0)], schema), 0)
+    for _ in range(2):  # a replayed batch changes nothing
+        write(spark.createDataFrame([("a", "2", 2.0)], schema), 1)
+    rows = spark.read.schema("shard string, value double, ref string").parquet(path)
+    assert sorted((r.ref, r.shard) for r in rows.collect()) == [("a", "1"), ("a", "2"), ("b", "1")]
+    whole = spark.createDataFrame([("a", "9", 1.0)], schema)
+    write_relation(whole, path, spark.createDataFrame([("a",), ("b",)], "ref string"))
+    rows = spark.read.schema("shard string, value double, ref string").parquet(path)
+    assert [(r.ref, r.shard) for r in rows.collect()] == [("a", "9")]
+
+
 def test_streamed_relation_and_peaks(spark, tmp_path):
     minutes = [T0 + timedelta(seconds=s) for s in range(0, 600, 20)]
     rows = [("m", {"pod": p, "i": i}, t, float(n + (5 if p == "y" else 0))) for n, t in enumerate(minutes) for p in ("x", "y") for i in ("1", "2")]

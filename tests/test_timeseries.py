@@ -157,3 +157,9 @@ def test_histogram_quantile(spark, buckets, q, want):
     df = spark.createDataFrame(rows, "k string, le double, pod string, value double")
     got = ts.histogram_quantile(df, ["k"], q).first().value
     assert got == pytest.approx(want, nan_ok=True)
+
+
+def test_histogram_quantile_outside_zero_to_one(spark):
+    buckets = spark.createDataFrame([("a", 1.0, 2.0), ("a", float("inf"), 4.0)], "k string, le double, value double")
+    found = [ts.histogram_quantile(buckets, ["k"], q).first().value for q in (1.5, -0.5, float("nan"))]
+    assert found[:2] == [float("inf"), float("-inf")] and found[2] != found[2]
