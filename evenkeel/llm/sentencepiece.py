@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -35,8 +36,8 @@ MARK = "▁"
 TOKENIZERS = os.environ.get("EVENKEEL_TOKENIZERS", "/opt/tokenizers")
 MODEL = "piece_bpe_32k.model"
 #: Bytes of texts searched together (a longer text alone), and words that a task remembers at most.
-TEXT_BYTES = 2 << 20
-WORDS = 100_000
+TEXT_BYTES = 1 << 20
+WORDS = 60_000
 
 _MARKED = re.compile(r" *[^ \n]+| +|\n+")
 
@@ -50,16 +51,23 @@ class Vocabulary:
             raise ValueError("a piece reaches over a word's end")
         self.bytes = byte_ids
         self.unknown = min((s for _, s, _ in pieces), default=0.0) - 10.0
-        #: Trie of pieces: nodes by character; at "" the score and id of a piece that ends here.
-        self.trie: dict = {}
+        self.scored = [(score, i) for _, score, i in pieces]
         self.texts = [""] * (1 + max([i for *_, i in pieces] + byte_ids))
-        for piece, score, i in pieces:
-            self.texts[i], node = piece.replace(MARK, " "), self.trie
+        for piece, _, i in pieces:
+            self.texts[i] = piece.replace(MARK, " ")
+        for b, i in enumerate(byte_ids):  # bytes that are no character yet are half surrogates
+            self.texts[i] = chr(b if b < 128 else 0xDC00 + b)
+
+    @cached_property
+    def trie(self) -> dict:
+        """Nodes by character; at "" the score and id of a piece that ends here.  Decoding does without."""
+        root: dict = {}
+        for score, i in self.scored:
+            node = root
             for c in self.texts[i]:
                 node = node.setdefault(c, {})
             node[""] = (score, i)
-        for b, i in enumerate(byte_ids):  # bytes that are no character yet are half surrogates
-            self.texts[i] = chr(b if b < 128 else 0xDC00 + b)
+        return root
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
