@@ -12,6 +12,7 @@ folded slice by slice, its state handed on through a stage table.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
@@ -55,7 +56,10 @@ class Periods:
 class State:
     """``history`` maps a plan hash to [last seen, times seen]; times are micros.
 
+    It is kept in the order of last sight, so what has expired is at its front.
     ``projection_at`` and ``elected_at`` are the observations whose rows hold the plan.
+    ``ranking`` is a heap of (-times, -last, hash) whose outdated entries are dropped
+    when they reach the top; ``votes`` the sum of times.  Both follow from the history.
     """
 
     history: dict[str, list[int]] = field(default_factory=dict)
@@ -68,6 +72,44 @@ class State:
     evaluated: int | None = None
     latest: int | None = None
 
+    def __post_init__(self):
+        self.forget(dict(sorted(self.history.items(), key=lambda item: item[1][0])))
+
+    def forget(self, history: dict[str, list[int]]) -> None:
+        """Start over from a history in the order of last sight."""
+        self.history = history
+        self.votes = sum(times for _, times in history.values())
+        self.rank()
+
+    def rank(self) -> None:
+        self.ranking = [(-times, -last, plan) for plan, (last, times) in self.history.items()]
+        heapq.heapify(self.ranking)
+
+    def note(self, plan: str, at: int) -> None:
+        times = self.history.pop(plan, (at, 0))[1] + 1
+        self.history[plan] = [at, times]
+        self.votes += 1
+        heapq.heappush(self.ranking, (-times, -at, plan))
+        if len(self.ranking) > 2 * len(self.history) + 100:
+            self.rank()
+
+    def expire(self, keep: int) -> None:
+        """Drops what was last seen at ``keep`` or before."""
+        while self.history:
+            plan = next(iter(self.history))
+            if self.history[plan][0] > keep:
+                break
+            self.votes -= self.history.pop(plan)[1]
+
+    def winner(self) -> str | None:
+        """Most often seen, then seen last, then the smaller hash."""
+        while self.ranking:
+            times, last, plan = self.ranking[0]
+            if self.history.get(plan) == [-last, -times]:
+                return plan
+            heapq.heappop(self.ranking)
+        return None
+
     def dump(self) -> str:
         return json.dumps(asdict(self))
 
@@ -81,12 +123,9 @@ def step(state: State, at: int, plan: str, size: int, periods: Periods) -> tuple
     if state.latest is not None and at < state.latest:
         return None, False, LATE
     state.latest = at
-    seen = state.history.get(plan, [at, 0])[1]
-    state.history[plan] = [at, seen + 1]
-    keep = at - periods.retention
-    state.history = {h: r for h, r in state.history.items() if r[0] > keep}
-    # most often seen, then seen last, then the smaller hash
-    winner = min(state.history, key=lambda h: (-state.history[h][1], -state.history[h][0], h), default=None)
+    state.note(plan, at)
+    state.expire(at - periods.retention)
+    winner = state.winner()
     if winner == plan:
         state.projection, state.projection_size, state.projection_at = plan, size, at
     if winner != state.projection:
@@ -97,7 +136,7 @@ def step(state: State, at: int, plan: str, size: int, periods: Periods) -> tuple
         state.elected, state.elected_size = state.projection, state.projection_size
         state.elected_at = state.projection_at
         state.evaluated = at
-        state.history = {state.elected: [at, 1]}
+        state.forget({state.elected: [at, 1]})
     return winner, promoted, READY
 
 
@@ -133,7 +172,7 @@ def fold(state: State, ref: str, rows: Iterable[tuple[int, str, int]], periods:
             state.projection_at,
             state.elected_at,
             len(state.history),
-            sum(r[1] for r in state.history.values()),
+            state.votes,
         )
 
 
@@ -248,17 +287,30 @@ def elected_assignments(elections: DataFrame, plans: DataFrame, which: str = "el
 def vote_counts(observations: DataFrame, seconds: float, step_seconds: float) -> DataFrame:
     """Votes per plan in the trailing period, on a time grid; without resets or elections.
 
-    Observations are first counted per grid step, so a frequent plan is not sorted as
-    a whole; each count is then offered to the grid points whose period covers it.
+    A vote counts at grid points from its own time on, up to but not including its time
+    plus the period.  Observations are first counted per grid step, so a frequent plan
+    is not sorted as a whole; each count is then offered to the grid points whose period
+    covers the step, and at the last of them to those that it covers in part.
     """
-    width = int(step_seconds * MICROS)
-    steps = int(seconds // step_seconds)
+    width, period = int(step_seconds * MICROS), int(seconds * MICROS)
+    whole, rest = divmod(period, width)
     us = F.unix_micros("at")
     slot = F.call_function("div", us + F.lit(width - 1), F.lit(width)) * F.lit(width)
-    counted = observations.groupBy("ref", "plan_hash", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    reach = F.sequence(F.col("slot"), F.col("slot") + F.lit((steps - 1) * width), F.lit(width))
+    counted = (
+        observations.select("ref", "plan_hash", us.alias("us"), slot.alias("slot"))
+        .groupBy("ref", "plan_hash", "slot")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("us") > F.col("slot") - F.lit(rest)).alias("late"))
+    )
+    offers = F.transform(
+        F.sequence(F.lit(0), F.lit(whole)),
+        lambda i: F.struct(
+            (F.col("slot") + i * F.lit(width).cast("bigint")).alias("g"),
+            F.when(i < whole, F.col("n")).otherwise(F.col("late")).alias("n"),
+        ),
+    )
     return (
-        counted.select("ref", "plan_hash", F.explode(reach).alias("g"), "n")
-        .groupBy("ref", "plan_hash", F.timestamp_micros("g").alias("at"))
-        .agg(F.sum("n").alias("votes"))
+        counted.select("ref", "plan_hash", F.explode(offers).alias("o"))
+        .where("o.n > 0")
+        .groupBy("ref", "plan_hash", F.timestamp_micros("o.g").alias("at"))
+        .agg(F.sum("o.n").alias("votes"))
     )

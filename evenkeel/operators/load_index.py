@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.quantity import QUANTITY_PATTERN, parse_quantity, plain_text
 from ..schemas import SCALE, quantise
@@ -42,8 +42,8 @@ def load_index(
 ) -> DataFrame:
     """(sum of w * x^p)^(1/p) over the weighted metrics of each shard.
 
-    Metrics without a weight are ignored; shard attributes come from the row with
-    the smallest metric id.  A result that is not finite becomes NULL, which
+    Metrics without a weight are ignored; where rows of a uid differ in the shard's
+    attributes, the smallest by field order counts.  A result that is not finite becomes NULL, which
     ``validate.not_finite`` reports.  p must be positive.
     """
     if p <= 0:
@@ -51,12 +51,16 @@ def load_index(
     table = weight_table(values.sparkSession, weights)
     x = F.col("value").cast("double")
     term = F.col("weight").cast("double") * (x if p == 1 else F.pow(x, F.lit(float(p))))
-    norm = F.sum(term)
-    sums = (
-        values.join(table, _on(table))
-        .groupBy("ref", F.col("shard.uid").alias("uid"))
-        .agg(F.min_by("shard", "metric_id").alias("shard"), norm.alias("total"))
-    )
+    # grouped by the whole shard, so that the sums are hash aggregates over values;
+    # what is sorted by uid is one row per shard
+    sums = values.join(table, _on(table)).groupBy("ref", "shard").agg(F.sum(term).alias("sum"))
+    by_uid = Window.partitionBy("ref", "shard.uid")
+    sums = sums.select(
+        "ref",
+        "shard",
+        F.sum("sum").over(by_uid).alias("total"),
+        F.row_number().over(by_uid.orderBy("shard")).alias("nth"),
+    ).where("nth = 1")
     root = F.col("total") if p == 1 else F.pow(F.col("total"), F.lit(1.0 / p))
     return sums.withColumn("norm", root).select(
         "ref",

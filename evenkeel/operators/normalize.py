@@ -50,16 +50,16 @@ def _quartile_ranks(n: Column) -> dict[str, Column]:
     return ranks
 
 
-def _brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int) -> DataFrame:
-    margin = 4 / accuracy
-    spots = [max(0.0, min(1.0, q + d)) for q in (0.25, 0.5, 0.75) for d in (-margin, margin)]
+def _brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int, margin: float) -> DataFrame:
+    reach = margin / accuracy
+    spots = [max(0.0, min(1.0, q + d)) for q in (0.25, 0.5, 0.75) for d in (-reach, reach)]
     seen = values.groupBy(*keys).agg(
         F.count("x").alias("n"),
         F.min("x").alias("least"),
         F.max("x").alias("most"),
         F.percentile_approx("x", spots, accuracy).alias("spots"),
     )
-    small = F.col("n") <= F.lit(whole_rows)
+    small = F.lit(True) if margin >= accuracy else F.col("n") <= F.lit(whole_rows)
     return seen.select(
         *keys,
         "n",
@@ -84,9 +84,9 @@ def _count_whole(values: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _count_in_brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int) -> DataFrame:
+def _count_in_brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int, margin: float) -> DataFrame:
     """Distinct values inside the brackets with their counts, and one count per gap."""
-    brackets = publish(_brackets(values, keys, whole_rows, accuracy), "brackets")
+    brackets = publish(_brackets(values, keys, whole_rows, accuracy, margin), "brackets")
     x = F.col("x")
     inside = F.lit(False)
     for i in range(3):
@@ -108,11 +108,14 @@ def quartile_stats(
     value: str = "value",
     whole_rows: int = WHOLE_GROUP_ROWS,
     accuracy: int | None = None,
+    margin: float = 4,
 ) -> DataFrame:
     """Per group: n, least, most, q1, median, q3, iqr (0 for a single value).
 
     Reads ``df`` twice: hand over a stage table, not a long lazy plan.  A stage table
-    of at most ``whole_rows`` rows is read once.
+    of at most ``whole_rows`` rows is read once.  ``margin`` is the half width of a
+    bracket in ranks of the sketch; groups with a rank outside its bracket are done
+    again with wider ones, at last with all their values.
     """
     rows = stored_rows(df)
     if accuracy is None:
@@ -123,9 +126,20 @@ def quartile_stats(
     keys = list(keys)
     values = df.select(*keys, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
     if rows is not None and rows <= whole_rows:
-        counted = _count_whole(values, keys)
-    else:
-        counted = _count_in_brackets(values, keys, whole_rows, accuracy)
+        return _means(_picked(_count_whole(values, keys), keys), keys)
+    done, rest = None, values
+    for width in (margin, 16 * margin + 16, accuracy):
+        picked = publish(_picked(_count_in_brackets(rest, keys, whole_rows, accuracy, width), keys), "quartiles")
+        found, missed = picked.where(~_missed()), picked.where(_missed())
+        done = found if done is None else done.unionByName(found)
+        if missed.isEmpty():
+            break
+        rest = values.join(missed.select(*keys), keys, "left_semi")
+    return _means(done, keys)
+
+
+def _picked(counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the values at the six ranks; NULL where a rank lies in a gap."""
     by_value = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first(), F.col("kept").desc())
     upto = by_value.rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("upto", F.sum("c").over(upto))
@@ -133,24 +147,27 @@ def quartile_stats(
     for name, rank in _quartile_ranks(F.col("n")).items():
         hit = F.col("kept") & (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))
         picks.append(F.max(F.when(hit, F.col("x"))).alias(name))
-    picked = ranked.groupBy(*keys, "n", "least", "most").agg(*picks)
+    return ranked.groupBy(*keys, "n", "least", "most").agg(*picks)
 
-    def mean(name: str) -> Column:
-        return (F.col(name + "_a") + F.col(name + "_b")) / 2
 
+def _missed() -> Column:
     missed = F.col("median_a").isNull() | F.col("median_b").isNull()
     for name in ("q1", "q3"):
         missed = missed | ((F.col("n") > 1) & (F.col(name + "_a").isNull() | F.col(name + "_b").isNull()))
-    checked = F.when(missed, F.raise_error(F.lit("a quartile fell outside its bracket"))).otherwise(
-        mean("median")
-    )
+    return missed
+
+
+def _means(picked: DataFrame, keys: list[str]) -> DataFrame:
+    def mean(name: str) -> Column:
+        return (F.col(name + "_a") + F.col(name + "_b")) / 2
+
     return picked.select(
         *keys,
         "n",
         "least",
         "most",
         F.when(F.col("n") > 1, mean("q1")).alias("q1"),
-        checked.cast("double").alias("median"),
+        mean("median").alias("median"),
         F.when(F.col("n") > 1, mean("q3")).alias("q3"),
         F.when(F.col("n") > 1, mean("q3") - mean("q1")).otherwise(F.lit(0.0)).alias("iqr"),
     )

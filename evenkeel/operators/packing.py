@@ -20,11 +20,11 @@ import math
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..schemas import SCALE, quantise
 from ..functions.quantity import plain_text
-from ..stages import Slices, open_stage, ordered_parts, project, publish, read_parts, split_by_size, stage_path
+from ..stages import Slices, open_stage, ordered_parts, project, publish, read_parts, split_by_size, stage_path, stored_rows
 
 # Fixed value: the shard that always gets replica 0.
 PINNED_NAME = "in-cluster"
@@ -118,24 +118,26 @@ def _least_loaded(sizes: list[tuple], needed: dict) -> list[tuple]:
 def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame:
     """Refs too big for one task, slice after slice.  Every step is a stage table.
 
-    The replicas are kept sorted by load over many files, so that a step reads the
-    least loaded ones and no others.
+    The replicas that can still take a shard are kept sorted by load over many files,
+    so that a step reads the least loaded ones and no others.  A replica that not even
+    the smallest load of its ref fits is dropped: it can take nothing more.
     """
     spark = items.sparkSession
     order = [F.col("pinned").desc(), F.col("load").desc(), F.col("uid")]
     slices = Slices(items, "ref", order, slice_rows, "packing-slices")
     # one row per large ref, of which there are at most rows / max_group_rows
-    refs = publish(items.groupBy("ref").agg(F.max("load").alias("bucket")), "buckets")
+    ends = items.groupBy("ref").agg(F.max("load").alias("bucket"), F.min("load").alias("least"))
+    refs = publish(ends, "buckets")
     out_schema = T.StructType(items.schema.fields + [T.StructField("replica_id", T.IntegerType())])
     out_path = stage_path(spark, "packed")
     nothing = spark.createDataFrame([], "ref string, replica_id int, total decimal(38,0), shards bigint")
-    state, room, open_replicas, done_rows = nothing, nothing, [], 0
+    opened = spark.createDataFrame([], "ref string, opened int")
+    state, room, open_replicas = nothing, nothing, []
     for number in range(len(slices)):
         sizes = slices.sizes(number)
-        opened = state.groupBy("ref").agg((F.max("replica_id") + 1).alias("opened"))
         step = (
             slices.read(number)
-            .join(refs, "ref")
+            .join(refs.drop("least"), "ref")
             .join(opened, "ref", "left")
             .withColumn("opened", F.coalesce("opened", F.lit(0)))
         )
@@ -148,17 +150,17 @@ def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame
         done = open_stage(spark, f"{out_path}/slice={number}", out_schema)
         one = F.lit(1).cast("bigint").alias("shards")
         added = done.select("ref", "replica_id", F.col("load").alias("total"), one)
+        ids = done.groupBy("ref").agg((F.max("replica_id") + 1).alias("opened"))
+        opened = publish(opened.unionByName(ids).groupBy("ref").agg(F.max("opened").alias("opened")), "opened")
         merged = state.unionByName(added).groupBy("ref", "replica_id")
-        state = publish(
-            merged.agg(F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("shards").alias("shards")),
-            "replicas",
-        )
-        # there are no more replicas than shards so far
-        done_rows += sum(sizes.values())
+        merged = merged.agg(F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("shards").alias("shards"))
+        with_room = merged.join(refs, "ref").where(F.col("total") + F.col("least") < F.col("bucket"))
+        if cap:
+            with_room = with_room.where(F.col("shards") < cap)
+        state = publish(with_room.select("ref", "replica_id", "total", "shards"), "replicas")
         by_load = [F.col("total"), F.col("replica_id")]
-        with_room = state if not cap else state.where(F.col("shards") < cap)
-        parts = math.ceil(done_rows / slice_rows)
-        room, open_replicas = ordered_parts(with_room, "ref", by_load, parts, "replicas-by-load")
+        parts = math.ceil(stored_rows(state) / slice_rows)
+        room, open_replicas = ordered_parts(state, "ref", by_load, parts, "replicas-by-load")
     return spark.read.schema(out_schema).parquet(*[f"{out_path}/slice={n}" for n in range(len(slices))])
 
 
@@ -204,11 +206,30 @@ def replica_totals(assignments: DataFrame) -> DataFrame:
     return totals.withColumn("total_load_display", plain_text(F.col("total_load")))
 
 
+def _parts_by_rank(table: DataFrame, max_list: int) -> DataFrame:
+    """Adds ``part``: the shard's rank in its replica, largest first, in runs of ``max_list``.
+
+    A range shuffle spreads a long replica over tasks; ranks are counted within each
+    range and shifted by the sizes of the ranges before it.
+    """
+    keys, order = ["ref", "replica_id"], [F.col("value").desc(), F.col("shard.uid")]
+    parts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = table.repartitionByRange(parts, *keys, *order).withColumn("range", F.spark_partition_id())
+    ranged = publish(ranged, "assignments-by-load")
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(*keys, "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(*keys, "range").orderBy(*order))
+    part = F.floor((F.col("before") + F.col("nth") - 1) / max_list).cast("int")
+    numbered = ranged.withColumn("nth", nth).join(before, [*keys, "range"])
+    return numbered.withColumn("part", part).drop("before", "nth", "range")
+
+
 def replicas(assignments: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
-    """Nested plan: one row per replica with its load indexes, largest first.
+    """Nested plan: the load indexes of each replica, largest first, at most ``max_list`` to a row.
 
-    A replica of more than ``max_list`` shards is given in several rows, numbered by
-    ``part``; its shards are spread over them by a hash of their uid.
+    ``part`` numbers a replica's rows from 0, the largest loads first; ``total_load`` is
+    the whole replica's in each.
     """
     table = publish(assignments, "assignments")
     counts = table.groupBy("ref", "replica_id").agg(F.count(F.lit(1)).alias("shards"), F.sum("value").alias("total"))
@@ -217,12 +238,7 @@ def replicas(assignments: DataFrame, max_list: int = MAX_LIST) -> DataFrame:
     if largest <= max_list:
         parted = table.withColumn("part", F.lit(0))
     else:
-        lists = F.ceil(F.col("shards") / F.lit(max_list))
-        parted = (
-            table.join(counts.select("ref", "replica_id", "shards"), ["ref", "replica_id"])
-            .withColumn("part", F.pmod(F.xxhash64("shard.uid"), lists).cast("int"))
-            .drop("shards")
-        )
+        parted = _parts_by_rank(table, max_list)
     entry = F.struct(
         (-F.col("value")).alias("order"), F.col("shard.uid").alias("uid"), "shard", "value", "display_value"
     )

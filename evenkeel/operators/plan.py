@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..stages import split_by_size
+from ..stages import publish, split_by_size
 
-# A key built in one row: a million pairs are some tens of megabytes of text.
+# Key text in one row: a million pairs are some tens of megabytes.
 MAX_KEY_PAIRS = 1_000_000
 
 # SHA-256 of the empty key, the identity of a plan without replicas.
@@ -65,13 +65,17 @@ def _hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist([{"ref": ref, "plan_hash": digest.hexdigest()}])
 
 
-def _large_hashes(pairs: DataFrame) -> DataFrame:
+def _large_pieces(pairs: DataFrame) -> DataFrame:
     parts = max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pieces = (
         pairs.repartitionByRange(parts, "ref", "uid")
         .sortWithinPartitions("ref", "uid")
         .mapInArrow(_key_pieces, "ref string, part int, number bigint, text string")
     )
+    return publish(pieces, "key-pieces")
+
+
+def _large_hashes(pieces: DataFrame) -> DataFrame:
     return (
         pieces.repartition("ref")
         .sortWithinPartitions("ref", "part", "number")
@@ -79,34 +83,51 @@ def _large_hashes(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _sizes() -> list:
+    return [(F.max("replica_id") + 1).alias("replicas"), F.count(F.lit(1)).alias("shards")]
+
+
+def _whole_keys(pairs: DataFrame) -> DataFrame:
+    pair = F.struct("uid", F.concat("uid", F.lit("="), F.col("replica_id").cast("string")).alias("text"))
+    keys = pairs.groupBy("ref").agg(F.sort_array(F.collect_list(pair)).alias("sorted"), *_sizes())
+    text = F.array_join(F.transform("sorted", lambda p: p["text"]), ",")
+    return keys.select("ref", text.alias("plan_key"), "replicas", "shards").select(
+        "ref", "plan_key", F.sha2(F.col("plan_key"), 256).alias("plan_hash"), "replicas", "shards"
+    )
+
+
 def plan_identity(assignments: DataFrame, max_pairs: int = MAX_KEY_PAIRS) -> DataFrame:
-    """Per ref: plan_key, plan_hash, replicas and shards.
+    """Per ref: plan_hash, replicas and shards.
 
     The key is ``uid=replica`` sorted by uid, joined by commas; the hash its SHA-256
-    in lower-case hex.  Replica order does not matter, replica ids do.  For a plan
-    beyond ``max_pairs`` the key would not fit a row: its text is built in sorted
-    pieces on many tasks and digested piece by piece, and ``plan_key`` is NULL.
+    in lower-case hex.  Replica order does not matter, replica ids do.  The key of a
+    plan beyond ``max_pairs`` is built in sorted pieces on many tasks and digested piece
+    by piece; the hash is the same.  ``plan_keys`` gives the text.
     """
-    pairs = plan_pairs(assignments)
-    small, large = split_by_size(pairs, "ref", max_pairs, "plan-pairs")
-    pair = F.struct("uid", F.concat("uid", F.lit("="), F.col("replica_id").cast("string")).alias("text"))
-    keys = small.groupBy("ref").agg(
-        F.sort_array(F.collect_list(pair)).alias("sorted"),
-        (F.max("replica_id") + 1).alias("replicas"),
-        F.count(F.lit(1)).alias("shards"),
-    )
-    out = keys.select(
-        "ref", F.array_join(F.transform("sorted", lambda p: p["text"]), ",").alias("plan_key"), "replicas", "shards"
-    ).select("ref", "plan_key", F.sha2(F.col("plan_key"), 256).alias("plan_hash"), "replicas", "shards")
+    small, large = split_by_size(plan_pairs(assignments), "ref", max_pairs, "plan-pairs")
+    out = _whole_keys(small).drop("plan_key")
     if large is None:
         return out
-    sizes = large.groupBy("ref").agg(
-        (F.max("replica_id") + 1).alias("replicas"), F.count(F.lit(1)).alias("shards")
-    )
-    rest = _large_hashes(large).join(sizes, "ref")
-    return out.unionByName(
-        rest.select("ref", F.lit(None).cast("string").alias("plan_key"), "plan_hash", "replicas", "shards")
-    )
+    return out.unionByName(_large_hashes(_large_pieces(large)).join(large.groupBy("ref").agg(*_sizes()), "ref"))
+
+
+def plan_keys(assignments: DataFrame, max_pairs: int = MAX_KEY_PAIRS) -> DataFrame:
+    """The key text beside the identity: ref, piece, plan_key, plan_hash, replicas, shards.
+
+    A key of at most ``max_pairs`` pairs is one row with ``piece`` 0; a longer one comes
+    in pieces that, joined by commas in the order of ``piece``, are the key.
+    """
+    small, large = split_by_size(plan_pairs(assignments), "ref", max_pairs, "plan-pairs")
+    columns = ["ref", "piece", "plan_key", "plan_hash", "replicas", "shards"]
+    out = _whole_keys(small).withColumn("piece", F.lit(0)).select(columns)
+    if large is None:
+        return out
+    pieces = _large_pieces(large)
+    # one row per ten thousand pairs or so
+    nth = F.row_number().over(Window.partitionBy("ref").orderBy("part", "number")) - 1
+    identity = _large_hashes(pieces).join(large.groupBy("ref").agg(*_sizes()), "ref")
+    texts = pieces.select("ref", nth.alias("piece"), F.col("text").alias("plan_key"))
+    return out.unionByName(texts.join(identity, "ref").select(columns))
 
 
 def plan_diff(applied: DataFrame, desired: DataFrame, changes_only: bool = True) -> DataFrame:

@@ -471,6 +471,7 @@ def _nested(plans: DataFrame) -> DataFrame:
     return plans.select(
         "ref",
         "replica_id",
+        "part",
         F.size("load_indexes").alias("shards"),
         F.array_join(F.transform("load_indexes", lambda e: e["shard"]["uid"]), ",").alias("shard_uids"),
         _exact("total_load", "total_load"),
@@ -483,6 +484,11 @@ def nested_replicas(spark, sf):
     return _nested(packing.replicas(packing.lpt_pack(part_loads(spark, sf))))
 
 
+def nested_replicas_in_parts(spark, sf):
+    """The same where a row lists one part at most."""
+    return _nested(packing.replicas(packing.lpt_pack(part_loads(spark, sf)), max_list=1))
+
+
 def lpt_capped(spark, sf):
     return _placed(packing.lpt_pack(part_loads(spark, sf), max_shards_per_replica=1))
 
@@ -548,7 +554,7 @@ def plan_quality(spark, sf):
 
 
 def plan_key_hash(spark, sf):
-    return plan.plan_identity(packing.lpt_pack(supplier_loads(spark, sf)))
+    return plan.plan_keys(packing.lpt_pack(supplier_loads(spark, sf)))
 
 
 def plan_hash_streamed(spark, sf):
@@ -559,10 +565,9 @@ def plan_hash_streamed(spark, sf):
 
 
 def _two_plans(spark, sf):
-    return (
-        packing.lpt_pack(supplier_loads(spark, sf, 1)),
-        packing.lpt_pack(supplier_loads(spark, sf, 2)),
-    )
+    """Plans by two norms of the same scaled values."""
+    scaled = publish(normalize.robust_scale(supplier_values(spark, sf), EPSILON, SCALE))
+    return tuple(packing.lpt_pack(li.load_index(scaled, WEIGHTS, p, SCALE)) for p in (1, 2))
 
 
 def plan_diff(spark, sf):
@@ -673,8 +678,10 @@ def _evaluation_relation(build: Callable[[DataFrame], DataFrame], which: str):
 
 def gauge_rollup(spark, sf):
     """Dashboard sums of the poll values and the partition's total load."""
-    values = observe.rollup(observe.poll_values(supplier_values(spark, sf)), "poll_values")
-    loads = observe.partition_replicas_total_load(packing.lpt_pack(supplier_loads(spark, sf)))
+    measured = publish(supplier_values(spark, sf))
+    values = observe.rollup(observe.poll_values(measured), "poll_values")
+    indexes = li.load_index(normalize.robust_scale(measured, EPSILON, SCALE), WEIGHTS, 1, SCALE)
+    loads = observe.partition_replicas_total_load(packing.lpt_pack(indexes))
     totals = observe.rollup(loads, "partition_replicas_total_load")
     both = values.select(
         "type", "ref", F.concat_ws("/", "shard_name", "metric_id").alias("label"), "value"
@@ -807,6 +814,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lpt_assignments": lpt_assignments,
     "lpt_replicas": lpt_replicas,
     "nested_replicas": nested_replicas,
+    "nested_replicas_in_parts": nested_replicas_in_parts,
     "lpt_capped": lpt_capped,
     "lpt_pinned": lpt_pinned,
     "lpt_parts": lpt_parts,

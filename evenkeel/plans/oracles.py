@@ -258,10 +258,15 @@ ORACLES: dict[str, str] = {
     + f"""select ref, cast(replica_id as integer) replica_id, uid, id, namespace, name, server, {_d('load')} "value"
 from placed {ATTRS}""",
     "nested_replicas": _with(PARTS, _pack())
-    + f"""select ref, cast(replica_id as integer) replica_id, cast(count(*) as integer) shards,
+    + f"""select ref, cast(replica_id as integer) replica_id, 0 part, cast(count(*) as integer) shards,
        string_agg(uid, ',' order by load desc, uid) shard_uids, {_d('sum(load)')} total_load,
        cast(cast(sum(load) as bigint) as varchar) total_load_display
 from placed group by ref, replica_id""",
+    "nested_replicas_in_parts": _with(PARTS, _pack())
+    + f"""select ref, cast(replica_id as integer) replica_id,
+       cast(row_number() over (r order by load desc, uid) - 1 as integer) part, 1 shards, uid shard_uids,
+       {_d('sum(load) over r')} total_load, cast(cast(sum(load) over r as bigint) as varchar) total_load_display
+from placed window r as (partition by ref, replica_id)""",
     "discover_shards": _with(SHARDS) + "select ref, uid, id, namespace, name, server from shards where s_acctbal >= 0",
     "scan_samples": _with(EVENTS)
     + f"""select user_id, us at_us, {_q('value')} "value" from ev
@@ -369,7 +374,7 @@ from placed group by ref, replica_id""",
     + f"""select ref, cast(n as integer) replicas, {_d('m')} makespan, {_q('cast(m as double) / mean')} spread,
   {_q('mean / b')} fill from a""",
     "plan_key_hash": _with(*SUPPLIER, _loads(1), _pack())
-    + """select ref, plan_key, sha256(plan_key) plan_hash, replicas, shards from (
+    + """select ref, 0 piece, plan_key, sha256(plan_key) plan_hash, replicas, shards from (
   select ref, string_agg(uid || '=' || replica_id, ',' order by uid) plan_key,
          cast(max(replica_id) + 1 as integer) replicas, count(*) shards from placed group by ref)""",
     "plan_hash_streamed": _with(PARTS, _pack())

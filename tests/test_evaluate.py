@@ -171,3 +171,45 @@ def test_vote_counts(spark):
     out = evaluate.vote_counts(observations(spark, rows), 120, 60)
     got = {(r.plan_hash, int((r.at - T0).total_seconds())): r.votes for r in out.collect()}
     assert got == {("a", 0): 1, ("a", 60): 3, ("a", 120): 3, ("a", 180): 1, ("b", 60): 1, ("b", 120): 1}
+
+
+@pytest.mark.parametrize("seconds, step_seconds", [(90, 60), (30, 60), (60, 60), (125, 10)])
+def test_votes_of_any_period(spark, seconds, step_seconds):
+    rng = random.Random(seconds)
+    seen = [(rng.randint(0, 400), rng.choice("ab")) for _ in range(60)]
+    out = evaluate.vote_counts(observations(spark, [("r", at, h, 1) for at, h in seen]), seconds, step_seconds)
+    got = {(r.plan_hash, int((r.at - T0).total_seconds())): r.votes for r in out.collect()}
+    want = {}
+    for g in range(0, 700, step_seconds):
+        for at, h in seen:
+            if at <= g < at + seconds:
+                want[h, g] = want.get((h, g), 0) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_ranking_equals_a_search_of_the_whole_history(seed):
+    rng = random.Random(seed)
+    periods, state, at, history = Periods(40, scale_up=25), State(), 0, {}
+    for n in range(2000):
+        at += rng.choice([0, 0, 1, 1, 2, 30])
+        name = f"p{rng.randint(0, 12)}"
+        micros = at * MICROS
+        history[name] = [micros, history.get(name, [micros, 0])[1] + 1]
+        history = {h: r for h, r in history.items() if r[0] > micros - periods.retention}
+        want = min(history, key=lambda h: (-history[h][1], -history[h][0], h))
+        winner, promoted, _ = step(state, micros, name, rng.randint(1, 3), periods)
+        assert winner == want
+        if promoted:
+            history = {state.elected: [micros, 1]}
+        assert state.history == history and state.votes == sum(r[1] for r in history.values())
+        if n % 97 == 0:
+            state = State.load(state.dump())
+
+
+def test_distinct_plans_take_linear_time():
+    state, periods = State(evaluated=0, elected=sha("x"), elected_size=1), Periods(10**9)
+    began = time.process_time()
+    for at in range(100_000):
+        step(state, at, f"{at:064x}", 1, periods)
+    assert len(state.history) == 100_000 and time.process_time() - began < 20

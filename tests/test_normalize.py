@@ -104,6 +104,16 @@ def test_brackets_find_the_same_quartiles_as_sorting(spark, shape):
         assert got == {m: halves(v) for m, v in groups.items()}, (limit, accuracy)
 
 
+@pytest.mark.parametrize("margin", [0, 0.1, 4])
+def test_ranks_outside_their_brackets_are_found_by_wider_ones(spark, margin):
+    rng = random.Random(23)
+    groups = {m: [round(rng.gauss(0, 1), 6) for _ in range(6000 + i)] for i, m in enumerate("abcd")}
+    rows = [("r", m, v) for m, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "ref string, metric_id string, value double").repartition(5)
+    stats = normalize.quartile_stats(df, whole_rows=200, accuracy=200, margin=margin).collect()
+    assert {r.metric_id: (r.median, r.q1, r.q3, r.iqr) for r in stats} == {m: halves(v) for m, v in groups.items()}
+
+
 def test_brackets_too_narrow_for_the_group_are_refused(spark):
     with pytest.raises(ValueError):
         normalize.quartile_stats(metric_values(spark, []), whole_rows=50, accuracy=100)

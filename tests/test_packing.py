@@ -115,7 +115,7 @@ def test_large_refs_pack_like_small_ones(spark, cap):
     for ref in ("huge", "tiny", "other"):
         plan = naive([(u, n, v) for r, u, n, v in rows if r == ref], cap)
         want |= {(ref, uid, replica) for uid, replica in plan.items()}
-    for limit in (1000, 40):
+    for limit in (1000, 40, 15):
         out = packing.lpt_pack(df, cap, max_group_rows=limit)
         got = [(r.ref, r.shard.uid, r.replica_id) for r in out.collect()]
         assert len(got) == len(rows) and set(got) == want, limit
@@ -139,8 +139,9 @@ def test_long_lists_come_in_parts(spark):
     parts = packing.replicas(out, max_list=10).collect()
     assert {r.part for r in whole.values()} == {0} and max(r.part for r in parts) > 0
     for replica, row in whole.items():
-        mine = [r for r in parts if r.replica_id == replica]
-        assert sorted(e.shard.uid for r in mine for e in r.load_indexes) == [e.shard.uid for e in row.load_indexes]
+        mine = sorted((r for r in parts if r.replica_id == replica), key=lambda r: r.part)
+        assert [e.shard.uid for r in mine for e in r.load_indexes] == [e.shard.uid for e in row.load_indexes]
+        assert all(len(r.load_indexes) == 10 for r in mine[:-1]) and len(mine[-1].load_indexes) <= 10
         assert {r.total_load for r in mine} == {row.total_load}
 
 

@@ -92,3 +92,10 @@ def test_publish_writes_once(spark):
     assert stages.publish(table) is table and stages.stored_rows(table) == 10
     assert stages.stored_rows(table.where("id > 3")) is None
     assert stages.stored_rows(stages.project(table, "id")) == 10
+
+
+@pytest.mark.parametrize("p", [1, 2])
+def test_load_index_sorts_no_values(spark, p):
+    values = metric_values(spark, [("r", m, f"s{i}", float(i)) for i in range(20) for m in ("a", "b")])
+    text = physical(li.load_index(values, {"a": "1", "b": "500m"}, p))
+    assert "HashAggregate" in text and "SortAggregate" not in text

@@ -32,12 +32,12 @@ def test_known_hashes(spark, text, digest):
         assert plan.EMPTY_HASH == digest
         return
     rows = [("r", int(pair.split("=")[1]), pair.split("=")[0]) for pair in text.split(",")]
-    row = plan.plan_identity(assignments(spark, rows[::-1])).first()
+    row = plan.plan_keys(assignments(spark, rows[::-1])).first()
     assert (row.plan_key, row.plan_hash, row.replicas, row.shards) == (text, digest, len(rows), len(rows))
 
 
 def test_last_replica_wins_for_a_repeated_uid(spark):
-    row = plan.plan_identity(assignments(spark, [("r", 2, "a"), ("r", 0, "a"), ("r", 1, "b")])).first()
+    row = plan.plan_keys(assignments(spark, [("r", 2, "a"), ("r", 0, "a"), ("r", 1, "b")])).first()
     assert row.plan_key == "a=2,b=1"
 
 
@@ -53,8 +53,12 @@ def test_streamed_hash_equals_the_whole_key(spark):
     for limit in (10**6, 500):
         out = {r.ref: r for r in plan.plan_identity(table, max_pairs=limit).collect()}
         assert {ref: r.plan_hash for ref, r in out.items()} == want, limit
-        assert (out["big"].plan_key is None) == (limit == 500)
-        assert out["small"].plan_key == "s=0"
+        pieces = plan.plan_keys(table, max_pairs=limit).orderBy("ref", "piece").collect()
+        assert len({r.plan_hash for r in pieces}) == 3
+        for ref in want:
+            mine = [r for r in pieces if r.ref == ref]
+            assert [r.piece for r in mine] == list(range(len(mine)))
+            assert hashlib.sha256(",".join(r.plan_key for r in mine).encode()).hexdigest() == want[ref], (limit, ref)
 
 
 def test_diff_delta_equal(spark):
