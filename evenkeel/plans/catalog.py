@@ -565,9 +565,15 @@ def plan_hash_streamed(spark, sf):
 
 
 def _two_plans(spark, sf):
-    """Plans by two norms of the same scaled values."""
+    """Plans by two norms of the same scaled values, packed together as two refs."""
     scaled = publish(normalize.robust_scale(supplier_values(spark, sf), EPSILON, SCALE))
-    return tuple(packing.lpt_pack(li.load_index(scaled, WEIGHTS, p, SCALE)) for p in (1, 2))
+
+    def named(p: int) -> DataFrame:
+        return li.load_index(scaled, WEIGHTS, p, SCALE).withColumn("ref", F.concat("ref", F.lit(f"/{p}")))
+
+    packed = publish(packing.lpt_pack(named(1).unionByName(named(2))))
+    ref = F.regexp_replace("ref", "/[12]$", "")
+    return tuple(packed.where(F.col("ref").endswith(f"/{p}")).withColumn("ref", ref) for p in (1, 2))
 
 
 def plan_diff(spark, sf):
