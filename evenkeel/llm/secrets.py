@@ -4,13 +4,15 @@ Base spans are the leftmost non-overlapping matches of each fixed pattern; match
 that are too short are dropped.  Offsets count code points and come from splitting the text
 at the matches: gaps and matches alternate.
 
-Entropy spans: candidates are runs of 20 or more key characters.  Each class of
+Entropy spans: candidates are runs of 20 or more key characters, without what base spans
+cover and without the names (between two of / + =) that hold a placeholder word; each
+piece that is left is judged on its own.  Each class of
 characters (hex digits, letters and digits with the signs of base 64) has an alphabet,
 a window and a least entropy.  The window slides over a candidate one character at a
 time; the counts in the window change by one character in and one out, and with them
 the sum of c*log2(c), in whole millionths so that the order of additions does not
-matter.  A candidate whose best window reaches the least entropy is a span, unless an
-allow-list pattern matches all of it or a base span overlaps it.
+matter.  A piece whose best window reaches the least entropy is a span, unless an
+allow-list pattern matches all of it (where it was cut out, but for signs at its ends).
 
 Null texts are empty texts and have no spans; a text of any length is one row's work;
 repeated rows have equal results; an empty input gives an empty result.
@@ -42,14 +44,19 @@ CLASSES = {
     "entropy_hex": ("0123456789abcdefABCDEF", 20, 3.0),
     "entropy_base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 20, 3.9),
 }
+LEAST = 20
+PLACEHOLDER = r"(?i).*(example|placeholder|changeme|xxxx).*"
+#: A name that holds a placeholder word; "-" and "_" are part of it.  It starts at a separator only, so that
+#: a long run is not tried from each of its characters.
+NAME = r"(?i)(?<![^/+=])[^/+=]*(?:example|placeholder|changeme|xxxx)[^/+=]*"
 #: Candidates that are no secrets: words of letters only, numbers, dashes and rules, UUIDs, placeholders.
 ALLOWED = [
     r"[A-Za-z]+",
     r"[0-9]+",
     r"[_=+/-]+",
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|placeholder|changeme|xxxx).*",
-    r"[A-Za-z]+([-_/][A-Za-z]+)+",
+    PLACEHOLDER,
+    r"[A-Za-z]+(?:[-_/][A-Za-z]+)++",  # possessive: no stack for each word of a long run
 ]
 ORDER = [*KINDS, *CLASSES]
 MASK = "[SECRET]"
@@ -128,7 +135,60 @@ def _base_spans(kind: str) -> Column:
 
 
 def _allowed(candidate: Column) -> Column:
-    return candidate.rlike("^(?:" + "|".join(f"(?:{p})" for p in ALLOWED) + ")$")
+    """Whether all of it is known to be no secret; names with placeholder words are left to ``_named``."""
+    return candidate.rlike("^(?:" + "|".join(f"(?:{p})" for p in ALLOWED if p != PLACEHOLDER) + ")$")
+
+
+def _spared(piece: Column) -> Column:
+    """``_allowed`` of a piece; the signs that joined it to what was cut off do not count."""
+    inner = F.regexp_replace(piece["found"], "^[_=+/-]+|[_=+/-]+$", "")
+    return _allowed(piece["found"]) | (piece["cut"] & ((inner == "") | _allowed(inner)))
+
+
+def _piece(found: Column, start: Column, cut: Column) -> Column:
+    return F.struct(found.alias("found"), start.cast("int").alias("start"), cut.alias("cut"))
+
+
+def _long_enough(pieces: Column) -> Column:
+    return F.filter(pieces, lambda p: F.length(p["found"]) >= LEAST)
+
+
+def _uncovered(candidate: Column) -> Column:
+    """Pieces of a candidate that no base span covers."""
+    start, end = candidate["start"], candidate["start"] + F.length(candidate["found"])
+    over = F.filter("base", lambda b: (b["start"] < end) & (start < b["end"]))
+    none = F.array().cast("array<struct<found:string,start:int,cut:boolean>>")
+
+    def cut_out(first: Column, last: Column) -> Column:
+        text = F.substring(candidate["found"], first - start + 1, last - first)
+        return F.when(last - first >= LEAST, F.array(_piece(text, first, F.lit(True)))).otherwise(none)
+
+    pieces = F.aggregate(
+        over,
+        F.struct(start.alias("at"), none.alias("pieces")),
+        lambda a, b: F.struct(
+            F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["pieces"], cut_out(a["at"], b["start"])).alias("pieces")
+        ),
+        lambda a: F.concat(a["pieces"], cut_out(a["at"], end)),
+    )
+    return F.when(F.size(over) > 0, pieces).otherwise(F.array(_piece(candidate["found"], start, F.lit(False))))
+
+
+def _named(piece: Column) -> Column:
+    """What is left of a piece without its names that hold placeholder words."""
+    gaps = F.split(piece["found"], NAME, -1)
+    names = F.regexp_extract_all(piece["found"], F.lit(NAME), F.lit(0))
+    none = F.array().cast("array<struct<found:string,start:int,cut:boolean>>")
+    left = F.aggregate(
+        F.arrays_zip(gaps.alias("gap"), names.alias("name")),
+        F.struct(piece["start"].alias("at"), none.alias("pieces")),
+        lambda a, x: F.struct(
+            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["name"]), F.lit(0))).alias("at"),
+            F.concat(a["pieces"], _long_enough(F.array(_piece(x["gap"], a["at"], F.lit(True))))).alias("pieces"),
+        ),
+        lambda a: a["pieces"],
+    )
+    return F.when(piece["found"].rlike(PLACEHOLDER), left).otherwise(F.array(piece))
 
 
 def _scaled(count: int) -> int:
@@ -208,11 +268,9 @@ def with_spans(df: DataFrame, text: str, *keep: str) -> DataFrame:
     placed = F.zip_with("f_candidate", "p_candidate", lambda m, p: F.struct(m.alias("found"), p.alias("start")))
     base = F.array_sort(F.concat(*[_base_spans(k) for k in KINDS]))
     df = _step(df, *keep, base=base, placed=F.filter(placed, lambda c: ~_allowed(c["found"])))
-    clear = F.filter(
-        "placed",
-        lambda c: ~F.exists("base", lambda b: (b["start"] < c["start"] + F.length(c["found"])) & (c["start"] < b["end"])),
-    )
-    df = _step(df, *keep, "base", clear=clear)
+    df = _step(df, *keep, "base", pieces=F.flatten(F.transform("placed", _uncovered)))
+    df = _step(df, *keep, "base", pieces=F.flatten(F.transform("pieces", _named)))
+    df = _step(df, *keep, "base", clear=F.filter("pieces", lambda p: ~_spared(p)))
     judged = F.transform(
         "clear", lambda c: _span(c["start"], _entropy_kind(c["found"]), c["start"] + F.length(c["found"]))
     )
