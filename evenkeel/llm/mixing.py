@@ -6,7 +6,8 @@ Each source is cut into 256 blocks by a hash of the document, so that a hot sour
 many small groups.  A source gives whole passes over its blocks, then as many blocks, in
 a permuted order, as its target still needs; the last of them gives its documents in
 order, and the last document only the words that are still missing.  So the words
-taken are the target rounded to a word.
+taken are the target rounded to a word.  With ``whole`` no document is cut: the last one
+is taken whole or not at all, whichever leaves its source nearer the target.
 
 The block quotas are dealt to the output shards by a splitting tree: each node draws half of its
 blocks without replacement for the left child (a multivariate hypergeometric draw over
@@ -106,11 +107,11 @@ def split_tree(plan: DataFrame, levels: int = LEVELS) -> DataFrame:
     return rows
 
 
-def mixed_rows(docs: DataFrame) -> DataFrame:
+def mixed_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
     """row (a struct of all columns), size, source_size, target, taken, part, passes, shards.
 
-    ``part`` is what the partial pass takes of the document; ``shards`` has the shard of
-    each pass in order.
+    ``part`` is what the partial pass takes of the document, with ``whole`` all or nothing;
+    ``shards`` has the shard of each pass in order.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -132,12 +133,17 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     )
     # only a source's last block is in need of an order of its documents
     border = (F.col("need") > 0) & (F.col("need") < F.col("words"))
-    whole = placed.where(~border).withColumn("part", F.when(F.col("need") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
+    sure = placed.where(~border).withColumn("part", F.when(F.col("need") > 0, F.col("size")).otherwise(F.lit(0).cast("long")))
     order = Window.partitionBy("source", "block").orderBy(_hash("doc", F.col("doc_id")), "doc_id", "size")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = placed.where(border).withColumn("part", F.least(F.greatest(F.col("need") - before, F.lit(0)), F.col("size")))
+    if whole:
+        # words still missing before the document: half of it or more, and it is taken
+        missing = F.col("target") - F.floor(F.col("target") + 0.5) + F.col("part")
+        fits = (F.col("part") > 0) & ((F.col("part") == F.col("size")) | (missing * 2 >= F.col("size")))
+        cut = cut.withColumn("part", F.when(fits, F.col("size")).otherwise(F.lit(0).cast("long")))
     taken = F.col("passes") * F.col("size") + F.col("part")
-    return whole.unionByName(cut).select(
+    return sure.unionByName(cut).select(
         "row", "doc_id", "size", "source_size", "target", taken.alias("taken"), "part", "passes",
         F.when(F.col("size") == 0, F.array().cast("array<int>"))
         .when(F.col("part") > 0, F.col("shards"))
@@ -145,13 +151,13 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each time a document is taken.
 
-    A document cut short has its first words, joined by single spaces (and ``n_chars``, if
-    there is one, of that text).  Rows are dealt by shard and shuffled within it by a hash.
+    A document cut short (none with ``whole``) has its first words, joined by single spaces (and
+    ``n_chars``, if there is one, of that text).  Rows are dealt by shard and shuffled within it by a hash.
     """
-    taken = mixed_rows(docs).where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("_turn", "_shard"))
+    taken = mixed_rows(docs, whole).where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("_turn", "_shard"))
     short = (F.col("_turn") == F.col("passes")) & (F.col("part") < F.col("size"))
     words = F.slice(F.split(F.regexp_replace(F.col("row.text"), rf"^[{SPACES}]+", ""), rf"[{SPACES}]+"), F.lit(1), F.col("part").cast("int"))
     text = F.when(short, F.array_join(words, " ")).otherwise(F.col("row.text"))

@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evenkeel.llm import fingerprints, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity
 from evenkeel.llm.components import connected_components
 
@@ -284,6 +285,34 @@ def test_mix_emits_what_is_taken(spark):
     assert got == +wanted
 
 
+def test_mix_of_whole_documents(spark, none):
+    # one or few documents a source, odd spacing, and a border document longer than the rest
+    sizes = {i: 1 + i * 37 % 50 for i in range(120)} | {1000 + k: 3000 for k in range(6)}
+    rows = [(i, " \n".join(f"{i}-{k}\t" for k in range(n)), f"s{i % 40}") for i, n in sizes.items()]
+    docs = frame(spark, rows + [(2000, None, "s1"), (2001, "alone  by\nitself", "lone")])
+    texts = {i: t for i, t, _ in rows} | {2001: "alone  by\nitself"}
+    got = Counter()
+    for r in corpus_pipeline.mix_sources(spark, docs, "").collect():
+        assert r.text == texts[r.doc_id] and r.n_chars == len(r.text)
+        got[r.doc_id] += 1
+    assert max(got.values()) <= 3
+    exact = {r.doc_id: r for r in mixing.mixed_rows(docs).collect()}
+    kept = {r.doc_id: r for r in mixing.mixed_rows(docs, whole=True).collect()}
+    assert len(kept) == len(exact) and any(0 < r.part < r["size"] for r in exact.values())
+    taken, borders = Counter(), {}
+    for i, r in kept.items():
+        assert r.taken == got[i] * r["size"] and len(r.shards) == (got[i] if r["size"] else 0)
+        taken[r.row.source] += r.taken
+        if 0 < exact[i].part < r["size"]:
+            borders[r.row.source] = r
+        else:
+            assert r.taken == exact[i].taken
+    for source, r in borders.items():
+        other = taken[source] + (-r["size"] if r.part else r["size"])
+        assert abs(taken[source] - r.target) <= abs(other - r.target) + 1e-6
+    assert mixing.mix(none, whole=True).count() == 0
+
+
 def test_splitting_tree_is_exact(spark):
     plan = spark.createDataFrame([(s, f"{b:02x}", 10, 10 * (b % 2), 2) for s in ("a", "b", None) for b in range(64)], "source string, block string, words long, need long, passes int")
     found = mixing.split_tree(plan).collect()
