@@ -53,7 +53,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.large_binary()) if batch.num_rows else pa.array([], pa.large_binary())
         found = np.fromiter((fingerprint(t.as_py() or b"") for t in texts), np.uint64, batch.num_rows)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.record_batch([*map(batch.column, names), pa.array(found.view(np.int64))], [*names, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -63,6 +64,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def _keyed_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, fp): as ``fingerprints``, with a hash of the whole row."""
+    return docs.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("string"), _row_key(docs).alias("key")
+    ).mapInArrow(_fingerprints, "doc_id long, key string, fp long")
+
+
+def _row_key(docs: DataFrame) -> Column:
+    """128 bits of all columns of a row: equal rows only have equal keys."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(F.md5(F.col(f"`{c}`").cast("string")), F.lit("")) for c in docs.columns]))
+
+
 def _halves(fp: Column) -> list[Column]:
     return [F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF))]
 
@@ -88,14 +101,19 @@ def links(fps: DataFrame) -> DataFrame:
     return probes.join(rows, "half").where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (long), component_id: the smallest doc_id reachable over links."""
-    fps = publish(fingerprints(docs), "simhash")
-    nodes = publish(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+def _rooted(fps: DataFrame, least: Column) -> DataFrame:
+    """fp, least (an aggregate of its rows), root (the smallest fingerprint of its component)."""
+    nodes = publish(fps.groupBy("fp").agg(least.alias("least")), "simhash-nodes")
     roots = publish(connected_components(links(nodes), "simhash-links"), "simhash-roots")
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (long), component_id: the smallest doc_id reachable over links."""
+    fps = publish(fingerprints(docs), "simhash")
+    placed = _rooted(fps, F.min("doc_id"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = publish(placed.join(smallest, "root").select("fp", "component_id"), "simhash-components")
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -106,11 +124,14 @@ def hex16(fp: Column) -> Column:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component: the row of its smallest doc_id (rows repeating that id: one of them).
+    """Exactly one row of each component: that of its smallest doc_id, null ids last, then of the smallest row hash.
 
-    Components without any doc_id cannot be told apart by id; their rows all stay.
+    Rows that share an id but not a component, or have none, are told apart by the hash.
     """
-    found = near_duplicates(docs)
-    chosen = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(chosen, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL").select(docs.columns))
+    fps = publish(_keyed_fingerprints(docs), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    chosen = _rooted(fps, first).groupBy("root").agg(F.min("least").alias("first"))
+    chosen = publish(chosen.select("first.key"), "simhash-chosen")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _row_key(docs).alias("key"))
+    # what still shares a key is one row that came repeatedly
+    return rows.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("_row.*")

@@ -146,6 +146,21 @@ def test_near_duplicates(odd, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_one_row_of_each_component(spark):
+    a, b, c, d, e = (words(40, 100 * k) for k in range(1, 6))
+    rows = [
+        *[(None, a, s) for s in ("x", "y", "y", "z")],  # no id at all
+        (5, b, "x"), (None, b, "x"), (None, b.upper(), "y"), (6, b, "x"),  # some without
+        (7, c, "x"), (7, d, "x"), (8, d.upper(), "x"), (7, d, "x"),  # one id, two texts, and copies
+        (9, e, "y"), (9, e, "x"),  # one id and component, two rows
+    ]
+    once, again = (simhash.keep_one(frame(spark, r).repartition(n)) for r, n in ((rows, 1), (rows[::-1], 5)))
+    found = rows_of(once.select("doc_id", "text", "source"))
+    assert sorted(t for _, t, _ in found.elements()) == sorted([a, b, c, d, e])
+    assert {t: i for i, t, _ in found} == {a: None, b: 5, c: 7, d: 7, e: 9}
+    assert rows_of(again.select("doc_id", "text", "source")) == found
+
+
 # ---- secrets
 
 SECRETS = [
