@@ -113,7 +113,12 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns.
+
+    A model without rules (no labels, fewer than ten, or of one class) tells no documents apart and rejects none.
+    """
+    if not model.rules:
+        return docs
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     scored = once(with_statistics(whole, "_row", text="_text"), model.score(), "_score", "_row")
     return scored.where(F.col("_score") >= THRESHOLD).select("_row.*")

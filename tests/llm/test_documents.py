@@ -452,6 +452,15 @@ def test_quality_rules(spark, none):
     assert {r.score for r in quality.score_quality(docs, empty).collect()} == {0.5}
 
 
+def test_a_model_that_knows_nothing_rejects_nothing(spark, odd, none):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 8)] + [(9, None, 0)], "doc_id long, quality int, toxic int")
+    for few in (labels, labels.limit(0), labels.where("quality IS NULL"), labels.where("quality = 0")):
+        model = quality.QualityModel.train(odd, few)
+        assert not model.rules
+        assert rows_of(quality.keep_good(odd, model)) == rows_of(odd)
+    assert quality.keep_good(none, model).count() == 0
+
+
 def test_toxicity_cnn(spark, none):
     def mark(body, toxic, rng):
         if toxic:
