@@ -32,7 +32,7 @@ _TAGS = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _SPACES = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_OUTLINKS = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
+_OUTLINKS = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>][^\s>]*))""", re.I)
 
 FIELDS = {
     "refers_to": pa.string(),
@@ -73,7 +73,8 @@ def _fields(http: str, payload: str) -> str:
     lines += [f"source-header-{name.strip().lower()}: {_one_line(value)}" for name, _, value in headers]
     if title:
         lines.append(f"title: {_one_line(html.unescape(title[1]))}")
-    lines += [f"outlink: {_one_line(html.unescape(link))}" for link in _OUTLINKS.findall(payload)]
+    links = [_one_line(html.unescape("".join(quoted))) for quoted in _OUTLINKS.findall(payload)]
+    lines += [f"outlink: {link}" for link in links if link]
     return "".join(f"{line}\r\n" for line in lines)
 
 

@@ -96,6 +96,12 @@ def test_derived_records(spark, tmp_path):
     assert warc.derive(responses.limit(0)).count() == 0
 
 
+def test_links_end_at_their_own_quote():
+    page = """<a href="/o'brien"><a href='/say "hi"'><a href="/a b.html"><a href=/bare'x>y</a><a href=""><a class=k href = '/l?a=1&amp;b'>"""
+    links = [line[9:] for line in warc._fields("", page).split("\r\n") if line.startswith("outlink: ")]
+    assert links == ["/o'brien", '/say "hi"', "/a b.html", "/bare'x", "/l?a=1&b"]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
