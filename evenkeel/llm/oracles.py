@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import maxscore, mixing
+from evenkeel.llm import maxscore, mixing, url_globs
 
 ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.oracle(),
     "op9_maxscore_top_k": maxscore.ORACLE,
+    "op11_url_globs": url_globs.ORACLE,
 }

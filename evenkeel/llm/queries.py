@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import fingerprints, maxscore, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity, warc
+from evenkeel.llm import fingerprints, maxscore, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity, url_globs, warc
 from evenkeel.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = url_globs.judge(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "host", "path", "rule", "pattern", "verdict")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -80,5 +85,6 @@ QUERIES = {
         op8_source_mixing,
         op9_maxscore_top_k,
         op10_simhash_near_dedup,
+        op11_url_globs,
     )
 }
