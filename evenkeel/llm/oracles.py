@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import maxscore, mixing, url_globs
+from evenkeel.llm import maxscore, mixing, prefix_trie, url_globs
 
 ORACLES: dict[str, str] = {
     "op8_source_mixing": mixing.oracle(),
     "op9_maxscore_top_k": maxscore.ORACLE,
     "op11_url_globs": url_globs.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import fingerprints, maxscore, mixing, quality, secrets, sentencepiece, simhash, substrings, toxicity, url_globs, warc
+from evenkeel.llm import fingerprints, maxscore, mixing, prefix_trie, quality, secrets, sentencepiece, simhash, substrings, toxicity, url_globs, warc
 from evenkeel.llm.common import table
 
 
@@ -72,6 +72,10 @@ def op11_url_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "host", "path", "rule", "pattern", "verdict")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,5 +90,6 @@ QUERIES = {
         op9_maxscore_top_k,
         op10_simhash_near_dedup,
         op11_url_globs,
+        op12_prefix_trie,
     )
 }
