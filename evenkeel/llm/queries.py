@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from evenkeel.llm import fingerprints, maxscore, mixing, prefix_trie, quality, secrets, sentencepiece, simhash, substrings, toxicity, url_globs, warc
+from evenkeel.llm import fingerprints, maxscore, mixing, prefix_trie, quality, role_repair, secrets, sentencepiece, simhash, substrings, toxicity, url_globs, warc
 from evenkeel.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return role_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,5 +95,6 @@ QUERIES = {
         op10_simhash_near_dedup,
         op11_url_globs,
         op12_prefix_trie,
+        op13_role_repair,
     )
 }
