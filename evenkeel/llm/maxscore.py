@@ -1,19 +1,22 @@
 """Exact top-k by inner product with MaxScore.
 
-Dimensions are the terms, and a shard of candidates keeps a posting column for each.
-For a query, a dimension can add at most its larger product with the column's extremes.
-Dimensions are taken in the order of how much they can tell candidates apart.  The
-first ones are essential: their postings are traversed for all candidates.  As soon as
-the bounds of the rest cannot lift a candidate to the k-th best score known, the
-candidate is dropped; for those still competitive, the remaining dimensions are probed.
-Scores are exact integers, so nothing depends on the order of sums.
+Dimensions are the terms, and a shard of candidates keeps a posting column for each.  In a
+column, every candidate's product with the query counts from the least one up, so a
+dimension adds between nothing and its bound.  The largest set of dimensions, those of the
+smallest bounds, that together cannot lift a candidate to the threshold (the k-th best
+score known) is non-essential.  The postings of the essential ones are traversed for all
+candidates; then the others are probed, the largest bound first, for the candidates that
+are still competitive.  Scores are exact integers, so nothing depends on the order of sums.
 
 Candidates are dealt into shards and queries into blocks of fixed size; a row of work is
-one block and one shard, and returns k rows a query, which are merged by query.
-
-vec_id names a vector: of rows that share one, the least vector takes part.  Rows whose id or vector
-is null, or whose vector holds a null or a non-finite component, take no part.
-Shorter vectors are filled up with zeros.  Fewer candidates than k: all of them.  Sums beyond 64 bits are cut to the largest long.
+one block and one shard, and returns k rows a query, which are merged by query.  A first
+round scores every block against one shard, and its thresholds go along with the block.
+
+Every row is a candidate for every query but itself, also where rows share their vec_id; equal
+rows (vec_id and vector) are one entry with a count.  Ties go to the smaller vec_id.  Rows whose
+id or vector is null, or whose vector holds a null or a non-finite component, take no part.
+Shorter vectors are filled up with zeros.  Fewer candidates than k: all of them.  Components and
+sums beyond 64 bits are cut to the largest long.
 """
 
 from __future__ import annotations
@@ -29,8 +32,16 @@ from evenkeel.stages import publish
 TOP = 5
 SHARD_ROWS = 4096
 BLOCK_ROWS = 512
-#: Dimensions taken at a time.
+#: Dimensions probed between two looks at who is competitive, and candidates scored for a first threshold.
 STEP = 8
+FIRST = 64
+
+
+_EDGE = (1 << 63) - 1
+
+
+def _long(score: int) -> int:
+    return min(max(score, -_EDGE - 1), _EDGE)
 
 
 def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
@@ -41,113 +52,170 @@ def _matrix(vectors: list[np.ndarray], width: int) -> np.ndarray:
 
 
 def _pack(table: pa.Table) -> pa.Table:
-    """One row for a shard: ids, and the vectors as columns (postings by dimension)."""
-    ids = table.column("vec_id").to_numpy()
+    """One row for a shard: ids, counts, and the vectors as columns (postings by dimension)."""
     vectors = [v.values.to_numpy() for v in table.column("v")]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], tuple(vectors[i])))
-    kept = [i for n, i in enumerate(order) if not n or ids[order[n - 1]] != ids[i]]
-    postings = _matrix([vectors[i] for i in kept], max(len(v) for v in vectors)).T.copy()
+    postings = _matrix(vectors, max(len(v) for v in vectors)).T.copy()
+    numbers = [table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("vec_id", "copies")]
     return pa.table(
         {
             "shard": table.column("shard").slice(0, 1),
-            "ids": pa.array([ids[kept].astype(np.int64).tobytes()], pa.binary()),
+            "ids": pa.array(numbers[:1], pa.binary()),
+            "copies": pa.array(numbers[1:], pa.binary()),
             "postings": pa.array([postings.tobytes()], pa.binary()),
         }
     )
 
 
-def top_of_shard(query: np.ndarray, postings: np.ndarray, ids: np.ndarray, own: int, top: int) -> list[tuple[int, int]]:
-    """The ``top`` highest (score, id) of a shard, ties to the smaller id; the query's own id takes no part."""
-    if not len(ids):
+def top_of_shard(
+    query: np.ndarray, postings: np.ndarray, ids: np.ndarray, copies: np.ndarray, own: int, top: int, threshold: int | None = None
+) -> list[tuple[int, int]]:
+    """The ``top`` highest (score, id) of a shard, ties to the smaller id, an entry as often as it has copies.
+
+    One copy of the query's own entry takes no part, nor need entries below the threshold.
+    """
+    copies = copies - ((ids == own) & (postings == query[:, None]).all(0))
+    alive = np.flatnonzero(copies > 0)
+    if not len(alive):
         return []
     ends = np.stack([query * postings.max(1), query * postings.min(1)])
-    bounds, spread = ends.max(0), ends.max(0) - ends.min(0)
-    order = np.argsort(-spread.astype(float), kind="stable")
+    least, bounds = ends.min(0), ends.max(0) - ends.min(0)
+    order = np.argsort(-bounds.astype(float), kind="stable")
     # what all dimensions from a place on can still add
     rest = np.append(np.cumsum(bounds[order][::-1])[::-1], 0)
-    alive = np.flatnonzero(ids != own)
-    partial, threshold = np.zeros(len(alive), postings.dtype), None
-    for first in range(0, len(order), STEP):
-        for d in order[first : first + STEP]:
-            column = postings[d]
-            partial = partial + query[d] * (column if len(alive) == len(ids) else column[alive])
-        if len(alive) > top:
-            # whole scores of the best so far set the least score that is still competitive
-            best = alive[np.argpartition(-partial, top)[:top]]
-            known = int((query[:, None] * postings[:, best]).sum(0).min())
-            threshold = known if threshold is None else max(threshold, known)
-            competitive = partial + rest[min(first + STEP, len(order))] >= threshold
-            alive, partial = alive[competitive], partial[competitive]
-    found = sorted(zip((-partial).tolist(), ids[alive].tolist()))[:top]
-    return [(-score, i) for score, i in found]
+    floor = least.sum()
+
+    def raised(candidates: np.ndarray) -> int | None:
+        if len(candidates) < top:
+            return threshold
+        whole = (query[:, None] * postings[:, candidates]).sum(0)
+        known = _long(int(np.partition(whole, len(candidates) - top)[len(candidates) - top]))
+        if known == -_EDGE - 1:  # scores that are cut to the least long are alike
+            return threshold
+        return known if threshold is None else max(threshold, known)
+
+    if threshold is None:
+        threshold = raised(alive[:FIRST])
+    essential = len(order) if threshold is None else int(np.sum(rest[:-1] >= threshold - floor))
+    partial = np.full(len(alive), floor, postings.dtype)
+    for n, d in enumerate(order):
+        if n >= essential and (n - essential) % STEP == 0:
+            if len(alive) > top:
+                threshold = raised(alive[np.argpartition(-partial, top)[:top]])
+            if threshold is not None:
+                competitive = partial + rest[n] >= threshold
+                alive, partial = alive[competitive], partial[competitive]
+        column = postings[d]
+        partial = partial + (query[d] * (column if len(alive) == len(ids) else column[alive]) - least[d])
+    scores = [-_long(score) for score in partial.tolist()]
+    best = sorted(zip(scores, ids[alive].tolist(), copies[alive].tolist()))[:top]
+    return [(-score, i) for score, i, n in best for _ in range(min(n, top))][:top]
+
+
+def _numbers(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_py(), np.int64)
+
+
+def _pairs(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """For each pair of a block and a shard: queries, columns (both as wide as need be), the block's and the shard's ids and counts."""
+    for n in range(batch.num_rows):
+        own, ids, copies = (_numbers(batch.column(c)[n]) for c in ("q_ids", "ids", "copies"))
+        queries = _numbers(batch.column("q_postings")[n]).reshape(-1, len(own)).T
+        columns = _numbers(batch.column("postings")[n]).reshape(-1, len(ids))
+        width = max(queries.shape[1], len(columns))
+        queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+        columns = np.pad(columns, ((0, width - len(columns)), (0, 0)))
+        most = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(columns.astype(float)).max(initial=0))
+        if most * max(width, 1) >= 2.0**61:  # whole numbers of any size
+            queries, columns = queries.astype(object), columns.astype(object)
+        yield n, own, queries, columns, ids, copies
+
+
+def _seed(top: int):
+    """Adds to each block the k-th best score of each query in the one shard that comes along; null where it has fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = []
+            for _, own, queries, columns, ids, copies in _pairs(batch):
+                found = [top_of_shard(q, columns, ids, copies, o, top) for o, q in zip(own, queries)]
+                known.append([f[-1][0] if len(f) == top and f[-1][0] > -_EDGE - 1 else None for f in found])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in _BLOCK), pa.array(known, pa.list_(pa.int64()))], [*_BLOCK, "known"]
+            )
+
+    return run
+
+
+_BLOCK = ("block", "q_ids", "q_copies", "q_postings")
 
 
 def _search(top: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q_ids, q_postings, ids, postings in zip(*(batch.column(c) for c in ("q_ids", "q_postings", "ids", "postings"))):
-                own, ids = np.frombuffer(q_ids.as_py(), np.int64), np.frombuffer(ids.as_py(), np.int64)
-                queries = np.frombuffer(q_postings.as_py(), np.int64).reshape(-1, len(own)).T
-                columns = np.frombuffer(postings.as_py(), np.int64).reshape(-1, len(ids))
-                width = max(queries.shape[1], len(columns))
-                queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-                columns = np.pad(columns, ((0, width - len(columns)), (0, 0)))
-                most = float(np.abs(queries.astype(float)).max(initial=0)) * float(np.abs(columns.astype(float)).max(initial=0))
-                if most * max(width, 1) >= 2.0**62:  # whole numbers of any size
-                    queries, columns = queries.astype(object), columns.astype(object)
-                rows = [(int(o), i, s) for o, q in zip(own, queries) for s, i in top_of_shard(q, columns, ids, o, top)]
-                edge = (1 << 63) - 1
-                yield pa.record_batch(
-                    [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        pa.array([min(max(r[2], -edge - 1), edge) for r in rows], pa.int64()),
-                    ],
-                    ["query_id", "vec_id", "score"],
+            for n, own, queries, columns, ids, copies in _pairs(batch):
+                known = batch.column("known")[n].as_py()
+                block, times = batch.column("block")[n].as_py(), _numbers(batch.column("q_copies")[n])
+                rows = [
+                    (block, row, int(times[row]), int(own[row]), i, s)
+                    for row, q in enumerate(queries)
+                    for s, i in top_of_shard(q, columns, ids, copies, own[row], top, known[row])
+                ]
+                columns_of = list(zip(*rows)) or [()] * 6
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns_of, (pa.int32(), pa.int32(), *[pa.int64()] * 4))],
+                    ["block", "row", "times", "query_id", "vec_id", "score"],
                 )
 
     return run
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component, for rows that take part."""
+    """vec_id, v, copies: floor(256 * x) of each component without zeros at the end, for rows that take part."""
     x = F.col("embedding").cast("array<double>")
     broken = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     fit = F.col("vec_id").isNotNull() & x.isNotNull() & ~F.coalesce(broken, F.lit(True))
-    return rows.where(fit).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
+    known = rows.where(fit).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256)).alias("v"))
+    last = F.array_max(F.transform("v", lambda c, i: F.when(c != 0, i + 1).otherwise(0)))
+    known = known.select("vec_id", F.slice("v", F.lit(1), F.coalesce(last, F.lit(0))).alias("v"))
+    return known.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _dealt(vectors: DataFrame, rows: int) -> DataFrame:
     shards = max(1, -(-vectors.count() // rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard")
-    return vectors.select(shard, "vec_id", "v").groupBy("shard").applyInArrow(_pack, "shard int, ids binary, postings binary")
+    shard = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int").alias("shard")
+    packed = vectors.select(shard, "vec_id", "v", "copies").groupBy("shard")
+    return packed.applyInArrow(_pack, "shard int, ids binary, copies binary, postings binary")
 
 
 def search(rows: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
-    """query_id, rank, vec_id, score for every row that ``is_query`` holds for, against all others."""
+    """query_id, rank, vec_id, score for every row that ``is_query`` (a condition on vec_id) holds for, against all other rows."""
     vectors = publish(whole_vectors(rows), "maxscore-vectors")
     shards = publish(_dealt(vectors, SHARD_ROWS), "maxscore-shards")
-    blocks = publish(_dealt(vectors.where(is_query), BLOCK_ROWS), "maxscore-queries")
-    last = shards.agg(F.max("shard")).first()[0]
+    blocks = _dealt(vectors.where(is_query), BLOCK_ROWS).select(
+        F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("postings").alias("q_postings")
+    )
+    first, last = shards.agg(F.min("shard"), F.max("shard")).first()
     if last is None:
-        last = 0
-    work = blocks.select(
-        F.col("ids").alias("q_ids"), F.col("postings").alias("q_postings"), F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard")
-    ).join(shards, "shard")
+        first = last = 0
+    schema = "block int, q_ids binary, q_copies binary, q_postings binary"
+    seeded = blocks.withColumn("shard", F.lit(first)).join(shards, "shard").drop("shard")
+    blocks = publish(seeded.mapInArrow(_seed(top), f"{schema}, known array<long>"), "maxscore-queries")
+    work = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard")).join(shards, "shard")
     # the work is in the rows, not in their bytes: deal every pair by itself
-    pairs = work.repartition(F.xxhash64("shard", "q_ids"))
-    found = pairs.select("q_ids", "q_postings", "ids", "postings").mapInArrow(_search(top), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    pairs = work.repartition(F.xxhash64("shard", "block")).drop("shard")
+    found = pairs.mapInArrow(_search(top), "block int, row int, times long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("block", "row").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    # equal queries have equal answers
+    times = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return ranked.select("query_id", "rank", "vec_id", "score", times.alias("time")).drop("time")
 
 
 ORACLE = """
-WITH v AS (
-  SELECT vec_id, min([floor(256 * x::double) for x in embedding]) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
-  GROUP BY vec_id),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score
-          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM pairs)
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [floor(256 * x::double) for x in embedding] AS v, row_number() OVER () AS n FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::int AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 from collections import Counter
 
 import duckdb
@@ -21,13 +22,21 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_scores_of_a_shard_are_exact():
     rng = np.random.default_rng(3)
-    for trial in range(40):
+    for trial in range(60):
         n, d = rng.integers(1, 400), rng.integers(1, 40)
         postings = rng.integers(-5 if trial % 2 else -300, 6 if trial % 2 else 300, (d, n)).astype(np.int64)
-        ids, query = rng.permutation(1000)[:n], rng.integers(-300, 300, d)
+        ids, copies = rng.integers(0, 300, n), rng.integers(1, 4, n)
+        own, query = ids[0], (postings[:, 0] if trial % 3 else rng.integers(-300, 300, d))
         scores = query @ postings
-        wanted = sorted(((-int(s), int(i)) for s, i in zip(scores, ids) if i != ids[0]))[:5]
-        assert maxscore.top_of_shard(query, postings, ids, ids[0], 5) == [(-s, i) for s, i in wanted]
+        wanted = []
+        for score, i, times, v in zip(scores, ids, copies, postings.T):
+            wanted += [(-int(score), int(i))] * (int(times) - (i == own and (v == query).all()))
+        wanted = sorted(wanted)[:5]
+        assert maxscore.top_of_shard(query, postings, ids, copies, own, 5) == [(-s, i) for s, i in wanted]
+        if len(wanted) == 5:
+            least = -wanted[-1][0]
+            assert maxscore.top_of_shard(query, postings, ids, copies, own, 5, least) == [(-s, i) for s, i in wanted]
+            assert maxscore.top_of_shard(query, postings, ids, copies, own, 5, least - 7) == [(-s, i) for s, i in wanted]
 
 
 def test_search_with_odd_vectors(spark, monkeypatch):
@@ -36,24 +45,33 @@ def test_search_with_odd_vectors(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(-50, 250)]
     rows += [(300, None), (None, [1.0] * 6), (301, [1.0, None]), (302, [float("nan")] * 6), (303, [float("inf")] * 6)]
-    rows += [(7, rows[57][1]), (304, [0.5, 0.25]), (305, []), (350, [1e18] * 6)]
+    # rows that share an id: equal ones, others, shorter ones that are equal when filled up
+    rows += [(7, rows[57][1]), (0, rows[50][1]), (0, [2.0] * 6), (1, [9.0] * 6), (1, [9.0] * 6), (50, [0.5, 0.25]), (50, [0.5, 0.25, 0.0])]
+    rows += [(304, [0.5, 0.25]), (305, []), (350, [1e18] * 6), (351, [-1e300] + [0.25] * 5)]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, shard int, rank int")
     found = Counter(tuple(r) for r in maxscore.search(df, F.col("vec_id") % 50 == 0).collect())
-    valid = {}
-    for i, v in rows:
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            w = [int(np.floor(256 * x)) for x in v]
-            valid[i] = min(valid.get(i, w), w)
-    wanted, edge = Counter(), 2**63 - 1
-    for q, a in valid.items():
+    edge = 2**63 - 1
+    cut = lambda x: min(max(x, -edge - 1), edge)
+    valid = [
+        (i, [cut(math.floor(256 * x)) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)
+    ]
+    wanted = Counter()
+    for n, (q, a) in enumerate(valid):
         if q % 50 == 0:
-            scores = sorted((-min(max(sum(x * y for x, y in zip(a, b)), -edge - 1), edge), i) for i, b in valid.items() if i != q)
-            wanted.update((q, n + 1, i, -s) for n, (s, i) in enumerate(scores[:5]))
-    assert {k for k in found if k[0] != 350 and k[2] != 350} == {k for k in wanted if k[0] != 350 and k[2] != 350}
-    assert sum(found.values()) == sum(wanted.values())
+            scores = sorted((-cut(sum(x * y for x, y in zip(a, b))), i) for m, (i, b) in enumerate(valid) if m != n)
+            wanted.update((q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:5]))
+    assert found == wanted
     assert maxscore.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
-    few = maxscore.search(df.where("vec_id IN (0, 1, 2)"), F.col("vec_id") % 50 == 0)
-    assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2]
+    few = maxscore.search(df.where("vec_id IN (0, 2)"), F.col("vec_id") % 50 == 0)
+    assert sorted(r["rank"] for r in few.collect()) == sorted([1, 2, 3] * 3)
+
+
+def test_rows_of_one_id_are_candidates(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [5.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    best = maxscore.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in best] == [(1, 5 * 256**2), (2, 2 * 256**2), (1, 256**2)]
 
 
 PAGES = [
