@@ -90,26 +90,32 @@ LETTERS_ONLY = np.array(
 )
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, beginning: int = 0) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of all words of a run, and each text's range in them (offsets of rows + 1).
-
-    With ``beginning``, also the hashes of each word's first bytes.
-    """
-    code = codes[data]
+def word_edges(code: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of all words of a run, and each text's range in them (offsets of rows + 1)."""
     inside = code > 0
     opens = inside.copy()
     opens[1:] &= ~inside[:-1]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    edges = offsets[(offsets > 0) & (offsets < len(code))]
     opens[edges] = inside[edges]
     closes = inside.copy()
     closes[:-1] &= ~inside[1:]
     closes[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, codes: np.ndarray, beginning: int = 0) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words of a run, and each text's range in them (offsets of rows + 1).
+
+    With ``beginning``, also the hashes of each word's first bytes.  Good enough for features: there
+    are words of a thousand letters, made for the purpose, that fall together.
+    """
+    code = codes[data]
+    start, end, bounds = word_edges(code, offsets)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(code * powers(_BASE, len(data)), out=sums[1:])
     scale = powers(_BASE_INVERSE, len(data) + 1)[start]
     hashes = mixed((sums[end] - sums[start]) * scale ^ (end - start).astype(np.uint64))
-    bounds = np.searchsorted(start, offsets)
     if not beginning:
         return hashes, bounds
     return hashes, bounds, mixed((sums[np.minimum(start + beginning, end)] - sums[start]) * scale)

@@ -1,16 +1,17 @@
 """Substring dedup: repeated windows of words, by Rabin-Karp hashes counted in Spark.
 
 Words come from white-space splitting.  Texts are dealt into chunks by a hash of the
-row.  Each chunk hashes every window of its texts (a 64-bit rolling polynomial over
-64-bit word hashes), sorts the distinct hashes and sends them, cut into ranges of the
+row.  Each chunk hashes every window of its texts (a polynomial over word hashes), sorts the distinct hashes and sends them, cut into ranges of the
 hash space ("buckets") and packed as differences, with a mark on those it saw more than
 once.  A bucket counts the hashes of all chunks and answers each with one bit per hash
-sent.  The chunk then rehashes its texts, reads the bits and merges repeated windows
-into maximal intervals.  A window that repeats thousands of times is one entry of
-each chunk, so no task holds its occurrences.
+sent.  Hits are then compared: for each window hash that was found again, the chunk sends
+BLAKE2b digests (128 bits) of the words of its windows to the same bucket, which answers a bit for
+each.  The chunk merges the windows whose words repeat into maximal intervals.  A window that repeats
+thousands of times is one entry of each chunk, so no task holds its occurrences.
 
-All windows of all texts are counted.  Equality is by 64-bit hash: among n windows a
-false repeat is expected n*n / 2**65 times (0.0006 for 1.5e8 windows).
+All windows of all texts are counted.  Window hashes are polynomials modulo the prime 2**61 - 1
+over word hashes that mix each byte with its place, so neither alternating words nor alternating
+letters fall together; windows that do by chance are told apart by their digests.
 
 Null and empty texts have no words; texts shorter than a window lose nothing; repeated
 rows are repeats of each other and lose all their windows; an empty input gives an
@@ -19,41 +20,109 @@ empty result.  A very long text makes a chunk of its own size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evenkeel.llm.common import SPLIT_AT_SPACES, byte_runs, mixed, powers, word_hashes
+from evenkeel.llm.common import SPLIT_AT_SPACES, byte_runs, mixed, word_edges
 
 WINDOW = 35
 #: Text bytes of a chunk, and windows of a bucket, on average.
 CHUNK_BYTES = 24 << 20
 BUCKET_WINDOWS = 2_000_000
 
-_BASE = np.uint64(0xD6E8FEB86659FD93)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes whose marks are made at a time.
+_BLOCK = 1 << 20
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x16E8FEB86659FD93
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo the prime, of numbers below 2**64."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(x: np.ndarray, factor: int) -> np.ndarray:
+    """x * factor modulo the prime, by halves of 31 bits."""
+    low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    high, low = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
+    x_high, x_low = x >> np.uint64(31), x & low31
+    middle = x_high * low + x_low * high
+    # 2**61 counts as 1, so 2**62 as 2
+    out = _reduced((x_high * high << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & low30) << np.uint64(31)))
+    return _reduced(out + _reduced(x_low * low))
+
+
+def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A number below the prime for each word, start and end of the words, and each text's range in them."""
+    code = SPLIT_AT_SPACES[data]
+    start, end, bounds = word_edges(code, offsets)
+    if not len(start):
+        return np.empty(0, np.uint64), start, end, bounds
+    marks, began = np.empty(len(data), np.uint64), 0
+    opens = np.zeros(len(data), bool)
+    opens[start] = True
+    for low in range(0, len(data), _BLOCK):
+        part = slice(low, min(low + _BLOCK, len(data)))
+        at = np.arange(part.start, part.stop)
+        first = np.maximum.accumulate(np.where(opens[part], at, began))
+        began = first[-1]
+        key = (at - first).astype(np.uint64) << np.uint64(9) | code[part]
+        marks[part] = mixed(key * _GOLDEN)
+    marks[code == 0] = 0
+    sums = np.add.reduceat(marks, start)
+    return _reduced(mixed(sums ^ (end - start).astype(np.uint64))), start, end, bounds
 
 
 def window_hashes(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows inside the texts, and the word each begins at."""
-    n = len(words) - window + 1
-    if n <= 0:
+    if len(words) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
-    lengths = np.diff(bounds)
-    last = np.repeat(bounds[1:], lengths)  # end of the text of each word
+    # polynomials of windows of 1, 2, 4, ... words, put together to the length that is wanted
+    block, length, out, done = words, 1, None, 0
+    while True:
+        if window & length:
+            if out is None:
+                out = block
+            else:
+                n = len(words) - done - length + 1
+                out = _reduced(_times(out[:n], pow(_BASE, length, int(_PRIME))) + block[done : done + n])
+            done += length
+        if 2 * length > window:
+            break
+        block = _reduced(_times(block[:-length], pow(_BASE, length, int(_PRIME))) + block[length:])
+        length *= 2
+    last = np.repeat(bounds[1:], np.diff(bounds))  # end of the text of each word
     starts = np.flatnonzero(np.arange(len(words)) + window <= last)
-    return mixed((sums[starts + window] - sums[starts]) * powers(_BASE_INVERSE, n)[starts]), starts
+    return mixed(out[starts]), starts
 
 
 def _runs(texts: pa.Array, window: int) -> Iterator[tuple]:
-    """(first row, end row, word bounds, window hashes, window starts) over runs of rows."""
+    """(first row, end row, word bounds, window hashes, window starts, words of a window) over runs of rows."""
     for first, end, data, offsets in byte_runs(texts):
-        words, bounds = word_hashes(data, offsets, SPLIT_AT_SPACES)
-        yield first, end, bounds, *window_hashes(words, bounds, window)
+        words, start, stop, bounds = word_values(data, offsets)
+        hashes, starts = window_hashes(words, bounds, window)
+
+        def spelled(window_starts: np.ndarray) -> Iterator[bytes]:
+            """The words of windows, joined by spaces."""
+            # bytes of words and one space after each
+            kept = SPLIT_AT_SPACES[data] > 0
+            at = np.cumsum(stop - start + 1) - (stop - start + 1)
+            room = np.full(int(at[-1] + stop[-1] - start[-1] + 1) if len(at) else 0, 32, np.uint8)
+            places = np.ones(len(room), bool)
+            places[at[1:] - 1] = False
+            places[-1:] = False
+            room[places] = data[kept]
+            view = memoryview(room.tobytes())
+            lows, highs = at[window_starts].tolist(), (at[window_starts + window - 1] + (stop - start)[window_starts + window - 1]).tolist()
+            return (view[low:high] for low, high in zip(lows, highs))
+
+        yield first, end, bounds, hashes, starts, spelled
 
 
 def pack(sorted_hashes: np.ndarray) -> bytes:
@@ -90,7 +159,7 @@ def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _chunk_hashes(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct window hashes in order, and whether each was seen more than once."""
-    found = [hashes for *_, hashes, _ in _runs(texts, window)]
+    found = [run[3] for run in _runs(texts, window)]
     hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
     del found
     hashes.sort()
@@ -142,6 +211,98 @@ def _count(table: pa.Table) -> pa.Table:
     )
 
 
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+_PAIR = np.dtype([("hash", "<u8"), ("high", "<u8"), ("low", "<u8")])
+
+
+def _among(sorted_known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(sorted_known):
+        return np.zeros(len(hashes), bool)
+    return sorted_known[np.minimum(np.searchsorted(sorted_known, hashes), len(sorted_known) - 1)] == hashes
+
+
+def _spelled_pairs(texts: pa.Array, window: int, known: np.ndarray, digest=_digest) -> np.ndarray:
+    """(hash, digest of the words) of the windows whose hash is known, sorted, with repetitions."""
+    found = [np.empty(0, _PAIR)]
+    for *_, hashes, starts, spelled in _runs(texts, window):
+        hit = np.flatnonzero(_among(known, hashes))
+        if len(hit):
+            pairs = np.empty(len(hit), _PAIR)
+            pairs["hash"] = hashes[hit]
+            digests = np.frombuffer(b"".join(map(digest, spelled(starts[hit]))), "<u8").reshape(-1, 2)
+            pairs["high"], pairs["low"] = digests[:, 0], digests[:, 1]
+            found.append(pairs)
+    pairs = np.concatenate(found)
+    return pairs[np.lexsort((pairs["low"], pairs["high"], pairs["hash"]))]
+
+
+def _confirmer(window: int, buckets: int):
+    """Of each chunk: for the hashes found again, the distinct (hash, digest), by bucket, and which came more than once."""
+
+    def confirm(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = _texts(texts_of) if texts_of.num_rows else pa.array([], pa.large_string())
+        hashes, _ = _chunk_hashes(texts, window)
+        cuts, repeated = _cuts(hashes, buckets), np.zeros(len(hashes), bool)
+        for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits")):
+            first, end = cuts[bucket], cuts[bucket + 1]
+            repeated[first:end] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=end - first)
+        known = hashes[repeated]
+        del hashes, repeated
+        pairs = _spelled_pairs(texts, window, known)
+        first = np.ones(len(pairs), bool)
+        first[1:] = pairs[1:] != pairs[:-1]
+        at = np.flatnonzero(first)
+        again, pairs = np.diff(at, append=len(pairs)) > 1, pairs[at]
+        cuts = _cuts(np.ascontiguousarray(pairs["hash"]), buckets)
+        full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+        chunk = texts_of.column("chunk")[0].as_py() if full else 0
+        return pa.table(
+            {
+                "bucket": pa.array(full, pa.int32()),
+                "chunk": pa.array([chunk] * len(full), pa.int32()),
+                "pairs": pa.array([pairs[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                "again": pa.array([np.packbits(again[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary()),
+            }
+        )
+
+    return confirm
+
+
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """One bucket: for each chunk, the hashes whose words occur more than once in all.
+
+    ``hashes`` are packed; where a chunk has several word sequences for a hash, ``pairs`` has those that repeat.
+    """
+    sent = [np.frombuffer(p.as_py(), _PAIR) for p in table.column("pairs")]
+    again = [np.unpackbits(np.frombuffer(a.as_py(), np.uint8), count=len(s)) for a, s in zip(table.column("again"), sent)]
+    pairs, repeated = np.concatenate(sent), np.concatenate(again).astype(bool)
+    order = np.lexsort((pairs["low"], pairs["high"], pairs["hash"]))
+    ordered, marks = pairs[order], repeated[order]
+    same = ordered[1:] == ordered[:-1]
+    marks[1:] |= same
+    marks[:-1] |= same
+    repeated[order] = marks
+    hashes_of, pairs_of = [], []
+    for own, hit in zip(sent, np.split(repeated, np.cumsum([len(s) for s in sent])[:-1])):
+        several = np.zeros(len(own), bool)
+        equal = own["hash"][1:] == own["hash"][:-1]
+        several[1:] |= equal
+        several[:-1] |= equal
+        hashes_of.append(pack(np.ascontiguousarray(own["hash"][hit & ~several])))
+        pairs_of.append(own[hit & several].tobytes())
+    return pa.table(
+        {
+            "chunk": table.column("chunk"),
+            "bucket": table.column("bucket"),
+            "hashes": pa.array(hashes_of, pa.binary()),
+            "pairs": pa.array(pairs_of, pa.binary()),
+        }
+    )
+
+
 def covered(starts: np.ndarray, window: int, words: int) -> np.ndarray:
     """Which words the windows at ``starts`` cover: the union of their intervals."""
     edges = np.zeros(words + 1, np.int64)
@@ -156,21 +317,20 @@ def intervals(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _remover(window: int, buckets: int):
+def _remover(window: int):
     def remove(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, words_of, gone_of, kept_of = [], [], [], []
+        words_of, gone_of, kept_of = [], [], []
         texts = _texts(texts_of) if texts_of.num_rows else pa.array([], pa.large_string())
-        hashes, _ = _chunk_hashes(texts, window)
-        cuts, repeated = _cuts(hashes, buckets), np.zeros(len(hashes), bool)
-        for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits")):
-            first, end = cuts[bucket], cuts[bucket + 1]
-            repeated[first:end] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=end - first)
-        known = hashes[repeated]
-        del hashes, repeated
-        for first, end, bounds, own, starts in _runs(texts, window):
-            at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-            hit = starts[known[at] == own] if len(known) else starts[:0]
-            gone = covered(hit, window, int(bounds[-1]))
+        answers = answers.sort_by("bucket")
+        known = np.concatenate([np.empty(0, np.uint64), *(unpack(h.as_py()) for h in answers.column("hashes"))])
+        several = np.concatenate([np.empty(0, _PAIR), *(np.frombuffer(p.as_py(), _PAIR) for p in answers.column("pairs"))])
+        doubtful, told = np.unique(several["hash"]), {(int(p["hash"]), int(p["high"]), int(p["low"])) for p in several}
+        for first, end, bounds, own, starts, spelled in _runs(texts, window):
+            hit = _among(known, own)
+            unsure = np.flatnonzero(_among(doubtful, own))
+            for n, words in zip(unsure.tolist(), spelled(starts[unsure]) if len(unsure) else ()):
+                hit[n] = (int(own[n]), *np.frombuffer(_digest(words), "<u8").tolist()) in told
+            gone = covered(starts[hit], window, int(bounds[-1]))
             for row in range(first, end):
                 mine = gone[bounds[row - first] : bounds[row - first + 1]]
                 kept, spans = (texts[row].as_py() or "").encode().split(), intervals(mine)
@@ -179,10 +339,9 @@ def _remover(window: int, buckets: int):
                     del kept[a:b]
                 gone_of.append([{"first": a, "end": b} for a, b in spans])
                 kept_of.append(b" ".join(kept).decode())
-        ids = texts_of.column("doc_id")
         return pa.table(
             {
-                "doc_id": ids,
+                "doc_id": texts_of.column("doc_id"),
                 "n_words": pa.array(words_of, pa.int64()),
                 "removed": pa.array(gone_of, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
                 "kept": pa.array(kept_of, pa.string()),
@@ -207,12 +366,14 @@ def remove_repeats(
         _sender(window, buckets), "bucket int, chunk int, packed binary, again binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(_count, "chunk int, bucket int, bits binary")
-    return (
+    hits = (
         dealt.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(
-            _remover(window, buckets),
-            "doc_id long, n_words long, removed array<struct<first: long, end: long>>, kept string",
-        )
+        .applyInArrow(_confirmer(window, buckets), "bucket int, chunk int, pairs binary, again binary")
+    )
+    told = hits.groupBy("bucket").applyInArrow(_count_pairs, "chunk int, bucket int, hashes binary, pairs binary")
+    return (
+        dealt.groupBy("chunk")
+        .cogroup(told.groupBy("chunk"))
+        .applyInArrow(_remover(window), "doc_id long, n_words long, removed array<struct<first: long, end: long>>, kept string")
     )
-

@@ -90,6 +90,46 @@ def test_substring_dedup(odd, none, window, chunk, bucket):
     assert substrings.remove_repeats(none, window).count() == 0
 
 
+def thue_morse(n, letters):
+    return [letters[bin(k).count("1") % 2] for k in range(n)]
+
+
+def test_words_and_windows_that_alternate_do_not_fall_together(spark):
+    one, other = "".join(thue_morse(1 << 12, "ab")), "".join(thue_morse(1 << 12, "ba"))
+    rows = [(1, f"{words(20)} {one} {words(20, 100)}", "a"), (2, f"{words(20)} {other} {words(20, 100)}", "a")]
+    # and windows of 2048 words
+    rows += [(3, " ".join(thue_morse(2048, ["x", "y"])), "a"), (4, " ".join(thue_morse(2048, ["y", "x"])), "a")]
+    for window in (35, 2048):
+        found = {r.doc_id: r.removed for r in substrings.remove_repeats(frame(spark, rows if window == 2048 else rows[:2]), window).collect()}
+        assert not any(found.values())
+
+
+def test_hits_are_compared_word_by_word(spark, monkeypatch):
+    """With window hashes of 3 bits nearly all windows collide; only equal words may go."""
+    plain = substrings.window_hashes
+
+    def weak(values, bounds, window):
+        hashes, starts = plain(values, bounds, window)
+        return hashes & np.uint64(7 << 61), starts
+
+    monkeypatch.setattr(substrings, "window_hashes", weak)
+    texts = [r[1] for r in ODD if r[0] != 10]
+    chunk = substrings.pa.chunked_array([substrings.pa.array(texts, substrings.pa.string())])
+    table = substrings.pa.table({"doc_id": list(range(len(texts))), "text": chunk, "chunk": [0] * len(texts)})
+    sent = substrings._sender(5, 4)(table)
+    answers = [substrings._count(sent.filter(np.array(sent["bucket"]) == b)) for b in sorted(set(sent["bucket"].to_pylist()))]
+    hits = substrings._confirmer(5, 4)(table, substrings.pa.concat_tables(answers))
+    told = [substrings._count_pairs(hits.filter(np.array(hits["bucket"]) == b)) for b in sorted(set(hits["bucket"].to_pylist()))]
+    found = substrings._remover(5)(table, substrings.pa.concat_tables(told)).to_pylist()
+    assert [(r["n_words"], sum(x["end"] - x["first"] for x in r["removed"]), r["kept"]) for r in found] == list(removed(texts, 5))
+
+
+def test_products_modulo_the_prime():
+    x = np.array([0, 1, 2**61 - 2, 2**31, 2**31 - 1, 123456789012345678], np.uint64)
+    for factor in (1, 2**61 - 2, substrings._BASE % (2**61 - 1)):
+        assert substrings._times(x, factor).tolist() == [int(v) * factor % (2**61 - 1) for v in x]
+
+
 def test_removed_intervals_are_maximal():
     gone = substrings.covered(np.array([1, 2, 8]), 3, 12)
     assert substrings.intervals(gone) == [(1, 5), (8, 11)]
