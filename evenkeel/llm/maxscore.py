@@ -10,7 +10,7 @@ are still competitive.  Scores are exact integers, so nothing depends on the ord
 
 Candidates are dealt into shards and queries into blocks of fixed size; a row of work is
 one block and one shard, and returns k rows a query, which are merged by query.  A first
-round scores every block against one shard, and its thresholds go along with the block.
+round scores every block against one shard of many, and its thresholds go along with the block.
 
 Every row is a candidate for every query but itself, also where rows share their vec_id; equal
 rows (vec_id and vector) are one entry with a count.  Ties go to the smaller vec_id.  Rows whose
@@ -73,7 +73,11 @@ def top_of_shard(
 
     One copy of the query's own entry takes no part, nor need entries below the threshold.
     """
-    copies = copies - ((ids == own) & (postings == query[:, None]).all(0))
+    same = np.flatnonzero(ids == own)
+    same = same[(postings[:, same] == query[:, None]).all(0)]
+    if len(same):
+        copies = copies.copy()
+        copies[same] -= 1
     alive = np.flatnonzero(copies > 0)
     if not len(alive):
         return []
@@ -118,6 +122,8 @@ def _numbers(cell: pa.Scalar) -> np.ndarray:
 def _pairs(batch: pa.RecordBatch) -> Iterator[tuple]:
     """For each pair of a block and a shard: queries, columns (both as wide as need be), the block's and the shard's ids and counts."""
     for n in range(batch.num_rows):
+        if not batch.column("ids")[n].is_valid:  # a shard that no candidate was dealt to
+            continue
         own, ids, copies = (_numbers(batch.column(c)[n]) for c in ("q_ids", "ids", "copies"))
         queries = _numbers(batch.column("q_postings")[n]).reshape(-1, len(own)).T
         columns = _numbers(batch.column("postings")[n]).reshape(-1, len(ids))
@@ -135,10 +141,10 @@ def _seed(top: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = []
-            for _, own, queries, columns, ids, copies in _pairs(batch):
+            known: list = [[None] * (len(c.as_py()) // 8) for c in batch.column("q_ids")]
+            for n, own, queries, columns, ids, copies in _pairs(batch):
                 found = [top_of_shard(q, columns, ids, copies, o, top) for o, q in zip(own, queries)]
-                known.append([f[-1][0] if len(f) == top and f[-1][0] > -_EDGE - 1 else None for f in found])
+                known[n] = [f[-1][0] if len(f) == top and f[-1][0] > -_EDGE - 1 else None for f in found]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in _BLOCK), pa.array(known, pa.list_(pa.int64()))], [*_BLOCK, "known"]
             )
@@ -194,11 +200,9 @@ def search(rows: DataFrame, is_query: Column, top: int = TOP) -> DataFrame:
     blocks = _dealt(vectors.where(is_query), BLOCK_ROWS).select(
         F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("postings").alias("q_postings")
     )
-    first, last = shards.agg(F.min("shard"), F.max("shard")).first()
-    if last is None:
-        first = last = 0
+    last = shards.agg(F.max("shard")).first()[0] or 0
     schema = "block int, q_ids binary, q_copies binary, q_postings binary"
-    seeded = blocks.withColumn("shard", F.lit(first)).join(shards, "shard").drop("shard")
+    seeded = blocks.withColumn("shard", F.col("block") % F.lit(last + 1)).join(shards, "shard", "left").drop("shard")
     blocks = publish(seeded.mapInArrow(_seed(top), f"{schema}, known array<long>"), "maxscore-queries")
     work = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("shard")).join(shards, "shard")
     # the work is in the rows, not in their bytes: deal every pair by itself
