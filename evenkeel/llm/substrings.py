@@ -1,17 +1,22 @@
 """Substring dedup: repeated windows of words, by Rabin-Karp hashes counted in Spark.
 
 Words come from white-space splitting.  Texts are dealt into chunks by a hash of the
-row.  Each chunk hashes every window of its texts (a polynomial over word hashes), sorts the distinct hashes and sends them, cut into ranges of the
-hash space ("buckets") and packed as differences, with a mark on those it saw more than
-once.  A bucket counts the hashes of all chunks and answers each with one bit per hash
-sent.  Hits are then compared: for each window hash that was found again, the chunk sends
-BLAKE2b digests (128 bits) of the words of its windows to the same bucket, which answers a bit for
-each.  The chunk merges the windows whose words repeat into maximal intervals.  A window that repeats
-thousands of times is one entry of each chunk, so no task holds its occurrences.
-
-All windows of all texts are counted.  Window hashes are polynomials modulo the prime 2**61 - 1
-over word hashes that mix each byte with its place, so neither alternating words nor alternating
-letters fall together; windows that do by chance are told apart by their digests.
+row.  Each chunk hashes every window of its texts (a rolling polynomial over word hashes, cut to
+as many bits as the number of windows asks for), sorts the distinct hashes and sends
+them, cut into ranges of the hash space ("buckets") and packed as differences, with a mark
+on those it saw more than once.  A bucket counts the hashes of all chunks and answers each
+with one bit per hash sent.
+
+Hits are then compared: for each hash that was found again, the chunk sends check sums of
+its windows' words (64 bits, by another word hash, put together as a tree) to the same
+bucket, which returns the hashes whose words repeat.  Where a chunk has several
+word sequences for one hash, it gets their check sums too.  The chunk merges the repeated windows
+into maximal intervals.  A window that repeats thousands of times is one entry of
+each chunk, so no task holds its occurrences.
+
+All windows of all texts are counted.  A window is lost by chance only where two word
+sequences agree in hash and check sum, some 2**100 to one for a pair: no run of letters or words that
+is built to fool a polynomial does.
 
 Null and empty texts have no words; texts shorter than a window lose nothing; repeated
 rows are repeats of each other and lose all their windows; an empty input gives an
@@ -22,107 +27,91 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from evenkeel.llm.common import SPLIT_AT_SPACES, byte_runs, mixed, word_edges
+from evenkeel.llm.common import SPLIT_AT_SPACES, byte_runs, mixed, powers, word_edges
 
 WINDOW = 35
 #: Text bytes of a chunk, and windows of a bucket, on average.
 CHUNK_BYTES = 24 << 20
 BUCKET_WINDOWS = 2_000_000
 
-#: Bytes whose marks are made at a time.
-_BLOCK = 1 << 20
-_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-_PRIME = np.uint64((1 << 61) - 1)
-_BASE = 0x16E8FEB86659FD93
-
-
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Modulo the prime, of numbers below 2**64."""
-    x = (x & _PRIME) + (x >> np.uint64(61))
-    return np.where(x >= _PRIME, x - _PRIME, x)
-
-
-def _times(x: np.ndarray, factor: int) -> np.ndarray:
-    """x * factor modulo the prime, by halves of 31 bits."""
-    low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
-    high, low = np.uint64(factor >> 31), np.uint64(factor & ((1 << 31) - 1))
-    x_high, x_low = x >> np.uint64(31), x & low31
-    middle = x_high * low + x_low * high
-    # 2**61 counts as 1, so 2**62 as 2
-    out = _reduced((x_high * high << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & low30) << np.uint64(31)))
-    return _reduced(out + _reduced(x_low * low))
-
-
-def word_values(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A number below the prime for each word, start and end of the words, and each text's range in them."""
-    code = SPLIT_AT_SPACES[data]
-    start, end, bounds = word_edges(code, offsets)
-    if not len(start):
-        return np.empty(0, np.uint64), start, end, bounds
-    marks, began = np.empty(len(data), np.uint64), 0
-    opens = np.zeros(len(data), bool)
-    opens[start] = True
-    for low in range(0, len(data), _BLOCK):
-        part = slice(low, min(low + _BLOCK, len(data)))
-        at = np.arange(part.start, part.stop)
-        first = np.maximum.accumulate(np.where(opens[part], at, began))
-        began = first[-1]
-        key = (at - first).astype(np.uint64) << np.uint64(9) | code[part]
-        marks[part] = mixed(key * _GOLDEN)
-    marks[code == 0] = 0
-    sums = np.add.reduceat(marks, start)
-    return _reduced(mixed(sums ^ (end - start).astype(np.uint64))), start, end, bounds
-
-
-def window_hashes(words: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows inside the texts, and the word each begins at."""
-    if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    # polynomials of windows of 1, 2, 4, ... words, put together to the length that is wanted
-    block, length, out, done = words, 1, None, 0
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Of the word hashes, one for windows and one for check sums.
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Longer words are hashed one by one.
+_LONG = 256
+
+
+def word_values(data: np.ndarray, offsets: np.ndarray, kinds: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """One 64-bit hash of each kind for all words, and each text's range in them.
+
+    A word is taken by eight bytes at a time, mixed after each, so that words of one length up to eight
+    bytes never fall together.
+    """
+    start, end, bounds = word_edges(SPLIT_AT_SPACES[data], offsets)
+    length = end - start
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data), "<u8", padded.tobytes(), strides=(1,))  # the bytes from each place on
+    values = [mixed(length.astype(np.uint64) * np.uint64(seed)) for seed in _SEEDS[:kinds]]
+    long = np.flatnonzero(length > _LONG)
+    left = np.flatnonzero(length <= _LONG)
+    at = 0
+    while len(left):
+        room = length[left] - at
+        piece = eight[start[left] + at]
+        short = room < 8
+        piece[short] &= (np.uint64(1) << (room[short] * 8).astype(np.uint64)) - np.uint64(1)
+        for v, seed in zip(values, _SEEDS):
+            v[left] = mixed((v[left] ^ piece) * np.uint64(seed))
+        left, at = left[room > 8], at + 8
+    for n in long.tolist():
+        digest = hashlib.blake2b(data[start[n] : end[n]], digest_size=16).digest()
+        for k, v in enumerate(values):
+            v[n] = int.from_bytes(digest[8 * k : 8 * k + 8], "little")
+    return values, bounds
+
+
+def window_hashes(words: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    """Rolling polynomials of the windows at ``starts``."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * powers(_BASE, len(words)), out=sums[1:])
+    return mixed((sums[starts + window] - sums[starts]) * powers(_BASE_INVERSE, len(words))[starts])
+
+
+def window_checks(words: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    """Check sums of the windows at ``starts``: pairs of pairs of words, mixed at each level."""
+    block, length, out, done = words, 1, np.full(len(starts), window, np.uint64), 0
     while True:
         if window & length:
-            if out is None:
-                out = block
-            else:
-                n = len(words) - done - length + 1
-                out = _reduced(_times(out[:n], pow(_BASE, length, int(_PRIME))) + block[done : done + n])
+            out = mixed(out * np.uint64(_SEEDS[0]) + block[starts + done])
             done += length
         if 2 * length > window:
-            break
-        block = _reduced(_times(block[:-length], pow(_BASE, length, int(_PRIME))) + block[length:])
+            return out
+        block = mixed(block[:-length] * np.uint64(_SEEDS[1]) + block[length:])
         length *= 2
-    last = np.repeat(bounds[1:], np.diff(bounds))  # end of the text of each word
-    starts = np.flatnonzero(np.arange(len(words)) + window <= last)
-    return mixed(out[starts]), starts
 
 
-def _runs(texts: pa.Array, window: int) -> Iterator[tuple]:
-    """(first row, end row, word bounds, window hashes, window starts, words of a window) over runs of rows."""
+def hash_bits(windows: int) -> int:
+    """Bits of a window's hash: few enough to pack well, enough that of 4,000 windows one is compared in vain."""
+    return min(64, max(32, windows.bit_length() + 12))
+
+
+def _runs(texts: pa.Array, window: int, bits: int, checks: bool = False) -> Iterator[tuple]:
+    """(first row, end row, word bounds, window hashes, window starts, check sums of some starts) over runs of rows."""
     for first, end, data, offsets in byte_runs(texts):
-        words, start, stop, bounds = word_values(data, offsets)
-        hashes, starts = window_hashes(words, bounds, window)
-
-        def spelled(window_starts: np.ndarray) -> Iterator[bytes]:
-            """The words of windows, joined by spaces."""
-            # bytes of words and one space after each
-            kept = SPLIT_AT_SPACES[data] > 0
-            at = np.cumsum(stop - start + 1) - (stop - start + 1)
-            room = np.full(int(at[-1] + stop[-1] - start[-1] + 1) if len(at) else 0, 32, np.uint8)
-            places = np.ones(len(room), bool)
-            places[at[1:] - 1] = False
-            places[-1:] = False
-            room[places] = data[kept]
-            view = memoryview(room.tobytes())
-            lows, highs = at[window_starts].tolist(), (at[window_starts + window - 1] + (stop - start)[window_starts + window - 1]).tolist()
-            return (view[low:high] for low, high in zip(lows, highs))
-
-        yield first, end, bounds, hashes, starts, spelled
+        values, bounds = word_values(data, offsets, 2 if checks else 1)
+        last = np.repeat(bounds[1:], np.diff(bounds))  # end of the text of each word
+        starts = np.flatnonzero(np.arange(len(last)) + window <= last)
+        hashes = window_hashes(values[0], window, starts) if len(starts) else np.empty(0, np.uint64)
+        check = partial(window_checks, values[-1], window)
+        yield first, end, bounds, hashes >> np.uint64(64 - bits), starts, check
 
 
 def pack(sorted_hashes: np.ndarray) -> bytes:
@@ -145,21 +134,17 @@ def _texts(table: pa.Table) -> pa.Array:
     return column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
 
 
-def _shift(buckets: int) -> np.uint64:
-    return np.uint64(64 - (buckets.bit_length() - 1))
-
-
-def _cuts(hashes: np.ndarray, buckets: int) -> np.ndarray:
+def _cuts(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where each bucket's range begins in sorted hashes; buckets is a power of two."""
     if buckets == 1:
         return np.array([0, len(hashes)])
-    lower = np.arange(1, buckets, dtype=np.uint64) << _shift(buckets)
+    lower = np.arange(1, buckets, dtype=np.uint64) << np.uint64(bits - (buckets.bit_length() - 1))
     return np.concatenate([[0], np.searchsorted(hashes, lower), [len(hashes)]])
 
 
-def _chunk_hashes(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _chunk_hashes(texts: pa.Array, window: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct window hashes in order, and whether each was seen more than once."""
-    found = [run[3] for run in _runs(texts, window)]
+    found = [run[3] for run in _runs(texts, window, bits)]
     hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
     del found
     hashes.sort()
@@ -169,10 +154,10 @@ def _chunk_hashes(texts: pa.Array, window: int) -> tuple[np.ndarray, np.ndarray]
     return hashes[at], np.diff(at, append=len(hashes)) > 1
 
 
-def _sender(window: int, buckets: int):
+def _sender(window: int, buckets: int, bits: int):
     def send(table: pa.Table) -> pa.Table:
-        hashes, again = _chunk_hashes(_texts(table), window)
-        cuts = _cuts(hashes, buckets)
+        hashes, again = _chunk_hashes(_texts(table), window, bits)
+        cuts = _cuts(hashes, buckets, bits)
         full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         return pa.table(
             {
@@ -211,59 +196,51 @@ def _count(table: pa.Table) -> pa.Table:
     )
 
 
-def _digest(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=16).digest()
-
-
-_PAIR = np.dtype([("hash", "<u8"), ("high", "<u8"), ("low", "<u8")])
-
-
 def _among(sorted_known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     if not len(sorted_known):
         return np.zeros(len(hashes), bool)
     return sorted_known[np.minimum(np.searchsorted(sorted_known, hashes), len(sorted_known) - 1)] == hashes
 
 
-def _spelled_pairs(texts: pa.Array, window: int, known: np.ndarray, digest=_digest) -> np.ndarray:
-    """(hash, digest of the words) of the windows whose hash is known, sorted, with repetitions."""
-    found = [np.empty(0, _PAIR)]
-    for *_, hashes, starts, spelled in _runs(texts, window):
-        hit = np.flatnonzero(_among(known, hashes))
-        if len(hit):
-            pairs = np.empty(len(hit), _PAIR)
-            pairs["hash"] = hashes[hit]
-            digests = np.frombuffer(b"".join(map(digest, spelled(starts[hit]))), "<u8").reshape(-1, 2)
-            pairs["high"], pairs["low"] = digests[:, 0], digests[:, 1]
-            found.append(pairs)
-    pairs = np.concatenate(found)
-    return pairs[np.lexsort((pairs["low"], pairs["high"], pairs["hash"]))]
+def _unlike_before(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    first = np.ones(len(hashes), bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (checks[1:] != checks[:-1])
+    return first
 
 
-def _confirmer(window: int, buckets: int):
-    """Of each chunk: for the hashes found again, the distinct (hash, digest), by bucket, and which came more than once."""
+def _confirmer(window: int, buckets: int, bits: int):
+    """Of each chunk: for the hashes found again, the distinct (hash, check sum), by bucket, and which came more than once."""
 
     def confirm(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _texts(texts_of) if texts_of.num_rows else pa.array([], pa.large_string())
-        hashes, _ = _chunk_hashes(texts, window)
-        cuts, repeated = _cuts(hashes, buckets), np.zeros(len(hashes), bool)
-        for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits")):
+        hashes, _ = _chunk_hashes(texts, window, bits)
+        cuts, repeated = _cuts(hashes, buckets, bits), np.zeros(len(hashes), bool)
+        for bucket, found in zip(answers.column("bucket").to_pylist(), answers.column("bits")):
             first, end = cuts[bucket], cuts[bucket + 1]
-            repeated[first:end] = np.unpackbits(np.frombuffer(bits.as_py(), np.uint8), count=end - first)
+            repeated[first:end] = np.unpackbits(np.frombuffer(found.as_py(), np.uint8), count=end - first)
         known = hashes[repeated]
         del hashes, repeated
-        pairs = _spelled_pairs(texts, window, known)
-        first = np.ones(len(pairs), bool)
-        first[1:] = pairs[1:] != pairs[:-1]
-        at = np.flatnonzero(first)
-        again, pairs = np.diff(at, append=len(pairs)) > 1, pairs[at]
-        cuts = _cuts(np.ascontiguousarray(pairs["hash"]), buckets)
+        found = [(np.empty(0, np.uint64), np.empty(0, np.uint64))]
+        if len(known):
+            for *_, own, starts, check in _runs(texts, window, bits, checks=True):
+                hit = _among(known, own)
+                if hit.any():
+                    found.append((own[hit], check(starts[hit])))
+        hashes, checks = (np.concatenate(c) for c in zip(*found))
+        del found
+        order = np.lexsort((checks, hashes))
+        hashes, checks = hashes[order], checks[order]
+        at = np.flatnonzero(_unlike_before(hashes, checks))
+        again, hashes, checks = np.diff(at, append=len(hashes)) > 1, hashes[at], checks[at]
+        cuts = _cuts(hashes, buckets, bits)
         full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
         chunk = texts_of.column("chunk")[0].as_py() if full else 0
         return pa.table(
             {
                 "bucket": pa.array(full, pa.int32()),
                 "chunk": pa.array([chunk] * len(full), pa.int32()),
-                "pairs": pa.array([pairs[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+                "packed": pa.array([pack(hashes[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
+                "checks": pa.array([checks[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
                 "again": pa.array([np.packbits(again[cuts[b] : cuts[b + 1]]).tobytes() for b in full], pa.binary()),
             }
         )
@@ -271,34 +248,34 @@ def _confirmer(window: int, buckets: int):
     return confirm
 
 
-def _count_pairs(table: pa.Table) -> pa.Table:
-    """One bucket: for each chunk, the hashes whose words occur more than once in all.
+def _count_checked(table: pa.Table) -> pa.Table:
+    """One bucket: for each chunk, the hashes whose words occur more than once in all, packed.
 
-    ``hashes`` are packed; where a chunk has several word sequences for a hash, ``pairs`` has those that repeat.
+    A hash for which the chunk has several check sums is not among them; ``several`` has (hash, check
+    sum) of those of its windows that repeat.
     """
-    sent = [np.frombuffer(p.as_py(), _PAIR) for p in table.column("pairs")]
-    again = [np.unpackbits(np.frombuffer(a.as_py(), np.uint8), count=len(s)) for a, s in zip(table.column("again"), sent)]
-    pairs, repeated = np.concatenate(sent), np.concatenate(again).astype(bool)
-    order = np.lexsort((pairs["low"], pairs["high"], pairs["hash"]))
-    ordered, marks = pairs[order], repeated[order]
-    same = ordered[1:] == ordered[:-1]
+    hashes_of = [unpack(p.as_py()) for p in table.column("packed")]
+    checks_of = [np.frombuffer(c.as_py(), np.uint64) for c in table.column("checks")]
+    again = [np.unpackbits(np.frombuffer(a.as_py(), np.uint8), count=len(h)) for a, h in zip(table.column("again"), hashes_of)]
+    hashes, checks, repeated = np.concatenate(hashes_of), np.concatenate(checks_of), np.concatenate(again).astype(bool)
+    order = np.lexsort((checks, hashes))
+    marks, same = repeated[order], ~_unlike_before(hashes[order], checks[order])[1:]
     marks[1:] |= same
     marks[:-1] |= same
     repeated[order] = marks
-    hashes_of, pairs_of = [], []
-    for own, hit in zip(sent, np.split(repeated, np.cumsum([len(s) for s in sent])[:-1])):
-        several = np.zeros(len(own), bool)
-        equal = own["hash"][1:] == own["hash"][:-1]
+    packed, several_of = [], []
+    for own, check, hit in zip(hashes_of, checks_of, np.split(repeated, np.cumsum([len(h) for h in hashes_of])[:-1])):
+        several, equal = np.zeros(len(own), bool), own[1:] == own[:-1]
         several[1:] |= equal
         several[:-1] |= equal
-        hashes_of.append(pack(np.ascontiguousarray(own["hash"][hit & ~several])))
-        pairs_of.append(own[hit & several].tobytes())
+        packed.append(pack(own[hit & ~several]))
+        several_of.append(np.stack([own, check], 1)[hit & several].tobytes())
     return pa.table(
         {
             "chunk": table.column("chunk"),
             "bucket": table.column("bucket"),
-            "hashes": pa.array(hashes_of, pa.binary()),
-            "pairs": pa.array(pairs_of, pa.binary()),
+            "packed": pa.array(packed, pa.binary()),
+            "several": pa.array(several_of, pa.binary()),
         }
     )
 
@@ -317,19 +294,19 @@ def intervals(gone: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _remover(window: int):
+def _remover(window: int, bits: int):
     def remove(texts_of: pa.Table, answers: pa.Table) -> pa.Table:
         words_of, gone_of, kept_of = [], [], []
         texts = _texts(texts_of) if texts_of.num_rows else pa.array([], pa.large_string())
         answers = answers.sort_by("bucket")
-        known = np.concatenate([np.empty(0, np.uint64), *(unpack(h.as_py()) for h in answers.column("hashes"))])
-        several = np.concatenate([np.empty(0, _PAIR), *(np.frombuffer(p.as_py(), _PAIR) for p in answers.column("pairs"))])
-        doubtful, told = np.unique(several["hash"]), {(int(p["hash"]), int(p["high"]), int(p["low"])) for p in several}
-        for first, end, bounds, own, starts, spelled in _runs(texts, window):
+        known = np.concatenate([np.empty(0, np.uint64), *(unpack(p.as_py()) for p in answers.column("packed"))])
+        several = np.concatenate([np.empty((0, 2), np.uint64), *(np.frombuffer(s.as_py(), np.uint64).reshape(-1, 2) for s in answers.column("several"))])
+        doubtful, told = np.unique(several[:, 0]), set(map(tuple, several.tolist()))
+        for first, end, bounds, own, starts, check in _runs(texts, window, bits, checks=len(told) > 0):
             hit = _among(known, own)
             unsure = np.flatnonzero(_among(doubtful, own))
-            for n, words in zip(unsure.tolist(), spelled(starts[unsure]) if len(unsure) else ()):
-                hit[n] = (int(own[n]), *np.frombuffer(_digest(words), "<u8").tolist()) in told
+            if len(unsure):
+                hit[unsure] = [pair in told for pair in zip(own[unsure].tolist(), check(starts[unsure]).tolist())]
             gone = covered(starts[hit], window, int(bounds[-1]))
             for row in range(first, end):
                 mine = gone[bounds[row - first] : bounds[row - first + 1]]
@@ -360,20 +337,21 @@ def remove_repeats(
     chunks = max(1, -(-size // chunk_bytes))
     # a window needs at least two bytes a word
     buckets = 1 << max(0, (size // 6 // bucket_windows).bit_length())
+    bits = hash_bits(size // 2)
     row = F.xxhash64("doc_id", "text")
     dealt = docs.withColumn("chunk", F.pmod(row, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    sent = dealt.groupBy("chunk").applyInArrow(
-        _sender(window, buckets), "bucket int, chunk int, packed binary, again binary"
-    )
+    sent = dealt.groupBy("chunk").applyInArrow(_sender(window, buckets, bits), "bucket int, chunk int, packed binary, again binary")
     answers = sent.groupBy("bucket").applyInArrow(_count, "chunk int, bucket int, bits binary")
     hits = (
         dealt.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(_confirmer(window, buckets), "bucket int, chunk int, pairs binary, again binary")
+        .applyInArrow(_confirmer(window, buckets, bits), "bucket int, chunk int, packed binary, checks binary, again binary")
     )
-    told = hits.groupBy("bucket").applyInArrow(_count_pairs, "chunk int, bucket int, hashes binary, pairs binary")
+    told = hits.groupBy("bucket").applyInArrow(_count_checked, "chunk int, bucket int, packed binary, several binary")
     return (
         dealt.groupBy("chunk")
         .cogroup(told.groupBy("chunk"))
-        .applyInArrow(_remover(window), "doc_id long, n_words long, removed array<struct<first: long, end: long>>, kept string")
+        .applyInArrow(
+            _remover(window, bits), "doc_id long, n_words long, removed array<struct<first: long, end: long>>, kept string"
+        )
     )

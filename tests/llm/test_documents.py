@@ -104,30 +104,37 @@ def test_words_and_windows_that_alternate_do_not_fall_together(spark):
         assert not any(found.values())
 
 
-def test_hits_are_compared_word_by_word(spark, monkeypatch):
-    """With window hashes of 3 bits nearly all windows collide; only equal words may go."""
-    plain = substrings.window_hashes
-
-    def weak(values, bounds, window):
-        hashes, starts = plain(values, bounds, window)
-        return hashes & np.uint64(7 << 61), starts
-
-    monkeypatch.setattr(substrings, "window_hashes", weak)
-    texts = [r[1] for r in ODD if r[0] != 10]
-    chunk = substrings.pa.chunked_array([substrings.pa.array(texts, substrings.pa.string())])
-    table = substrings.pa.table({"doc_id": list(range(len(texts))), "text": chunk, "chunk": [0] * len(texts)})
-    sent = substrings._sender(5, 4)(table)
-    answers = [substrings._count(sent.filter(np.array(sent["bucket"]) == b)) for b in sorted(set(sent["bucket"].to_pylist()))]
-    hits = substrings._confirmer(5, 4)(table, substrings.pa.concat_tables(answers))
-    told = [substrings._count_pairs(hits.filter(np.array(hits["bucket"]) == b)) for b in sorted(set(hits["bucket"].to_pylist()))]
-    found = substrings._remover(5)(table, substrings.pa.concat_tables(told)).to_pylist()
-    assert [(r["n_words"], sum(x["end"] - x["first"] for x in r["removed"]), r["kept"]) for r in found] == list(removed(texts, 5))
-
-
-def test_products_modulo_the_prime():
-    x = np.array([0, 1, 2**61 - 2, 2**31, 2**31 - 1, 123456789012345678], np.uint64)
-    for factor in (1, 2**61 - 2, substrings._BASE % (2**61 - 1)):
-        assert substrings._times(x, factor).tolist() == [int(v) * factor % (2**61 - 1) for v in x]
+@pytest.mark.parametrize("chunks", [1, 3])
+def test_hits_are_compared_by_their_words(chunks):
+    """With window hashes of four bits nearly all windows collide; only equal words may go."""
+    pa, of_all = substrings.pa, [r[1] for r in ODD if r[0] != 10]
+    tables = []
+    for c in range(chunks):
+        texts = of_all[c::chunks]
+        tables.append(pa.table({"doc_id": list(range(c, len(of_all), chunks)), "text": pa.array(texts, pa.string()), "chunk": [c] * len(texts)}))
+
+    def by_bucket(sent, count):
+        sent = pa.concat_tables(sent)
+        found = pa.concat_tables([count(sent.filter(np.array(sent["bucket"]) == b)) for b in sorted(set(sent["bucket"].to_pylist()))])
+        return [found.filter(np.array(found["chunk"]) == c) for c in range(chunks)]
+
+    answers = by_bucket([substrings._sender(5, 4, 4)(t) for t in tables], substrings._count)
+    told = by_bucket([substrings._confirmer(5, 4, 4)(t, a) for t, a in zip(tables, answers)], substrings._count_checked)
+    found = [r for t, a in zip(tables, told) for r in substrings._remover(5, 4)(t, a).to_pylist()]
+    found = [(r["n_words"], sum(x["end"] - x["first"] for x in r["removed"]), r["kept"]) for r in sorted(found, key=lambda r: r["doc_id"])]
+    assert found == list(removed(of_all, 5))
+
+
+def test_word_hashes_see_every_byte():
+    texts = ["a", "b", "ab", "ba", "abcdefgh", "abcdefghi", "abcdefgh\x00", "é" * 200, "é" * 201, "x" * 257, "y" * 257, "", "abcdefgi"]
+    runs = list(substrings.byte_runs(substrings.pa.array([" ".join(texts), *texts])))
+    data, offsets = runs[0][2:]
+    values, bounds = substrings.word_values(data, offsets, 2)
+    words_of = [t for t in texts if t]
+    assert bounds.tolist()[:2] == [0, len(words_of)]
+    for v in values:
+        assert len(set(v[: len(words_of)].tolist())) == len(words_of)
+        assert v[: len(words_of)].tolist() == v[len(words_of) :].tolist()
 
 
 def test_removed_intervals_are_maximal():
