@@ -1,39 +1,54 @@
-"""Previous row of a series, without sorting a whole series in one task."""
+"""Neighbouring rows of a series, without sorting a whole series in one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def with_previous(
-    df: DataFrame, keys: list[str], at: str, columns: list[str], chunk: int
+def with_neighbours(
+    df: DataFrame,
+    keys: list[str],
+    at: str,
+    columns: list[str],
+    chunk: int,
+    previous: bool = True,
+    following: bool = False,
 ) -> DataFrame:
-    """Add ``prev_<c>`` for ``at`` (a bigint) and each of ``columns``.
+    """Add ``prev_<c>`` and, or, ``next_<c>`` for ``at`` (a bigint) and each of ``columns``.
 
     A series is cut into chunks of ``chunk`` units of ``at``, so a hot series is
-    sorted by many tasks.  The last row of a chunk, found by a map-side combined
-    aggregate, is carried into the series' next non-empty chunk.
+    sorted by many tasks.  The rows are shuffled once, by series and chunk; the ends of
+    the chunks, one row each, come from that same shuffle and are carried to the
+    neighbouring chunk that is not empty.  Rows of one time go by their columns.
     """
+    fields = [at, *columns]
     rows = df.select(
-        *keys, F.col(at), *columns, F.floor(F.col(at) / F.lit(chunk)).cast("bigint").alias("chunk")
-    )
-    last = rows.groupBy(*keys, "chunk").agg(
-        F.max(at).alias(at), *[F.max_by(c, at).alias(c) for c in columns]
-    )
-    by_series = Window.partitionBy(*keys).orderBy("chunk")
-    carried = last.withColumn("chunk", F.lead("chunk").over(by_series)).where("chunk IS NOT NULL")
-    both = rows.withColumn("carried", F.lit(False)).unionByName(
-        carried.withColumn("carried", F.lit(True))
-    )
-    by_chunk = Window.partitionBy(*keys, "chunk").orderBy(at, F.col("carried").desc())
-    return (
-        both.select(
-            *keys,
-            at,
-            *columns,
-            "carried",
-            *[F.lag(c).over(by_chunk).alias("prev_" + c) for c in [at, *columns]],
-        )
-        .where("NOT carried")
-        .drop("carried")
-    )
+        F.struct(*keys).alias("_key"), *fields, F.floor(F.col(at) / F.lit(chunk)).cast("bigint").alias("_chunk")
+    ).repartition("_key", "_chunk")
+    row = F.struct(*fields)
+    here = Window.partitionBy("_key", "_chunk").orderBy(*fields)
+    series = Window.partitionBy("_key").orderBy("_chunk")
+    sides, ends, carried = {}, {}, {}
+    if previous:
+        sides["_prev"], ends["_last"] = F.lag(row).over(here), F.max(row)
+        carried["_before"] = F.lag("_last").over(series)
+    if following:
+        sides["_next"], ends["_first"] = F.lead(row).over(here), F.min(row)
+        carried["_after"] = F.lead("_first").over(series)
+    local = rows.select("*", *[c.alias(name) for name, c in sides.items()])
+    edges = rows.groupBy("_key", "_chunk").agg(*[c.alias(name) for name, c in ends.items()])
+    edges = edges.select("_key", "_chunk", *[c.alias(name) for name, c in carried.items()])
+    joined = local.join(edges, ["_key", "_chunk"], "left")
+    out = []
+    if previous:
+        side = F.coalesce("_prev", "_before")
+        out += [side[c].alias(f"prev_{c}") for c in fields]
+    if following:
+        side = F.coalesce("_next", "_after")
+        out += [side[c].alias(f"next_{c}") for c in fields]
+    return joined.select("_key.*", *fields, *out)
+
+
+def with_previous(df: DataFrame, keys: list[str], at: str, columns: list[str], chunk: int) -> DataFrame:
+    """Add ``prev_<c>`` for ``at`` (a bigint) and each of ``columns``."""
+    return with_neighbours(df, keys, at, columns, chunk)

@@ -13,9 +13,11 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .adjacent import with_previous
+from .adjacent import with_neighbours, with_previous
 
 MICROS = 1_000_000
+#: Ranges, or steps, of a series that are sorted together.
+CHUNK = 10
 
 
 def _micros(seconds: float) -> int:
@@ -59,8 +61,9 @@ def instant_vector(
 ) -> DataFrame:
     """Latest sample of each series at or before each grid point, within the lookback.
 
-    Samples are first reduced to one per series and step, then each survivor is
-    offered to the few grid points it can serve.
+    Samples are first reduced to one per series and step.  Each survivor serves the grid
+    points up to its successor, so that no point is offered two: what is shuffled
+    does not grow with the lookback.
     """
     step, lookback = _micros(step_seconds), _micros(lookback_seconds)
     reach = start - timedelta(seconds=lookback_seconds)
@@ -68,14 +71,14 @@ def instant_vector(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
     first = _grid_at_or_after(F.col("us"), step)
-    slots = rows.groupBy(*keys, first.alias("first")).agg(
-        F.max("us").alias("us"), F.max_by("value", "us").alias("value")
-    )
-    points = _on_grid(F.col("first"), F.col("us") + F.lit(lookback - 1), start, end, step)
-    offered = slots.select(*keys, F.explode(points).alias("g"), "us", "value")
+    slots = rows.groupBy(*keys, first.alias("first")).agg(F.max(F.struct("us", "value")).alias("latest"))
+    slots = slots.select(*keys, "latest.us", "latest.value", "first")
+    until = F.col("us") + F.lit(lookback - 1)
     if lookback > step:
-        offered = offered.groupBy(*keys, "g").agg(F.max_by("value", "us").alias("value"))
-    return _grid_time(offered.select(*keys, "g", "value"))
+        slots = with_neighbours(slots, keys, "us", ["value", "first"], CHUNK * max(step, lookback), False, True)
+        until = F.least(until, F.col("next_first") - F.lit(1))  # the last one has no successor; least skips nulls
+    points = _on_grid(F.col("first"), until, start, end, step)
+    return _grid_time(slots.select(*keys, F.explode(points).alias("g"), "value"))
 
 
 def instant(
@@ -91,7 +94,7 @@ def instant(
     return (
         samples.where((F.col(ts) > instant_literal(since)) & (F.col(ts) <= instant_literal(at)))
         .groupBy(*keys)
-        .agg(F.max_by(value, ts).alias("value"))
+        .agg(F.max(F.struct(ts, value))[value].alias("value"))
     )
 
 
@@ -129,7 +132,7 @@ def increase(
     rows = samples.where((F.col(ts) > instant_literal(reach)) & (F.col(ts) <= instant_literal(end))).select(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
-    chunk = 10 * max(span, step) if chunk_seconds is None else _micros(chunk_seconds)
+    chunk = CHUNK * max(span, step) if chunk_seconds is None else _micros(chunk_seconds)
     pairs = with_previous(rows, keys, "us", ["value"], chunk).where(
         F.col("prev_us") > F.col("us") - F.lit(span)
     )

@@ -64,9 +64,20 @@ def test_scaling_neither_shuffles_nor_sorts_the_values(spark, samples):
     assert "Exchange hashpartitioning" not in text and "Sort" not in text and "BroadcastHashJoin" in text
 
 
-def test_samples_are_combined_before_the_first_shuffle(spark, samples):
-    text = physical(build("instant", spark, samples))
-    assert text.count("partial_max_by") == 2 and "Window" not in text
+@pytest.mark.parametrize("lookback", [300, 36_000])
+def test_samples_are_combined_before_the_first_shuffle(spark, samples, lookback):
+    text = physical(ts.instant_vector(samples, ["k", "pod"], T0, END, 60, lookback))
+    assert "partial_max(struct(us" in text
+    # no aggregate above the explode: what is shuffled does not grow with the lookback
+    assert "Aggregate" not in text.split("Generate explode")[0] and "Exchange" not in text.split("Generate explode")[0]
+
+
+def test_neighbours_come_from_one_shuffle_of_the_rows(spark, samples):
+    df = ts.increase(samples, ["k", "pod"], T0, END)
+    df.collect()
+    text = physical(df)
+    final = text.split("== Initial Plan ==")[0]
+    assert final.count("Scan parquet") == 1 and "ReusedExchange" in final, final
 
 
 def test_stage_tables_need_a_shared_folder_on_a_cluster(monkeypatch):
