@@ -5,21 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def with_neighbours(
-    df: DataFrame,
-    keys: list[str],
-    at: str,
-    columns: list[str],
-    chunk: int,
-    previous: bool = True,
-    following: bool = False,
+def in_chunks(df: DataFrame, keys: list[str], at: str, chunk: int, reach: int) -> DataFrame:
+    """Adds ``chunk`` and ``own``: each row in the chunk of its time, and again, not its own, in those it reaches into.
+
+    A row reaches ``reach`` units of ``at`` (a bigint) ahead.  Where a chunk is much longer than
+    that, few rows come twice, and whatever lies within reach of a row of a chunk is found inside it:
+    one shuffle by series and chunk, and a hot series is sorted by many tasks.
+    """
+    first = F.floor(F.col(at) / F.lit(chunk)).cast("bigint")
+    last = F.floor((F.col(at) + F.lit(reach)) / F.lit(chunk)).cast("bigint")
+    rows = df.select("*", first.alias("_first"), F.explode(F.sequence(first, last)).alias("chunk"))
+    return rows.withColumn("own", F.col("chunk") == F.col("_first")).drop("_first")
+
+
+def with_previous_within(
+    df: DataFrame, keys: list[str], at: str, columns: list[str], chunk: int, reach: int
 ) -> DataFrame:
-    """Add ``prev_<c>`` and, or, ``next_<c>`` for ``at`` (a bigint) and each of ``columns``.
+    """Add ``prev_<c>`` for ``at`` and each of ``columns`` to the rows whose previous row lies less than ``reach`` behind."""
+    rows = in_chunks(df.select(*keys, at, *columns), keys, at, chunk, reach)
+    here = Window.partitionBy(*keys, "chunk").orderBy(at, F.col("own"))
+    sides = [F.lag(c).over(here).alias(f"prev_{c}") for c in (at, *columns)]
+    near = F.col("own") & (F.col(f"prev_{at}") > F.col(at) - F.lit(reach))
+    return rows.select(*keys, at, *columns, "own", *sides).where(near).drop("own")
+
+
+def with_previous(df: DataFrame, keys: list[str], at: str, columns: list[str], chunk: int) -> DataFrame:
+    """Add ``prev_<c>`` for ``at`` (a bigint) and each of ``columns``, however far behind.
 
     A series is cut into chunks of ``chunk`` units of ``at``, so a hot series is
-    sorted by many tasks.  The rows are shuffled once, by series and chunk; the ends of
-    the chunks, one row each, come from that same shuffle and are carried to the
-    neighbouring chunk that is not empty.  Rows of one time go by their columns.
+    sorted by many tasks.  The rows are shuffled once, by series and chunk; the last rows of
+    the chunks come from that same shuffle and are carried to the next chunk that is not
+    empty.  Rows of one time go by their columns.
     """
     fields = [at, *columns]
     rows = df.select(
@@ -27,28 +43,9 @@ def with_neighbours(
     ).repartition("_key", "_chunk")
     row = F.struct(*fields)
     here = Window.partitionBy("_key", "_chunk").orderBy(*fields)
-    series = Window.partitionBy("_key").orderBy("_chunk")
-    sides, ends, carried = {}, {}, {}
-    if previous:
-        sides["_prev"], ends["_last"] = F.lag(row).over(here), F.max(row)
-        carried["_before"] = F.lag("_last").over(series)
-    if following:
-        sides["_next"], ends["_first"] = F.lead(row).over(here), F.min(row)
-        carried["_after"] = F.lead("_first").over(series)
-    local = rows.select("*", *[c.alias(name) for name, c in sides.items()])
-    edges = rows.groupBy("_key", "_chunk").agg(*[c.alias(name) for name, c in ends.items()])
-    edges = edges.select("_key", "_chunk", *[c.alias(name) for name, c in carried.items()])
-    joined = local.join(edges, ["_key", "_chunk"], "left")
-    out = []
-    if previous:
-        side = F.coalesce("_prev", "_before")
-        out += [side[c].alias(f"prev_{c}") for c in fields]
-    if following:
-        side = F.coalesce("_next", "_after")
-        out += [side[c].alias(f"next_{c}") for c in fields]
-    return joined.select("_key.*", *fields, *out)
-
-
-def with_previous(df: DataFrame, keys: list[str], at: str, columns: list[str], chunk: int) -> DataFrame:
-    """Add ``prev_<c>`` for ``at`` (a bigint) and each of ``columns``."""
-    return with_neighbours(df, keys, at, columns, chunk)
+    local = rows.select("*", F.lag(row).over(here).alias("_lag"))
+    ends = rows.groupBy("_key", "_chunk").agg(F.max(row).alias("_last"))
+    before = F.lag("_last").over(Window.partitionBy("_key").orderBy("_chunk"))
+    joined = local.join(ends.select("_key", "_chunk", before.alias("_before")), ["_key", "_chunk"], "left")
+    side = F.coalesce("_lag", "_before")
+    return joined.select("_key.*", *fields, *[side[c].alias(f"prev_{c}") for c in fields])

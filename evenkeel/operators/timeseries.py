@@ -13,7 +13,7 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .adjacent import with_neighbours, with_previous
+from .adjacent import in_chunks, with_previous_within
 
 MICROS = 1_000_000
 #: Ranges, or steps, of a series that are sorted together.
@@ -71,14 +71,22 @@ def instant_vector(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
     first = _grid_at_or_after(F.col("us"), step)
-    slots = rows.groupBy(*keys, first.alias("first")).agg(F.max(F.struct("us", "value")).alias("latest"))
-    slots = slots.select(*keys, "latest.us", "latest.value", "first")
+    slots = rows.groupBy(*keys, first.alias("first")).agg(
+        F.max("us").alias("us"), F.max_by("value", "us").alias("value")
+    )
     until = F.col("us") + F.lit(lookback - 1)
-    if lookback > step:
-        slots = with_neighbours(slots, keys, "us", ["value", "first"], CHUNK * max(step, lookback), False, True)
-        until = F.least(until, F.col("next_first") - F.lit(1))  # the last one has no successor; least skips nulls
-    points = _on_grid(F.col("first"), until, start, end, step)
-    return _grid_time(slots.select(*keys, F.explode(points).alias("g"), "value"))
+    if lookback <= step:
+        points = _on_grid(F.col("first"), until, start, end, step)
+        return _grid_time(slots.select(*keys, F.explode(points).alias("g"), "value"))
+    chunk = CHUNK * lookback
+    rows = in_chunks(slots, keys, "us", chunk, lookback - 1)
+    following = F.lead("first").over(Window.partitionBy(*keys, "chunk").orderBy("us"))
+    rows = rows.select(*keys, "chunk", "us", "value", "first", following.alias("next_first"))
+    low = F.greatest("first", F.col("chunk") * F.lit(chunk))
+    # the last one of a chunk has no successor there; least skips nulls
+    high = F.least(until, F.col("next_first") - F.lit(1), (F.col("chunk") + F.lit(1)) * F.lit(chunk) - F.lit(1))
+    points = _on_grid(_grid_at_or_after(low, step), high, start, end, step)
+    return _grid_time(rows.select(*keys, F.explode(points).alias("g"), "value"))
 
 
 def instant(
@@ -94,7 +102,7 @@ def instant(
     return (
         samples.where((F.col(ts) > instant_literal(since)) & (F.col(ts) <= instant_literal(at)))
         .groupBy(*keys)
-        .agg(F.max(F.struct(ts, value))[value].alias("value"))
+        .agg(F.max_by(value, ts).alias("value"))
     )
 
 
@@ -133,9 +141,7 @@ def increase(
         *keys, F.unix_micros(ts).alias("us"), F.col(value).alias("value")
     )
     chunk = CHUNK * max(span, step) if chunk_seconds is None else _micros(chunk_seconds)
-    pairs = with_previous(rows, keys, "us", ["value"], chunk).where(
-        F.col("prev_us") > F.col("us") - F.lit(span)
-    )
+    pairs = with_previous_within(rows, keys, "us", ["value"], chunk, span)
     grown = F.when(F.col("value") < F.col("prev_value"), F.col("value")).otherwise(
         F.col("value") - F.col("prev_value")
     )

@@ -7,7 +7,7 @@ from conftest import loads, metric_values
 from pyspark.sql import functions as F
 
 from evenkeel import stages
-from evenkeel.operators import load_index as li, normalize, packing, plan, poll, timeseries as ts, validate
+from evenkeel.operators import adjacent, load_index as li, normalize, packing, plan, poll, timeseries as ts, validate
 from evenkeel.sources import MetricDef
 
 T0 = datetime(2024, 1, 1)
@@ -67,16 +67,19 @@ def test_scaling_neither_shuffles_nor_sorts_the_values(spark, samples):
 @pytest.mark.parametrize("lookback", [300, 36_000])
 def test_samples_are_combined_before_the_first_shuffle(spark, samples, lookback):
     text = physical(ts.instant_vector(samples, ["k", "pod"], T0, END, 60, lookback))
-    assert "partial_max(struct(us" in text
+    assert "partial_max_by" in text
     # no aggregate above the explode: what is shuffled does not grow with the lookback
     assert "Aggregate" not in text.split("Generate explode")[0] and "Exchange" not in text.split("Generate explode")[0]
 
 
 def test_neighbours_come_from_one_shuffle_of_the_rows(spark, samples):
-    df = ts.increase(samples, ["k", "pod"], T0, END)
-    df.collect()
-    text = physical(df)
-    final = text.split("== Initial Plan ==")[0]
+    near = physical(ts.increase(samples, ["k", "pod"], T0, END))
+    # one shuffle of samples, one of the sums
+    assert near.count("Scan parquet") == 1 and near.count("Exchange hashpartitioning") == 2 and "Join" not in near
+    rows = samples.select("k", "pod", F.unix_micros("ts").alias("us"), "value")
+    far = adjacent.with_previous(rows, ["k", "pod"], "us", ["value"], 10_000_000)
+    far.collect()
+    final = physical(far).split("== Initial Plan ==")[0]
     assert final.count("Scan parquet") == 1 and "ReusedExchange" in final, final
 
 
