@@ -52,7 +52,11 @@ def url_host(url: Column) -> Column:
 
 def render_query(template: str) -> Column:
     """Fill ``{{ .field }}`` places of a metric's text from the shard columns."""
-    out = F.lit(template)
+    return render_template(F.lit(template))
+
+
+def render_template(out: Column) -> Column:
+    """``render_query`` for a text that is a column."""
     for field in SHARD_FIELDS:
         value = F.coalesce(F.col(field).cast("string"), F.lit(""))
         out = F.replace(out, F.lit("{{ .%s }}" % field), value)

@@ -44,24 +44,34 @@ def load_index(
 
     Metrics without a weight are ignored; where rows of a uid differ in the shard's
     attributes, the smallest by field order counts.  A result that is not finite becomes NULL, which
-    ``validate.not_finite`` reports.  p must be positive.
+    ``validate.not_finite`` reports.  p must be positive; weights with a column ``p`` bring
+    each ref's own.
     """
     if p <= 0:
         raise ValueError("p must be positive")
     table = weight_table(values.sparkSession, weights)
     x = F.col("value").cast("double")
-    term = F.col("weight").cast("double") * (x if p == 1 else F.pow(x, F.lit(float(p))))
+    own = "p" in table.columns
+    if own:
+        power, root_of = F.when(F.col("p") == 1, x).otherwise(F.pow(x, "p")), [F.max("p").alias("p")]
+    else:
+        power, root_of = (x if p == 1 else F.pow(x, F.lit(float(p)))), []
+    term = F.col("weight").cast("double") * power
     # grouped by the whole shard, so that the sums are hash aggregates over values;
     # what is sorted by uid is one row per shard
-    sums = values.join(table, _on(table)).groupBy("ref", "shard").agg(F.sum(term).alias("sum"))
+    sums = values.join(table, _on(table)).groupBy("ref", "shard").agg(F.sum(term).alias("sum"), *root_of)
     by_uid = Window.partitionBy("ref", "shard.uid")
     sums = sums.select(
         "ref",
         "shard",
+        *(["p"] if own else []),
         F.sum("sum").over(by_uid).alias("total"),
         F.row_number().over(by_uid.orderBy("shard")).alias("nth"),
     ).where("nth = 1")
-    root = F.col("total") if p == 1 else F.pow(F.col("total"), F.lit(1.0 / p))
+    if own:
+        root = F.when(F.col("p") == 1, F.col("total")).otherwise(F.pow("total", 1.0 / F.col("p")))
+    else:
+        root = F.col("total") if p == 1 else F.pow(F.col("total"), F.lit(1.0 / p))
     return sums.withColumn("norm", root).select(
         "ref",
         "shard",

@@ -179,8 +179,8 @@ def _scaled(x: Column) -> Column:
     )
 
 
-def scaling_table(stats: DataFrame, epsilon: float | None, scale: int = SCALE) -> DataFrame:
-    """Per (ref, metric): median, IQR and the ref-wide offset.
+def scaling_table(stats: DataFrame, epsilon: float | DataFrame | None, scale: int = SCALE) -> DataFrame:
+    """Per (ref, metric): median, IQR and the ref-wide offset, NULL for a ref without epsilon.
 
     Scaling is monotone, so the extremes of the scaled values follow from the
     extremes of the raw ones; the values are not read again.
@@ -197,13 +197,17 @@ def scaling_table(stats: DataFrame, epsilon: float | None, scale: int = SCALE) -
     # one row per metric, so a ref's rows are few
     ref = Window.partitionBy("ref")
     low, high = F.min("low").over(ref), F.max("high").over(ref)
-    offset = -low + F.lit(float(epsilon)) * (high - low)
+    if isinstance(epsilon, DataFrame):
+        ends, share = ends.join(epsilon.select("ref", "epsilon"), "ref", "left"), F.col("epsilon").cast("double")
+    else:
+        share = F.lit(float(epsilon))
+    offset = -low + share * (high - low)
     return ends.select(*KEYS, "median", "iqr", offset.alias("offset"))
 
 
 def robust_scale(
     values: DataFrame,
-    epsilon: float | None = None,
+    epsilon: float | DataFrame | None = None,
     scale: int = SCALE,
     whole_rows: int = WHOLE_GROUP_ROWS,
     rounding: str = "nearest",
@@ -211,7 +215,8 @@ def robust_scale(
     """Scale every metric by its median and IQR; a group without spread becomes 0.
 
     With ``epsilon`` one offset per ref, over all its metrics together, makes every
-    value positive.  ``display_value`` is the text before the offset.
+    value positive; a frame of (ref, epsilon) gives each ref its own.  ``display_value``
+    is the text before the offset.
     """
     table = publish(values, "metric-values")
     stats = quartile_stats(table, whole_rows=whole_rows)
@@ -220,6 +225,8 @@ def robust_scale(
     scaled = table.join(ways, list(KEYS)).withColumn("scaled", _scaled(F.col("value").cast("double")))
     fixed = quantise(F.col("scaled"), scale, rounding)
     final = fixed if epsilon is None else quantise(fixed.cast("double") + F.col("offset"), scale, rounding)
+    if isinstance(epsilon, DataFrame):
+        final = F.when(F.col("offset").isNull(), fixed).otherwise(final)
     return scaled.select(
         "ref",
         "metric_id",

@@ -77,32 +77,23 @@ def _integers(column) -> list[int]:
 _ORDER = [("pinned", "descending"), ("load", "descending"), ("uid", "ascending")]
 
 
-def _pack_whole(cap: int | None):
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.take(pc.sort_indices(group, sort_keys=_ORDER))
-        loads = _integers(group["load"])
-        ids = lpt_fold(loads, max(loads), cap)
-        return group.append_column("replica_id", pa.array(ids, pa.int32()))
-
-    return pack
-
-
-def _pack_slice(cap: int | None):
-    def pack(items: pa.Table, known: pa.Table) -> pa.Table:
-        items = items.take(pc.sort_indices(items, sort_keys=_ORDER))
-        replicas = list(
-            zip(_integers(known["total"]), known["replica_id"].to_pylist(), known["shards"].to_pylist())
-        )
-        loads = _integers(items["load"])
-        if not loads:
-            ids = []
-        else:
-            bucket = _integers(items["bucket"].slice(0, 1))[0]
-            opened = items["opened"][0].as_py()
-            ids = lpt_fold(loads, bucket, cap, replicas, opened)
-        return items.drop_columns(["bucket", "opened"]).append_column("replica_id", pa.array(ids, pa.int32()))
-
-    return pack
+def _pack_whole(group: pa.Table) -> pa.Table:
+    group = group.take(pc.sort_indices(group, sort_keys=_ORDER))
+    loads = _integers(group["load"])
+    ids = lpt_fold(loads, max(loads), group["cap"][0].as_py())
+    return group.append_column("replica_id", pa.array(ids, pa.int32()))
+
+
+def _pack_slice(items: pa.Table, known: pa.Table) -> pa.Table:
+    items = items.take(pc.sort_indices(items, sort_keys=_ORDER))
+    replicas = list(zip(_integers(known["total"]), known["replica_id"].to_pylist(), known["shards"].to_pylist()))
+    loads = _integers(items["load"])
+    if not loads:
+        ids = []
+    else:
+        bucket = _integers(items["bucket"].slice(0, 1))[0]
+        ids = lpt_fold(loads, bucket, items["cap"][0].as_py(), replicas, items["opened"][0].as_py())
+    return items.drop_columns(["bucket", "opened"]).append_column("replica_id", pa.array(ids, pa.int32()))
 
 
 def _least_loaded(sizes: list[tuple], needed: dict) -> list[tuple]:
@@ -115,7 +106,7 @@ def _least_loaded(sizes: list[tuple], needed: dict) -> list[tuple]:
     return wanted
 
 
-def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame:
+def _pack_large(items: DataFrame, slice_rows: int) -> DataFrame:
     """Refs too big for one task, slice after slice.  Every step is a stage table.
 
     The replicas that can still take a shard are kept sorted by load over many files,
@@ -126,7 +117,7 @@ def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame
     order = [F.col("pinned").desc(), F.col("load").desc(), F.col("uid")]
     slices = Slices(items, "ref", order, slice_rows, "packing-slices")
     # one row per large ref, of which there are at most rows / max_group_rows
-    ends = items.groupBy("ref").agg(F.max("load").alias("bucket"), F.min("load").alias("least"))
+    ends = items.groupBy("ref").agg(F.max("load").alias("bucket"), F.min("load").alias("least"), F.max("cap").alias("most"))
     refs = publish(ends, "buckets")
     out_schema = T.StructType(items.schema.fields + [T.StructField("replica_id", T.IntegerType())])
     out_path = stage_path(spark, "packed")
@@ -137,13 +128,13 @@ def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame
         sizes = slices.sizes(number)
         step = (
             slices.read(number)
-            .join(refs.drop("least"), "ref")
+            .join(refs.drop("least", "most"), "ref")
             .join(opened, "ref", "left")
             .withColumn("opened", F.coalesce("opened", F.lit(0)))
         )
         wanted = _least_loaded(open_replicas, sizes)
         least = read_parts(room, "ref", wanted) if wanted else nothing
-        packed = step.groupBy("ref").cogroup(least.groupBy("ref")).applyInArrow(_pack_slice(cap), out_schema)
+        packed = step.groupBy("ref").cogroup(least.groupBy("ref")).applyInArrow(_pack_slice, out_schema)
         packed.write.parquet(f"{out_path}/slice={number}")
         if number + 1 == len(slices):
             break
@@ -155,8 +146,7 @@ def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame
         merged = state.unionByName(added).groupBy("ref", "replica_id")
         merged = merged.agg(F.sum("total").cast("decimal(38,0)").alias("total"), F.sum("shards").alias("shards"))
         with_room = merged.join(refs, "ref").where(F.col("total") + F.col("least") < F.col("bucket"))
-        if cap:
-            with_room = with_room.where(F.col("shards") < cap)
+        with_room = with_room.where(F.col("most").isNull() | (F.col("shards") < F.col("most")))
         state = publish(with_room.select("ref", "replica_id", "total", "shards"), "replicas")
         by_load = [F.col("total"), F.col("replica_id")]
         parts = math.ceil(stored_rows(state) / slice_rows)
@@ -166,21 +156,29 @@ def _pack_large(items: DataFrame, cap: int | None, slice_rows: int) -> DataFrame
 
 def lpt_pack(
     load_indexes: DataFrame,
-    max_shards_per_replica: int | None = None,
+    max_shards_per_replica: int | DataFrame | None = None,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Assignments: ref, replica_id, shard, value, display_value.
 
-    A cap that is unset, zero or negative means no cap.  The pinned shard is put
+    A cap that is unset, zero or negative means no cap; a frame of (ref,
+    max_shards_per_replica) gives each ref its own.  The pinned shard is put
     first wherever it stands, which the original's lookup only manages for some
     positions.
     """
-    cap = max_shards_per_replica if max_shards_per_replica and max_shards_per_replica > 0 else None
+    loads = publish(load_indexes, "load-indexes")
+    if isinstance(max_shards_per_replica, DataFrame):
+        caps = max_shards_per_replica.select("ref", F.col("max_shards_per_replica").cast("int").alias("cap"))
+        loads = publish(loads.join(caps, "ref", "left"), "load-indexes-capped")
+        cap = F.when(F.col("cap") > 0, F.col("cap")).alias("cap")
+    else:
+        cap = F.lit(max_shards_per_replica if (max_shards_per_replica or 0) > 0 else None).cast("int").alias("cap")
     scale = load_indexes.schema["value"].dataType.scale
     units = (F.col("value").cast(T.DecimalType(38, scale)) * F.lit(10**scale)).cast("decimal(38,0)")
     items = project(
-        publish(load_indexes, "load-indexes"),
+        loads,
         "ref",
+        cap,
         F.col("shard.uid").alias("uid"),
         F.col("shard.name").eqNullSafe(F.lit(PINNED_NAME)).alias("pinned"),
         units.alias("load"),
@@ -190,9 +188,9 @@ def lpt_pack(
     )
     small, large = split_by_size(items, "ref", max_group_rows, "packing-items")
     schema = T.StructType(items.schema.fields + [T.StructField("replica_id", T.IntegerType())])
-    packed = small.groupBy("ref").applyInArrow(_pack_whole(cap), schema)
+    packed = small.groupBy("ref").applyInArrow(_pack_whole, schema)
     if large is not None:
-        packed = packed.unionByName(_pack_large(large, cap, max_group_rows))
+        packed = packed.unionByName(_pack_large(large, max_group_rows))
     return packed.select("ref", "replica_id", "shard", "value", "display_value")
 
 

@@ -118,7 +118,17 @@ def poll(
     pairs = shards.select("ref", shard_struct(), *SHARD_FIELDS, F.explode(specs).alias("m")).select(
         "ref", "shard", "namespace", "m.metric_id", "m.query", "m.bound", "m.no_data"
     )
-    on = [c for c in ("metric_id", "namespace", "bound") if c in vectors.columns]
+    return answered(pairs, vectors, scale)
+
+
+def answered(pairs: DataFrame, vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """Metric values for (ref, shard or its fields, namespace, metric_id, query, bound, no_data).
+
+    ``vectors`` has (metric_id, namespace, bound, value), or fewer of these keys, or a ref as well.
+    """
+    if "shard" not in pairs.columns:
+        pairs = pairs.withColumn("shard", shard_struct())
+    on = [c for c in ("ref", "metric_id", "namespace", "bound") if c in vectors.columns]
     found = vectors.groupBy(*on).agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("found"))
     fallback = parse_quantity(F.col("no_data")).cast("double")
     value = F.when(F.col("samples").isNull(), fallback).when(F.col("samples") == 1, F.col("found"))

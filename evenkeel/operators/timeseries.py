@@ -33,9 +33,10 @@ def _us(at: datetime) -> Column:
     return F.unix_micros(instant_literal(at))
 
 
-def _grid_at_or_after(us: Column, step: int) -> Column:
+def _grid_at_or_after(us: Column, step: int | Column) -> Column:
     # div is exact on bigint, / would go through double
-    return F.call_function("div", us + F.lit(step - 1), F.lit(step)) * F.lit(step)
+    step = F.lit(step) if isinstance(step, int) else step
+    return F.call_function("div", us + step - F.lit(1), step) * step
 
 
 def _on_grid(first: Column, until: Column, start: datetime, end: datetime, step: int) -> Column:
@@ -161,15 +162,15 @@ def increase(
         F.max("us").alias("last_us"),
         F.min_by("prev_value", "prev_us").alias("first_value"),
     )
-    return _grid_time(edges.select(*keys, "g", _to_edges(span).alias("value")))
+    return _grid_time(edges.select(*keys, "g", to_edges(F.lit(span)).alias("value")))
 
 
-def _to_edges(span: int) -> Column:
+def to_edges(span: Column) -> Column:
     """Extrapolated growth: up to the range's edge where the nearest sample is close
     (within 1.1 mean gaps), else by half a gap, and never to below a zero reading."""
     sampled = (F.col("last_us") - F.col("first_us")).cast("double")
     gap = sampled / F.col("gaps")
-    to_start = (F.col("first_us") - F.col("g") + F.lit(span)).cast("double")
+    to_start = (F.col("first_us") - F.col("g") + span).cast("double")
     to_end = (F.col("g") - F.col("last_us")).cast("double")
     near = gap * F.lit(1.1)
     to_start = F.when(to_start >= near, gap / 2).otherwise(to_start)

@@ -29,7 +29,7 @@ UPSTREAM_NOT_READY = {
 }
 
 
-def _violations(df: DataFrame, stage: str, reason: str, message: Column) -> DataFrame:
+def violations(df: DataFrame, stage: str, reason: str, message: Column) -> DataFrame:
     return df.select(
         F.lit(stage).alias("stage"), "ref", F.lit(reason).alias("reason"), message.alias("message")
     )
@@ -38,7 +38,7 @@ def _violations(df: DataFrame, stage: str, reason: str, message: Column) -> Data
 def duplicate_ids(definitions: DataFrame, stage: str, reason: str) -> DataFrame:
     """A metric or weight id listed more than once for a ref."""
     repeated = definitions.groupBy("ref", "metric_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return _violations(repeated, stage, reason, F.concat(F.lit("duplicate id "), F.col("metric_id")))
+    return violations(repeated, stage, reason, F.concat(F.lit("duplicate id "), F.col("metric_id")))
 
 
 def metric_exactly_once(
@@ -60,13 +60,13 @@ def metric_exactly_once(
     message = F.format_string(
         "metric %s must occur once in shard %s", F.col("metric_id"), F.col("uid")
     )
-    return _violations(wrong, stage, LOAD_INDEX_ERROR, message)
+    return violations(wrong, stage, LOAD_INDEX_ERROR, message)
 
 
 def not_finite(values: DataFrame, stage: str, reason: str) -> DataFrame:
     """Results that no fixed-point number can hold: NaN, infinities, overflow."""
     message = F.concat(F.lit("not a finite value: "), F.coalesce("display_value", F.lit("null")))
-    return _violations(values.where(F.col("value").isNull()), stage, reason, message)
+    return violations(values.where(F.col("value").isNull()), stage, reason, message)
 
 
 def poll_violations(polled: DataFrame, stage: str = "poll") -> DataFrame:
@@ -79,7 +79,7 @@ def poll_violations(polled: DataFrame, stage: str = "poll") -> DataFrame:
     )
     text = F.concat(message, F.lit(", query:\n"), F.coalesce("query", F.lit("")))
     wrong = polled.where((F.col("samples") > 1) | F.col("value").isNull())
-    return _violations(wrong, stage, POLLING_ERROR, text)
+    return violations(wrong, stage, POLLING_ERROR, text)
 
 
 def first_violation(violations: DataFrame) -> DataFrame:
