@@ -8,7 +8,8 @@ seconds, so that a second engine can reproduce them digit by digit.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import dataclass, replace
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import bind_override, match_labels, parse_quantity, plain_text, url_host
 from ..operators import control, evaluate, load_index as li, normalize, observe, packing, plan, poll, timeseries as ts, validate
 from ..schemas import SHARD_FIELDS, quantise, shard_struct
-from ..sources import MetricDef, Strategy, discover_shards as discover
+from ..sources import MetricDef, Strategy, discover_shards as discover, strategy_tables
 from ..stages import publish, stage_path
 from ..streaming import elect_stream
 from .pipeline import Pipeline
@@ -25,8 +26,23 @@ SCALE = 6
 WEIGHTS = {"rows": "0.2", "quantity": "0.3", "price": "0.5"}
 EPSILON = 0.01
 
-START, END = datetime(2024, 1, 1), datetime(2024, 1, 31)
-AS_OF = datetime(2024, 1, 20)
+DAY = 86_400
+
+
+@dataclass(frozen=True)
+class Span:
+    """Whole days that hold all events, and an instant at 19 thirtieths of them."""
+
+    start: datetime
+    end: datetime
+    as_of: datetime
+
+
+def _span(spark: SparkSession, sf: str) -> Span:
+    ends = event_samples(spark, sf).agg(F.unix_micros(F.min("ts")).alias("low"), F.unix_micros(F.max("ts")).alias("high")).first()
+    low, high = (ends["low"] or 0) // (DAY * 10**6), -(-(ends["high"] or 0) // (DAY * 10**6))
+    start, days = datetime.fromtimestamp(low * DAY, timezone.utc), high - low
+    return Span(start, start + timedelta(days=days), start + timedelta(days=days * 19 // 30))
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -181,14 +197,40 @@ def observations(plans: DataFrame) -> DataFrame:
 
 
 PERIODS = evaluate.Periods(86_400, scale_up=86_400, scale_down=2 * 86_400)
+USER_DAYS = 5
+USER_PERIODS = evaluate.Periods(USER_DAYS * DAY, scale_up=USER_DAYS * DAY, scale_down=2 * USER_DAYS * DAY)
+
+
+def user_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """One plan per user and five days, as ``six_hour_plans`` has them for all: ``ref`` is user/end."""
+    window = USER_DAYS * DAY
+    end = (F.floor(F.unix_seconds("ts") / window).cast("bigint") + 1) * window
+    none = F.lit(None).cast("string")
+    shard = F.struct(*[F.col("event_type").alias("uid") if f == "uid" else none.alias(f) for f in SHARD_FIELDS])
+    loads = (
+        event_samples(spark, sf)
+        .groupBy(F.concat_ws("/", "user_id", end.cast("string")).alias("ref"), "event_type")
+        .agg(_money_sum("value").alias("value"))
+        .select("ref", shard.alias("shard"), "value", plain_text(F.col("value")).alias("display_value"))
+    )
+    return publish(packing.lpt_pack(loads), "user-plans")
+
+
+def _observed_at(rows: DataFrame) -> DataFrame:
+    """``ref`` is the user, ``at`` the end of the window."""
+    at = F.timestamp_seconds(F.substring_index("ref", "/", -1).cast("bigint"))
+    return rows.withColumns({"at": at, "ref": F.substring_index("ref", "/", 1)})
+
+
+def user_observations(plans: DataFrame) -> DataFrame:
+    return _observed_at(plan.plan_identity(plans)).select("ref", "at", "plan_hash", "replicas")
 
 
 def _elections(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """The last election, and the assignments of every observation."""
-    plans = six_hour_plans(spark, sf)
-    elected = evaluate.latest_election(evaluate.replay(observations(plans), PERIODS))
-    observed = plans.withColumn("at", F.timestamp_seconds(F.col("ref").cast("bigint")))
-    return elected, observed.withColumn("ref", F.lit("fleet"))
+    """The last election of every user, and the assignments of every observation."""
+    plans = user_plans(spark, sf)
+    elected = evaluate.latest_election(evaluate.replay(user_observations(plans), USER_PERIODS))
+    return elected, _observed_at(plans)
 
 
 # ---- scans and ingest ---------------------------------------------------------
@@ -249,15 +291,17 @@ def _grid(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def instant_vector(spark, sf):
+    span = _span(spark, sf)
     vector = ts.instant_vector(
-        event_samples(spark, sf), ["user_id", "event_type"], START, END, 6 * 3600, 12 * 3600
+        event_samples(spark, sf), ["user_id", "event_type"], span.start, span.end, 6 * 3600, 12 * 3600
     )
     return _grid(vector, "user_id", "event_type")
 
 
 def _pod_peaks(spark, sf):
+    span = _span(spark, sf)
     series = ts.instant_vector(
-        event_samples(spark, sf), ["event_type", "user_id", "pod"], START, END, 6 * 3600, 24 * 3600
+        event_samples(spark, sf), ["event_type", "user_id", "pod"], span.start, span.end, 6 * 3600, 24 * 3600
     )
     return ts.max_over_series(ts.sum_by(series, ["event_type", "pod"]), ["event_type"])
 
@@ -273,8 +317,9 @@ def quantile_over_time(spark, sf):
 
 
 def quantile_over_time_by_user(spark, sf):
+    span = _span(spark, sf)
     vector = ts.instant_vector(
-        event_samples(spark, sf), ["user_id", "event_type", "pod"], START, END, 6 * 3600, 24 * 3600
+        event_samples(spark, sf), ["user_id", "event_type", "pod"], span.start, span.end, 6 * 3600, 24 * 3600
     )
     peaks = ts.max_over_series(vector, ["user_id", "event_type"])
     return ts.quantile_over_time(peaks, ["user_id", "event_type"], 0.95).select(
@@ -287,8 +332,9 @@ def max_over_time(spark, sf):
 
 
 def _increase(spark, sf, **options):
+    span = _span(spark, sf)
     return ts.increase(
-        event_samples(spark, sf), ["user_id"], START, END, step_seconds=12 * 3600, range_seconds=24 * 3600, **options
+        event_samples(spark, sf), ["user_id"], span.start, span.end, step_seconds=12 * 3600, range_seconds=24 * 3600, **options
     )
 
 
@@ -301,7 +347,8 @@ def increase_extrapolated(spark, sf):
 
 
 def rate_percent(spark, sf):
-    rates = ts.rate(event_samples(spark, sf), ["user_id"], START, END, step_seconds=12 * 3600, range_seconds=24 * 3600)
+    span = _span(spark, sf)
+    rates = ts.rate(event_samples(spark, sf), ["user_id"], span.start, span.end, step_seconds=12 * 3600, range_seconds=24 * 3600)
     return _grid(ts.scale(rates, 100.0), "user_id")
 
 
@@ -335,7 +382,7 @@ EVENT_METRICS = tuple(
 
 
 def poll_cross_fill(spark, sf):
-    vectors = ts.instant(event_samples(spark, sf), ["user_id", "event_type"], AS_OF, 2 * 86_400).select(
+    vectors = ts.instant(event_samples(spark, sf), ["user_id", "event_type"], _span(spark, sf).as_of, 2 * 86_400).select(
         F.col("event_type").alias("metric_id"), F.col("user_id").alias("bound"), "value"
     )
     polled = poll.poll(user_shards(spark, sf), EVENT_METRICS, vectors, SCALE)
@@ -345,7 +392,7 @@ def poll_cross_fill(spark, sf):
 
 
 def _pod_poll(spark, sf):
-    vectors = ts.instant(event_samples(spark, sf), ["user_id", "event_type", "pod"], AS_OF, 4 * 86_400).select(
+    vectors = ts.instant(event_samples(spark, sf), ["user_id", "event_type", "pod"], _span(spark, sf).as_of, 4 * 86_400).select(
         F.col("event_type").alias("metric_id"), F.col("user_id").alias("bound"), "value"
     )
     shards = user_shards(spark, sf).withColumn("ref", F.col("id"))
@@ -359,7 +406,7 @@ def require_single_sample(spark, sf):
 def stale_refs(spark, sf):
     """Users as refs and event types as shards: what was polled before, what is there now."""
     events = event_samples(spark, sf).select("ts", F.col("user_id").alias("ref"), F.col("event_type").alias("uid"))
-    edge = ts.instant_literal(AS_OF)
+    edge = ts.instant_literal(_span(spark, sf).as_of)
     before, now = events.where(F.col("ts") < edge), events.where(F.col("ts") >= edge)
     refs = events.groupBy("ref").agg(
         F.max(F.when(F.col("ts") < edge, F.col("ts"))).alias("last_poll")
@@ -377,7 +424,7 @@ def stale_refs(spark, sf):
 def set_equality(spark, sf):
     """Per user: whether the same event types occur before and after the middle of the time."""
     events = event_samples(spark, sf).select("ts", F.col("user_id").alias("ref"), "event_type")
-    edge = ts.instant_literal(AS_OF)
+    edge = ts.instant_literal(_span(spark, sf).as_of)
     return poll.same_sets(events.where(F.col("ts") < edge), events.where(F.col("ts") >= edge), "event_type")
 
 
@@ -595,7 +642,7 @@ def plan_equal(spark, sf):
 
 
 def evaluation_replay(spark, sf):
-    return _elections_shown(evaluate.replay(observations(six_hour_plans(spark, sf)), PERIODS))
+    return _elections_shown(evaluate.replay(user_observations(user_plans(spark, sf)), USER_PERIODS))
 
 
 def _elections_shown(out: DataFrame) -> DataFrame:
@@ -616,14 +663,18 @@ def _elections_shown(out: DataFrame) -> DataFrame:
 
 
 def evaluation_stream(spark, sf):
-    """The same election as a stream over stored observations, run until it is through."""
+    """The same election as a stream over stored observations, run until it is through.
+
+    The observations come in files of one window, one after another, and a batch takes one.
+    """
     stored = stage_path(spark, "observation-stream")
-    watched = observations(six_hour_plans(spark, sf))
-    watched.write.parquet(stored)
-    stream = spark.readStream.schema(watched.schema).parquet(stored)
+    watched = publish(user_observations(user_plans(spark, sf)), "watched")
+    for row in watched.select("at").distinct().orderBy("at").collect():  # one for each five days
+        watched.where(F.col("at") == F.lit(row["at"])).coalesce(1).write.mode("append").parquet(stored)
+    stream = spark.readStream.schema(watched.schema).option("maxFilesPerTrigger", 1).parquet(stored)
     out = stage_path(spark, "elections")
     query = (
-        elect_stream(stream, PERIODS)
+        elect_stream(stream, USER_PERIODS)
         .writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", stage_path(spark, "election-checkpoint"))
@@ -785,10 +836,58 @@ EVENT_STRATEGY = Strategy(
 
 def strategy_run(spark, sf):
     """A whole run on event samples: poll, scale, index, pack."""
-    run = Pipeline(EVENT_STRATEGY).run(user_shards(spark, sf), labelled_samples(spark, sf), AS_OF)
+    run = Pipeline(EVENT_STRATEGY).run(user_shards(spark, sf), labelled_samples(spark, sf), _span(spark, sf).as_of)
     return _placed(run.assignments)
 
 
+FLEET = {
+    "plain": EVENT_STRATEGY,
+    "pods": replace(
+        EVENT_STRATEGY,
+        metrics=tuple(replace(m, not_equals={"pod": "pod-1"}, within={"k": [str(k) for k in range(50)]}) for m in EVENT_STRATEGY.metrics),
+        p=2, epsilon=0.05, quantile=0.5, step_seconds=12 * 3600, window_seconds=6 * DAY, lookback_seconds=DAY, range_seconds=3 * DAY,
+    ),
+    "twice": EVENT_STRATEGY,
+    "fresh": replace(EVENT_STRATEGY, period_seconds=10 * DAY),
+}
+
+
+def _fleet_run(spark, sf):
+    """Four strategies over the same samples: one lists a metric twice, one is not due and keeps what it had."""
+    as_of = _span(spark, sf).as_of
+    users = user_shards(spark, sf).drop("ref")
+    shards = users.select(F.explode(F.array(*[F.lit(r) for r in FLEET])).alias("ref"), "*")
+    tables = strategy_tables(spark, FLEET)
+    again = tables.metrics.where("ref = 'twice' AND metric_id = 'views'")
+    tables = replace(tables, metrics=tables.metrics.unionByName(again))
+    before = publish(shards.where("ref = 'fresh'").select("ref", shard_struct()), "fleet-before")
+    counts = event_samples(spark, sf).groupBy(F.col("user_id").alias("uid")).agg(F.count(F.lit(1)).alias("n"))
+    ids = F.array(*[F.lit(m.id) for m in EVENT_STRATEGY.metrics])
+    previous = before.join(counts, F.col("shard.uid") == F.col("uid")).select(
+        "ref", F.explode(ids).alias("metric_id"), "shard", F.lit("").alias("query"),
+        F.col("n").cast("decimal(38,9)").alias("value"), F.lit("").alias("display_value"),
+    )
+    polls = spark.createDataFrame([("fresh", as_of - timedelta(days=1))], "ref string, last_poll timestamp")
+    return Pipeline(tables).run(shards, labelled_samples(spark, sf), as_of, polls, publish(previous, "fleet-previous"))
+
+
+def fleet_values(spark, sf):
+    return _fleet_run(spark, sf).metric_values.select(
+        "ref", "metric_id", F.col("shard.uid").alias("uid"), _exact("value", "value")
+    )
+
+
+def fleet_status(spark, sf):
+    """One row a stage and ref, and the gate's verdict on each ref."""
+    run = _fleet_run(spark, sf)
+    gate = run.gate.select(F.lit("gate").alias("stage"), "ref", F.col("stale").alias("ready"), "reason", F.lit("").alias("message"))
+    return run.status.unionByName(gate)
+
+
+def fleet_assignments(spark, sf):
+    return _placed(_fleet_run(spark, sf).assignments)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
     "discover_shards": discover_shards,
@@ -856,4 +955,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rollout_state": rollout_state,
     "change_log": change_log,
     "strategy_run": strategy_run,
+    "fleet_values": fleet_values,
+    "fleet_status": fleet_status,
+    "fleet_assignments": fleet_assignments,
 }

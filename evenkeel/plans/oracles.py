@@ -110,13 +110,16 @@ EVENTS = """ev as (
   select event_id, cast(user_id as varchar) user_id, event_type, 'pod-' || (event_id % 3) pod,
          epoch_us(ts) us, value, props from events)"""
 
-START, END, AS_OF = "1704067200", "1706659200", "1705708800"
+# seconds: whole days around all events, and an instant at 19 thirtieths of them
+START = "(select epoch_us(min(ts)) // 86400000000 * 86400 from events)"
+END = "(select (epoch_us(max(ts)) + 86399999999) // 86400000000 * 86400 from events)"
+AS_OF = f"({START} + ({END} - {START}) // 86400 * 19 // 30 * 86400)"
 
 
 def _grid(step: int) -> str:
     """Multiples of the step in (start, end], in micros."""
     return f"""grid as (
-  select g * {step} * 1000000 g from range({START} // {step}, {END} // {step} + 1) r(g)
+  select g * {step} * 1000000 g from (select unnest(range({START} // {step}, {END} // {step} + 1)) g)
   where g * {step} > {START})"""
 
 
@@ -204,6 +207,32 @@ ELECTION = f"""steps as (
 
 WINDOW_PLANS = [EVENTS, WINDOWED, _pack("six")]
 
+# the same by user, with five days for six hours
+USER_PLANS = [
+    EVENTS,
+    """five as (
+  select user_id || '/' || cast((us // 432000000000 + 1) * 432000 as varchar) ref, event_type uid,
+         cast(sum(cast(value as decimal(18,2))) as decimal(38,6)) load
+  from ev group by 1, 2)""",
+    _pack("five"),
+    """hashed as (
+  select ref, sha256(string_agg(uid || '=' || replica_id, ',' order by uid)) h, max(replica_id) + 1 size
+  from placed group by ref),
+obs as (
+  select split_part(ref, '/', 1) ref, cast(split_part(ref, '/', 2) as bigint) tm, h, cast(size as integer) size,
+         row_number() over (partition by split_part(ref, '/', 1) order by cast(split_part(ref, '/', 2) as bigint)) i
+  from hashed)""",
+]
+USER_ELECTION = (
+    ELECTION.replace("select cast(0 as bigint) i,", "select ref, cast(0 as bigint) i,")
+    .replace("[]) hist\n", "[]) hist from (select distinct ref from obs)\n")
+    .replace("select i, tm, h, winner,", "select ref, i, tm, h, winner,")
+    .replace("select o.i, o.tm,", "select o.ref, o.i, o.tm,")
+    .replace("join obs o on o.i = s.i + 1", "join obs o on o.ref = s.ref and o.i = s.i + 1")
+    .replace("172800", "864000")
+    .replace("86400 end promoted", "432000 end promoted")
+)
+
 
 def _relation(name: str, kind: str, labels: str, value: str, source: str) -> str:
     return f"select '{name}' relation, '{kind}' \"type\", ref, {labels}, {_q(value)} \"value\" from {source}"
@@ -216,11 +245,12 @@ LPT = "longest_processing_time"
 
 
 def _elected(name: str, column: str, total: bool) -> str:
-    source = f"placed join (select {column} tm from steps order by i desc limit 1) e on placed.ref = cast(e.tm as varchar)"
+    last = f"(select ref, {column} tm from steps qualify row_number() over (partition by ref order by i desc) = 1) e"
+    source = f"placed p join {last} on p.ref = e.ref || '/' || cast(e.tm as varchar)"
     if total:
-        inner = f"(select 'fleet' ref, replica_id, sum(load) t from {source} group by replica_id)"
+        inner = f"(select e.ref, replica_id, sum(load) t from {source} group by e.ref, replica_id)"
         return _relation(name, MWTP, "cast(replica_id as integer) replica_id", "t", inner)
-    inner = f"(select 'fleet' ref, uid, replica_id from {source})"
+    inner = f"(select e.ref, uid, replica_id from {source})"
     return _relation(name, MWTP, "uid shard_uid, cast(replica_id as integer) replica_id", "1", inner)
 
 
@@ -231,7 +261,7 @@ def _polled(keys: str, days: int, ref: str) -> list[str]:
         f"""found as (
   select event_type metric_id, user_id uid, count(*) samples, max(v) v from (
     select {keys}, arg_max(value, us) v from ev
-    where us <= {AS_OF}000000 and us > {AS_OF}000000 - {days} * 86400000000 group by {keys})
+    where us <= {AS_OF} * 1000000 and us > {AS_OF} * 1000000 - {days} * 86400000000 group by {keys})
   group by event_type, user_id)""",
         f"""polled as (
   select {ref} ref, metric_id, uid, 'last(' || metric_id || '{{user="' || uid || '"}})' query,
@@ -319,11 +349,11 @@ join (values (1, 'n', 0.000000001), (2, 'u', 0.000001), (3, 'm', 0.001), (4, '',
     + "select 'poll' stage, ref, 'PollingError' reason, message from failed",
     "stale_refs": _with(
         EVENTS,
-        f"""p as (select user_id ref, max(case when us < {AS_OF}000000 then us end) last,
-  list_sort(list(distinct event_type) filter (where us < {AS_OF}000000)) b,
-  list_sort(list(distinct event_type) filter (where us >= {AS_OF}000000)) a from ev group by user_id)""",
-        f"""r as (select ref, ({AS_OF}000000 - last) / 1e6 age,
-  case when last is null then 'NeverPolled' when ({AS_OF}000000 - last) / 1e6 >= 43200 then 'PeriodElapsed'
+        f"""p as (select user_id ref, max(case when us < {AS_OF} * 1000000 then us end) last,
+  list_sort(list(distinct event_type) filter (where us < {AS_OF} * 1000000)) b,
+  list_sort(list(distinct event_type) filter (where us >= {AS_OF} * 1000000)) a from ev group by user_id)""",
+        f"""r as (select ref, ({AS_OF} * 1000000 - last) / 1e6 age,
+  case when last is null then 'NeverPolled' when ({AS_OF} * 1000000 - last) / 1e6 >= 43200 then 'PeriodElapsed'
        when a is distinct from b then 'ShardsChanged' else 'Fresh' end reason from p)""",
     )
     + f"""select ref, reason <> 'Fresh' stale, reason,
@@ -386,8 +416,8 @@ from placed group by ref, replica_id""",
         "both_ as (select ref, uid, a.replica_id x, b.replica_id y from placed a full join later b using (ref, uid))",
     )
     + "select ref, bool_and(x is not distinct from y) equal from both_ group by ref",
-    "evaluation_replay": _with(*WINDOW_PLANS, OBSERVED, ELECTION)
-    + """select 'fleet' ref, tm "at", h plan_hash, winner, proj projection, psize projection_size, elected,
+    "evaluation_replay": _with(*USER_PLANS, USER_ELECTION)
+    + """select ref, tm "at", h plan_hash, winner, proj projection, psize projection_size, elected,
   esize elected_size, promoted, case when ready then 'Ready' else 'AwaitingNewProjection' end reason,
   evaluated last_evaluation, cast(list_sum(list_transform(hist, lambda r: r.n)) as bigint) votes
 from steps where i > 0""",
@@ -420,13 +450,13 @@ from obs cross join range(0, 8) r(d) group by h, tm + d * 21600""",
         "t",
         "(select ref, replica_id, sum(load) t from placed group by ref, replica_id)",
     ),
-    "relation_projected_shards": _with(*WINDOW_PLANS, OBSERVED, ELECTION)
+    "relation_projected_shards": _with(*USER_PLANS, USER_ELECTION)
     + _elected("evaluation_projected_shards", "pat", False),
-    "relation_projected_total_load": _with(*WINDOW_PLANS, OBSERVED, ELECTION)
+    "relation_projected_total_load": _with(*USER_PLANS, USER_ELECTION)
     + _elected("evaluation_projected_replicas_total_load", "pat", True),
-    "relation_evaluation_shards": _with(*WINDOW_PLANS, OBSERVED, ELECTION)
+    "relation_evaluation_shards": _with(*USER_PLANS, USER_ELECTION)
     + _elected("evaluation_shards", "eat", False),
-    "relation_evaluation_total_load": _with(*WINDOW_PLANS, OBSERVED, ELECTION)
+    "relation_evaluation_total_load": _with(*USER_PLANS, USER_ELECTION)
     + _elected("evaluation_replicas_total_load", "eat", True),
     "relation_replica_set_changes": _with(EVENTS, CHANGES)
     + f"""select 'replica_set' "type", 'fleet' ref, 'StatefulSet' target_kind, target, {_q('count(*)')} "value"
@@ -453,8 +483,8 @@ ORACLES["evaluation_stream"] = ORACLES["evaluation_replay"]
 ORACLES["set_equality"] = (
     _with(EVENTS)
     + f"""select user_id ref,
-  coalesce(list_sort(list(distinct event_type) filter (where us < {AS_OF}000000)), [])
-    = coalesce(list_sort(list(distinct event_type) filter (where us >= {AS_OF}000000)), []) same
+  coalesce(list_sort(list(distinct event_type) filter (where us < {AS_OF} * 1000000)), [])
+    = coalesce(list_sort(list(distinct event_type) filter (where us >= {AS_OF} * 1000000)), []) same
 from ev group by user_id"""
 )
 
@@ -530,7 +560,7 @@ select ref, state,
 from v"""
 
 RUN_GRID = f"""grid as (
-  select g * 21600 * 1000000 g from range(({AS_OF} - 864000) // 21600, {AS_OF} // 21600 + 1) r(g)
+  select g * 21600 * 1000000 g from (select unnest(range(({AS_OF} - 864000) // 21600, {AS_OF} // 21600 + 1)) g)
   where g * 21600 > {AS_OF} - 864000)"""
 
 ORACLES["strategy_run"] = (
@@ -570,3 +600,68 @@ ORACLES["strategy_run"] = (
     )
     + PLACED
 )
+
+
+def _readings(ref: str, step: int, window: int, lookback: int, reach: int, q: float, where: str) -> list[str]:
+    """CTEs of one strategy's polled values: ``<ref>_found`` (metric_id, uid, v)."""
+    grid = f"(select unnest(range(({AS_OF} - {window}) // {step}, {AS_OF} // {step} + 1)) * {step} n)"
+    return [
+        f"{ref}_grid as (select n * 1000000 g from {grid} where n > {AS_OF} - {window})",
+        f"""{ref}_gauge as (
+  select event_type, user_id, pod, k, g, arg_max(value, us) v
+  from ev join {ref}_grid on us <= g and us > g - {lookback}000000
+  where event_type in ('view', 'error') and {where} group by all)""",
+        f"""{ref}_counter as (
+  select event_type, user_id, pod, k, g, sum(case when v < pv then v else v - pv end) v
+  from (select event_type, user_id, pod, k, us, value v, lag(us) over w pus, lag(value) over w pv from ev
+        where event_type = 'purchase' and {where} window w as (partition by user_id, pod, k order by us))
+  join {ref}_grid on us <= g and pus > g - {reach}000000 group by all)""",
+        f"""{ref}_pods as (
+  select event_type, user_id, pod, g, sum(v) v from (select * from {ref}_gauge union all select * from {ref}_counter) group by all)""",
+        f"{ref}_peaks as (select event_type, user_id, g, max(v) v from {ref}_pods group by all)",
+        f"""{ref}_found as (
+  select '{ref}' ref, case event_type when 'view' then 'views' when 'error' then 'errors' else 'spent' end metric_id,
+         user_id uid, quantile_cont(v, {q}) v from {ref}_peaks group by all)""",
+    ]
+
+
+_PODS = "pod <> 'pod-1' and try_cast(k as integer) between 0 and 49"
+FLEET_VALUES = [
+    EVENTS.replace("ev as", "raw as"),
+    "ev as (select *, json_extract_string(props, '$.k') k from raw)",
+    *_readings("plain", 21600, 864000, 172800, 432000, 0.95, "true"),
+    *_readings("pods", 43200, 518400, 86400, 259200, 0.5, _PODS),
+    """vals as (
+  select ref, metric_id, uid, cast(cast(coalesce(v, 0) as decimal(38,12)) as decimal(38,9)) v
+  from (select distinct user_id uid from ev) cross join (values ('views'), ('errors'), ('spent')) m(metric_id)
+  cross join (values ('plain'), ('pods')) r(ref)
+  left join (from plain_found union all from pods_found) using (ref, metric_id, uid)
+  union all
+  select 'fresh', metric_id, uid, v from (select user_id uid, cast(count(*) as decimal(38,9)) v from ev group by user_id)
+  cross join (values ('views'), ('errors'), ('spent')) m(metric_id))""",
+]
+ORACLES["fleet_values"] = _with(*FLEET_VALUES) + f'select ref, metric_id, uid, {_d("v")} "value" from vals'
+ORACLES["fleet_status"] = """select stage, ref, ready, reason, message from (values
+  ('poll', 'MetricValuesProviderNotReady'), ('normalize', 'MetricValuesProviderNotReady'), ('load_index', 'MetricValuesProviderNotReady'),
+  ('partition', 'LoadIndexProviderNotReady')) s(stage, waits)
+cross join lateral (
+  select ref, ref <> 'twice' ready,
+    case when ref <> 'twice' then 'Ready' when stage = 'poll' then 'MalformedResource' else waits end reason,
+    case when ref = 'twice' and stage = 'poll' then 'duplicate id views' else '' end message
+  from (values ('plain'), ('pods'), ('twice'), ('fresh')) r(ref))
+union all
+select 'gate', ref, ref <> 'fresh', case when ref = 'fresh' then 'Fresh' else 'NeverPolled' end, '' from (values ('plain'), ('pods'), ('twice'), ('fresh')) r(ref)"""
+ORACLES["fleet_assignments"] = (
+    _with(
+        *FLEET_VALUES,
+        _stats("vals"),
+        SCALED.replace("decimal(38,9)", "decimal(38,12)").replace("decimal(38,6)", "decimal(38,9)").replace("0.01 *", "case when ref = 'pods' then 0.05 else 0.01 end *"),
+        """loads as (
+  select ref, uid, cast(cast(pow(sum(w * pow(cast(s as double), case when ref = 'pods' then 2 else 1 end)), 1.0 / max(case when ref = 'pods' then 2 else 1 end))
+         as decimal(38,12)) as decimal(38,9)) load
+  from lifted join (values ('views', 0.5::double), ('errors', 0.25::double), ('spent', 0.25::double)) t(metric_id, w)
+    using (metric_id) group by ref, uid)""",
+        _pack(),
+    )
+    + PLACED
+)
