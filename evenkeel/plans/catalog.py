@@ -19,7 +19,7 @@ from ..operators import control, evaluate, load_index as li, normalize, observe,
 from ..schemas import SHARD_FIELDS, quantise, shard_struct
 from ..sources import MetricDef, Strategy, discover_shards as discover, strategy_tables
 from ..stages import publish, stage_path
-from ..streaming import elect_stream
+from ..streaming import elect_stream, growth_stream
 from .pipeline import Pipeline
 
 SCALE = 6
@@ -352,6 +352,29 @@ def rate_percent(spark, sf):
     return _grid(ts.scale(rates, 100.0), "user_id")
 
 
+def increase_stream(spark, sf):
+    """Counter growth as a stream that sees the events in four stretches of time.
+
+    Grid points come out once the watermark, an hour behind the last event, has passed them.
+    """
+    span, events = _span(spark, sf), event_samples(spark, sf).select("user_id", "ts", "value")
+    stored, out, marks = (stage_path(spark, name) for name in ("growth-in", "growth-out", "growth-checkpoint"))
+    quarter = (span.end - span.start) / 4
+    for n in range(4):
+        low, high = (ts.instant_literal(span.start + quarter * k) for k in (n, n + 1))
+        events.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(stored)
+        stream = growth_stream(spark.readStream.schema(events.schema).parquet(stored), ["user_id"], 12 * 3600, 24 * 3600, "1 hour")
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", marks)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    return _grid(spark.read.schema(stream.schema).parquet(out), "user_id")
+
+
 BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
 
 
@@ -902,6 +925,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "increase": increase,
     "increase_extrapolated": increase_extrapolated,
     "rate_percent": rate_percent,
+    "increase_stream": increase_stream,
     "histogram_quantile": histogram_quantile,
     "poll_cross_fill": poll_cross_fill,
     "require_single_sample": require_single_sample,

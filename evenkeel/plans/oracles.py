@@ -325,6 +325,9 @@ join (values (1, 'n', 0.000000001), (2, 'u', 0.000001), (3, 'm', 0.001), (4, '',
     + f'select user_id, g // 1000000 "at", {_q("sum(d)")} "value" from grown group by user_id, g',
     "increase_extrapolated": _with(*PAIRS, EXTRAPOLATED)
     + f"""select user_id, g // 1000000 "at", {_q('d * (s + least(ts1, coalesce(z, ts1)) + te1) / s')} "value" from ends""",
+    "increase_stream": _with(*PAIRS)
+    + f"""select user_id, g // 1000000 "at", {_q("sum(d)")} "value" from grown
+where g // 1000 <= (select epoch_us(max(ts)) // 1000 - 3600000 from events) group by user_id, g""",
     "rate_percent": _with(*PAIRS)
     + f'select user_id, g // 1000000 "at", {_q("sum(d) / 86400 * 100")} "value" from grown group by user_id, g',
     "histogram_quantile": _with(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .growth import sliding_quantile_stream
+
 
 def peak_stream(samples: DataFrame, keys: list[str], pod: str, series: str, step: str, watermark: str) -> DataFrame:
     """(keys, grid_ts, value) per step: the largest per-pod sum of the latest samples.
@@ -26,9 +28,11 @@ def peak_stream(samples: DataFrame, keys: list[str], pod: str, series: str, step
 
 
 def quantile_stream(peaks: DataFrame, keys: list[str], q: float, window: str, step: str) -> DataFrame:
-    """Quantile of the peaks over a sliding window; the window holds one value per step."""
-    return (
-        peaks.groupBy(F.window("ts", window, step).alias("w"), *keys)
-        .agg(F.percentile("value", q).alias("value"))
-        .select(*keys, F.col("w.end").alias("grid_ts"), "value")
-    )
+    """Quantile of the peaks over a sliding window; a key's state holds one value a step."""
+    return sliding_quantile_stream(peaks, keys, q, _seconds(window), _seconds(step))
+
+
+def _seconds(interval: str) -> float:
+    """Seconds of an interval text such as ``3 minutes``."""
+    number, unit = interval.split()
+    return float(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")]
