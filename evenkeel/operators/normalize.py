@@ -7,12 +7,16 @@ whole metric in one task and without moving the values themselves:
 1. one aggregate gives count, extremes and approximate quantiles per metric;
 2. a second pass keeps only values inside narrow brackets around the quartiles and
    counts the rest, which yields exact ranks;
-3. the resulting table, one row per metric, is joined back to the values.
+3. where too many values are left for one row, rounds of counts by range narrow each rank to a
+   few of them;
+4. the resulting table, one row per metric, is joined back to the values.
+
+Nothing sorts the values of a metric: they are counted, and short lists picked from.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions.quantity import plain_text
 from ..schemas import SCALE, quantise
@@ -27,6 +31,9 @@ WHOLE_GROUP_ROWS = 100_000
 ACCURACY = 10_000
 FINE_ACCURACY = 100_000
 FINE_FROM_ROWS = 1_000_000_000
+# Distinct values that ranks are picked from in one row, and ranges of a round that narrows them.
+LIST_ROWS = 100_000
+RANGES = 64
 
 
 def _quartile_ranks(n: Column) -> dict[str, Column]:
@@ -70,23 +77,16 @@ def _brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int
     )
 
 
-def _count_whole(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Every value with a count of one: for a table that is small as a whole."""
-    group = Window.partitionBy(*keys)
-    return values.select(
-        *keys,
-        F.count("x").over(group).alias("n"),
-        F.min("x").over(group).alias("least"),
-        F.max("x").over(group).alias("most"),
-        F.lit(True).alias("kept"),
-        "x",
-        F.lit(1).cast("bigint").alias("c"),
-    )
+def _whole(values: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the values at the six ranks, from a list of all: for a table that is small as a whole."""
+    lists = values.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    sized = lists.select(*keys, "xs", F.size("xs").cast("bigint").alias("n"))
+    picks = [F.get("xs", (rank - 1).cast("int")).alias(name) for name, rank in _quartile_ranks(F.col("n")).items()]
+    return sized.select(*keys, "n", F.get("xs", F.lit(0)).alias("least"), F.get("xs", (F.col("n") - 1).cast("int")).alias("most"), *picks)
 
 
-def _count_in_brackets(values: DataFrame, keys: list[str], whole_rows: int, accuracy: int, margin: float) -> DataFrame:
+def _count_in_brackets(values: DataFrame, keys: list[str], brackets: DataFrame) -> DataFrame:
     """Distinct values inside the brackets with their counts, and one count per gap."""
-    brackets = publish(_brackets(values, keys, whole_rows, accuracy, margin), "brackets")
     x = F.col("x")
     inside = F.lit(False)
     for i in range(3):
@@ -109,13 +109,15 @@ def quartile_stats(
     whole_rows: int = WHOLE_GROUP_ROWS,
     accuracy: int | None = None,
     margin: float = 4,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
     """Per group: n, least, most, q1, median, q3, iqr (0 for a single value).
 
     Reads ``df`` twice: hand over a stage table, not a long lazy plan.  A stage table
     of at most ``whole_rows`` rows is read once.  ``margin`` is the half width of a
     bracket in ranks of the sketch; groups with a rank outside its bracket are done
-    again with wider ones, at last with all their values.
+    again with wider ones, at last with all their values.  ``list_rows`` distinct values of a
+    group at most are held by one row.
     """
     rows = stored_rows(df)
     if accuracy is None:
@@ -126,28 +128,119 @@ def quartile_stats(
     keys = list(keys)
     values = df.select(*keys, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
     if rows is not None and rows <= whole_rows:
-        return _means(_picked(_count_whole(values, keys), keys), keys)
+        return _means(_whole(values, keys), keys)
     done, rest = None, values
     for width in (margin, 16 * margin + 16, accuracy):
-        picked = publish(_picked(_count_in_brackets(rest, keys, whole_rows, accuracy, width), keys), "quartiles")
+        brackets = publish(_brackets(rest, keys, whole_rows, accuracy, width), "brackets")
+        counted = _count_in_brackets(rest, keys, brackets)
+        largest = brackets.agg(F.max("n")).first()[0] or 0
+        # by the sketch's error no more than this lies inside three brackets
+        inside = largest if width >= accuracy else max(min(largest, whole_rows), 6 * (width + 1) / accuracy * largest)
+        cells = None
+        if inside > list_rows:
+            counted, cells = _narrowed(counted, keys, list_rows)
+        misses = Observation()
+        picked = _picked(counted, keys, cells).observe(misses, F.count_if(_missed()).alias("n"))
+        picked = publish(picked, "quartiles")
+        if not misses.get["n"]:
+            done = picked if done is None else done.unionByName(picked)
+            break
         found, missed = picked.where(~_missed()), picked.where(_missed())
         done = found if done is None else done.unionByName(found)
-        if missed.isEmpty():
-            break
         rest = values.join(missed.select(*keys), keys, "left_semi")
     return _means(done, keys)
 
 
-def _picked(counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Per group the values at the six ranks; NULL where a rank lies in a gap."""
-    by_value = Window.partitionBy(*keys).orderBy(F.col("x").asc_nulls_first(), F.col("kept").desc())
-    upto = by_value.rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counted.withColumn("upto", F.sum("c").over(upto))
-    picks = []
-    for name, rank in _quartile_ranks(F.col("n")).items():
-        hit = F.col("kept") & (rank <= F.col("upto")) & (rank > F.col("upto") - F.col("c"))
-        picks.append(F.max(F.when(hit, F.col("x"))).alias(name))
-    return ranked.groupBy(*keys, "n", "least", "most").agg(*picks)
+def _in_order(x: Column, kept: Column, c: Column) -> Column:
+    """Entries sort by value, a gap after the value it follows, the gap below all first."""
+    return F.struct(x.isNotNull().alias("valued"), x.alias("x"), (~kept).alias("gap"), c.alias("c"))
+
+
+def _wanted(n: Column) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("name"), rank.alias("rank")) for name, rank in _quartile_ranks(n).items()])
+
+
+def _narrowed(counted: DataFrame, keys: list[str], list_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Entries in cells of at most ``list_rows``, and (keys, n, least, most, name, rank, cell) of each rank wanted.
+
+    Each round cuts the cells that are still too large into ranges of about as many entries each,
+    counts them, and keeps those that a wanted rank falls into, with the rank counted from there.
+    """
+    group = [*keys, "n", "least", "most"]
+    start = F.lit(0).cast("bigint").alias("cell")
+    data = publish(counted.select("*", start), "rank-entries")
+    wanted = data.select(*group).distinct().select(*group, F.inline(_wanted(F.col("n"))))
+    wanted = publish(wanted.select("*", start), "ranks")
+    while True:
+        sizes = data.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("entries")).where(F.col("entries") > list_rows)
+        spots = [i / RANGES for i in range(1, RANGES)]
+        edges = data.join(sizes, [*keys, "cell"]).groupBy(*keys, "cell").agg(F.percentile_approx("x", spots, 1000).alias("edges"))
+        edges = publish(edges, "rank-edges")
+        if not stored_rows(edges):
+            return data, wanted
+        # the range that begins at the last edge below the value; cells without edges stay as they are
+        nth = F.when(F.col("edges").isNotNull(), F.size(F.filter("edges", lambda e: e < F.col("x"))))
+        nth = F.when(F.col("edges").isNotNull() & F.col("x").isNull(), F.lit(0)).otherwise(nth)
+        cut = data.join(edges, [*keys, "cell"], "left").select(*group, "cell", "kept", "x", "c", nth.alias("nth"))
+        cut = publish(cut, "rank-cut")
+        counts = cut.where("nth IS NOT NULL").groupBy(*keys, "cell", "nth").agg(F.sum("c").alias("c"))
+        lists = counts.groupBy(*keys, "cell").agg(F.array_sort(F.collect_list(F.struct("nth", "c"))).alias("counts"))
+        zero = F.lit(0).cast("bigint")
+        found = F.aggregate(
+            "counts",
+            F.struct(F.lit(None).cast("int").alias("nth"), zero.alias("upto"), zero.alias("before")),
+            lambda s, e: F.when(s["nth"].isNotNull(), s).otherwise(
+                F.struct(
+                    F.when(F.col("rank") <= s["upto"] + e["c"], e["nth"]).alias("nth"),
+                    (s["upto"] + e["c"]).alias("upto"),
+                    s["upto"].alias("before"),
+                )
+            ),
+        )
+        placed = wanted.join(lists, [*keys, "cell"], "left").withColumn("at", F.when(F.col("counts").isNotNull(), found))
+        inner = F.col("cell") * F.lit(RANGES) + 1
+        wanted = publish(
+            placed.select(
+                *group, "name",
+                F.when(F.col("at").isNotNull(), F.col("rank") - F.col("at.before")).otherwise(F.col("rank")).alias("rank"),
+                F.when(F.col("at").isNotNull(), inner + F.col("at.nth")).otherwise(F.col("cell")).alias("cell"),
+            ),
+            "ranks",
+        )
+        moved = cut.withColumn("cell", F.when(F.col("nth").isNotNull(), inner + F.col("nth")).otherwise(F.col("cell"))).drop("nth")
+        data = publish(moved.join(wanted.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi"), "rank-entries")
+
+
+def _picked(counted: DataFrame, keys: list[str], ranks: DataFrame | None = None) -> DataFrame:
+    """Per group the values at the six ranks; NULL where a rank lies in a gap.
+
+    ``ranks`` are those of ``_narrowed``; without them each group is one cell.
+    """
+    group, cell = [*keys, "n", "least", "most"], [] if ranks is None else ["cell"]
+    entry = _in_order(F.col("x"), F.col("kept"), F.col("c"))
+    lists = counted.groupBy(*group, *cell).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    if ranks is None:
+        lists = lists.withColumn("wanted", _wanted(F.col("n")))
+    else:
+        asked = ranks.groupBy(*keys, "cell").agg(F.collect_list(F.struct("name", "rank")).alias("wanted"))
+        lists = lists.join(asked, [*keys, "cell"])
+    # one pass over a list: each rank wanted takes the entry that its count falls into
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("upto"),
+        F.transform("wanted", lambda w: F.struct(w["name"].alias("name"), w["rank"].alias("rank"), F.lit(None).cast("double").alias("x"))).alias("found"),
+    )
+
+    def step(s: Column, e: Column) -> Column:
+        upto = s["upto"] + e["c"]
+        hit = lambda f: ~e["gap"] & (f["rank"] > s["upto"]) & (f["rank"] <= upto)
+        found = F.transform(
+            s["found"], lambda f: F.struct(f["name"].alias("name"), f["rank"].alias("rank"), F.when(hit(f), e["x"]).otherwise(f["x"]).alias("x"))
+        )
+        return F.struct(upto.alias("upto"), F.when(F.exists(s["found"], hit), found).otherwise(s["found"]).alias("found"))
+
+    found = lists.select(*group, F.explode(F.aggregate("entries", start, step)["found"]).alias("f"))
+    picks = [F.max(F.when(F.col("f.name") == name, F.col("f.x"))).alias(name) for name in _quartile_ranks(F.col("n"))]
+    return found.groupBy(*group).agg(*picks)
 
 
 def _missed() -> Column:

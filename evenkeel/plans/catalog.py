@@ -472,6 +472,14 @@ def quartiles_bracketed(spark, sf):
     return _stats(normalize.quartile_stats(prices, whole_rows=1000, accuracy=1000))
 
 
+def quartiles_refined(spark, sf):
+    """The same with lists so short that ranks are narrowed by counts of ranges first."""
+    prices = _read(spark, sf, "lineitem").select(
+        F.col("l_linestatus").alias("ref"), F.col("l_returnflag").alias("metric_id"), F.col("l_extendedprice").alias("value")
+    )
+    return _stats(normalize.quartile_stats(prices, whole_rows=100, accuracy=50, list_rows=40))
+
+
 def _scaled(df: DataFrame) -> DataFrame:
     return df.select("ref", "metric_id", F.col("shard.uid").alias("uid"), _exact("value", "value"))
 
@@ -933,6 +941,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "set_equality": set_equality,
     "quartiles": quartiles,
     "quartiles_bracketed": quartiles_bracketed,
+    "quartiles_refined": quartiles_refined,
     "robust_scale": robust_scale,
     "robust_scale_offset": robust_scale_offset,
     "load_index_p1": _load_index(1),

@@ -482,6 +482,7 @@ from part group by p_brand, p_size having count(*) > 1""",
 }
 
 ORACLES["evaluation_stream"] = ORACLES["evaluation_replay"]
+ORACLES["quartiles_refined"] = ORACLES["quartiles_bracketed"]
 
 ORACLES["set_equality"] = (
     _with(EVENTS)

@@ -113,3 +113,22 @@ def test_load_index_sorts_no_values(spark, p):
     values = metric_values(spark, [("r", m, f"s{i}", float(i)) for i in range(20) for m in ("a", "b")])
     text = physical(li.load_index(values, {"a": "1", "b": "500m"}, p))
     assert "HashAggregate" in text and "SortAggregate" not in text
+
+
+def test_quartiles_sort_no_values(spark, samples, monkeypatch):
+    """No window and no sort over the values, whether they are listed, bracketed or narrowed."""
+    seen = []
+    plain = normalize.publish
+
+    def spied(df, name="stage"):
+        seen.append(physical(df))
+        return plain(df, name)
+
+    monkeypatch.setattr(normalize, "publish", spied)
+    df = samples.select(F.lit("r").alias("ref"), F.col("k").alias("metric_id"), "value")
+    for options in ({"whole_rows": 1000}, {"whole_rows": 50, "accuracy": 50}, {"whole_rows": 10, "accuracy": 10, "list_rows": 5}):
+        seen.append(physical(normalize.quartile_stats(df, **options)))
+    assert len(seen) > 8 and not [text for text in seen if "Window" in text]
+    # and a table that is small is read once
+    seen.append(physical(normalize.quartile_stats(plain(df), whole_rows=1000)))
+    assert seen[-1].count("Scan parquet") == 1
