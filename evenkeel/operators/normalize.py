@@ -219,28 +219,29 @@ def _picked(counted: DataFrame, keys: list[str], ranks: DataFrame | None = None)
     group, cell = [*keys, "n", "least", "most"], [] if ranks is None else ["cell"]
     entry = _in_order(F.col("x"), F.col("kept"), F.col("c"))
     lists = counted.groupBy(*group, *cell).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    names = list(_quartile_ranks(F.col("n")))
     if ranks is None:
-        lists = lists.withColumn("wanted", _wanted(F.col("n")))
+        lists = lists.withColumns({f"rank_{name}": rank for name, rank in _quartile_ranks(F.col("n")).items()})
     else:
-        asked = ranks.groupBy(*keys, "cell").agg(F.collect_list(F.struct("name", "rank")).alias("wanted"))
-        lists = lists.join(asked, [*keys, "cell"])
-    # one pass over a list: each rank wanted takes the entry that its count falls into
-    start = F.struct(
-        F.lit(0).cast("bigint").alias("upto"),
-        F.transform("wanted", lambda w: F.struct(w["name"].alias("name"), w["rank"].alias("rank"), F.lit(None).cast("double").alias("x"))).alias("found"),
-    )
+        asked = [F.max(F.when(F.col("name") == name, F.col("rank"))).alias(f"rank_{name}") for name in names]
+        lists = lists.join(ranks.groupBy(*keys, "cell").agg(*asked), [*keys, "cell"])
+    # one pass over a list: each rank takes the entry that its count falls into
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), *[none.alias(name) for name in names])
 
     def step(s: Column, e: Column) -> Column:
         upto = s["upto"] + e["c"]
-        hit = lambda f: ~e["gap"] & (f["rank"] > s["upto"]) & (f["rank"] <= upto)
-        found = F.transform(
-            s["found"], lambda f: F.struct(f["name"].alias("name"), f["rank"].alias("rank"), F.when(hit(f), e["x"]).otherwise(f["x"]).alias("x"))
-        )
-        return F.struct(upto.alias("upto"), F.when(F.exists(s["found"], hit), found).otherwise(s["found"]).alias("found"))
 
-    found = lists.select(*group, F.explode(F.aggregate("entries", start, step)["found"]).alias("f"))
-    picks = [F.max(F.when(F.col("f.name") == name, F.col("f.x"))).alias(name) for name in _quartile_ranks(F.col("n"))]
-    return found.groupBy(*group).agg(*picks)
+        def pick(name: str) -> Column:
+            rank = F.col(f"rank_{name}")
+            return F.when((rank > s["upto"]) & (rank <= upto) & ~e["gap"], e["x"]).otherwise(s[name]).alias(name)
+
+        return F.struct(upto.alias("upto"), *[pick(name) for name in names])
+
+    found = lists.select(*group, F.aggregate("entries", start, step).alias("found"))
+    if ranks is None:
+        return found.select(*group, *[F.col(f"found.{name}").alias(name) for name in names])
+    return found.groupBy(*group).agg(*[F.max(f"found.{name}").alias(name) for name in names])
 
 
 def _missed() -> Column:
