@@ -80,6 +80,38 @@ def change_log(snapshots: DataFrame, keys: list[str], chunk: int = DAY) -> DataF
     )
 
 
+def transition_log(snapshots: DataFrame, keys: list[str], chunk: int = DAY) -> DataFrame:
+    """What is done to a target, one row for each step it enters: keys, at, kind, from_replicas, to_replicas, counted.
+
+    ``snapshots`` are those of ``rollout_state`` with ``keys`` and ``at``.  A step is entered
+    where a target's state, plan or wanted size differs from its snapshot before.  Kinds are
+    ``scale`` (another size once the manager has the plan), ``restart`` (the same size, rolled out anew),
+    ``enforce`` (the size was changed by someone else) and ``to_zero`` (on the way to another plan
+    in the mode that goes through zero).  The last is no change of its own: the way through zero counts once, when
+    the new size is set.
+    """
+    seen = rollout_state(snapshots).withColumn("us", F.unix_micros("at"))
+    columns = ["state", "plan_key", "desired_replicas", "actual_replicas", "scale_now"]
+    pairs = with_previous(seen.select(*keys, "us", *columns), keys, "us", columns, chunk)
+    entered = F.col("prev_us").isNull()
+    for c in columns[:3]:
+        entered = entered | ~F.col(c).eqNullSafe(F.col(f"prev_{c}"))
+    kind = (
+        F.when(F.col("state") == "BeginningScalingToZero", "to_zero")
+        .when(F.col("state") == "EnforcingDesiredState", "enforce")
+        .when(F.col("actual_replicas") != F.col("desired_replicas"), "scale")
+        .otherwise("restart")
+    )
+    return pairs.where(entered & F.col("scale_now")).select(
+        *keys,
+        F.timestamp_micros("us").alias("at"),
+        kind.alias("kind"),
+        F.col("actual_replicas").alias("from_replicas"),
+        F.when(kind == "to_zero", 0).otherwise(F.col("desired_replicas")).alias("to_replicas"),
+        (kind != "to_zero").alias("counted"),
+    )
+
+
 def change_counts(changes: DataFrame, keys: list[str]) -> DataFrame:
     """Number of changes per target."""
     return changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"))

@@ -590,14 +590,14 @@ def lpt_pinned(spark, sf):
     return _placed(packing.lpt_pack(_pinned_loads(spark, sf)))
 
 
-def lpt_by_nation(spark, sf):
-    """Customers as shards, loaded by their orders, one plan per nation, two per replica at most."""
+def nation_loads(spark, sf):
+    """Customers as shards, loaded by their orders; a nation is a ref."""
     orders = _read(spark, sf, "orders").groupBy("o_custkey").agg(
         _money_sum("o_totalprice").alias("value")
     )
     customers = _read(spark, sf, "customer")
     nation = _read(spark, sf, "nation")
-    loads = (
+    return (
         customers.join(orders, customers.c_custkey == orders.o_custkey)
         .join(nation, customers.c_nationkey == nation.n_nationkey)
         .select(
@@ -613,7 +613,11 @@ def lpt_by_nation(spark, sf):
             plain_text(F.col("value")).alias("display_value"),
         )
     )
-    return _placed(packing.lpt_pack(loads, max_shards_per_replica=2))
+
+
+def lpt_by_nation(spark, sf):
+    """One plan per nation, two customers per replica at most."""
+    return _placed(packing.lpt_pack(nation_loads(spark, sf), max_shards_per_replica=2))
 
 
 def bucket_sizes(spark, sf):
@@ -829,6 +833,72 @@ def rollout_state(spark, sf):
     return control.rollout_state(rollout_snapshot(spark, sf)).select("ref", "state", "hand_over", "scale_now")
 
 
+def scaler_snapshots(spark, sf):
+    """The orders of a customer as snapshots of one scaler, one after another."""
+    orders = _read(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("ref"),
+        F.col("o_custkey").cast("string").alias("target"),
+        F.timestamp_micros(F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint") * DAY * 10**6 + F.col("o_orderkey")).alias("at"),
+    )
+    return rollout_snapshot(spark, sf).join(orders, "ref")
+
+
+def transition_log(spark, sf):
+    log = control.transition_log(scaler_snapshots(spark, sf), ["target"], 365 * DAY * 10**6)
+    return log.select("target", F.unix_micros("at").alias("at_us"), "kind", "from_replicas", "to_replicas", "counted")
+
+
+def relation_scaler_changes(spark, sf):
+    """Restarts, enforcements and new sizes by target; the way through zero is none of its own."""
+    log = control.transition_log(scaler_snapshots(spark, sf), ["target"], 365 * DAY * 10**6).where("counted")
+    changes = log.select(F.lit("fleet").alias("ref"), F.lit("StatefulSet").alias("target_kind"), "target")
+    return _shown(observe.rollup(observe.replica_set_changes(changes), "scaler_replica_set_changes_total"))
+
+
+def desired_replicas(spark, sf):
+    """Wanted scale of every nation's plan; a nation without customers has an empty plan, of size 0."""
+    nations = _read(spark, sf, "nation").select(F.col("n_name").alias("ref"))
+    busy = _read(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("ref"))
+    loads = nation_loads(spark, sf).join(busy, "ref", "left_semi")
+    sizes = plan.plan_identity(packing.lpt_pack(loads, max_shards_per_replica=2))
+    return control.desired_replicas(nations.join(sizes, "ref", "left"))
+
+
+def normalized_display(spark, sf):
+    """The text beside a scaled value is that of the value before the offset."""
+    scaled = normalize.robust_scale(supplier_values(spark, sf), EPSILON, SCALE)
+    return scaled.select("ref", "metric_id", F.col("shard.uid").alias("uid"), _out(F.col("display_value").cast("double"), "display"), _exact("value", "value"))
+
+
+def all_rollups(spark, sf):
+    """The dashboard sums of the eight relations that ``gauge_rollup`` and the change counters leave."""
+    values = publish(supplier_values(spark, sf))
+    scaled = publish(normalize.robust_scale(values, EPSILON, SCALE))
+    indexes = li.load_index(scaled, WEIGHTS, 1, SCALE)
+    plans = publish(packing.lpt_pack(indexes))
+    elected, observed = _elections(spark, sf)
+    relations = {
+        "shard_manager_discovered_shards": observe.discovered_shards(supplier_shards(spark, sf), plans),
+        "normalizer_values": observe.normalizer_values(scaled),
+        "load_index_values": observe.load_index_values(publish(indexes)),
+        "partition_shards": observe.partition_shards(plans),
+    }
+    for which, shards, total in (
+        ("projection", observe.evaluation_projected_shards, observe.evaluation_projected_replicas_total_load),
+        ("elected", observe.evaluation_shards, observe.evaluation_replicas_total_load),
+    ):
+        rows = publish(evaluate.elected_assignments(elected, observed, which))
+        prefix = "evaluation_projected" if which == "projection" else "evaluation"
+        relations |= {f"{prefix}_shards": shards(rows), f"{prefix}_replicas_total_load": total(rows)}
+    out = None
+    for name, relation in relations.items():
+        labels = observe.ROLLUP_LABELS[name][2:]
+        label = F.concat_ws("/", *labels) if labels else F.lit("")
+        part = observe.rollup(relation, name).select(F.lit(name).alias("relation"), "type", "ref", label.alias("label"), "value")
+        out = part if out is None else out.unionByName(part)
+    return _shown(out)
+
+
 def _replica_changes(spark, sf):
     counts = event_samples(spark, sf).select(
         F.col("user_id").alias("target"), F.col("ts").alias("at"), F.floor(F.col("value") / 40).cast("int").alias("replicas")
@@ -987,6 +1057,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_ids": duplicate_ids,
     "rollout_state": rollout_state,
     "change_log": change_log,
+    "transition_log": transition_log,
+    "relation_scaler_changes": relation_scaler_changes,
+    "desired_replicas": desired_replicas,
+    "normalized_display": normalized_display,
+    "all_rollups": all_rollups,
     "strategy_run": strategy_run,
     "fleet_values": fleet_values,
     "fleet_status": fleet_status,

@@ -533,8 +533,9 @@ ORACLES["plan_delta"] = (
   cast(coalesce(max(y) + 1, 0) - coalesce(max(x) + 1, 0) as integer) replica_delta from diff group by ref"""
 )
 
-ORACLES["rollout_state"] = """with s as (
-  select cast(o_orderkey as varchar) ref, o_orderpriority <> '1-URGENT' dm, o_orderpriority in ('1-URGENT', '5-LOW') xm,
+ROLLOUT = """with s as (
+  select cast(o_orderkey as varchar) ref, cast(o_custkey as varchar) target,
+         epoch_us(cast(o_orderdate as date)) + o_orderkey us, o_orderpriority <> '1-URGENT' dm, o_orderpriority in ('1-URGENT', '5-LOW') xm,
          o_orderstatus = 'F' rr, day(o_orderdate) d, cast(floor(o_totalprice) as bigint) p from orders),
 t as (
   select *, p % 2 = 1 spec_differs, p % 7 = 0 managed_differs, p % 5 = 0 scaler_differs,
@@ -554,14 +555,76 @@ v as (
     when pair_differs then 'BeginningRSControllerScaling'
     when spec is null or spec <> want or (want > 0 and actual = 0) then 'EnforcingDesiredState'
     when actual <> want then 'WaitingForRSControllerToScale'
-    else 'Ready' end state from u)
-select ref, state,
+    else 'Ready' end state from u),
+w as (
+  select *,
   state not in ('ErrorResourceMalformedDuplicateModes', 'Paused', 'PartitionProviderNotReady', 'ShardManagerNotReady',
     'BeginningScalingToZero', 'WaitingForRSControllerToScaleToZero')
     and not (not pending and want > 0 and is_zero) and spec_differs hand_over,
   (state = 'BeginningRSControllerScaling' and ((dm and rr and not xm) or actual <> want))
     or state in ('BeginningScalingToZero', 'EnforcingDesiredState') scale_now
-from v"""
+from v)"""
+ORACLES["rollout_state"] = ROLLOUT + " select ref, state, hand_over, scale_now from w"
+TRANSITIONS = ROLLOUT + """,
+steps as (
+  select *, lag(state) over o pstate, lag(want) over o pwant, lag(us) over o pus from w
+  window o as (partition by target order by us)),
+entered as (
+  select target, us at_us, case state when 'BeginningScalingToZero' then 'to_zero' when 'EnforcingDesiredState' then 'enforce'
+         else case when actual <> want then 'scale' else 'restart' end end kind, cast(actual as integer) from_replicas,
+         cast(case when state = 'BeginningScalingToZero' then 0 else want end as integer) to_replicas
+  from steps where scale_now and (pus is null or state <> pstate or want <> pwant))"""
+ORACLES["transition_log"] = TRANSITIONS + " select *, kind <> 'to_zero' counted from entered"
+ORACLES["relation_scaler_changes"] = (
+    TRANSITIONS
+    + f""" select 'replica_set' "type", 'fleet' ref, 'StatefulSet' target_kind, target, {_q('count(*)')} "value"
+from entered where kind <> 'to_zero' group by target"""
+)
+ORACLES["desired_replicas"] = (
+    _with(
+        """loads as (
+  select n_name ref, cast(c_custkey as varchar) uid, cast(sum(cast(o_totalprice as decimal(18,2))) as decimal(38,6)) load
+  from customer join orders on c_custkey = o_custkey join nation on c_nationkey = n_nationkey
+  where n_nationkey % 2 = 0 group by n_name, c_custkey)""",
+        _pack(cap=2),
+    )
+    + """select n_name ref, cast(coalesce(max(replica_id) + 1, 0) as integer) desired_replicas
+from nation left join placed on ref = n_name group by n_name"""
+)
+ORACLES["normalized_display"] = (
+    _with(*SUPPLIER)
+    + f"""select ref, metric_id, uid, {_q('case when iqr = 0 then 0.0 else (cast(v as double) - median) / iqr end')} display,
+  {_d('lifted.s')} "value" from lifted join vals using (ref, metric_id, uid) join stats using (ref, metric_id)"""
+)
+
+
+def _rolled(name: str, kind: str, ref: str, label: str, value: str, source: str) -> str:
+    return f"""select '{name}' relation, '{kind}' "type", {ref} ref, {label} "label", {_q(f'sum({value})')} "value" from {source} group by {ref}, {label}"""
+
+
+def _rolled_election(prefix: str, column: str) -> list[str]:
+    last = f"(select ref, {column} tm from steps qualify row_number() over (partition by ref order by i desc) = 1) e"
+    source = f"five_placed p join {last} on p.ref = e.ref || '/' || cast(e.tm as varchar)"
+    label = "cast(replica_id as varchar)"
+    return [
+        _rolled(f"{prefix}_shards", MWTP, "e.ref", label, "1", source),
+        _rolled(f"{prefix}_replicas_total_load", MWTP, "e.ref", label, "load", source),
+    ]
+
+
+ORACLES["all_rollups"] = _with(
+    SHARDS, *SUPPLIER, _loads(1), _pack(),
+    *[c.replace("placed", "five_placed") for c in USER_PLANS[:3]], *[c.replace("from placed", "from five_placed") for c in USER_PLANS[3:]], USER_ELECTION,
+) + "\nunion all\n".join(
+    [
+        _rolled("shard_manager_discovered_shards", "secret_type_cluster", "ref", "''", "1", "shards"),
+        _rolled("normalizer_values", "robust_scaling", "ref", "name || '/' || metric_id", "s", f"lifted {ATTRS}"),
+        _rolled("load_index_values", "weighted_p_norm", "ref", "name", "load", f"loads {ATTRS}"),
+        _rolled("partition_shards", LPT, "ref", "cast(replica_id as varchar)", "1", "placed"),
+        *_rolled_election("evaluation_projected", "pat"),
+        *_rolled_election("evaluation", "eat"),
+    ]
+)
 
 RUN_GRID = f"""grid as (
   select g * 21600 * 1000000 g from (select unnest(range(({AS_OF} - 864000) // 21600, {AS_OF} // 21600 + 1)) g)
