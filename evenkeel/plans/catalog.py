@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import bind_override, match_labels, parse_quantity, plain_text, url_host
 from ..operators import control, evaluate, load_index as li, normalize, observe, packing, plan, poll, timeseries as ts, validate
 from ..schemas import SHARD_FIELDS, quantise, shard_struct
-from ..sources import MetricDef, Strategy, discover_shards as discover, strategy_tables
+from ..sources import MetricDef, RelationStore, Strategy, discover_shards as discover, strategy_tables
 from ..stages import publish, stage_path
 from ..streaming import elect_stream, growth_stream
 from .pipeline import Pipeline
@@ -870,6 +870,27 @@ def normalized_display(spark, sf):
     return scaled.select("ref", "metric_id", F.col("shard.uid").alias("uid"), _out(F.col("display_value").cast("double"), "display"), _exact("value", "value"))
 
 
+def relation_store(spark, sf):
+    """Sums by user and type: of the first half of the time, replaced for the users of the second half.
+
+    A user without purchases there is cleared of all rows; a version without a commit shows nothing.
+    """
+    span, events = _span(spark, sf), event_samples(spark, sf)
+    middle = ts.instant_literal(span.start + (span.end - span.start) / 2)
+    store = RelationStore(spark, stage_path(spark, "relation-store"), "ref string, label string, value decimal(38,6)")
+
+    def sums(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("user_id").alias("ref"), F.col("event_type").alias("label")).agg(_money_sum("value").alias("value"))
+
+    early, late = events.where(F.col("ts") < middle), events.where(F.col("ts") >= middle)
+    buyers = late.where("event_type = 'purchase'").select(F.col("user_id").alias("ref")).distinct()
+    store.put(0, sums(early))
+    store.put(1, sums(late).join(buyers, "ref", "left_semi"), refs=late.select(F.col("user_id").alias("ref")))
+    sums(events).write.parquet(f"{store.path}/rows/version=4")  # fails before its commit
+    store.compact()
+    return store.read().select("ref", "label", _exact("value", "value"))
+
+
 def all_rollups(spark, sf):
     """The dashboard sums of the eight relations that ``gauge_rollup`` and the change counters leave."""
     values = publish(supplier_values(spark, sf))
@@ -1061,6 +1082,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "relation_scaler_changes": relation_scaler_changes,
     "desired_replicas": desired_replicas,
     "normalized_display": normalized_display,
+    "relation_store": relation_store,
     "all_rollups": all_rollups,
     "strategy_run": strategy_run,
     "fleet_values": fleet_values,

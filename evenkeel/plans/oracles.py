@@ -598,6 +598,16 @@ ORACLES["normalized_display"] = (
 )
 
 
+ORACLES["relation_store"] = (
+    _with(EVENTS, f"half as (select *, us >= ({START} * 1000000 + ({END} - {START}) * 500000) late from ev)")
+    + f"""select user_id ref, event_type "label", {_d("sum(cast(value as decimal(18,2)))")} "value" from half
+where not late and user_id not in (select user_id from half where late) group by user_id, event_type
+union all
+select user_id, event_type, {_d("sum(cast(value as decimal(18,2)))")} from half
+where late and user_id in (select user_id from half where late and event_type = 'purchase') group by user_id, event_type"""
+)
+
+
 def _rolled(name: str, kind: str, ref: str, label: str, value: str, source: str) -> str:
     return f"""select '{name}' relation, '{kind}' "type", {ref} ref, {label} "label", {_q(f'sum({value})')} "value" from {source} group by {ref}, {label}"""
 

@@ -1,5 +1,6 @@
 """Shard catalogue, sample tables and streams, strategy configuration, sinks."""
 
+from .relation_store import RelationStore
 from .samples import read_sample_stream, scan_samples, series_columns, write_samples
 from .series import SeriesStore, append_series, open_series, series_of
 from .shards import discover_shards
@@ -9,6 +10,7 @@ from .strategy import MetricDef, Strategy, default_strategy, load_strategy
 
 __all__ = [
     "MetricDef",
+    "RelationStore",
     "SeriesStore",
     "Strategy",
     "StrategyTables",

@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import shard_of
@@ -98,3 +98,28 @@ def test_unknown_readiness_is_not_ready(spark):
     rows = [ready, (*ready[:4], None, *ready[5:]), (*ready[:5], None, *ready[6:]), (*ready[:6], *[None] * 4, *ready[10:]), (None, None, *ready[2:])]
     states = [r.state for r in control.rollout_state(spark.createDataFrame(rows, fields)).collect()]
     assert states == ["Ready", "PartitionProviderNotReady", "ShardManagerNotReady", "PartitionProviderNotReady", "Ready"]
+
+
+def test_transition_log_has_each_step_once(spark):
+    at = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    base = {
+        "mode_default": True, "mode_x0y": False, "rollout_restart": True, "paused": False, "provider_ready": True, "manager_ready": True,
+        "plan_key": "p", "manager_spec_key": "p", "manager_status_key": "p", "scaler_status_key": "p",
+        "desired_replicas": 3, "spec_replicas": 3, "actual_replicas": 3,
+    }
+    zero = {"mode_default": False, "mode_x0y": True, "scaler_status_key": "old"}
+    steps = [
+        ("a", {}), ("a", {"scaler_status_key": "o"}), ("a", {"scaler_status_key": "o"}), ("a", {}),
+        ("a", {"scaler_status_key": "o", "actual_replicas": 2}), ("a", {"spec_replicas": 5}), ("a", {"spec_replicas": 5}), ("a", {}),
+        ("b", zero), ("b", {**zero, "spec_replicas": 0}), ("b", {**zero, "spec_replicas": 0, "actual_replicas": 0}),
+    ]
+    rows = [{"target": t, "at": at + timedelta(hours=30 * n), **base, **change} for n, (t, change) in enumerate(steps)]
+    schema = "target string, at timestamp, " + ", ".join(
+        f"{c} {'boolean' if isinstance(v, bool) else 'int' if isinstance(v, int) else 'string'}" for c, v in base.items()
+    )
+    df = spark.createDataFrame([tuple(r[c] for c in ["target", "at", *base]) for r in rows], schema)
+    found = control.transition_log(df, ["target"]).orderBy("target", "at").collect()
+    assert [(r.target, r.kind, r.from_replicas, r.to_replicas, r.counted) for r in found] == [
+        ("a", "restart", 3, 3, True), ("a", "scale", 2, 3, True), ("a", "enforce", 3, 3, True),
+        ("b", "to_zero", 3, 0, False), ("b", "scale", 0, 3, True),
+    ]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.schemas import SAMPLES
 from evenkeel.sources import (
-    default_strategy, discover_shards, load_strategy, read_sample_stream, relation_writer, scan_samples, series_columns,
+    RelationStore, default_strategy, discover_shards, load_strategy, read_sample_stream, relation_writer, scan_samples, series_columns,
     write_relation, write_samples,
 )
 from evenkeel.operators.load_index import weight_table
@@ -124,3 +124,46 @@ def test_streamed_relation_and_peaks(spark, tmp_path):
     assert got == want
     middle = {r.grid_ts.minute: r.value for r in spark.read.parquet(wide).collect() if r.grid_ts.hour == 0}
     assert {m: middle[m] for m in range(3, 11)} == {m: want[m - 2] for m in range(3, 11)}
+
+
+def test_relation_store_shows_whole_versions_only(spark, tmp_path):
+    schema = "ref string, label string, value double"
+    store = RelationStore(spark, str(tmp_path / "store"), schema)
+
+    def rows(*found):
+        return spark.createDataFrame(list(found), schema)
+
+    def shown():
+        return sorted(tuple(r) for r in store.read().collect())
+
+    assert shown() == [] and store.compact() is None
+    store.put(0, rows(("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)))
+    store.put(1, rows(("a", "z", 4.0)), refs=rows(("c", "", 0.0)))
+    assert shown() == [("a", "z", 4.0), ("b", "x", 3.0)]
+    # a replay of a committed batch changes nothing, a batch without a commit shows nothing
+    store.put(1, rows(("a", "late", 9.0)))
+    rows(("b", "half", 5.0)).write.parquet(str(tmp_path / "store/rows/version=4"))
+    assert shown() == [("a", "z", 4.0), ("b", "x", 3.0)]
+    store.put(2, rows(("b", "whole", 6.0)), extend=True)
+    assert shown() == [("a", "z", 4.0), ("b", "whole", 6.0), ("b", "x", 3.0)]
+    # only the versions that hold the wanted refs are opened
+    files = store.read(rows(("a", "", 0.0))).inputFiles()
+    assert files and all("version=2/" in f for f in files if "/rows/" in f)
+    store.put(3, rows(), refs=rows(("a", "", 0.0)))
+    assert store.compact() == 7 and shown() == [("b", "whole", 6.0), ("b", "x", 3.0)]
+    assert sorted(p.name for p in (tmp_path / "store/rows").iterdir()) == ["version=7"]
+    store.put(4, rows(("c", "new", 1.0)))
+    assert shown() == [("b", "whole", 6.0), ("b", "x", 3.0), ("c", "new", 1.0)]
+
+
+def test_relation_store_as_a_stream_sink(spark, tmp_path):
+    schema = "ref string, label string, value double"
+    source, store = str(tmp_path / "in"), RelationStore(spark, str(tmp_path / "store"), schema)
+    for n, found in enumerate([[("a", "x", 1.0)], [("a", "y", 2.0), ("b", "x", 3.0)]]):
+        spark.createDataFrame(found, schema).coalesce(1).write.mode("append").parquet(source)
+        query = (
+            spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(store.writer(lambda b: b, extend=True))
+            .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    assert sorted(tuple(r) for r in store.read().collect()) == [("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)]
