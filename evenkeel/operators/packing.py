@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -32,6 +33,10 @@ PINNED_NAME = "in-cluster"
 # A packed group is held by one task: a million rows are some hundred megabytes.
 MAX_GROUP_ROWS = 1_000_000
 
+# So many equal loads in a row, at least, are dealt at once; totals beyond this are left to whole numbers.
+RUN = 64
+_EXACT = 1 << 62
+
 # Shards listed in one row of a nested plan: some tens of megabytes.
 MAX_LIST = 100_000
 
@@ -50,22 +55,92 @@ def lpt_fold(
     """
     heap = list(replicas)
     heapq.heapify(heap)
-    out = []
-    for load in loads:
-        if heap and heap[0][0] + load < bucket:
-            total, replica, shards = heap[0]
-            if cap and shards + 1 >= cap:
-                heapq.heappop(heap)
+    out: list[int] = []
+    at = 0
+    while at < len(loads):
+        load, until = loads[at], at + 1
+        while until < len(loads) and loads[until] == load:
+            until += 1
+        if until - at >= max(RUN, len(heap) // 8) and bucket < _EXACT:
+            ids, heap, opened = _deal_run(until - at, load, bucket, cap, heap, opened)
+            out += ids
+            at = until
+        for load in loads[at:until]:
+            if heap and heap[0][0] + load < bucket:
+                total, replica, shards = heap[0]
+                if cap and shards + 1 >= cap:
+                    heapq.heappop(heap)
+                else:
+                    heapq.heapreplace(heap, (total + load, replica, shards + 1))
             else:
-                heapq.heapreplace(heap, (total + load, replica, shards + 1))
-        else:
-            replica, opened = opened, opened + 1
-            if not cap or cap > 1:
-                heapq.heappush(heap, (load, replica, 1))
-        out.append(replica)
+                replica, opened = opened, opened + 1
+                if not cap or cap > 1:
+                    heapq.heappush(heap, (load, replica, 1))
+            out.append(replica)
+        at = until
     return out
 
 
+def _deal_run(
+    n: int, load: int, bucket: int, cap: int | None, heap: list[tuple[int, int, int]], opened: int
+) -> tuple[list[int], list[tuple[int, int, int]], int]:
+    """Replica ids of ``n`` equal loads in a row, the replicas with room left as a heap, and the number opened.
+
+    The totals a replica goes through are an arithmetic sequence, and each load goes to the
+    least (total, id) of all: the loads are dealt along the merged sequences, found by
+    bisection for the total that the last of them reaches.  What is left opens replicas one after another, each filled
+    before the next.
+    """
+    known = np.array(heap, np.int64).reshape(-1, 3)
+    totals, ids, shards = known[:, 0], known[:, 1], known[:, 2]
+    room = np.full(len(known), n, np.int64)
+    if load:
+        # the k-th load fits where total + k * load < bucket
+        room = np.minimum(room, np.maximum(bucket - 1 - totals, 0) // load)
+    else:
+        room[totals >= bucket] = 0
+    if cap:
+        room = np.minimum(room, np.maximum(cap - shards, 0))
+
+    def taken(limit: int) -> np.ndarray:
+        """Loads each replica takes while its total is at most the limit."""
+        below = np.where(totals <= limit, (limit - totals) // load + 1 if load else n, 0)
+        return np.minimum(below, room)
+
+    low, high = -1, bucket  # fewer than wanted, and all that fit
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if int(taken(middle).sum()) >= n else (middle, high)
+    sure = taken(low) if low >= 0 else np.zeros_like(room)
+    more = taken(high) - sure
+    # of the last total, the smaller ids go first
+    order = np.argsort(ids, kind="stable")
+    left = n - int(sure.sum())
+    before = np.cumsum(more[order]) - more[order]
+    counts = sure.copy()
+    counts[order] += np.clip(left - before, 0, more[order])
+    who = np.repeat(np.arange(len(known)), counts)
+    nth = np.arange(len(who)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = ids[who[np.lexsort((ids[who], totals[who] + nth * load))]].tolist()
+    if not load:  # a total that does not grow keeps its replica in front
+        out = ids[np.repeat(np.lexsort((ids, totals)), counts[np.lexsort((ids, totals))])].tolist()
+    totals, shards = totals + counts * load, shards + counts
+    kept = [row for row in zip(totals.tolist(), ids.tolist(), shards.tolist()) if not cap or row[2] < cap]
+    rest = n - len(out)
+    if rest:
+        each = max(1, (bucket - 1) // load if load else (n if bucket > 0 else 1))
+        each = min(each, cap) if cap else each
+        number = -(-rest // each)
+        out += np.repeat(np.arange(opened, opened + number), each)[:rest].tolist()
+        for k in range(number):
+            size = min(each, rest - k * each)
+            if not cap or size < cap:
+                kept.append((size * load, opened + k, size))
+        opened += number
+    heapq.heapify(kept)
+    return out, kept, opened
+
+
 def _integers(column) -> list[int]:
     """Scaled loads as Python integers, exact at any size."""
     try:

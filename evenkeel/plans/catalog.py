@@ -575,6 +575,16 @@ def lpt_parts(spark, sf):
     return _placed(packing.lpt_pack(part_loads(spark, sf)))
 
 
+def lpt_equal_loads(spark, sf):
+    """Parts loaded by their size: long runs of equal loads, a third of them idle."""
+    size = F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_size")).cast("decimal(38,6)")
+    loads = _read(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("uid"), size.alias("value"))
+    none = F.lit(None).cast("string")
+    shard = F.struct(*[F.col("uid") if f == "uid" else none.alias(f) for f in SHARD_FIELDS])
+    loads = loads.select(F.lit("sizes").alias("ref"), shard.alias("shard"), "value", plain_text(F.col("value")).alias("display_value"))
+    return _placed(packing.lpt_pack(loads))
+
+
 def lpt_parts_sliced(spark, sf):
     """The same plan by the way taken for a ref too big for one task."""
     return _placed(packing.lpt_pack(part_loads(spark, sf), max_group_rows=700))
@@ -1048,6 +1058,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lpt_pinned": lpt_pinned,
     "lpt_parts": lpt_parts,
     "lpt_parts_sliced": lpt_parts_sliced,
+    "lpt_equal_loads": lpt_equal_loads,
     "lpt_by_nation": lpt_by_nation,
     "bucket_sizes": bucket_sizes,
     "plan_quality": plan_quality,

@@ -385,6 +385,12 @@ from placed group by ref, replica_id""",
     "lpt_pinned": _with(*SUPPLIER, _loads(1), _pack(pinned="uid = '7'")) + PLACED,
     "lpt_parts": _with(PARTS, _pack()) + PLACED,
     "lpt_parts_sliced": _with(PARTS, _pack()) + PLACED,
+    "lpt_equal_loads": _with(
+        """loads as (
+  select 'sizes' ref, cast(p_partkey as varchar) uid, cast(case when p_partkey % 3 = 0 then 0 else p_size end as decimal(38,6)) load from part)""",
+        _pack(),
+    )
+    + PLACED,
     "lpt_capped": _with(PARTS, _pack(cap=1)) + PLACED,
     "lpt_by_nation": _with(
         """loads as (

@@ -150,3 +150,47 @@ def test_loads_beyond_64_bits_stay_exact(spark):
     out = packing.lpt_pack(loads(spark, rows))
     want = naive([(r[1], "", r[3]) for r in rows])
     assert {r.shard.uid: r.replica_id for r in out.collect()} == want
+
+
+def one_by_one(loads, bucket, cap, replicas=(), opened=0):
+    """The fold as it is told: the least (total, id) if the load fits, else a new replica."""
+    state, out = {r: [t, n] for t, r, n in replicas}, []
+    for load in loads:
+        free = [(t, r) for r, (t, n) in state.items() if not cap or n < cap]
+        total, replica = min(free, default=(bucket, None))
+        if total + load >= bucket:
+            replica, opened = opened, opened + 1
+            state[replica] = [0, 0]
+        state[replica][0] += load
+        state[replica][1] += 1
+        out.append(replica)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(0, 12), st.integers(1, 60)), min_size=1, max_size=6),
+    st.one_of(st.none(), st.integers(1, 9)),
+    st.lists(st.tuples(st.integers(0, 40), st.integers(1, 5)), max_size=6),
+    st.integers(0, 30),
+)
+def test_runs_of_equal_loads_are_dealt_as_one_by_one(runs, cap, known, slack):
+    runs = sorted(runs, reverse=True)
+    loads_ = [load for load, n in runs for _ in range(n)]
+    bucket = max(loads_) + slack
+    replicas = [(t, r, n) for r, (t, n) in enumerate(known) if not cap or n < cap]
+    opened = len(known)
+    wanted = one_by_one(loads_, bucket, cap, replicas, opened)
+    old, packing.RUN = packing.RUN, 2
+    try:
+        assert packing.lpt_fold(loads_, bucket, cap, replicas, opened) == wanted
+    finally:
+        packing.RUN = old
+    assert packing.lpt_fold(loads_, bucket, cap, replicas, opened) == wanted
+
+
+def test_an_idle_fleet_is_a_few_steps():
+    n = 2_000_000
+    ids = packing.lpt_fold([10] * 3 + [1] * n + [0] * n, 10)
+    assert ids[:3] == [0, 1, 2] and len(ids) == 2 * n + 3
+    assert max(ids) == 2 + -(-n // 9) and len(set(ids[-n:])) == 1
