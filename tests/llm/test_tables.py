@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import html
 import math
+import re
+import time
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -106,14 +111,61 @@ def test_derived_records(spark, tmp_path):
     fields = next(r.block for r in found if r.warc_type == "metadata" and r.target_uri == "http://a.example/x")
     assert "title: A & B\r\n" in fields and "outlink: /l?a=1&b\r\n" in fields
     path = str(tmp_path / "warc")
-    warc.write(warc.derive(responses.where("target_uri <> 'http://e.example/' OR target_uri IS NULL")), path)
+    warc.write(warc.derive(responses), path)
     back = warc.read(spark, path).collect()
     assert all(r.whole for r in back)
-    wanted = Counter((r.record_id, r.refers_to, r.block) for r in found if r.target_uri != "http://e.example/")
+    wanted = Counter((r.record_id, r.refers_to, r.block) for r in found)
     assert Counter((r.headers["warc-record-id"], r.headers["warc-refers-to"], r.block) for r in back) == wanted
     assert warc.derive(responses.limit(0)).count() == 0
 
 
+def test_blocks_with_version_lines_are_put_together(spark, tmp_path):
+    inner = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nxyz\r\n\r\nWARC/1.0\r\n\r\nend é"
+    records = [("1.1", "one", inner), ("1.0", "two", ""), ("1.1", "three", "plain"), ("1.0", "four", inner * 3)]
+    for n, order in enumerate((records, records[::-1])):
+        text = "".join(
+            f"WARC/{v}\r\nWARC-Record-ID: {name}\r\ncontent-length: {len(b.encode())}\r\nX: 1\r\nx: 2\r\n\r\n{b}\r\n\r\n" for v, name, b in order
+        )
+        (tmp_path / f"{n}.warc.gz").write_bytes(gzip.compress(text.encode()))
+    short = "WARC/1.1\r\nWARC-Record-ID: cut\r\nContent-Length: 100\r\n\r\nonly this"
+    (tmp_path / "2.warc.gz").write_bytes(gzip.compress(short.encode()))
+    found = warc.read(spark, str(tmp_path)).collect()
+    wanted = Counter({(name, b, True): 2 for _, name, b in records}) + Counter({("cut", "only this", False): 1})
+    assert Counter((r.headers["warc-record-id"], r.block, r.whole) for r in found) == wanted
+    assert all(r.headers["x"] == "1" for r in found if r.whole)
+
+
+# the plain patterns, which take time with the square of what is never closed
+HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>", re.I | re.S)
+TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
+OUTLINKS = re.compile(r"""<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>][^\s>]*))""", re.I)
+TOKENS = ["<!--", "-->", "<script", "</script>", "<style>", "</style >", ">", "<", "<p", "</P>", "<a ", "<A\n", "href=", "HREF = ", '"', "'", "x",
+          " ", "/l", "<title>", "<title x", "</title>", "&amp;", "b>", "é"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(TOKENS), max_size=30))
+def test_pages_are_read_as_by_plain_patterns(tokens):
+    page = "".join(tokens)
+    shown = HIDDEN.sub(" ", page)
+    assert warc._shown(page) == shown
+    text = html.unescape(warc._TAGS.sub("", warc._BREAKS.sub("\n", shown)))
+    assert warc.plain_text(page) == warc._LINES.sub("\n", warc._SPACES.sub(" ", text)).strip()
+    title = TITLE.search(page)
+    assert warc._title(page) == (title[1] if title else None)
+    assert warc._outlinks(page) == ["".join(q) for q in OUTLINKS.findall(page)]
+
+
+@pytest.mark.parametrize("unit", ["<!--", "<script ", "<a ", "<title>", "<title ", "<p ", "<", '<a href="', "<a href=", "</script ", "<a b='"])
+def test_what_is_never_closed_takes_no_more_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    for text in (page, page + ">"):
+        began = time.process_time()
+        warc.plain_text(text)
+        warc._fields("", text)
+        assert time.process_time() - began < 20
+
+
 def test_links_end_at_their_own_quote():
     page = """<a href="/o'brien"><a href='/say "hi"'><a href="/a b.html"><a href=/bare'x>y</a><a href=""><a class=k href = '/l?a=1&amp;b'>"""
     links = [line[9:] for line in warc._fields("", page).split("\r\n") if line.startswith("outlink: ")]
