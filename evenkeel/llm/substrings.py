@@ -12,7 +12,7 @@ its windows' words (64 bits, by another word hash, put together as a tree) to th
 bucket, which returns the hashes whose words repeat.  Where a chunk has several
 word sequences for one hash, it gets their check sums too.  The chunk merges the repeated windows
 into maximal intervals.  A window that repeats thousands of times is one entry of
-each chunk, so no task holds its occurrences.
+each chunk, so no task holds its occurrences.  Chunks and buckets are placed one to a partition.
 
 All windows of all texts are counted.  A window is lost by chance only where two word
 sequences agree in hash and check sum, some 2**100 to one for a pair: no run of letters or words that
@@ -339,18 +339,19 @@ def remove_repeats(
     buckets = 1 << max(0, (size // 6 // bucket_windows).bit_length())
     bits = hash_bits(size // 2)
     row = F.xxhash64("doc_id", "text")
-    dealt = docs.withColumn("chunk", F.pmod(row, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    dealt = docs.withColumn("chunk", F.pmod(row, F.lit(chunks)).cast("int")).repartitionById(chunks, "chunk")
     sent = dealt.groupBy("chunk").applyInArrow(_sender(window, buckets, bits), "bucket int, chunk int, packed binary, again binary")
+    sent = sent.repartitionById(buckets, "bucket")
     answers = sent.groupBy("bucket").applyInArrow(_count, "chunk int, bucket int, bits binary")
     hits = (
         dealt.groupBy("chunk")
-        .cogroup(answers.groupBy("chunk"))
+        .cogroup(answers.repartitionById(chunks, "chunk").groupBy("chunk"))
         .applyInArrow(_confirmer(window, buckets, bits), "bucket int, chunk int, packed binary, checks binary, again binary")
     )
-    told = hits.groupBy("bucket").applyInArrow(_count_checked, "chunk int, bucket int, packed binary, several binary")
+    told = hits.repartitionById(buckets, "bucket").groupBy("bucket").applyInArrow(_count_checked, "chunk int, bucket int, packed binary, several binary")
     return (
         dealt.groupBy("chunk")
-        .cogroup(told.groupBy("chunk"))
+        .cogroup(told.repartitionById(chunks, "chunk").groupBy("chunk"))
         .applyInArrow(
             _remover(window, bits), "doc_id long, n_words long, removed array<struct<first: long, end: long>>, kept string"
         )
