@@ -29,8 +29,9 @@ from evenkeel.stages import publish
 
 #: A document gives at most so many times its words.
 MOST = 3
-#: Levels of the splitting tree: 2**LEVELS output shards.
+#: Levels of the splitting tree, 2**LEVELS output shards, and text bytes of a shard beyond which ``mix`` adds levels.
 LEVELS = 4
+SHARD_BYTES = 32 << 20
 SEED = "mix-1"
 
 
@@ -107,7 +108,13 @@ def split_tree(plan: DataFrame, levels: int = LEVELS) -> DataFrame:
     return rows
 
 
-def mixed_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
+def levels_for(docs: DataFrame) -> int:
+    """Levels of the tree for whole documents: shards of some ``SHARD_BYTES`` of text, 2**LEVELS at least."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(LEVELS, (size // SHARD_BYTES).bit_length())
+
+
+def mixed_rows(docs: DataFrame, whole: bool = False, levels: int = LEVELS) -> DataFrame:
     """row (a struct of all columns), size, source_size, target, taken, part, passes, shards.
 
     ``part`` is what the partial pass takes of the document, with ``whole`` all or nothing;
@@ -120,7 +127,7 @@ def mixed_rows(docs: DataFrame, whole: bool = False) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
     )
     plan = publish(blocks(rows.select("doc_id", "source", "size")), "mix-plan")
-    shards = split_tree(plan).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(
+    shards = split_tree(plan, levels).groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(
         F.sort_array(F.collect_list(F.struct("pass", "shard"))).alias("turns")
     )
     plan = plan.join(shards, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").select(
@@ -155,9 +162,11 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row for each time a document is taken.
 
     A document cut short (none with ``whole``) has its first words, joined by single spaces (and
-    ``n_chars``, if there is one, of that text).  Rows are dealt by shard and shuffled within it by a hash.
+    ``n_chars``, if there is one, of that text).  Rows are dealt by shard, each shard to a partition of
+    its own, and shuffled within it by a hash.
     """
-    taken = mixed_rows(docs, whole).where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("_turn", "_shard"))
+    levels = levels_for(docs)
+    taken = mixed_rows(docs, whole, levels).where(F.size("shards") > 0).select("*", F.posexplode("shards").alias("_turn", "_shard"))
     short = (F.col("_turn") == F.col("passes")) & (F.col("part") < F.col("size"))
     words = F.slice(F.split(F.regexp_replace(F.col("row.text"), rf"^[{SPACES}]+", ""), rf"[{SPACES}]+"), F.lit(1), F.col("part").cast("int"))
     text = F.when(short, F.array_join(words, " ")).otherwise(F.col("row.text"))
@@ -167,7 +176,7 @@ def mix(docs: DataFrame, whole: bool = False) -> DataFrame:
         kept["n_chars"] = F.when(short, F.length(text).cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars")
     place = _hash("place", F.col("doc_id"), F.col("_turn"))
     dealt = taken.select(F.struct(*kept.values()).alias("out"), "_shard", place.alias("_place"))
-    return dealt.repartition(1 << LEVELS, "_shard").sortWithinPartitions("_shard", "_place").select("out.*")
+    return dealt.repartitionById(1 << levels, "_shard").sortWithinPartitions("_shard", "_place").select("out.*")
 
 
 def _sql_hash(*parts: str) -> str:
