@@ -5,15 +5,15 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from evenkeel.operators import timeseries as ts
-from evenkeel.streaming import growth_stream, sliding_quantile_stream
+from evenkeel.operators import evaluate, timeseries as ts
+from evenkeel.streaming import elect_stream, growth_stream, sliding_quantile_stream
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "k string, ts timestamp, value double"
 
 
-def run(spark, batches, schema, build, tmp_path):
-    """Feeds batches one by one; returns the rows that came out."""
+def run(spark, batches, schema, build, tmp_path, progress=None):
+    """Feeds batches one by one; returns the rows that came out, and notes the state of each batch in ``progress``."""
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([], schema).coalesce(1).write.parquet(source)
     stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
@@ -24,6 +24,8 @@ def run(spark, batches, schema, build, tmp_path):
             .trigger(availableNow=True).start()
         )
         query.awaitTermination()
+        if progress is not None:
+            progress.append([p.stateOperators[0] for p in query.recentProgress if p.stateOperators])
     return spark.read.schema(stream.schema).parquet(out).collect()
 
 
@@ -91,3 +93,40 @@ def test_sliding_quantile_is_that_of_each_window(spark, tmp_path):
     got = {(r.k, r.grid_ts.hour * 60 + r.grid_ts.minute): r.value for r in found if r.k != "z"}
     assert len(got) == sum(r.k != "z" for r in found)
     assert got == pytest.approx(wanted)
+
+
+OBSERVED = "ref string, at timestamp, plan_hash string, replicas int"
+
+
+def test_election_over_many_refs_and_batches_is_the_replay(spark, tmp_path):
+    rng = random.Random(8)
+    batches = [
+        [
+            (ref, T0 + timedelta(seconds=200 * n + s), rng.choice("abcdef") * 8, rng.randrange(1, 5))
+            for ref in ("x", "y", "z", None)
+            for s in sorted(rng.sample(range(200), 25 if ref != "z" or n != 2 else 0))
+        ]
+        for n in range(3)
+    ]
+    periods = evaluate.Periods(60, scale_up=40, scale_down=150)
+    everything = spark.createDataFrame([r for b in batches for r in b], OBSERVED)
+    wanted = sorted(map(str, evaluate.replay(everything, periods).collect()))
+    assert len(wanted) == 275
+    for name, delay in (("plain", None), ("timers", "1 second")):
+        (tmp_path / name).mkdir()
+        found = run(spark, batches, OBSERVED, lambda s: elect_stream(s, periods, delay), tmp_path / name)
+        assert sorted(map(str, found)) == wanted
+
+
+def test_election_writes_what_a_batch_changes_and_timers_clear_silent_refs(spark, tmp_path):
+    periods = evaluate.Periods(10_000, scale_up=10_000, scale_down=10_000)
+    many = [("x", T0 + timedelta(seconds=s), f"{s:08d}", 1) for s in range(500)]
+    few = [("x", T0 + timedelta(seconds=600), "00000007", 1), ("y", T0 + timedelta(seconds=601), "a", 1)]
+    later = [("y", T0 + timedelta(seconds=40_000 + s), "b", 1) for s in range(2)]
+    progress = []
+    found = run(spark, [many, few, later, later], OBSERVED, lambda s: elect_stream(s, periods, "5 seconds"), tmp_path, progress)
+    assert [r.history_size for r in found if r.plan_hash == "00000007" and r.votes > 100] == [500]
+    first, second, *rest = [sum(p.numRowsUpdated for p in batch) for batch in progress]
+    assert first >= 500 and 0 < second < 20
+    # of the silent ref only the head is left
+    assert progress[1][-1].numRowsTotal > 500 > 20 > progress[-1][-1].numRowsTotal
