@@ -15,12 +15,14 @@ back every text exactly.
 
 Null texts have null ids and decode to null; an empty text has none; repeated rows encode alike; an
 empty input gives an empty result.  A task holds one run of texts and twice ``WORDS`` words.
+A word may be as long as its text: the search keeps 16 bytes for each of its characters.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 from itertools import chain
@@ -38,6 +40,8 @@ MODEL = "piece_bpe_32k.model"
 #: Bytes of texts searched together (a longer text alone), and words that a task remembers at most.
 TEXT_BYTES = 1 << 20
 WORDS = 60_000
+#: Characters of a word that the next one can take over; longer words are not remembered by the task.
+SHARED = 4096
 
 _MARKED = re.compile(r" *[^ \n]+| +|\n+")
 
@@ -79,54 +83,64 @@ class Vocabulary:
         byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         return cls([(model.id_to_piece(i), model.get_score(i), i) for i in ordinary], byte_ids)
 
-    def search(self, words: list[str]) -> Iterator[list[int]]:
+    def search(self, words: list[str]) -> Iterator[array]:
         """Ids of each word; ``words`` are sorted and distinct.
 
-        For a prefix of k characters, ``best[k]`` is the score of its best path, ``back[k]``
-        the start and id of its last piece (none: an unknown character), and ``open_[k]``
-        the starts from which a piece may still go on, with their nodes of the trie.
+        For a prefix of k characters, ``best[k]`` is the score of its best path, ``starts[k]``
+        and ``pieces[k]`` the start and id of its last piece (-1: an unknown character), and
+        ``kept[k]`` the pieces that may go on from there.  A word takes over what it shares with
+        the one before, up to ``SHARED`` characters.  A longer word has arrays of plain numbers,
+        and beyond that many characters keeps the open pieces of one place only.
         """
-        trie, unknown, byte_ids = self.trie, self.unknown, self.bytes
-        size = 64
-        best, back, open_, before = [0.0] * (size + 1), [None] * (size + 1), [[]] * (size + 1), ""
+        trie, unknown, byte_ids, most = self.trie, self.unknown, self.bytes, SHARED
+        known = [0.0] * (most + 1), [-1] * (most + 1), [-1] * (most + 1)
+        kept: list = [[]] * (most + 1)
+        before = ""
         for word in words:
-            if len(word) > size:
-                for states, empty in ((best, 0.0), (back, None), (open_, [])):
-                    states += [empty] * (len(word) - size)
-                size = len(word)
             end = 0
-            for a, b in zip(before, word):
+            for a, b in zip(before[:most], word):
                 if a != b:
                     break
                 end += 1
+            open_ = kept[end]
+            best, starts, pieces = known
+            if len(word) > most:
+                best, starts, pieces = (
+                    array(code, states) + array(code, [0]) * (len(word) - most) for code, states in zip("dii", known)
+                )
             for c in word[end:]:
-                top, piece, going, end = best[end] + unknown, None, [], end + 1
-                for start, node in open_[end - 1]:  # the longest piece comes first
+                top, first, piece, going = best[end] + unknown, -1, -1, []
+                for start, node in open_:  # the longest piece comes first
                     if c in node:
                         node = node[c]
                         going.append((start, node))
                         if "" in node:
                             score, i = node[""]
                             score += best[start]
-                            if score > top or (piece is None and score == top):
-                                top, piece = score, (start, i)
+                            if score > top or (piece < 0 and score == top):
+                                top, first, piece = score, start, i
                 if c in trie:
                     node = trie[c]
-                    going.append((end - 1, node))
+                    going.append((end, node))
                     if "" in node:
                         score, i = node[""]
-                        score += best[end - 1]
-                        if score > top or (piece is None and score == top):
-                            top, piece = score, (end - 1, i)
-                best[end], back[end], open_[end] = top, piece, going
-            before, ids, end = word, [], len(word)
+                        score += best[end]
+                        if score > top or (piece < 0 and score == top):
+                            top, first, piece = score, end, i
+                end += 1
+                best[end], starts[end], pieces[end], open_ = top, first, piece, going
+                if end <= most:
+                    kept[end] = going
+            if len(word) > most:
+                known = best[: most + 1].tolist(), starts[: most + 1].tolist(), pieces[: most + 1].tolist()
+            before, ids = word, array("i")
             while end:
-                if back[end] is not None:
-                    end, i = back[end]
-                    ids.append(i)
+                if pieces[end] >= 0:
+                    ids.append(pieces[end])
+                    end = starts[end]
                 else:
                     end -= 1
-                    ids.extend(byte_ids[b] for b in reversed(word[end].encode()))
+                    ids.extend([byte_ids[b] for b in reversed(word[end].encode())])
             ids.reverse()
             yield ids
 
@@ -157,7 +171,7 @@ def _encoder(path: str):
                 if len(recent) > WORDS:
                     recent.clear()
                 found = list(vocabulary.search(new))
-                recent.update(zip(new, found))
+                recent.update((w, ids) for w, ids in zip(new, found) if len(w) <= SHARED)
                 of_word = [*map(known.__getitem__, old), *found]
                 # ids of the distinct words in a row, then those of all words by their places in it
                 place = dict(zip(chain(old, new), range(len(words))))

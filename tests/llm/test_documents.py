@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -421,6 +423,24 @@ def test_search_finds_the_best_path(vocabulary):
             assert math.isclose(sum(pieces[t] for t in texts), top)
 
 
+def test_long_words_take_plain_numbers_and_share_prefixes_of_any_length(vocabulary, monkeypatch):
+    rng = random.Random(5)
+    words = {" " + "".join(rng.choices("abeinrstΩ", k=rng.randrange(1, 60))) for _ in range(300)}
+    words |= {w[: rng.randrange(1, len(w) + 1)] + rng.choice(["", "ing", "sX"]) for w in words}
+    alone = {w: list(next(vocabulary.search([w]))) for w in words}
+    for shared in (0, 3, 20, 4096):
+        monkeypatch.setattr(sentencepiece, "SHARED", shared)
+        assert dict(zip(sorted(words), map(list, vocabulary.search(sorted(words))))) == alone
+    monkeypatch.undo()
+    long = " " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500_000))
+    tracemalloc.start()
+    first, second = vocabulary.search([long, long + "zebra"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [vocabulary.decode(ids) for ids in (first, second)] == [long[1:], long[1:] + "zebra"]
+    assert peak < 40 * len(long)  # a 10 MB word: under 400 MB
+
+
 def test_encoding_round_trip(spark, odd, none):
     extra = [(20, "a  b   c ", "a"), (21, "\n\n x▁y ▁", "a"), (22, "\x00\u0085 \r\n", "a"), (23, "z" * 5000, "a")]
     docs = frame(spark, ODD + extra).select("doc_id", "text", F.lit(1).alias("ids2"))
