@@ -14,7 +14,8 @@ the sum of c*log2(c), in whole millionths so that the order of additions does no
 matter.  A piece whose best window reaches the least entropy is a span, unless an
 allow-list pattern matches all of it (where it was cut out, but for signs at its ends).
 
-Null texts are empty texts and have no spans; a text of any length is one row's work;
+Null texts are empty texts and have no spans; a text is one row's work, which grows with its
+length and with n log n in its spans: places are running sums, and what covers a candidate is found by halving;
 repeated rows have equal results; an empty input gives an empty result.
 """
 
@@ -60,6 +61,8 @@ ALLOWED = [
 ]
 ORDER = [*KINDS, *CLASSES]
 MASK = "[SECRET]"
+#: Code points of a block of a text that is masked.
+BLOCK = 4096
 
 
 def _step(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
@@ -68,46 +71,44 @@ def _step(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
     return once(df, names, "_step", *keep).select(*keep, "_step.*")
 
 
-def _add_up(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda total, x: total + x)
+#: Steps that double: as many of them as an array is long are taken, so the work is n log n at any length.
+DOUBLED = [1 << k for k in range(31)]
 
 
-def _positions(df: DataFrame, kinds: list[str], *keep: str) -> DataFrame:
-    """From f_<kind> (matches) and g_<kind> (lengths of the gaps) to p_<kind>: where each match starts.
+def _doubling(numbers: Column, join) -> Column:
+    """Running results over an array of numbers: ``join`` of each one with all before it."""
+    steps = F.filter(F.array(*[F.lit(d) for d in DOUBLED]), lambda d: d < F.size(numbers))
+    return F.aggregate(steps, numbers, lambda a, d: F.transform(a, lambda x, i: join(x, F.get(a, i - d))))
 
-    Sums before each match are sums over blocks of 64 and over the rest, so that no
-    step adds up the whole array again.
-    """
+
+def _running_sum(numbers: Column) -> Column:
+    return _doubling(numbers, lambda x, y: x + F.coalesce(y, F.lit(0)))
+
+
+def _running_max(numbers: Column) -> Column:
+    return _doubling(numbers, lambda x, y: F.greatest(x, y))  # a null counts for nothing
+
+
+def _at_most(ordered: Column, value: Column) -> Column:
+    """How many numbers of an ascending array are at most ``value``, by halving."""
+    steps = F.filter(F.array(*[F.lit(d) for d in reversed(DOUBLED)]), lambda d: d <= F.size(ordered))
+    return F.aggregate(steps, F.lit(0), lambda n, d: F.when(F.get(ordered, n + d - 1) <= value, n + d).otherwise(n))
+
+
+def _positions(df: DataFrame, kinds: list[str], *keep: str) -> DataFrame:
+    """From f_<kind> (matches) and g_<kind> (lengths of the gaps) to p_<kind>: where each match starts."""
     found = [f"f_{k}" for k in kinds]
     steps = {
         f"s_{k}": F.zip_with(f"g_{k}", f"f_{k}", lambda g, m: g + F.coalesce(F.length(m), F.lit(0))) for k in kinds
     }
-    gaps = {f"g_{k}": F.col(f"g_{k}") for k in kinds}
-    df = _step(df, *keep, *found, **gaps, **steps)
-    blocks = {
-        f"b_{k}": F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(f"s_{k}") / 64).cast("int")), _block_sum(F.col(f"s_{k}"))
-        )
-        for k in kinds
-    }
-    df = _step(df, *keep, *found, **gaps, **{s: F.col(s) for s in steps}, **blocks)
-    starts = {
-        f"p_{k}": F.transform(f"f_{k}", _start(F.col(f"g_{k}"), F.col(f"s_{k}"), F.col(f"b_{k}"))) for k in kinds
-    }
+    df = _step(df, *keep, *found, **steps)
+    df = _step(df, *keep, *found, **{f"e_{k}": _running_sum(F.col(f"s_{k}")) for k in kinds})
+    starts = {f"p_{k}": F.transform(f"f_{k}", _before(F.col(f"e_{k}"))) for k in kinds}
     return _step(df, *keep, *found, **starts)
 
 
-def _block_sum(steps: Column):
-    return lambda b: _add_up(F.slice(steps, b * 64 + 1, F.lit(64)))
-
-
-def _start(gaps: Column, steps: Column, blocks: Column):
-    def of(_, i):
-        block = F.floor(i / 64).cast("int")
-        before = _add_up(F.slice(blocks, F.lit(1), block)) + _add_up(F.slice(steps, block * 64 + 1, i % 64))
-        return (before + F.get(gaps, i)).cast("int")
-
-    return of
+def _before(ends: Column):
+    return lambda m, i: (F.get(ends, i) - F.length(m)).cast("int")
 
 
 def _looked_for(text: Column, pattern: str, wanted: Column) -> tuple[Column, Column]:
@@ -153,41 +154,67 @@ def _long_enough(pieces: Column) -> Column:
     return F.filter(pieces, lambda p: F.length(p["found"]) >= LEAST)
 
 
+def _with_cover(df: DataFrame, *keep: str) -> DataFrame:
+    """c_start and c_end: what the spans of ``base`` (one of ``keep``) cover, as disjoint ascending stretches."""
+    df = _step(df, *keep, reach=_running_max(F.transform("base", lambda s: s["end"])))
+    first = F.filter(
+        F.transform("base", lambda s, i: F.when((i == 0) | (F.get("reach", i - 1) < s["start"]), i)), lambda i: i.isNotNull()
+    )
+    df = _step(df, *keep, "reach", first=first)
+    return _step(
+        df,
+        *keep,
+        c_start=F.transform("first", lambda i: F.get("base", i)["start"]),
+        c_end=F.transform("first", lambda _, n: F.get("reach", F.coalesce(F.get("first", n + 1), F.size("base")) - 1)),
+    )
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _uncovered(candidate: Column) -> Column:
     """Pieces of a candidate that no base span covers."""
     start, end = candidate["start"], candidate["start"] + F.length(candidate["found"])
-    over = F.filter("base", lambda b: (b["start"] < end) & (start < b["end"]))
-    none = F.array().cast("array<struct<found:string,start:int,cut:boolean>>")
-
-    def cut_out(first: Column, last: Column) -> Column:
-        text = F.substring(candidate["found"], first - start + 1, last - first)
-        return F.when(last - first >= LEAST, F.array(_piece(text, first, F.lit(True)))).otherwise(none)
-
-    pieces = F.aggregate(
-        over,
-        F.struct(start.alias("at"), none.alias("pieces")),
-        lambda a, b: F.struct(
-            F.greatest(a["at"], b["end"]).alias("at"), F.concat(a["pieces"], cut_out(a["at"], b["start"])).alias("pieces")
-        ),
-        lambda a: F.concat(a["pieces"], cut_out(a["at"], end)),
-    )
-    return F.when(F.size(over) > 0, pieces).otherwise(F.array(_piece(candidate["found"], start, F.lit(False))))
+
+    def cut(over: Column) -> Column:
+        # the gap before each stretch that overlaps the candidate, and the one after the last
+        first, last = over["first"], over["last"]
+        gap = lambda n: F.struct(
+            F.when(n == first, start).otherwise(F.get("c_end", n - 1)).alias("at"),
+            F.when(n == last, end).otherwise(F.get("c_start", n)).alias("to"),
+        )
+        gaps = F.filter(F.transform(F.sequence(first, last), gap), lambda g: g["to"] - g["at"] >= LEAST)
+        return F.transform(
+            gaps, lambda g: _piece(F.substring(candidate["found"], g["at"] - start + 1, g["to"] - g["at"]), g["at"], F.lit(True))
+        )
+
+    # stretches first to last - 1 end after the candidate's start and start before its end
+    over = F.struct(_at_most(F.col("c_end"), start).alias("first"), _at_most(F.col("c_start"), end - 1).alias("last"))
+    whole = F.array(_piece(candidate["found"], start, F.lit(False)))
+    return _let(over, lambda o: F.when(o["first"] < o["last"], cut(o)).otherwise(whole))
 
 
 def _named(piece: Column) -> Column:
     """What is left of a piece without its names that hold placeholder words."""
     gaps = F.split(piece["found"], NAME, -1)
     names = F.regexp_extract_all(piece["found"], F.lit(NAME), F.lit(0))
-    none = F.array().cast("array<struct<found:string,start:int,cut:boolean>>")
-    left = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), names.alias("name")),
-        F.struct(piece["start"].alias("at"), none.alias("pieces")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["name"]), F.lit(0))).alias("at"),
-            F.concat(a["pieces"], _long_enough(F.array(_piece(x["gap"], a["at"], F.lit(True))))).alias("pieces"),
-        ),
-        lambda a: a["pieces"],
+    steps = F.zip_with(
+        gaps,
+        names,
+        lambda g, m: F.struct(g.alias("gap"), (F.length(g) + F.coalesce(F.length(m), F.lit(0))).alias("step")),
     )
+
+    def placed(steps: Column) -> Column:
+        return _let(
+            _running_sum(F.transform(steps, lambda s: s["step"])),
+            lambda ends: F.transform(
+                steps, lambda s, i: _piece(s["gap"], piece["start"] + F.get(ends, i) - s["step"], F.lit(True))
+            ),
+        )
+
+    left = _long_enough(_let(steps, placed))
     return F.when(piece["found"].rlike(PLACEHOLDER), left).otherwise(F.array(piece))
 
 
@@ -268,6 +295,7 @@ def with_spans(df: DataFrame, text: str, *keep: str) -> DataFrame:
     placed = F.zip_with("f_candidate", "p_candidate", lambda m, p: F.struct(m.alias("found"), p.alias("start")))
     base = F.array_sort(F.concat(*[_base_spans(k) for k in KINDS]))
     df = _step(df, *keep, base=base, placed=F.filter(placed, lambda c: ~_allowed(c["found"])))
+    df = _with_cover(df, *keep, "base", "placed")
     df = _step(df, *keep, "base", pieces=F.flatten(F.transform("placed", _uncovered)))
     df = _step(df, *keep, "base", pieces=F.flatten(F.transform("pieces", _named)))
     df = _step(df, *keep, "base", clear=F.filter("pieces", lambda p: ~_spared(p)))
@@ -296,22 +324,33 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *[_count(k).alias(f"n_{k}") for k in KINDS], "base", "spans")
 
 
+def _blocks(text: Column) -> Column:
+    """A text in blocks of ``BLOCK`` code points: a place in it is then found without a walk from its start."""
+    numbers = F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK).cast("int"))
+    return F.when(F.size("spans") > 0, F.transform(numbers, lambda n: F.substring(text, n * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _between(first: Column, last: Column) -> Column:
+    """The text from ``first`` up to ``last``, out of the blocks that hold it."""
+    block = F.floor(first / BLOCK).cast("int")
+    count = F.floor(last / BLOCK).cast("int") - block + 1
+    return F.substring(F.array_join(F.slice("blocks", block + 1, count), ""), first - block * BLOCK + 1, last - first)
+
+
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by a mark; overlapping or touching spans are one."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").alias("_text"))
     found = with_spans(rows, "_text", "_row", "_text")
-    # where text goes on after each span: nothing before the furthest end so far
-    last = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def cut(a, s):
-        part = F.when(
-            (s["start"] > a["at"]) | (F.size(a["parts"]) == 0),
-            F.array(F.substring(F.col("_text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))),
-        ).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["parts"], part).alias("parts"))
-
-    rest = lambda a: F.array_join(F.concat(a["parts"], F.array(F.expr("_text").substr(a["at"] + 1, F.length("_text")))), MASK)
-    masked = F.when(F.size("spans") > 0, F.aggregate("spans", last, cut, rest)).otherwise(F.col("_text"))
+    found = _step(found, "_row", "_text", "spans", blocks=_blocks(F.col("_text")))
+    found = _with_cover(found.withColumn("base", F.col("spans")), "_row", "_text", "spans", "blocks", "base")
+    # touching stretches are one mark
+    kept_text = F.transform(
+        F.sequence(F.lit(0), F.size("c_start")),
+        lambda n: _between(
+            F.when(n == 0, F.lit(0)).otherwise(F.get("c_end", n - 1)), F.coalesce(F.get("c_start", n), F.length("_text"))
+        ),
+    )
+    masked = F.when(F.size("spans") > 0, F.array_join(kept_text, MASK)).otherwise(F.col("_text"))
     found = once(found, masked, "_masked", "_row", "spans")
     kept = {c: F.col(f"_row.`{c}`") for c in docs.columns}
     kept["text"] = F.col("_masked").alias("text")
