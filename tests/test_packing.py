@@ -194,3 +194,40 @@ def test_an_idle_fleet_is_a_few_steps():
     ids = packing.lpt_fold([10] * 3 + [1] * n + [0] * n, 10)
     assert ids[:3] == [0, 1, 2] and len(ids) == 2 * n + 3
     assert max(ids) == 2 + -(-n // 9) and len(set(ids[-n:])) == 1
+
+
+def test_steps_of_a_large_ref_do_not_grow_with_it(spark, monkeypatch):
+    values = [float(1000 - n % 400) for n in range(600)]
+    df = loads(spark, [("r", f"{n:04d}", None, v) for n, v in enumerate(values)])
+    taken = []
+
+    class Counted(packing.Slices):
+        def __init__(self, *args):
+            super().__init__(*args)
+            taken.append(len(self))
+            assert len(self) < 2 * packing.STEPS
+
+    monkeypatch.setattr(packing, "Slices", Counted)
+    sliced, whole = (
+        sorted((r.shard.uid, r.replica_id) for r in packing.lpt_pack(df, 3, max_group_rows=limit).collect()) for limit in (3, 1000)
+    )
+    assert len(taken) == 1 and sliced == whole
+
+
+def test_slices_stay_within_a_task():
+    assert packing._rows_per_slice(1_000, 700) == 700
+    assert packing._rows_per_slice(120_000, 700) == 7_500
+    assert packing._rows_per_slice(10**9, 700) == packing.MAX_GROUP_ROWS
+
+
+def test_small_refs_share_a_call(spark, capsys):
+    rows = [(None if n % 50 == 0 else f"r{n % 50}", str(n), None, float(n * 7919 % 100)) for n in range(400)]
+    packed = packing.lpt_pack(loads(spark, rows))
+    packed.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    found = {(r.ref, r.shard.uid): r.replica_id for r in packed.collect()}
+    for ref in {r[0] for r in rows}:
+        group = sorted((-v, uid) for name, uid, _, v in rows if name == ref)
+        ids = packing.lpt_fold([int(-v) for v, _ in group], int(-group[0][0]))
+        assert [found[ref, uid] for _, uid in group] == ids
