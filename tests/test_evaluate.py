@@ -213,3 +213,16 @@ def test_distinct_plans_take_linear_time():
     for at in range(100_000):
         step(state, at, f"{at:064x}", 1, periods)
     assert len(state.history) == 100_000 and time.process_time() - began < 20
+
+
+def test_small_refs_share_a_call(spark, capsys):
+    rows = [(None if n % 30 == 0 else f"r{n % 30}", n, "ab"[n * 7 % 2], n % 3 + 1) for n in range(300)]
+    df = observations(spark, rows)
+    out = evaluate.replay(df, TRACE_PERIODS)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    # by the way taken with earlier states, each ref is a call of its own
+    none = spark.createDataFrame([], "ref string, state string")
+    apart = evaluate.replay(df, TRACE_PERIODS, states=none)
+    assert sorted(map(str, out.collect())) == sorted(map(str, apart.collect()))
