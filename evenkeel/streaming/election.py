@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import fields
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.evaluate import _ROW, Periods, State, _table, as_observations, as_output, fold, in_time_order
+from ..operators.evaluate import _NAMES, _ROW, Periods, State, _as_number, as_observations, as_output, fold
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a ref keeps beside its history: fixed in size.
@@ -20,6 +19,12 @@ _HEAD = (
 _HEAD_NAMES = [f.name for f in fields(State) if f.name != "history"]
 
 
+def _by_time(observation: tuple) -> tuple:
+    """The order of the replay: by time, equal times by hash, nulls last."""
+    at, plan, _ = observation
+    return at is None, at or 0, plan is None, plan or ""
+
+
 class Election(StatefulProcessor):
     """``head`` holds the projection and the elected plan of a ref, ``seen`` last sight and votes by plan hash.
 
@@ -36,13 +41,17 @@ class Election(StatefulProcessor):
         self.head = handle.getValueState("head", _HEAD)
         self.seen = handle.getMapState("seen", "plan_hash string", "last bigint, times bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = dict(zip(_HEAD_NAMES, self.head.get())) if self.head.exists() else {}
-        state = State({plan[0]: list(entry) for plan, entry in self.seen.iterator()}, **head)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # most refs have few rows in a batch: plain rows, and as few calls to the state as can be
+        head = self.head.get()
+        state = State()
+        if head is not None:
+            state = State({plan[0]: list(entry) for plan, entry in self.seen.iterator()}, **dict(zip(_HEAD_NAMES, head)))
         before = dict(state.history)
         # one micro-batch of one ref, bounded by the source's trigger limits
-        batch = pd.concat(list(rows))
-        out = _table(list(fold(state, key[0], in_time_order(batch), self.periods)))
+        batch = map(_as_number, sorted(((r.at_us, r.plan_hash, r.replicas) for r in rows), key=_by_time))
+        folded = fold(state, key[0], batch, self.periods)
+        out = [Row(**{name: None if v != v else v for name, v in zip(_NAMES, row)}) for row in folded]
         for plan in before.keys() - state.history.keys():
             self.seen.removeKey((plan,))
         for plan, entry in state.history.items():
@@ -51,9 +60,9 @@ class Election(StatefulProcessor):
         self.head.update(tuple(getattr(state, name) for name in _HEAD_NAMES))
         if self.timers:
             self.handle.registerTimer(-(-(state.latest + self.periods.retention) // 1000))
-        yield out
+        return iter(out)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # an observation that still counts is at the watermark or after it
         keep = timerValues.getCurrentWatermarkInMs() * 1000 - self.periods.retention
         for plan in [plan for plan, entry in self.seen.iterator() if entry[0] <= keep]:
@@ -79,7 +88,7 @@ def elect_stream(observations: DataFrame, periods: Periods, delay: str | None =
     rows = as_observations(observations)
     if delay is not None:
         rows = rows.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", delay)
-    folded = rows.groupBy("ref").transformWithStateInPandas(
+    folded = rows.groupBy("ref").transformWithState(
         statefulProcessor=Election(periods, timers=delay is not None),
         outputStructType=_ROW,
         outputMode="Append",
