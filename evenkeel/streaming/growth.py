@@ -5,8 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .election import ROCKSDB
@@ -22,25 +21,40 @@ def _millis(us: int) -> int:
 
 
 class _PerSeries(StatefulProcessor):
-    """Rows of one key wait until the watermark has passed them, then are taken in time order."""
+    """Rows of one key wait until the watermark has passed them, then are taken in time order.
+
+    A key has one timer, for the earliest instant at which something of it is due; when it
+    goes off, all that the watermark has passed is settled and the next one is set.
+    """
 
     def __init__(self, keys: list[str], step: int):
         self.keys, self.step = keys, step
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            found = list(zip(batch["us"].tolist(), batch["value"].tolist()))
-            self.keep(found)
-            for g in {_grid(us, self.step) for us, _ in found}:
-                self.handle.registerTimer(_millis(g))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alarm = handle.getValueState("alarm", "ms bigint")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # one micro-batch of one key, bounded by the source's trigger limits
+        found = [(r.us, math.nan if r.value is None else r.value) for r in rows]
+        self.keep(found)
+        due, alarm = _millis(_grid(min(us for us, _ in found), self.step)), self.alarm.get()
+        if alarm is None or due < alarm[0]:
+            if alarm is not None:
+                self.handle.deleteTimer(alarm[0])
+            self.handle.registerTimer(due)
+            self.alarm.update((due,))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # whatever the watermark has passed is settled at once; the key's other timers find nothing left
-        points = self.settle(timerValues.getCurrentWatermarkInMs() * 1000)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        points, due = self.settle(timerValues.getCurrentWatermarkInMs() * 1000)
+        if due is None:
+            self.alarm.clear()
+        else:
+            self.handle.registerTimer(_millis(due))
+            self.alarm.update((_millis(due),))
         if points:
-            columns = {name: [value] * len(points) for name, value in zip(self.keys, key)}
-            yield pd.DataFrame({**columns, "g": [g for g, _ in points], "value": [v for _, v in points]})
+            yield Row(**dict(zip(self.keys, key)), points=[Row(g=g, value=None if v != v else v) for g, v in points])
 
     def close(self) -> None:
         pass
@@ -54,7 +68,7 @@ class Growth(_PerSeries):
         self.span = span
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.waiting = handle.getListState("waiting", "us bigint, value double")
         self.last = handle.getValueState("last", "us bigint, value double")
         self.open = handle.getMapState("open", "g bigint", "grown double")
@@ -62,14 +76,18 @@ class Growth(_PerSeries):
     def keep(self, samples: list[tuple]) -> None:
         self.waiting.appendList(samples)
 
-    def settle(self, mark: int) -> list[tuple]:
+    def settle(self, mark: int) -> tuple[list[tuple], int | None]:
+        """The grid points that are closed, and when something is due next."""
         waiting = sorted((r[0], r[1]) for r in self.waiting.get())
         due = [s for s in waiting if s[0] <= mark]
+        left = waiting[len(due) :]
         if due:
-            self.waiting.clear()
-            if len(due) < len(waiting):
-                self.waiting.put(waiting[len(due) :])
-        last = tuple(self.last.get()) if self.last.exists() else None
+            if left:
+                self.waiting.put(left)
+            else:
+                self.waiting.clear()
+        last = self.last.get()
+        last = tuple(last) if last is not None else None
         added: dict = {}
         for us, value in due:
             if last and last[0] > us - self.span:
@@ -77,22 +95,24 @@ class Growth(_PerSeries):
                 for g in range(_grid(us, self.step), last[0] + self.span, self.step):
                     added[g] = added.get(g, 0.0) + grown
             last = (us, value)
-        sums = {r[0][0]: r[1][0] for r in self.open.iterator()}
+        known = {r[0][0]: r[1][0] for r in self.open.iterator()}
+        sums = dict(known)
         for g, grown in added.items():
             sums[g] = sums.get(g, 0.0) + grown
             if g > mark:
                 self.open.updateValue((g,), (sums[g],))
-                self.handle.registerTimer(_millis(g))
-        closed = sorted((g, v) for g, v in sums.items() if g <= mark)
-        for g, _ in closed:
-            if self.open.containsKey((g,)):
+        for g in known:
+            if g <= mark:
                 self.open.removeKey((g,))
-        if last and last[0] + self.span <= mark and len(due) == len(waiting):
+        ahead = [g for g in sums if g > mark] + ([_grid(left[0][0], self.step)] if left else [])
+        if last and last[0] + self.span <= mark and not left:
             self.last.clear()  # too old for any range: an idle series leaves nothing behind
-        elif last and due:
-            self.last.update(last)
-            self.handle.registerTimer(_millis(last[0] + self.span))
-        return closed
+        elif last:
+            if due:
+                self.last.update(last)
+            if last[0] + self.span > mark:
+                ahead.append(last[0] + self.span)
+        return sorted((g, v) for g, v in sums.items() if g <= mark), min(ahead, default=None)
 
 
 class SlidingQuantile(_PerSeries):
@@ -103,7 +123,7 @@ class SlidingQuantile(_PerSeries):
         self.window, self.q = window, q
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        super().init(handle)
         self.steps = handle.getMapState("steps", "g bigint", "value double")
         self.done = handle.getValueState("done", "g bigint")
 
@@ -111,10 +131,10 @@ class SlidingQuantile(_PerSeries):
         for us, value in values:
             self.steps.updateValue((us,), (value,))
 
-    def settle(self, mark: int) -> list[tuple]:
+    def settle(self, mark: int) -> tuple[list[tuple], int | None]:
         steps = {r[0][0]: r[1][0] for r in self.steps.iterator()}
         if not steps:
-            return []
+            return [], None
         done = self.done.get()[0] if self.done.exists() else min(steps) - self.step
         last = mark // self.step * self.step
         points = []
@@ -128,10 +148,9 @@ class SlidingQuantile(_PerSeries):
         for g in steps.keys() - set(left):
             self.steps.removeKey((g,))
         if left:
-            self.handle.registerTimer(_millis(max(last, min(left) - self.step) + self.step))
-        else:
-            self.done.clear()
-        return points
+            return points, max(last, min(left) - self.step) + self.step
+        self.done.clear()
+        return points, None
 
 
 def _interpolated(ordered: list[float], q: float) -> float:
@@ -148,11 +167,12 @@ def _micros(seconds: float) -> int:
 
 def _run(rows: DataFrame, keys: list[str], processor: _PerSeries) -> DataFrame:
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    fields = [rows.schema[k] for k in keys] + [T.StructField("g", T.LongType()), T.StructField("value", T.DoubleType())]
-    out = rows.groupBy(*keys).transformWithStateInPandas(
+    point = T.StructType([T.StructField("g", T.LongType()), T.StructField("value", T.DoubleType())])
+    fields = [rows.schema[k] for k in keys] + [T.StructField("points", T.ArrayType(point))]
+    out = rows.groupBy(*keys).transformWithState(
         statefulProcessor=processor, outputStructType=T.StructType(fields), outputMode="Append", timeMode="EventTime"
     )
-    return out.select(*keys, F.timestamp_micros("g").alias("grid_ts"), "value")
+    return out.select(*keys, F.inline("points")).select(*keys, F.timestamp_micros("g").alias("grid_ts"), "value")
 
 
 def growth_stream(samples: DataFrame, keys: list[str], step_seconds: float, range_seconds: float, delay: str) -> DataFrame:

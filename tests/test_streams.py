@@ -1,12 +1,16 @@
 """Streams with their own state against the batch operators."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 
 from evenkeel.operators import evaluate, timeseries as ts
 from evenkeel.streaming import elect_stream, growth_stream, sliding_quantile_stream
+from evenkeel.streaming.election import Election
+from evenkeel.streaming.growth import Growth
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "k string, ts timestamp, value double"
@@ -130,3 +134,39 @@ def test_election_writes_what_a_batch_changes_and_timers_clear_silent_refs(spark
     assert first >= 500 and 0 < second < 20
     # of the silent ref only the head is left
     assert progress[1][-1].numRowsTotal > 500 > 20 > progress[-1][-1].numRowsTotal
+
+
+class Counted:
+    """A handle whose states are empty and note how often they are called."""
+
+    def __init__(self, calls):
+        self.calls = calls
+
+    def getValueState(self, name, *schemas):
+        return Counted(self.calls)
+
+    getListState = getMapState = getValueState
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls[name] += 1
+            return iter(()) if name == "iterator" else None
+
+        return call
+
+
+def test_a_series_has_one_timer_however_many_grid_points_its_samples_reach():
+    calls = Counter()
+    growth = Growth(["k"], 60, 60)
+    growth.init(Counted(calls))
+    assert list(growth.handleInputRows(("a",), iter([Row(us=60 * n, value=1.0) for n in range(1, 50)]), None)) == []
+    assert calls["registerTimer"] == 1 and sum(calls.values()) < 6
+
+
+def test_a_new_ref_costs_few_calls_to_the_state():
+    calls = Counter()
+    election = Election(evaluate.Periods(60))
+    election.init(Counted(calls))
+    out = list(election.handleInputRows(("a",), iter([Row(ref="a", at_us=1, plan_hash="h", replicas=2)]), None))
+    assert [(r.winner, r.elected, r.promoted) for r in out] == [("h", "h", True)]
+    assert sum(calls.values()) <= 3
