@@ -42,6 +42,8 @@ def uses(store: SeriesStore, tables: StrategyTables, namespace: str = "namespace
         "ref", "metric_id", "label", "kind", "window", "step", F.when(counter, F.col("range")).otherwise(F.col("lookback")).alias("reach"),
         (counter & F.col("extrapolate")).alias("extrapolate"),
     )
+    # stored, so that the joins know how small it is: an estimate multiplies the sizes of the two tables
+    metrics = publish(metrics, "fleet-metrics")
     labels = F.col("labels")
     return (
         qualifying(store.listing, tables.conditions())
@@ -63,8 +65,9 @@ def reading_vectors(samples: DataFrame, readings: DataFrame, as_of: datetime) ->
     rows = samples.where((F.col("ts") > instant_literal(as_of - far)) & (F.col("ts") <= instant_literal(as_of)))
     if "day" in samples.columns:
         rows = rows.where(F.col("day").between(F.lit((end - far).date()), F.lit(end.date())))
-    read = publish(readings.select("metric", "sid").distinct(), "fleet-read")
-    rows = rows.join(read, ["metric", "sid"], "left_semi").select("sid", F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
+    # the few names first, so that samples of other metrics are given no id
+    names = publish(readings.select("metric").distinct(), "fleet-names")
+    rows = rows.join(names, "metric", "left_semi").join(readings, ["metric", "sid"], "left_semi").select("sid", F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))
     # a sample reaches as far as any reading does, so a chunk holds all neighbours that matter
     chunk = CHUNK * bounds["reach"]
     split = in_chunks(rows, ["sid"], "us", chunk, bounds["reach"])

@@ -48,7 +48,8 @@ def poll_samples(shards: DataFrame, samples: DataFrame | SeriesStore, strategy:
         if isinstance(samples, DataFrame):
             view = series_of(samples)
             series = publish(view.series, "series")
-            samples = SeriesStore(series, publish(listing_of(series), "listing"), view.samples)
+            # read once, so the listing is not stored: its terms meet the conditions as they are listed
+            samples = SeriesStore(series, listing_of(series), view.samples)
         return fleet.fleet_poll(shards, samples, strategy, as_of)
     vectors = polling.metric_vectors(samples, strategy, as_of)
     return polling.poll(shards, strategy.metrics, vectors)
@@ -119,10 +120,12 @@ class Pipeline:
         if isinstance(samples, DataFrame):
             require_contract(samples, SAMPLES, "samples")
         refs = publish(shards.select("ref").distinct(), "refs")
-        strategy, due, statuses = self.strategy, refs, []
+        whole, due, statuses = self.strategy, refs, []
         bad_polls = bad_weights = None
-        if isinstance(strategy, StrategyTables):
-            bad_polls, bad_weights = (publish(v.join(refs, "ref", "left_semi"), "malformed") for v in fleet.malformed(strategy))
+        if isinstance(whole, StrategyTables):
+            whole = whole.stored()
+            bad_polls, bad_weights = (publish(v.join(refs, "ref", "left_semi"), "malformed") for v in fleet.malformed(whole))
+        strategy = whole
 
         def settle(stage: str, values: DataFrame, violations: DataFrame | None) -> DataFrame:
             """Note each ref's status; return the values of the refs that broke no rule."""
@@ -140,7 +143,7 @@ class Pipeline:
         def stage(df: DataFrame, contract: T.StructType, name: str) -> DataFrame:
             return publish(require_contract(df, contract, name), name)
 
-        gate = self._gate(refs, shards, as_of, last_polls, previous)
+        gate = self._gate(whole, refs, shards, as_of, last_polls, previous)
         wanted = refs if last_polls is None else gate.where("stale").select("ref")
         if bad_polls is not None:
             wanted = validate.drop_failed(wanted, bad_polls)
@@ -157,14 +160,14 @@ class Pipeline:
             polled = publish(polled.unionByName(kept.select(*polled.columns)), "polled-and-kept")
         values = settle("poll", polled, publish(broken, "poll-violations"))
 
-        scaled = stage(self.normalizer(values, self.strategy), METRIC_VALUES, "normalized")
+        scaled = stage(self.normalizer(values, whole), METRIC_VALUES, "normalized")
         broken = validate.not_finite(scaled, "normalize", validate.NORMALIZATION_ERROR)
         scaled = settle("normalize", scaled, publish(broken, "normalize-violations"))
 
         # a malformed ref has no index at all, so that its status tells the cause
         usable = scaled if bad_weights is None else validate.drop_failed(scaled, bad_weights)
-        weights = self.strategy.weight_numbers() if isinstance(self.strategy, StrategyTables) else self.strategy.weights
-        indexes = stage(self.indexer(usable, self.strategy), LOAD_INDEXES, "load-indexes")
+        weights = whole.weight_numbers() if isinstance(whole, StrategyTables) else whole.weights
+        indexes = stage(self.indexer(usable, whole), LOAD_INDEXES, "load-indexes")
         broken = validate.metric_exactly_once(usable, weights).unionByName(
             validate.not_finite(indexes, "load_index", validate.LOAD_INDEX_ERROR)
         )
@@ -172,23 +175,23 @@ class Pipeline:
             broken = broken.unionByName(bad_weights.join(due, "ref", "left_semi"))
         indexes = settle("load_index", indexes, publish(broken, "load-index-violations"))
 
-        assignments = stage(self.partitioner(indexes, self.strategy), ASSIGNMENTS, "assignments")
+        assignments = stage(self.partitioner(indexes, whole), ASSIGNMENTS, "assignments")
         assignments = settle("partition", assignments, None)
         identity = publish(plan.plan_identity(assignments), "plan-identity")
         return Run(values, scaled, indexes, assignments, identity, reduce(DataFrame.unionByName, statuses), gate)
 
     def _gate(
-        self, refs: DataFrame, shards: DataFrame, as_of: datetime, last_polls: DataFrame | None, previous: DataFrame | None
+        self, strategy: Strategies, refs: DataFrame, shards: DataFrame, as_of: datetime, last_polls: DataFrame | None, previous: DataFrame | None
     ) -> DataFrame:
         """``poll.stale_refs`` of the strategy's refs; all are due without ``last_polls``."""
         never = refs.select("ref", F.lit(None).cast("timestamp").alias("last_poll"))
         polls = never if last_polls is None else refs.join(last_polls.select("ref", "last_poll"), "ref", "left")
-        if isinstance(self.strategy, StrategyTables):
-            polls = polls.join(self.strategy.settings.select("ref", F.col("period_s")), "ref")
-            metrics = self.strategy.metrics.select("ref", "metric_id")
+        if isinstance(strategy, StrategyTables):
+            polls = polls.join(strategy.settings.select("ref", F.col("period_s")), "ref")
+            metrics = strategy.metrics.select("ref", "metric_id")
         else:
-            polls = polls.withColumn("period_s", F.lit(self.strategy.period_seconds))
-            ids = F.array(*[F.lit(m.id) for m in self.strategy.metrics]).cast("array<string>")
+            polls = polls.withColumn("period_s", F.lit(strategy.period_seconds))
+            ids = F.array(*[F.lit(m.id) for m in strategy.metrics]).cast("array<string>")
             metrics = refs.select("ref", F.explode(ids).alias("metric_id"))
         if previous is None:
             before = refs.select("ref", F.lit("").alias("uid"), F.lit("").alias("metric_id")).limit(0)

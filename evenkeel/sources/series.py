@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..stages import publish
 from .samples import _utc_day, series_identity
 
 #: The term that every series of a metric has.
@@ -33,14 +34,12 @@ def with_sid(samples: DataFrame) -> DataFrame:
 
 def listing_of(series: DataFrame) -> DataFrame:
     """(metric, term, sid) rows of a series table."""
-    entries = F.coalesce(F.map_entries("labels"), F.array().cast("array<struct<key:string,value:string>>"))
-    terms = F.concat(
-        F.array(F.lit(ANY)),
-        F.transform(entries, lambda e: term(e["key"])),
-        # a label without a value has no term of its own
-        F.filter(F.transform(entries, lambda e: term(e["key"], e["value"])), lambda t: t.isNotNull()),
-    )
-    return series.select("metric", F.explode(terms).alias("term"), "sid")
+    entries = series.select("metric", "sid", F.posexplode_outer("labels").alias("nth", "label", "value"))
+    label = F.col("label")
+    # the series itself goes with its first label; a label without a value has no term of its own
+    own = F.when(F.coalesce("nth", F.lit(0)) == 0, F.lit(ANY))
+    terms = F.array(own, term(label), term(label, F.col("value")))
+    return entries.select("metric", F.explode(terms).alias("term"), "sid").where("term IS NOT NULL")
 
 
 @dataclass(frozen=True)
@@ -50,12 +49,20 @@ class SeriesStore:
     samples: DataFrame
 
 
+def _distinct_series(samples: DataFrame) -> DataFrame:
+    """(sid, metric, labels) of samples, each series once.
+
+    The labels themselves are the key, so that a hash aggregate finds them: no samples are
+    sorted, and an id is worked out for each series and not for each sample.
+    """
+    found = samples.groupBy("metric", "labels").agg(F.count(F.lit(1)).alias("samples"))
+    return with_sid(found).select("sid", "metric", "labels")
+
+
 def series_of(samples: DataFrame) -> SeriesStore:
     """The three tables as views on labelled samples, not stored."""
-    keyed = with_sid(samples)
-    # labels of one sid are the same
-    series = keyed.groupBy("sid").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
-    return SeriesStore(series, listing_of(series), keyed.select("metric", "sid", "ts", "value"))
+    series = _distinct_series(samples)
+    return SeriesStore(series, listing_of(series), with_sid(samples).select("metric", "sid", "ts", "value"))
 
 
 def append_series(samples: DataFrame, path: str) -> None:
@@ -67,7 +74,7 @@ def append_series(samples: DataFrame, path: str) -> None:
     spark = samples.sparkSession
     keyed = with_sid(samples).withColumn("day", _utc_day(F.col("ts")))
     keyed.select("metric", "day", "sid", "ts", "value").write.mode("append").partitionBy("metric", "day").parquet(f"{path}/samples")
-    found = keyed.groupBy("sid").agg(F.first("metric").alias("metric"), F.first("labels").alias("labels"))
+    found = _distinct_series(samples)
     folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/series")
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         known = spark.read.schema(found.schema).parquet(f"{path}/series")
@@ -93,7 +100,7 @@ def qualifying(listing: DataFrame, conditions: DataFrame) -> DataFrame:
     ``cond`` are alternatives: a positive one is met by having one of its terms, a negative
     one by having none.  Every metric has at least one positive condition.
     """
-    rows = conditions.select("ref", "metric_id", "metric", "cond", "negative", "term").distinct()
+    rows = publish(conditions.select("ref", "metric_id", "metric", "cond", "negative", "term").distinct(), "conditions")
     wanted = rows.groupBy("ref", "metric_id").agg(F.count_distinct(F.when(~F.col("negative"), F.col("cond"))).alias("wanted"))
     # a series has one value for each label, so it has at most one term of a condition
     hits = listing.join(rows, ["metric", "term"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.labels import render_template
 from ..functions.quantity import parse_quantity
+from ..stages import publish
 from .series import ANY, term
 from .strategy import BINDINGS, MetricDef, Strategy
 
@@ -43,11 +44,15 @@ class StrategyTables:
         parts = (self.settings, self.metrics, self.matchers, self.weights)
         return StrategyTables(*(t.join(kept, "ref", "left_semi") for t in parts))
 
+    def stored(self) -> StrategyTables:
+        """The same as stage tables: joins with them know how small they are before anything is shuffled."""
+        return StrategyTables(*(publish(t, "strategies") for t in (self.settings, self.metrics, self.matchers, self.weights)))
+
     def weight_numbers(self) -> DataFrame:
-        """ref, metric_id, weight as double, p."""
+        """ref, metric_id, weight as double, p; a stage table."""
         number = F.coalesce(parse_quantity(F.col("weight")).cast("double"), F.col("weight").try_cast("double"))
         numbers = self.weights.select("ref", "metric_id", number.alias("weight"))
-        return numbers.join(self.settings.select("ref", "p"), "ref")
+        return publish(numbers.join(self.settings.select("ref", "p"), "ref"), "weight-numbers")
 
     def conditions(self) -> DataFrame:
         """Matchers as ``series.qualifying`` takes them, with the condition that names the metric."""

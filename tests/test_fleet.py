@@ -14,6 +14,7 @@ from evenkeel.schemas import SAMPLES
 from evenkeel.sources import MetricDef, Strategy, append_series, open_series, series_of, strategy_tables
 from evenkeel.sources.series import qualifying
 from evenkeel.sources.strategies import MATCHERS, METRICS, SETTINGS, WEIGHTS, StrategyTables
+from evenkeel.stages import publish
 from conftest import loads
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -156,3 +157,48 @@ def test_caps_of_refs(spark):
         for ref, cap in (("x", 2), ("y", None), ("z", None)):
             wanted |= {(r.ref, r.shard.uid, r.replica_id) for r in packing.lpt_pack(df.where(F.col("ref") == ref), cap).collect()}
         assert got == wanted
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_series_and_terms_whatever_the_labels(spark):
+    rows = [
+        ("up", {"a": "1", "b": "2"}, T0, 1.0), ("up", {"b": "2", "a": "1"}, AS_OF, 2.0), ("up", {"a": "1", "b": None}, T0, 3.0),
+        ("up", {}, T0, 4.0), ("up", None, T0, 5.0), ("up", None, AS_OF, 6.0), ("down", {"a": "1", "b": "2"}, T0, 7.0),
+    ]
+    store = series_of(spark.createDataFrame(rows, SAMPLES))
+    # neither sorted nor given an id before samples of one series are one row
+    assert "SortAggregate" not in plan_of(store.series)
+    sids = {(r.metric, None if r.labels is None else tuple(sorted(r.labels.items(), key=str))): bytes(r.sid) for r in store.series.collect()}
+    assert len(sids) == store.series.count() == len(set(sids.values())) == 5
+    assert {bytes(r.sid) for r in store.samples.collect()} == set(sids.values())
+    terms = sorted((r.metric, bytes(r.sid), r.term) for r in store.listing.collect())
+    any_, is_ = "\u0001", "\u0001="
+    both = [any_, "a" + any_, "a" + is_ + "1", "b" + any_, "b" + is_ + "2"]
+    wanted = {("a", "1"): both[:3], ("b", "2"): both[3:], ("b", None): both[3:4]}
+    listed = []
+    for (metric, labels), sid in sids.items():
+        listed.append((metric, sid, any_))
+        listed += [(metric, sid, t) for pair in labels or () for t in wanted[pair] if t != any_]
+    assert terms == sorted(listed)
+
+
+def test_joins_with_strategies_shuffle_nothing_large(spark, samples, tmp_path):
+    tables = strategy_tables(spark, STRATEGIES).stored()
+    store = series_of(samples)
+    used = plan_of(fleet.uses(store, tables))
+    # the listing meets the conditions, and the series the metrics, without being dealt by their keys
+    assert not [line for line in used.split("\n") if "Exchange hashpartitioning(metric" in line and "term" in line], used
+    assert "BroadcastHashJoin [metric" in used, used
+    assert not [line for line in plan_of(store.listing).split("\n") if "transform(" in line]
+
+
+def test_a_run_on_samples_does_not_store_the_listing(spark, samples, monkeypatch):
+    from evenkeel.plans import pipeline
+
+    names = []
+    monkeypatch.setattr(pipeline, "publish", lambda df, name="stage": names.append(name) or publish(df, name))
+    polled = pipeline.poll_samples(fleet_shards(spark, ["a", "b"]), samples, strategy_tables(spark, STRATEGIES), AS_OF)
+    assert polled.count() == 12 and "series" in names and "listing" not in names
