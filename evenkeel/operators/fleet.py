@@ -53,6 +53,28 @@ def uses(store: SeriesStore, tables: StrategyTables, namespace: str = "namespace
     )
 
 
+def _up_to(samples: DataFrame, as_of: datetime, far: int) -> DataFrame:
+    """Samples of the ``far`` microseconds before ``as_of``; of a table stored by day, only these folders."""
+    end, back = utc(as_of), timedelta(microseconds=far)
+    rows = samples.where((F.col("ts") > instant_literal(as_of - back)) & (F.col("ts") <= instant_literal(as_of)))
+    if "day" in samples.columns:
+        rows = rows.where(F.col("day").between(F.lit((end - back).date()), F.lit(end.date())))
+    return rows
+
+
+def within_reach(samples: DataFrame, tables: StrategyTables, as_of: datetime) -> DataFrame:
+    """Samples that some metric may read at ``as_of``: those it names, as far back as any window and range go.
+
+    What a run has no use for need not be listed for it; ``reading_vectors`` would leave these samples out.
+    """
+    back = _us("window_s") + F.greatest(_us("range_s"), _us("lookback_s"))
+    far = tables.settings.agg(F.max(back)).first()[0]
+    if far is None:
+        return samples.where(F.lit(False))
+    names = publish(tables.metrics.select(F.coalesce("sample", "metric_id").alias("metric")).distinct(), "fleet-names")
+    return _up_to(samples, as_of, far).join(names, "metric", "left_semi")
+
+
 def reading_vectors(samples: DataFrame, readings: DataFrame, as_of: datetime) -> DataFrame:
     """Grid values of readings (sid, metric, READING): the same with g (micros) and value.
 
@@ -61,10 +83,7 @@ def reading_vectors(samples: DataFrame, readings: DataFrame, as_of: datetime) ->
     bounds = readings.agg(F.max(F.col("window") + F.col("reach")).alias("far"), F.max(F.greatest("reach", "step")).alias("reach")).first()
     if bounds["far"] is None:
         return readings.select("sid", *READING, F.lit(None).cast("bigint").alias("g"), F.lit(None).cast("double").alias("value"))
-    end, far = utc(as_of), timedelta(microseconds=bounds["far"])
-    rows = samples.where((F.col("ts") > instant_literal(as_of - far)) & (F.col("ts") <= instant_literal(as_of)))
-    if "day" in samples.columns:
-        rows = rows.where(F.col("day").between(F.lit((end - far).date()), F.lit(end.date())))
+    rows = _up_to(samples, as_of, bounds["far"])
     # the few names first, so that samples of other metrics are given no id
     names = publish(readings.select("metric").distinct(), "fleet-names")
     rows = rows.join(names, "metric", "left_semi").join(readings, ["metric", "sid"], "left_semi").select("sid", F.unix_micros("ts").alias("us"), F.col("value").cast("double").alias("value"))

@@ -46,7 +46,7 @@ def poll_samples(shards: DataFrame, samples: DataFrame | SeriesStore, strategy:
     """Metric values; strategies as tables read a series store, or samples that are listed for the run."""
     if isinstance(strategy, StrategyTables):
         if isinstance(samples, DataFrame):
-            view = series_of(samples)
+            view = series_of(fleet.within_reach(samples, strategy, as_of))
             series = publish(view.series, "series")
             # read once, so the listing is not stored: its terms meet the conditions as they are listed
             samples = SeriesStore(series, listing_of(series), view.samples)

@@ -29,7 +29,9 @@ def term(label: Column, value: Column | None = None) -> Column:
 
 def with_sid(samples: DataFrame) -> DataFrame:
     """Adds ``sid`` to samples with (metric, labels)."""
-    return samples.withColumn("sid", F.unhex(F.md5(F.to_json(F.struct("metric", series_identity().alias("l"))))))
+    sid = F.unhex(F.md5(F.to_json(F.struct("metric", series_identity().alias("l")))))
+    # never null, and known not to be: else a join by sid works it out once more, to leave out nulls, before any other filter
+    return samples.withColumn("sid", F.coalesce(sid, F.lit(b"")))
 
 
 def listing_of(series: DataFrame) -> DataFrame:

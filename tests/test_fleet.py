@@ -202,3 +202,30 @@ def test_a_run_on_samples_does_not_store_the_listing(spark, samples, monkeypatch
     monkeypatch.setattr(pipeline, "publish", lambda df, name="stage": names.append(name) or publish(df, name))
     polled = pipeline.poll_samples(fleet_shards(spark, ["a", "b"]), samples, strategy_tables(spark, STRATEGIES), AS_OF)
     assert polled.count() == 12 and "series" in names and "listing" not in names
+
+
+def test_only_samples_within_reach_are_listed_for_a_run(spark, samples):
+    old = [("up", {"namespace": "ns", "pod": "old", "server": "https://s1"}, AS_OF - timedelta(days=9), 9e9)]
+    late = [("up", {"namespace": "ns", "pod": "late", "server": "https://s1"}, AS_OF + timedelta(seconds=1), 9e9)]
+    other = [("unread", {"namespace": "ns", "pod": "p1", "server": "https://s1"}, AS_OF, 9e9), (None, None, AS_OF, 9e9)]
+    more = samples.unionByName(spark.createDataFrame(old + late + other, SAMPLES))
+    tables = strategy_tables(spark, STRATEGIES).stored()
+    reach = fleet.within_reach(more, tables, AS_OF)
+    far = max(s.window_seconds + max(s.range_seconds, s.lookback_seconds) for s in STRATEGIES.values())
+    near = (F.col("ts") > F.lit(AS_OF - timedelta(seconds=far))) & (F.col("ts") <= F.lit(AS_OF)) & F.col("metric").isin("up", "grown")
+    text = F.to_json(F.struct("metric", "labels", "ts", "value"))
+    assert sorted(reach.select(text).collect()) == sorted(more.where(near).select(text).collect())
+    days = more.withColumn("day", F.to_date("ts"))
+    assert fleet.within_reach(days, tables, AS_OF).count() == reach.count()
+    assert fleet.within_reach(more, strategy_tables(spark, {}), AS_OF).count() == 0
+    # what is left out is nothing that a vector is made of
+    keys = ["ref", "metric_id", "namespace", "bound", "value"]
+    everything = fleet.fleet_vectors(series_of(more), tables, AS_OF).select(keys).collect()
+    assert sorted(map(str, fleet.fleet_vectors(series_of(reach), tables, AS_OF).select(keys).collect())) == sorted(map(str, everything))
+
+
+def test_an_id_is_worked_out_once(spark, store):
+    readings = fleet.uses(store, strategy_tables(spark, STRATEGIES)).select("metric", "sid", *fleet.READING).distinct()
+    rows = spark.createDataFrame([("up", {"a": "1"}, AS_OF, 1.0)], SAMPLES)
+    filters = [line for line in plan_of(fleet.reading_vectors(series_of(rows).samples, publish(readings), AS_OF)).split("\n") if "Filter" in line]
+    assert not [line for line in filters if "md5" in line], filters
