@@ -7,12 +7,14 @@ import gzip
 import hashlib
 import html
 import math
+import random
 import re
 import time
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -73,6 +75,63 @@ def test_search_with_odd_vectors(spark, monkeypatch):
     assert sorted(r["rank"] for r in few.collect()) == sorted([1, 2, 3] * 3)
 
 
+def test_scores_of_a_block_are_exact():
+    rng = np.random.default_rng(5)
+    for trial in range(40):
+        n, d, m = rng.integers(1, 4000), rng.integers(1, 40), rng.integers(1, 30)
+        most = (4, 300, 10**6)[trial % 3]
+        columns = rng.integers(-most, most + 1, (d, n))
+        if trial % 2:  # few dimensions that count: most candidates are left out by the others' bounds
+            columns[3:] //= most
+        ids, copies = np.sort(rng.integers(0, 2 * n, n)), rng.integers(1, 4, n)
+        _, first = np.unique(np.vstack([ids, columns]), axis=1, return_index=True)
+        ids, copies, columns = ids[np.sort(first)], copies[np.sort(first)], columns[:, np.sort(first)]
+        at = rng.integers(0, len(ids), m)
+        queries, own = columns[:, at].T.copy(), ids[at].copy()
+        own[::3] = -1
+        wanted = []
+        for q, o in zip(queries, own):
+            n_of = copies - ((ids == o) & (columns == q[:, None]).all(0))
+            wanted.append(sorted((-int(s), int(i)) for s, i, c in zip(q @ columns, ids, n_of) for _ in range(c))[:5])
+        kth = [w[-1] if len(w) == 5 else None for w in wanted]
+        kind = maxscore._exact(queries, columns)
+        for known in (0, 1):  # without and with thresholds
+            least = np.array([-k[0] if known and k else maxscore._NONE for k in kth])
+            after = np.array([k[1] if known and k else 2**63 - 1 for k in kth])
+            row, i, score, c = maxscore.top_of_block(queries, own, ids, copies, columns, 5, least, after, kind)
+            found = [sorted((-int(s), int(e)) for s, e, k in zip(score[row == r], i[row == r], c[row == r]) for _ in range(k))[:5] for r in range(m)]
+            assert found == wanted and max(np.bincount(row, minlength=1)) <= 5
+
+
+def test_search_does_not_copy_shards_for_every_block(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "SHARD_ROWS", 20)
+    monkeypatch.setattr(maxscore, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(6)
+    vectors = rng.integers(-3, 4, (2000, 8))
+    df = spark.createDataFrame([(i, [x / 256 for x in v]) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+
+    def handed(top):
+        def run(batches):
+            for batch in batches:
+                for n in range(batch.num_rows):
+                    size = sum(len(c[n].as_py() or b"") for c in batch.columns if c.type == pa.binary())
+                    cells = (0, random.getrandbits(30), 1, 0, 0, size)
+                    types = (pa.int32(), pa.int32(), *[pa.int64()] * 4)
+                    yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], ["block", "row", "times", "query_id", "vec_id", "score"])
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(maxscore, "_search", handed)
+        total = maxscore.search(df, F.lit(True)).agg(F.sum("score")).first()[0]
+    assert total < 20 * 2000 * 80  # eight bytes a number; each pair of a block and a shard would be 200 times the table
+    found = {(r.query_id, r.rank): (-r.score, r.vec_id) for r in maxscore.search(df, F.lit(True)).collect()}
+    scores = vectors @ vectors.T
+    for q in range(2000):
+        wanted = sorted((-int(s), i) for i, s in enumerate(scores[q]) if i != q)[:5]
+        assert [found[q, rank] for rank in range(1, 6)] == wanted
+
+
 def test_rows_of_one_id_are_candidates(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (1, [5.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     best = maxscore.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
