@@ -3,10 +3,14 @@ import random
 import time
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from evenkeel.operators import evaluate
 from evenkeel.operators.evaluate import AWAITING, LATE, MICROS, READY, Periods, State, step
+from evenkeel.plans.catalog import QUERIES
+from evenkeel.plans.oracles import ORACLES
 from evenkeel.streaming import elect_stream
 
 T0 = datetime(2024, 1, 1)
@@ -226,3 +230,29 @@ def test_small_refs_share_a_call(spark, capsys):
     none = spark.createDataFrame([], "ref string, state string")
     apart = evaluate.replay(df, TRACE_PERIODS, states=none)
     assert sorted(map(str, out.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_replay_elects_among_several_plans(spark, tmp_path):
+    # three plans of one replica, a larger one, the first again: all within a day
+    windows = [*[(n, ["click"]) for n in range(3)], (3, ["click", "view", "error"]), (4, ["click"])]
+    rows = [
+        (n, 7, kind, 0.0 if kind == "error" else 10.0, "{}", (T0 + timedelta(hours=6 * n + 1)).isoformat(sep=" "))
+        for n, kinds in windows
+        for kind in kinds
+    ]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, ts string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    shown = QUERIES["evaluation_replay"](spark, str(tmp_path))
+    found = shown.orderBy("at").collect()
+    assert len(found) == len(windows)
+    one, larger = found[0].plan_hash, found[3].plan_hash
+    assert one != larger and [r.plan_hash for r in found] == [one] * 3 + [larger, one]
+    # the larger plan is outvoted, and a promotion, after a day, wipes the votes
+    assert [r.winner for r in found] == [r.elected for r in found] == [one] * 5
+    assert [r.promoted for r in found] == [True, False, False, False, True]
+    assert [r.votes for r in found] == [1, 2, 3, 4, 1]
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    result = con.execute(ORACLES["evaluation_replay"])
+    assert shown.columns == [d[0] for d in result.description]
+    assert sorted(map(tuple, found)) == sorted(result.fetchall())
